@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import exact_dedup, mixing, near_dedup, quality_rules, sharding, url_filter, warc
+from vellum.llm import exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
 from vellum.sources.tables import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))[0]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -40,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op9_url_filter, op10_mixing)
+    f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op9_url_filter, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {}
