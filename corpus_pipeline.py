@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm.exact_dedup import drop_exact_copies
 from vellum.llm.mixing import mixed
 from vellum.llm.near_dedup import drop_near_copies
+from vellum.llm.pieces import segment
 from vellum.llm.quality_rules import keep_quality
 from vellum.sources.scratch import Scratch
 from vellum.sources.tables import read_table
@@ -37,7 +38,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every row; a row that mixing repeats has its samples repeated."""
+    return segment(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("sampled pieces", pieces)]
 
 #: Minimum hashes and sampled segmentations are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
+from vellum.llm import exact_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
 from vellum.sources.tables import read_table
 
 
@@ -38,6 +38,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read_table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op9_url_filter, op10_mixing)
+    f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op8_sampled_pieces, op9_url_filter, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {}
