@@ -31,8 +31,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm.hash_table import HashTable
 from vellum.llm.rows import map_texts, picked
@@ -117,11 +118,13 @@ class Lattices:
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.nodes = self.edges = 0
+        self.nodes, self.edges = 0, 1  # edge 0 is of no node, so that each edge has one before it
         room = 1 << 16
-        self.first, self.end = np.zeros(room + 1, np.int64), np.empty(room, np.int64)  # a node's first edge; its chunk's last node + 1
+        # a node's first edge; its chunk's last node + 1
+        self.first, self.end = np.zeros(room + 1, np.int64), np.empty(room, np.int64)
         self.piece, self.size = np.empty(4 * room, np.int32), np.empty(4 * room, np.int16)
-        self.cut, self.chance = np.empty(4 * room, np.float32), np.empty(4 * room, np.float32)
+        self.cut, self.chance = np.empty(4 * room, np.float32), np.empty(4 * room)
+        self.cut[0] = 2.0
 
     def _room(self, nodes: int, edges: int) -> None:
         for names, need in ((("first", "end"), self.nodes + nodes + 1), (("piece", "size", "cut", "chance"), self.edges + edges)):
@@ -288,14 +291,14 @@ def sample(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> li
     bound = np.full(docs, -np.inf)
     spent: dict[tuple[int, int], list[int]] = {}
     for number in range(k):
-        chance = t.chance[edge].astype(np.float64)
-        logs = np.log(chance, dtype=np.float64)
+        chance = t.chance[edge]
+        logs = np.log(chance)
         prefix, start = _segment_sums(logs, doc, docs)
-        rest = np.log(np.maximum(1 - chance, 1e-300)) + prefix
+        rest = np.log(np.maximum(1 - chance, 1e-18)) + prefix
         draw = -np.log(_uniform(keys[doc], place, 2 * (number + 2) + 1))
         limit = top[doc]
         queue = rest - np.log(np.exp(np.minimum(rest - limit, 700)) + draw)
-        queue[chance >= 1] = -np.inf
+        queue[(t.cut[edge] > 1) & (t.cut[edge - 1] > 1)] = -np.inf  # the only edge of its node
         fresh = place >= first_of[doc]  # what a sample shares with the one it left is in that one's queue
         queue[~fresh] = -np.inf
         total = np.add.reduceat(np.concatenate([logs, [0.0]]), np.minimum(start[:-1], len(logs))) if docs else np.empty(0)
@@ -327,13 +330,13 @@ def sample(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> li
             where = int(np.searchsorted(t.first[: t.nodes + 1], e0, "right") - 1)
             gone = spent.setdefault((int(owner[d, 0]), i), [e0])
             left = [e for e in range(t.first[where], t.first[where + 1]) if e not in gone]
-            c = t.chance[left].astype(np.float64)
+            c = t.chance[left]
             key, at = keys[d : d + 1], np.array([h["char"][i]])
             u = float(_uniform(key, at, 1000 + 4 * number)[0]) * c.sum()
             e = int(left[min(int(np.searchsorted(np.cumsum(c), u, "right")), len(left) - 1)])
             gone.append(e)
-            after = c.sum() - float(t.chance[e])
-            if len(left) > 1 and after > 1e-300:
+            if len(left) > 1:
+                after = max(float(c[[x != e for x in left]].sum()), 1e-300)
                 r = h["prefix"][i] + np.log(after)
                 h["queue"][i] = r - np.log(np.exp(min(r - best[d], 700)) - np.log(_uniform(key, at, 1002 + 4 * number)[0]))
             else:
@@ -396,7 +399,7 @@ def segment(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MO
     def each(ids: list, raw: list[bytes]) -> dict[str, object]:
         t = _lattices(model)
         texts = [x.decode() for x in raw]
-        keys = _mix(np.array([0 if i is None else i & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64) + np.uint64(seed) * _K1)
+        keys = _mix(np.array([0 if i is None else i & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64) + np.uint64(seed * int(_K1) & 0xFFFFFFFFFFFFFFFF))
         *samples, bound = sample(t, keys, texts, k)
         doc_id, number, n, lists, log_prob, perturbed, log_inclusion, decoded = [], [], [], [], [], [], [], []
         for s, (alive, start, edges, total, top) in enumerate(samples):
@@ -425,9 +428,6 @@ def segment(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MO
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", model: str = MODEL) -> DataFrame:
     """All columns of ``rows`` and ``decoded_text``, the text that its pieces spell; null pieces give null."""
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     @F.pandas_udf("string")
     def spell(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = _lattices(model).v
