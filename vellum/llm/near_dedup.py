@@ -11,10 +11,10 @@ collection with half key j of the second. Minimum hashes worked out:
    the product of a class's shared halves is spelled out.
 3. Each table's bucket links its members to its least one; links are confirmed on
    the full sets and joined into components.
-4. Where a bucket's members still lie in different components, each member outside
-   its largest component is compared with the others: signatures first, in blocks,
-   then full sets. No pair of a bucket that could join components is left out, and
-   no pairs inside a component are spelled out.
+4. Where the members of a half key's bucket still lie in different components, each
+   member outside its largest component is compared with the others in blocks:
+   signatures first, then sets. No pair that shares a table and could join
+   components is left out, and no pairs are spelled out but links.
 
 At a similarity of 0.8 two texts share a table with a probability of 0.9999; above
 it the miss fades quickly.
@@ -46,8 +46,9 @@ SIDE, DEPTH = 14, 3
 WORDS, PERCENT = 5, 80
 #: Share of equal minimum hashes below which a pair goes no further: five standard deviations under 0.8 for 84 hashes.
 LEAST_EQUAL = 0.58
-#: Members of a block in the comparison of a bucket's rest.
-BLOCK = 1024
+#: Members of a block in the comparison of a bucket's rest; least hashes of a set that it compares, and the share of
+#: equal ones below which a longer pair goes no further: five standard deviations under 0.8.
+BLOCK, SKETCH, LEAST_SKETCHED = 1024, 512, 0.71
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _random.integers(1, 1 << 63, size=2 * SIDE * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,14 +134,13 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _table_keys(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, table, node): the table keys of each class, spelled out from the halves that another class has too."""
+    """(key, node): the table keys of each class, spelled out from the halves that another class has too."""
     halves = classes.select("node", F.posexplode("halves").alias("at", "half"))
     shared = scratch.write(halves.groupBy("at", "half").agg(F.count("*").alias("n")).where("n > 1").select("at", "half"), "shared")
     alive = halves.join(shared, ["at", "half"], "left_semi").groupBy("node").agg(F.collect_list(F.struct("at", "half")).alias("alive"))
     first, second = (F.filter("alive", f) for f in (lambda x: x["at"] < SIDE, lambda x: x["at"] >= SIDE))
     pairs = alive.select("node", F.explode(first).alias("a"), second.alias("second")).select("node", "a", F.explode("second").alias("b"))
-    table = F.col("a.at") * SIDE + F.col("b.at") - SIDE
-    return pairs.select(F.xxhash64("a.at", "a.half", "b.at", "b.half").alias("key"), table.alias("table"), "node")
+    return pairs.select(F.xxhash64("a.at", "a.half", "b.at", "b.half").alias("key"), "node")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -184,49 +184,95 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     return links
 
 
-def _rest(keys: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v) across components in buckets that hold several: members outside the bucket's largest component against all others, by signatures."""
-    placed = scratch.write(
-        keys.join(labels, "node", "left").select("key", "table", "node", F.coalesce("component", "node").alias("component")), "placed"
-    )
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    plan = scratch.write(buckets.select("key", F.col("most.component").alias("main"), blocks(F.col("n")).alias("b_all"), blocks(F.greatest(F.col("n") - F.col("most.n"), F.lit(1))).alias("b_out")), "plan")
-    held = placed.join(plan, "key").join(classes.select("node", "signature"), "node")
-    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    common = ("key", "table", "node", "component", "signature")
-    asked = held.where("component <> main").select(*common, F.lit(True).alias("asks"), spot(F.col("b_out")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("b_all") - 1)).alias("q"))
-    others = held.select(*common, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("b_out") - 1)).alias("p"), spot(F.col("b_all")).alias("q"))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame["asks"].to_numpy()
-        left, right = frame[asks], frame[~asks]
-        out = pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
-        if not len(left) or not len(right):
-            return out
-        table = int(frame["table"].iloc[0])
+def _alike_share(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity estimated from the SKETCH least hashes of two sets."""
+    both = np.union1d(x, y)[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+
+
+def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links and possible links of one block of a bucket of half key ``at``: those that ask against the others."""
+    asks = frame["asks"].to_numpy()
+    left, right = frame[asks], frame[~asks]
+    out: list[tuple[int, int, bool]] = []
+    if len(left) and len(right):
+        at = int(frame["at"].iloc[0])
+        sizes = {s: f["n_shingles"].to_numpy() for s, f in (("x", left), ("y", right))}
         x, y = (np.frombuffer(b"".join(f["signature"]), np.uint16).reshape(len(f), -1) for f in (left, right))
-        cx, cy, nx, ny = left["component"].to_numpy(), right["component"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
-        found = []
+        of_x, of_y = ([np.frombuffer(v, np.uint64) for v in f["sketch"]] for f in (left, right))
+        _, code = np.unique(np.concatenate(of_x + of_y), return_inverse=True)
+        ends = np.cumsum([len(v) for v in of_x + of_y])
+        codes_x = np.split(code, ends)[: len(of_x)]
+        start = ends[len(of_x) - 1]
+        codes_y, starts_y = code[start:], ends[len(of_x) - 1 : -1] - start
+        marked = np.zeros(int(code.max()) + 1, np.int32)
+        parent = {int(c): int(c) for c in frame["component"]}
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        cx, cy, nx, ny = left["component"].tolist(), right["component"].to_numpy(), left["node"].tolist(), right["node"].to_numpy()
         for k in range(len(x)):
-            at = np.flatnonzero(cy != cx[k])
-            equal = y[at] == x[k]
-            good = equal.mean(axis=1) >= LEAST_EQUAL
-            at, equal = at[good], equal[good]
-            if len(at):  # a pair is given by the first table that its halves share
-                whole = equal.reshape(len(at), 2, SIDE, DEPTH).all(axis=3)
-                first = whole[:, 0].argmax(axis=1) * SIDE + whole[:, 1].argmax(axis=1)
-                at = at[first == table]
-                found.append(np.stack([np.minimum(nx[k], ny[at]), np.maximum(nx[k], ny[at])], axis=1))
-        if found:
-            out = pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
-        return out
-
-    pairs = asked.union(others).groupBy("key", "p", "q").applyInPandas(compare, "u bigint, v bigint").distinct()
-    out = scratch.write(pairs, "rest")
-    scratch.release(placed)
-    scratch.release(plan)
+            n, m = sizes["x"][k], sizes["y"]
+            near = np.flatnonzero((cy != cx[k]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            equal = y[near] == x[k]
+            whole = equal.reshape(len(near), 2, SIDE, DEPTH).all(axis=3)
+            # the two share a table, and this is the first half key that they share
+            good = (equal.mean(axis=1) >= LEAST_EQUAL) & whole[:, 1].any(axis=1) & (whole[:, 0].argmax(axis=1) == at)
+            near = near[good]
+            if not len(near):
+                continue
+            marked[codes_x[k]] = 1
+            common = np.add.reduceat(marked[codes_y], starts_y)[near]
+            marked[codes_x[k]] = 0
+            complete = (n <= SKETCH) & (m[near] <= SKETCH)
+            linked = complete & (100 * common >= percent * (n + m[near] - common))
+            for j, sure in [(j, True) for j in near[linked]] + [(j, False) for j in near[~complete]]:
+                a, b = find(cx[k]), find(int(cy[j]))
+                if a != b and (sure or _alike_share(of_x[k], of_y[j]) >= LEAST_SKETCHED):
+                    out.append((nx[k], int(ny[j]), sure))
+                    if sure:
+                        parent[max(a, b)] = min(a, b)
+    return pd.DataFrame(out, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
+
+
+def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v, sure) across components: in each bucket of a half key that holds several, the members outside its largest component against all others.
+
+    Texts that share a table share its first half, so buckets of single half keys
+    bring together all pairs that a table does, in SIDE rows a class instead of
+    SIDE * SIDE. Blocks are compared in numpy and give no more links than join
+    components; sets of SKETCH hashes or fewer are compared whole, longer ones by
+    their least hashes, and what passes for them is confirmed on full sets.
+    """
+    held = classes.join(nodes, "node", "left_semi").join(labels, "node", "left")
+    placed = held.select("node", F.coalesce("component", "node").alias("component"), F.posexplode(F.slice("halves", 1, SIDE)).alias("at", "half"))
+    placed = scratch.write(placed, "placed")
+    parts = placed.groupBy("at", "half", "component").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("at", "half").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = buckets.select("at", "half", F.col("most.component").alias("main"), blocks(F.col("n")).alias("b_all"), blocks(F.greatest(F.col("n") - F.col("most.n"), F.lit(1))).alias("b_out"))
+    plan = scratch.write(plan, "plan")
+    open_rows = scratch.write(placed.join(plan, ["at", "half"]), "open")
+    wanted = scratch.write(open_rows.select("node").distinct(), "open-nodes")
+
+    def each(ids: list, texts: list[bytes]) -> dict[str, object]:
+        return {"node": ids, "sketch": [shingle_set(t, words)[:SKETCH].tobytes() for t in texts]}
+
+    sketches = map_texts(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), "node bigint, sketch binary", each)
+    facts = scratch.write(sketches.join(classes.select("node", "n_shingles", "signature"), "node"), "facts")
+    full = open_rows.join(facts, "node")
+    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    common = ("at", "half", "node", "component", "n_shingles", "signature", "sketch")
+    asked = full.where("component <> main").select(*common, F.lit(True).alias("asks"), spot(F.col("b_out")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("b_all") - 1)).alias("q"))
+    others = full.select(*common, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("b_out") - 1)).alias("p"), spot(F.col("b_all")).alias("q"))
+    found = asked.union(others).groupBy("at", "half", "p", "q").applyInPandas(lambda f: _compared(f, percent), "u bigint, v bigint, sure boolean")
+    out = scratch.write(found.distinct(), "rest")
+    for used in (placed, plan, open_rows, facts):
+        scratch.release(used)
     return out
 
 
@@ -245,16 +291,16 @@ def near_groups(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent:
     keys = _table_keys(classes, scratch)
     keys = scratch.write(keys, "keys")
     least = scratch.write(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least"), "least")
-    starred = keys.join(least, "key")
-    kept = scratch.write(starred.select("key", "table", "node", "least"), "members")
+    kept = scratch.write(keys.join(least, "key").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "star")
     scratch.release(keys)
-    star = kept.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    star = kept.where("u <> v")
     links = _confirmed(star, classes, texts, words, percent, scratch)
     # rows that share an id are one document
     same = named.groupBy("digest").agg(F.min("doc_id").alias("u")).join(named.select("digest", F.col("doc_id").alias("v")), "digest").select("u", "v").where("u <> v")
     labels = scratch.write(connected_components(links, scratch), "labels")
-    more = _confirmed(_rest(kept.select("key", "table", "node"), labels, classes, scratch), classes, texts, words, percent, scratch)
-    every = scratch.write(links.union(more).union(same), "all-links")
+    rest = _rest(kept.select(F.col("v").alias("node")).distinct(), labels, classes, texts, words, percent, scratch)
+    more = _confirmed(rest.where("NOT sure").select("u", "v"), classes, texts, words, percent, scratch)
+    every = links.union(rest.where("sure").select("u", "v")).union(more).union(same)
     final = scratch.write(connected_components(every, scratch), "components", keep=True)
     return pairs.join(final, pairs.doc_id == final.node, "left").select("doc_id", "digest", "n", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
