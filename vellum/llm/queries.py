@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.llm import exact_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
+from vellum.llm.oracles import ORACLES
 from vellum.sources.tables import read_table
 
 
@@ -48,11 +49,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.replicate(read_table(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "row.source", "copy", "copies", F.round("rate", 6).alias("rate"), F.crc32(F.col("row.text").cast("binary")).alias("text_crc32"), "shuffle_key")
+    return out.select("row.doc_id", "row.source", "copy", "copies", F.round("rate", 6).alias("rate"), F.coalesce(F.octet_length("row.text"), F.lit(0)).alias("n_bytes"), "shuffle_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op8_sampled_pieces, op9_url_filter, op10_mixing)
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
