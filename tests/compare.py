@@ -22,7 +22,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def plain(df: pd.DataFrame) -> list[tuple]:
     """Rows as sorted tuples of text, columns by name."""
     def text(v: object) -> str:
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, (bool,)) or type(v).__name__ in ("bool", "bool_"):
             return str(bool(v)).lower()
