@@ -79,3 +79,23 @@ def test_limits_take_a_stream(spark, tmp_path):
     run = over_limit(stream, limit=20, late="10 seconds").writeStream.format("memory").queryName("over").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert [r.n for r in spark.table("over").collect()] == [60]
+
+
+def test_inscribed_rectangles():
+    import numpy as np
+
+    from vellum.operators.masks import inscribed_rectangle
+
+    mask = np.zeros((20, 20), np.uint8)
+    mask[4:16, 5:15] = 255
+    assert inscribed_rectangle(mask) == (5, 4, 10, 12)
+    large = np.zeros((100, 100), np.uint8)
+    large[20:80, 30:90] = 255
+    assert inscribed_rectangle(large) == (30, 20, 60, 60)
+    assert inscribed_rectangle(np.zeros((3, 3), np.uint8)) == (0, 0, 0, 0) == inscribed_rectangle(np.zeros((0, 0), np.uint8))
+    r = random.Random(4)
+    for _ in range(60):
+        small = np.array([[r.random() < 0.7 for _ in range(9)] for _ in range(7)], np.uint8)
+        x, y, w, h = inscribed_rectangle(small)
+        areas = [(d - b) * (c - a) for a in range(9) for c in range(a + 1, 10) for b in range(7) for d in range(b + 1, 8) if small[b:d, a:c].all()]
+        assert w * h == max(areas, default=0) and small[y : y + h, x : x + w].all()

@@ -1,6 +1,6 @@
 """The engine's own queries, by name, and their SQL."""
 
-from vellum.queries import aggregates, filters, flow, geometry, joins, text, windows  # noqa: F401
+from vellum.queries import aggregates, filters, flow, geometry, joins, layout, text, windows  # noqa: F401
 from vellum.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
