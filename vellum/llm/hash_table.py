@@ -13,7 +13,7 @@ class HashTable:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.uint64]] = []
         left, shift = np.arange(len(keys)), 0
         while len(left):
-            bits = max(4, int(4 * len(left) - 1).bit_length())
+            bits = max(4, int(2 * len(left) - 1).bit_length())
             down = np.uint64(64 - bits)
             at = self._slot(keys[left], shift, down)
             place = np.full(1 << bits, -1, np.int32)

@@ -44,6 +44,9 @@ SAMPLES, SEED, MOST_NODES = 2, 8, 2_500_000
 SHIFT, BYTE_LOG = 10.0, -14.0
 #: Bytes of texts worked on at once.
 SLICE_BYTES = 2 << 20
+#: Log probability of a prefix below which sets are drawn only if they could win, and the most that chance adds: a number
+#: of 53 bits has a Gumbel under 37.
+DEEP, MOST_NOISE = -80.0, 37.0
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -98,6 +101,18 @@ class Vocabulary:
         self.prefixes = HashTable(np.array(list(prefixes), np.uint64))
         self.piece = np.array(list(prefixes.values()), np.int32)
 
+        self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
+        self.lengths = np.array([len(x) for x in self.text], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+
+    def spelled(self, ids: np.ndarray, start: np.ndarray) -> list[bytes]:
+        """The bytes of many segmentations, ids[start[k]:start[k + 1]] each, without their first mark."""
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.offsets[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        data, bound = self.bytes[at].tobytes(), np.concatenate([[0], ends])[start].tolist()
+        return [data[a + (data[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(bound, bound[1:])]
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; byte pieces that are no UTF-8 give the replacement character."""
         out = b"".join(map(self.text.__getitem__, ids))
@@ -269,6 +284,28 @@ def _segment_sums(values: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.nd
     return run[:-1] - run[start[:-1]][doc], start
 
 
+def _draw(queue: np.ndarray, at: np.ndarray, t: Lattices, edge: np.ndarray, chance: np.ndarray, prefix: np.ndarray, top: np.ndarray, doc: np.ndarray, keys: np.ndarray, place: np.ndarray, number: int) -> None:
+    """Numbers of the sets beside the edges ``at``: Gumbel by their weight, cut off at their document's ``top``."""
+    at = at[(t.cut[edge[at]] <= 1) | (t.cut[edge[at] - 1] <= 1)]  # not the only edge of its node
+    rest = np.log(np.maximum(1 - chance[at], 1e-18)) + prefix[at]
+    draw = -np.log(_uniform(keys[doc[at]], place[at], 2 * (number + 2) + 1))
+    queue[at] = rest - np.log(np.exp(np.minimum(rest - top[doc[at]], 700)) + draw)
+
+
+def _best(held: list[dict], docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest number in the queues of each document, and the sample whose queue has it."""
+    best, owner = np.full(docs, -np.inf), np.full(docs, -1, np.int64)
+    for p, h in enumerate(held):
+        s = h["start"]
+        has = np.flatnonzero(s[1:] > s[:-1])
+        if len(has):
+            most = np.maximum.reduceat(h["queue"], s[has])
+            better = most > best[has]
+            best[has[better]] = most[better]
+            owner[has[better]] = p
+    return best, owner
+
+
 def sample(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> list[tuple]:
     """Per sample number: (documents, starts, piece edges, log_prob, perturbed) and, last, each document's bound.
 
@@ -294,28 +331,24 @@ def sample(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> li
         chance = t.chance[edge]
         logs = np.log(chance)
         prefix, start = _segment_sums(logs, doc, docs)
-        rest = np.log(np.maximum(1 - chance, 1e-18)) + prefix
-        draw = -np.log(_uniform(keys[doc], place, 2 * (number + 2) + 1))
-        limit = top[doc]
-        queue = rest - np.log(np.exp(np.minimum(rest - limit, 700)) + draw)
-        queue[(t.cut[edge] > 1) & (t.cut[edge - 1] > 1)] = -np.inf  # the only edge of its node
-        fresh = place >= first_of[doc]  # what a sample shares with the one it left is in that one's queue
-        queue[~fresh] = -np.inf
+        queue = np.full(len(edge), -np.inf)
+        # what a sample shares with the one it left is in that one's queue; deeper sets wait until they could win
+        _draw(queue, np.flatnonzero((prefix >= DEEP) & (place >= first_of[doc])), t, edge, chance, prefix, top, doc, keys, place, number)
         total = np.add.reduceat(np.concatenate([logs, [0.0]]), np.minimum(start[:-1], len(logs))) if docs else np.empty(0)
         total = np.where(start[1:] > start[:-1], total, 0.0)
-        held.append({"edge": edge, "char": place, "start": start, "prefix": prefix, "queue": queue})
+        deep = np.flatnonzero((prefix < DEEP) & (place >= first_of[doc]))
+        held.append({"edge": edge, "char": place, "start": start, "prefix": prefix, "queue": queue, "deep": (deep, chance, top, doc, number)})
         out.append((alive, start, edge, total, top.copy()))
         # the best set left in each document's queue
-        best, owner = np.full(docs, -np.inf), np.full((docs, 2), -1, np.int64)
-        for p, h in enumerate(held):
-            s = h["start"]
-            has = np.flatnonzero(s[1:] > s[:-1])
-            if not len(has):
-                continue
-            most = np.maximum.reduceat(h["queue"], s[has])
-            better = most > best[has]
-            best[has[better]] = most[better]
-            owner[has[better], 0] = p
+        best, owner = _best(held, docs)
+        if any((best[h["deep"][3][h["deep"][0]]] < DEEP + MOST_NOISE).any() for h in held):
+            for h in held:
+                at, *facts = h["deep"]
+                if len(at):
+                    chance_of, top_of, doc_of, n = facts
+                    _draw(h["queue"], at, t, h["edge"], chance_of, h["prefix"], top_of, doc_of, keys, h["char"], n)
+                    h["deep"] = (at[:0], *facts)
+            best, owner = _best(held, docs)
         bound = best.copy()
         if number + 1 == k:
             break
@@ -323,12 +356,12 @@ def sample(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> li
         heads, head_chars, first_of, top = [], [], np.zeros(docs, np.int64), best.copy()
         tails_doc, tails_node, tails_char = [], [], []
         for d in alive.tolist():
-            h = held[owner[d, 0]]
+            h = held[owner[d]]
             lo, hi = h["start"][d], h["start"][d + 1]
             i = int(lo + np.argmax(h["queue"][lo:hi]))
             e0 = int(h["edge"][i])
             where = int(np.searchsorted(t.first[: t.nodes + 1], e0, "right") - 1)
-            gone = spent.setdefault((int(owner[d, 0]), i), [e0])
+            gone = spent.setdefault((int(owner[d]), i), [e0])
             left = [e for e in range(t.first[where], t.first[where + 1]) if e not in gone]
             c = t.chance[left]
             key, at = keys[d : d + 1], np.array([h["char"][i]])
@@ -416,8 +449,8 @@ def segment(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MO
             log_inclusion.append(np.where(bound[alive] == -np.inf, 0.0, np.log(np.maximum(-np.expm1(-gap), 1e-300))))
             tiny = (gap < 1e-12) & (bound[alive] > -np.inf)
             log_inclusion[-1][tiny] = (lp - bound[alive])[tiny]
-            plain = values.tolist()
-            decoded += [t.v.decode(plain[a:b]) == texts[d] for d, a, b in zip(alive.tolist(), where.tolist(), (where + sizes).tolist())]
+            bodies = t.v.spelled(values, at)
+            decoded += [bodies[d] == raw[d] for d in alive.tolist()]
         return {
             "doc_id": doc_id, "sample": np.concatenate(number), "n_pieces": np.concatenate(n), "piece_ids": pa.concat_arrays(lists),
             "log_prob": np.concatenate(log_prob), "perturbed": np.concatenate(perturbed), "log_inclusion": np.concatenate(log_inclusion), "decoded": decoded,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The characters that part words: \x20 and \x09 to \x0D.
@@ -41,7 +42,7 @@ def map_texts(df: DataFrame, schema: str, each: Callable[[list, list[bytes]], di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            sizes = [len(x) for x in texts.to_pylist()] if len(texts) else []
+            sizes = pc.binary_length(texts).to_pylist()
             start = 0
             while start < len(sizes):
                 end, total = start, 0
