@@ -57,10 +57,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words seen; emptied when it grows past a million."""
+    """64-bit hashes of words seen; emptied when it grows past a quarter of a million."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

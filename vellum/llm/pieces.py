@@ -39,11 +39,11 @@ from vellum.llm.hash_table import HashTable
 from vellum.llm.rows import map_texts, picked
 
 #: Segmentations of each text; seed; nodes after which a worker forgets the chunks it has laid out.
-SAMPLES, SEED, MOST_NODES = 2, 8, 2_500_000
+SAMPLES, SEED, MOST_NODES = 2, 8, 500_000
 #: Zipf: weight of rank r is 1 / (r + SHIFT); log probability of a byte piece.
 SHIFT, BYTE_LOG = 10.0, -14.0
 #: Bytes of texts worked on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 768 << 10
 #: Log probability of a prefix below which sets are drawn only if they could win, and the most that chance adds: a number
 #: of 53 bits has a Gumbel under 37.
 DEEP, MOST_NOISE = -80.0, 37.0
@@ -90,16 +90,20 @@ class Vocabulary:
         self.longest = max(map(len, spelled))
         own = {v: k for k, v in spelled.items()}
         self.text = [own[i].replace(MARK, " ").encode() if i in own else (bytes([self.byte_of[i]]) if self.byte_of[i] >= 0 else b"") for i in range(n)]
-        prefixes: dict[int, int] = {}
-        for piece, i in spelled.items():
-            codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            h = np.zeros(1, np.uint64)
-            for k, c in enumerate(codes):
-                h = _mix(h * _K1 + c + np.uint64(1))
-                prefixes.setdefault(int(h[0]), -1)
-            prefixes[int(h[0])] = i
-        self.prefixes = HashTable(np.array(list(prefixes), np.uint64))
-        self.piece = np.array(list(prefixes.values()), np.int32)
+        codes = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes, ids = np.array([len(x) for x in spelled], np.int64), np.array(list(spelled.values()), np.int32)
+        at = np.cumsum(sizes) - sizes
+        h, hashes, pieces = np.zeros(len(ids), np.uint64), [], []
+        for k in range(self.longest):
+            alive = sizes > k
+            at, sizes, ids = at[alive], sizes[alive], ids[alive]
+            h = _mix(h[alive] * _K1 + codes[at + k] + np.uint64(1))
+            hashes.append(h), pieces.append(np.where(sizes == k + 1, ids, -1))
+        # of a prefix's entries the piece that it is itself, -1 where it is none
+        keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.piece = np.full(len(keys), -1, np.int32)
+        np.maximum.at(self.piece, place, np.concatenate(pieces))
+        self.prefixes = HashTable(keys)
 
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.lengths = np.array([len(x) for x in self.text], np.int64)

@@ -52,5 +52,6 @@ def map_texts(df: DataFrame, schema: str, each: Callable[[list, list[bytes]], di
                 out = each(ids.slice(start, end - start).to_pylist(), texts.slice(start, end - start).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in want], schema=want)
                 start = end
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
