@@ -3,7 +3,9 @@
 Features of a url: length, host length, path depth, digit ratio, character
 entropy, hyphens, dots, query parameters, and the block rate of its last host
 label and of its host's first label among the training urls, smoothed to the
-overall rate. The trees are Spark's own, fitted on at most :data:`SAMPLE` labelled
+overall rate. Rates are kept where both labels occur; a kind of rate is left out
+whole where one of its values has more than :data:`PRIOR` urls, all of one label,
+as trees would tell such values apart by the overall rate in their place. The trees are Spark's own, fitted on at most :data:`SAMPLE` labelled
 urls, taken in the order of a hash; every url is judged.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits
@@ -13,14 +15,12 @@ rows each get their row; without labelled urls of both kinds the method allows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled urls fitted at most; trees; their depth; weight of the overall rate in a suffix's rate; suffixes with a rate of their own at most.
-SAMPLE, TREES, DEPTH, PRIOR, SUFFIXES = 20_000, 20, 4, 8.0, 1000
+#: Labelled urls fitted at most; trees; their depth; weight of the overall rate in a suffix's rate.
+SAMPLE, TREES, DEPTH, PRIOR = 20_000, 20, 4, 8.0
 #: The rules as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 FEATURES = ("f_length", "f_host", "f_depth", "f_digits", "f_entropy", "f_hyphens", "f_dots", "f_params", "f_query", "f_suffix", "f_prefix")
@@ -52,10 +52,9 @@ def rule_columns(rules: tuple = RULES) -> tuple[Column, Column]:
 def with_features(df: DataFrame) -> DataFrame:
     """Add the features that need no training, and the labels _suffix and _prefix of the host."""
     url, n = F.col("_url"), F.greatest(F.length("_url"), F.lit(1))
-    chars = F.split("_url", "")
-    counts = [F.length(F.regexp_replace(_lower(url), f"[^{c}]", "")) for c in ("a-e", "f-j", "k-o", "p-t", "u-z", "0-9", r"\-", r"\.", "/", "?&=#%")]
-    shares = [c / n for c in counts]
-    entropy = reduce(lambda a, b: a + b, [F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares])
+    share = lambda c: (F.length("_url") - F.length(F.replace(url, c))) / n
+    chars = F.filter(F.array_distinct(F.split("_url", "")), lambda c: c != "")
+    entropy = F.aggregate(chars, F.lit(0.0), lambda sum_, c: sum_ - share(c) * F.log2(share(c)))
     query = F.regexp_extract("_url", r"(?s)\?([^#]*)", 1)
     return df.withColumns({
         "f_length": F.length("_url").cast("double"),
@@ -73,7 +72,7 @@ def with_features(df: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    """Fitted trees and the block rates of suffixes and prefixes, at most :data:`SUFFIXES` of each."""
+    """Fitted trees and the block rates of suffixes and prefixes, at most one for each url fitted."""
 
     def __init__(self, trees: object, overall: float, rates: dict[str, dict[str, float]]) -> None:
         self.trees, self.overall, self.rates = trees, overall, rates
@@ -81,10 +80,11 @@ class UrlModel:
     def encode(self, df: DataFrame) -> DataFrame:
         df = with_features(df)
         for kind in ("suffix", "prefix"):
-            known = self.rates[kind]
-            pairs = [F.lit(x) for kv in sorted(known.items()) for x in kv]
-            rate = F.element_at(F.create_map(*pairs), F.col(f"_{kind}")) if pairs else F.lit(None).cast("double")
-            df = df.withColumn(f"f_{kind}", F.coalesce(rate, F.lit(self.overall)))
+            if not self.rates[kind]:
+                df = df.withColumn(f"f_{kind}", F.lit(self.overall))
+                continue
+            rates = df.sparkSession.createDataFrame(sorted(self.rates[kind].items()), f"_{kind} string, _rate double")
+            df = df.join(F.broadcast(rates), f"_{kind}", "left").withColumn(f"f_{kind}", F.coalesce("_rate", F.lit(self.overall))).drop("_rate")
         return df
 
     def verdicts(self, df: DataFrame) -> DataFrame:
@@ -108,8 +108,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     overall = sum(r.label for r in rows) / len(rows)
     rates: dict[str, dict[str, float]] = {}
     for kind in ("suffix", "prefix"):
-        sums = parts.groupBy(f"_{kind}").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), f"_{kind}").limit(SUFFIXES).collect()
-        rates[kind] = {r[0]: (r.bad + PRIOR * overall) / (r.n + PRIOR) for r in sums if r.n > 1}
+        sums = parts.groupBy(f"_{kind}").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).collect()
+        one_sided = any(r.n > PRIOR and r.bad in (0, r.n) for r in sums)
+        rates[kind] = {} if one_sided else {r[0]: (r.bad + PRIOR * overall) / (r.n + PRIOR) for r in sums if 0 < r.bad < r.n}
     model = UrlModel(None, overall, rates)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_predicted", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
