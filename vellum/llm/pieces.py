@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from vellum.llm.hash_table import HashTable
 from vellum.llm.rows import map_texts, picked
 
-#: Segmentations of each text; seed; nodes after which a worker forgets the chunks it has laid out.
+#: Segmentations of each text; seed; nodes after which a worker forgets the rarer chunks it has laid out.
 SAMPLES, SEED, MOST_NODES = 2, 8, 500_000
 #: Zipf: weight of rank r is 1 / (r + SHIFT); log probability of a byte piece.
 SHIFT, BYTE_LOG = 10.0, -14.0
@@ -50,7 +50,8 @@ DEEP, MOST_NOISE = -80.0, 37.0
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_K1 = np.uint64(0x9E3779B97F4A7C15)
+ALPHABET = 1 << 21  # more than there are code points
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,13 +61,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _uniform(keys: np.ndarray, at: np.ndarray, stream: int) -> np.ndarray:
-    """Numbers in (0, 1) hashed from row keys, character places and a stream."""
-    h = _mix(keys + _mix(at.astype(np.uint64) * _K1 + np.uint64(stream)) * _K2)
+    """Numbers in (0, 1) hashed from mixed row keys, character places and a stream under 4096."""
+    h = _mix(keys + (at.astype(np.uint64) * np.uint64(4096) + np.uint64(stream)) * _K1)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
 
 
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[k], start[k] + 1, ... count[k] of them, for one k after another."""
+    ends = np.cumsum(count)
+    return np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Vocabulary:
-    """Pieces of a SentencePiece file: their prefixes by hash, log weights, and spellings."""
+    """Pieces of a SentencePiece file: their prefixes as numbered states, log weights, and spellings."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -87,23 +94,26 @@ class Vocabulary:
         log -= np.log(np.exp(log).sum())
         self.log = np.full(n, BYTE_LOG)
         self.log[np.array(sorted(spelled.values()), np.int64)] = log
-        self.longest = max(map(len, spelled))
         own = {v: k for k, v in spelled.items()}
         self.text = [own[i].replace(MARK, " ").encode() if i in own else (bytes([self.byte_of[i]]) if self.byte_of[i] >= 0 else b"") for i in range(n)]
-        codes = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes, ids = np.array([len(x) for x in spelled], np.int64), np.array(list(spelled.values()), np.int32)
         at = np.cumsum(sizes) - sizes
-        h, hashes, pieces = np.zeros(len(ids), np.uint64), [], []
-        for k in range(self.longest):
+        # a state is a prefix of pieces; state and next character lead to the next one; -1 where it is no piece itself
+        state, keys, pieces, states = np.full(len(ids), -1, np.int64), [], [], 0
+        for k in range(int(sizes.max(initial=0))):
             alive = sizes > k
-            at, sizes, ids = at[alive], sizes[alive], ids[alive]
-            h = _mix(h[alive] * _K1 + codes[at + k] + np.uint64(1))
-            hashes.append(h), pieces.append(np.where(sizes == k + 1, ids, -1))
-        # of a prefix's entries the piece that it is itself, -1 where it is none
-        keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        self.piece = np.full(len(keys), -1, np.int32)
-        np.maximum.at(self.piece, place, np.concatenate(pieces))
-        self.prefixes = HashTable(keys)
+            at, sizes, ids, state = at[alive], sizes[alive], ids[alive], state[alive]
+            new, place = np.unique((state + 1) * ALPHABET + codes[at + k], return_inverse=True)
+            state = place + states
+            piece = np.full(len(new), -1, np.int32)
+            piece[place[sizes == k + 1]] = ids[sizes == k + 1]
+            keys.append(new), pieces.append(piece)
+            states += len(new)
+        self.piece = np.concatenate(pieces)
+        self.steps = HashTable(np.concatenate(keys).astype(np.uint64))
+        self.roots = np.full(int(codes.max(initial=0)) + 2, -1, np.int64)  # the last stands for all characters beyond
+        self.roots[keys[0]] = np.arange(len(keys[0]))
 
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.lengths = np.array([len(x) for x in self.text], np.int64)
@@ -113,8 +123,8 @@ class Vocabulary:
         """The bytes of many segmentations, ids[start[k]:start[k + 1]] each, without their first mark."""
         sizes = self.lengths[ids]
         ends = np.cumsum(sizes)
-        at = np.repeat(self.offsets[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        data, bound = self.bytes[at].tobytes(), np.concatenate([[0], ends])[start].tolist()
+        data = self.bytes[_spread(self.offsets[ids], sizes)].tobytes()
+        bound = np.concatenate([[0], ends])[start].tolist()
         return [data[a + (data[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(bound, bound[1:])]
 
     def decode(self, ids: list[int]) -> str:
@@ -123,26 +133,39 @@ class Vocabulary:
         return (out[1:] if out.startswith(b" ") else out).decode(errors="replace")
 
 
+class _Numbers(dict):
+    """Chunks numbered as they come; ``new`` holds those without a lattice yet."""
+
+    def __init__(self, chunks: list[str]) -> None:
+        super().__init__(zip(chunks, range(len(chunks))))
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = at = len(self)
+        self.new.append(chunk)
+        return at
+
+
 class Lattices:
-    """Chunks laid out as lattices: nodes in one row of arrays, the edges of a node side by side.
+    """Chunks laid out as lattices: nodes in one row of arrays, the edges of a node side by side, longest first.
 
     A node's edges have ``cut``, the probability of an edge and those before it,
     and ``chance``, its own. An unknown character's edge has the piece -1 - c for
-    its code point c.
+    its code point c. A chunk's lattice depends on the chunk alone, not on those
+    laid out with it. Past :data:`MOST_NODES` nodes the chunks met most often stay,
+    up to half of them.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
-        self.start: dict[str, int] = {}
+        self.numbers = _Numbers([])
+        self.starts, self.hits = np.empty(0, np.int64), np.empty(0, np.int64)  # of each numbered chunk
         self.nodes, self.edges = 0, 1  # edge 0 is of no node, so that each edge has one before it
-        room = 1 << 16
+        room = 1 << 14
         # a node's first edge; its chunk's last node + 1
-        self.first, self.end = np.zeros(room + 1, np.int64), np.empty(room, np.int64)
+        self.first, self.end = np.ones(room + 1, np.int64), np.empty(room, np.int64)
         self.piece, self.size = np.empty(4 * room, np.int32), np.empty(4 * room, np.int16)
-        self.cut, self.chance = np.empty(4 * room, np.float32), np.empty(4 * room)
+        self.cut, self.chance = np.empty(4 * room), np.empty(4 * room)
         self.cut[0] = 2.0
 
     def _room(self, nodes: int, edges: int) -> None:
@@ -154,85 +177,130 @@ class Lattices:
                     new[: len(old)] = old
                     setattr(self, name, new)
 
-    def add(self, chunks: list[str]) -> None:
-        """Lay out ``chunks``, none of which is there yet; they come without their first mark."""
-        sizes = np.array([len(c) for c in chunks], np.int64) + 1
-        code = np.frombuffer((MARK + MARK.join(chunks)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n, base = len(code), self.nodes
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        end = np.repeat(starts + sizes, sizes)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
-        froms, pieces, lengths = [], [], []
+    def _forget(self) -> None:
+        """Keep the chunks met most often, half of MOST_NODES nodes at most."""
+        many = self.end[self.starts] - self.starts
+        order = np.argsort(-self.hits, kind="stable")
+        order = order[np.cumsum(many[order]) <= MOST_NODES // 2]
+        order = np.sort(order[self.hits[order] > 1])
+        chunks = list(self.numbers)
+        self.numbers = _Numbers([chunks[k] for k in order.tolist()])
+        start, many = self.starts[order], many[order]
+        node = _spread(start, many)
+        count = self.first[node + 1] - self.first[node]
+        edge = _spread(self.first[node], count)
+        self.starts, self.hits = np.cumsum(many) - many, self.hits[order] // 2
+        self.nodes, self.edges = len(node), 1 + len(edge)
+        self.end = np.append(np.repeat(self.starts + many, many), 0)
+        self.first = np.concatenate([[1], 1 + np.cumsum(count)])
+        for name in ("piece", "size", "cut", "chance"):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old[:1], old[edge]]))
+
+    def _edges(self, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(edges of each node, piece, size, log weight), nodes in order."""
+        v, n = self.v, len(code)
+        state = v.roots[np.minimum(code, len(v.roots) - 1)]
+        at = np.flatnonzero(state >= 0)
+        state, length = state[at], 1
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         known = np.zeros(n, bool)
-        for length in range(1, self.v.longest + 1):
-            h = _mix(h * _K1 + code[at + length - 1] + np.uint64(1))
-            place = self.v.prefixes.get(h)
-            found = place >= 0
-            at, h, place = at[found], h[found], place[found]
-            piece = self.v.piece[place]
-            whole = piece >= 0
-            froms.append(at[whole]), pieces.append(piece[whole]), lengths.append(np.full(int(whole.sum()), length, np.int16))
+        while len(at):
+            piece = v.piece[state]
+            whole = np.flatnonzero(piece >= 0)
+            found.append((at[whole], piece[whole]))
             if length == 1:
                 known[at[whole]] = True
-            inside = at + length < end[at]
-            at, h = at[inside], h[inside]
-            if not len(at):
-                break
+            inside = np.flatnonzero(left[at] > length)
+            at = at[inside]
+            state = v.steps.get(((state[inside] + 1) * ALPHABET + code[at + length]).astype(np.uint64))
+            on = np.flatnonzero(state >= 0)
+            at, state = at[on], state[on].astype(np.int64)
+            length += 1
         lost = np.flatnonzero(~known)
-        froms.append(lost), pieces.append((-1 - code[lost].astype(np.int64)).astype(np.int32)), lengths.append(np.ones(len(lost), np.int16))
-        counts = np.zeros(n, np.int64)
-        for f in froms:
+        counts = (~known).astype(np.int64)
+        for f, _ in found:
             counts[f] += 1
-        first = np.concatenate([[0], np.cumsum(counts)])
-        total = int(first[-1])
-        piece, size, filled = np.empty(total, np.int32), np.empty(total, np.int16), np.zeros(n, np.int64)
-        for f, p, s in zip(froms, pieces, lengths):
-            where = first[f] + filled[f]
-            piece[where], size[where] = p, s
-            filled[f] += 1
-        log = np.where(piece >= 0, self.v.log[np.maximum(piece, 0)], 0.0)
+        first = np.cumsum(counts) - counts
+        total = int(counts.sum())
+        piece, size = np.empty(total, np.int32), np.ones(total, np.int16)
+        free = first.copy()
+        for k in range(len(found) - 1, -1, -1):
+            f, p = found[k]
+            where = free[f]
+            piece[where], size[where] = p, k + 1
+            free[f] += 1
+        where = free[lost]
+        piece[where] = -1
+        log = v.log[piece]
         if len(lost):
-            c = -1 - piece.astype(np.int64)
-            log = np.where(piece >= 0, log, BYTE_LOG * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
-        # backward sums, for all chunks at once, from their ends
-        back = np.zeros(n + 1)
+            c = code[lost]
+            piece[where] = (-1 - c).astype(np.int32)
+            log[where] = BYTE_LOG * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+        return counts, piece, size, log
+
+    def add(self, chunks: list[str]) -> None:
+        """Lay out ``chunks``, none of which is there yet; they come without their first mark."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        code = np.frombuffer((MARK + MARK.join(chunks)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n, base = len(code), self.nodes
+        ends = np.cumsum(sizes)
+        end = np.repeat(ends, sizes)
         left = end - np.arange(n)
-        order = np.argsort(left, kind="stable")
+        counts, piece, size, log = self._edges(code, left)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        total = int(first[-1])
+        # backward sums, for all chunks at once, from their ends; in that order edges stand side by side too
+        order = np.argsort(left.astype(np.uint16) if int(left.max(initial=0)) < 1 << 16 else left, kind="stable")
+        m = counts[order]
+        edge = _spread(first[order], m)
         bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        lead = np.concatenate([[0], np.cumsum(m)])
+        target = np.repeat(order, m)
+        target += size[edge]
+        target[size[edge] == np.repeat(left[order], m)] = n  # the end of the chunk
+        value, back, share = log[edge], np.zeros(n + 1), np.empty(total)
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            if a == b:
+                continue
+            here = slice(int(lead[a]), int(lead[b]))
+            starts, many = lead[a:b] - lead[a], m[a:b]
+            v = value[here] + back[target[here]]
+            top = np.maximum.reduceat(v, starts)
+            v -= np.repeat(top, many)
+            np.exp(v, out=v)
+            sums = np.add.reduceat(v, starts)
+            back[order[a:b]] = top + np.log(sums)
+            v /= np.repeat(sums, many)
+            share[here] = v
         chance = np.empty(total)
-        for k in range(len(bounds) - 1):
-            nodes = order[bounds[k] : bounds[k + 1]]
-            m = counts[nodes]
-            lead = np.concatenate([[0], np.cumsum(m)])[:-1]
-            e = np.repeat(first[nodes] - lead, m) + np.arange(int(m.sum()))
-            target = np.repeat(nodes, m) + size[e]
-            value = log[e] + np.where(size[e] == k + 1, 0.0, back[np.minimum(target, n)])
-            top = np.maximum.reduceat(value, lead)
-            each = np.exp(value - np.repeat(top, m))
-            sums = np.add.reduceat(each, lead)
-            back[nodes] = top + np.log(sums)
-            chance[e] = each / np.repeat(sums, m)
-        run = np.cumsum(chance)
-        before = np.concatenate([[0.0], run])[first[:-1]]
-        cut = run - np.repeat(before, counts)
+        chance[edge] = share
+        cut, at, stop = chance.copy(), first[:-1] + 1, first[1:]
+        while len(at):
+            more = np.flatnonzero(at < stop)
+            at, stop = at[more], stop[more]
+            cut[at] += cut[at - 1]
+            at += 1
         cut[first[1:] - 1] = 2.0  # a number under 1 always finds an edge
         self._room(n, total)
-        now, more = slice(self.edges, self.edges + total), slice(base, base + n)
+        now = slice(self.edges, self.edges + total)
         self.piece[now], self.size[now], self.cut[now], self.chance[now] = piece, size, cut, chance
         self.first[base : base + n + 1] = first + self.edges
-        self.end[more] = end + base
+        self.end[base : base + n] = end + base
         self.nodes, self.edges = base + n, self.edges + total
-        self.start.update(zip(chunks, (starts + base).tolist()))
+        self.starts = np.concatenate([self.starts, ends - sizes + base])
+        self.hits = np.concatenate([self.hits, np.zeros(len(chunks), np.int64)])
 
     def nodes_of(self, chunks: list[str]) -> np.ndarray:
         """The first node of each chunk, laying out those that are new."""
         if self.nodes > MOST_NODES:
-            self.forget()
-        found = list(map(self.start.get, chunks))
-        if None in found:
-            self.add(list({c for c, at in zip(chunks, found) if at is None}))
-            found = list(map(self.start.__getitem__, chunks))
-        return np.array(found, np.int64)
+            self._forget()
+        found = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
+        if self.numbers.new:
+            self.add(self.numbers.new)
+            self.numbers.new = []
+        self.hits += np.bincount(found, minlength=len(self.hits))
+        return self.starts[found]
 
 
 def chunks_of(text: str) -> list[str]:
@@ -258,13 +326,13 @@ class Walks:
     def __init__(self, lattices: Lattices, doc: np.ndarray, node: np.ndarray, char: np.ndarray, keys: np.ndarray, stream: int) -> None:
         """``doc``, ``node``, ``char``: of each chunk, its document, the node to start at and that node's character."""
         t, cur, live = lattices, node.copy(), np.arange(len(node))
+        key, ahead, end = keys[doc], char - node, t.end[node]
         steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = np.zeros(len(node), np.int64)
-        end = t.end[node] if len(node) else np.empty(0, np.int64)
         while len(live):
             here = cur[live]
-            place = char[live] + (here - node[live])
-            u = _uniform(keys[doc[live]], place, 2 * stream)
+            place = here + ahead[live]
+            u = _uniform(key[live], place, 2 * stream)
             e = t.first[here]
             more = np.flatnonzero(u >= t.cut[e])
             while len(more):
@@ -272,38 +340,86 @@ class Walks:
                 more = more[u[more] >= t.cut[e[more]]]
             steps.append((live, e, place))
             count[live] += 1
-            cur[live] = here + t.size[e]
-            live = live[cur[live] < end[live]]
-        at = np.concatenate([[0], np.cumsum(count)])
-        self.edge, self.char = np.empty(int(at[-1]), np.int64), np.empty(int(at[-1]), np.int64)
+            here += t.size[e]
+            cur[live] = here
+            live = live[here < end[live]]
+        at = np.cumsum(count) - count
+        total = int(count.sum())
+        self.edge, self.char = np.empty(total, np.int64), np.empty(total, np.int64)
         for k, (live, e, place) in enumerate(steps):
-            self.edge[at[live] + k], self.char[at[live] + k] = e, place
+            where = at[live] + k
+            self.edge[where], self.char[where] = e, place
         self.doc = np.repeat(doc, count)
 
 
-def _segment_sums(values: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sum within the document before each value, start of each document and the end)."""
-    start = np.searchsorted(doc, np.arange(docs + 1))
-    run = np.concatenate([[0.0], np.cumsum(values)])
-    return run[:-1] - run[start[:-1]][doc], start
-
-
-def _draw(queue: np.ndarray, at: np.ndarray, t: Lattices, edge: np.ndarray, chance: np.ndarray, prefix: np.ndarray, top: np.ndarray, doc: np.ndarray, keys: np.ndarray, place: np.ndarray, number: int) -> None:
-    """Numbers of the sets beside the edges ``at``: Gumbel by their weight, cut off at their document's ``top``."""
-    at = at[(t.cut[edge[at]] <= 1) | (t.cut[edge[at] - 1] <= 1)]  # not the only edge of its node
-    rest = np.log(np.maximum(1 - chance[at], 1e-18)) + prefix[at]
-    draw = -np.log(_uniform(keys[doc[at]], place[at], 2 * (number + 2) + 1))
-    queue[at] = rest - np.log(np.exp(np.minimum(rest - top[doc[at]], 700)) + draw)
-
-
-def _best(held: list[dict], docs: int) -> tuple[np.ndarray, np.ndarray]:
+class _Held:
+    """A sample drawn for many documents, with the numbers of the sets beside its edges."""
+
+    def __init__(self, t: Lattices, keys: np.ndarray, edge: np.ndarray, char: np.ndarray, doc: np.ndarray, first_of: np.ndarray, top: np.ndarray, number: int) -> None:
+        """``first_of``: of each document the character from which this sample's sets are its own."""
+        self.t, self.keys, self.edge, self.char, self.doc, self.top, self.number = t, keys, edge, char, doc, top, number
+        docs = len(keys)
+        self.start = np.searchsorted(doc, np.arange(docs + 1))
+        self.chance = t.chance[edge]
+        logs = np.log(self.chance)
+        self.prefix, self.total = np.zeros(len(edge)), np.zeros(docs)
+        bounds = self.start.tolist()
+        for d, (a, b) in enumerate(zip(bounds, bounds[1:])):  # a document at a time, so that its sums don't depend on the others
+            if b > a:
+                np.cumsum(logs[a : b - 1], out=self.prefix[a + 1 : b])
+                self.total[d] = self.prefix[b - 1] + logs[b - 1]
+        self.queue = np.full(len(edge), -np.inf)
+        self.gone = np.empty(0, np.int64)  # places and edges that were split off them
+        own = char >= first_of[doc]
+        # what a sample shares with the one it left is in that one's queue; deeper sets wait until they could win
+        self.deep = np.flatnonzero(own & (self.prefix < DEEP))
+        self._draw(np.flatnonzero(own & (self.prefix >= DEEP)))
+
+    def _draw(self, at: np.ndarray) -> None:
+        """Numbers of the sets beside the edges ``at``: Gumbel by their weight, cut off at their document's ``top``."""
+        e, t = self.edge[at], self.t
+        at = at[(t.cut[e] <= 1) | (t.cut[e - 1] <= 1)]  # not the only edge of its node
+        rest = np.log(np.maximum(1 - self.chance[at], 1e-18)) + self.prefix[at]
+        noise = -np.log(_uniform(self.keys[self.doc[at]], self.char[at], 2 * (self.number + 2) + 1))
+        self.queue[at] = rest - np.log(np.exp(np.minimum(rest - self.top[self.doc[at]], 700)) + noise)
+
+    def draw_deep(self) -> None:
+        at, self.deep = self.deep, self.deep[:0]
+        self._draw(at)
+
+    def split(self, best: np.ndarray, mine: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Takes sample ``number`` from the best set of each document in ``mine``: (document, place, node, new edge). The rest of the set goes back."""
+        t = self.t
+        at = np.flatnonzero(mine[self.doc] & (self.queue == best[self.doc]))
+        at = at[np.concatenate([[True], self.doc[at[1:]] != self.doc[at[:-1]]])]  # ties: the first
+        d = self.doc[at]
+        node = np.searchsorted(t.first[: t.nodes + 1], self.edge[at], "right") - 1
+        first, many = t.first[node], t.first[node + 1] - t.first[node]
+        column = np.arange(int(many.max()))
+        edges = np.where(column < many[:, None], first[:, None] + column, 0)
+        left = (edges > 0) & (edges != self.edge[at][:, None]) & ~np.isin(at[:, None] * t.edges + edges, self.gone)
+        chance = np.where(left, t.chance[edges], 0.0)
+        run = np.cumsum(chance, axis=1)
+        u = _uniform(self.keys[d], self.char[at], 1000 + 4 * number) * run[:, -1]
+        last = len(column) - 1 - left[:, ::-1].argmax(axis=1)
+        pick = np.minimum((left & (run > u[:, None])).argmax(axis=1) + np.where(run[:, -1] > u, 0, len(column)), last)
+        rows = np.arange(len(at))
+        edge = edges[rows, pick]
+        chance[rows, pick] = 0.0
+        self.gone = np.append(self.gone, at * t.edges + edge)
+        rest = self.prefix[at] + np.log(np.maximum(chance.sum(axis=1), 1e-300))
+        noise = -np.log(_uniform(self.keys[d], self.char[at], 1002 + 4 * number))
+        self.queue[at] = np.where(left.sum(axis=1) > 1, rest - np.log(np.exp(np.minimum(rest - best[d], 700)) + noise), -np.inf)
+        return d, at, node, edge
+
+
+def _best(held: list[_Held], docs: int) -> tuple[np.ndarray, np.ndarray]:
     """The largest number in the queues of each document, and the sample whose queue has it."""
     best, owner = np.full(docs, -np.inf), np.full(docs, -1, np.int64)
     for p, h in enumerate(held):
-        s = h["start"]
-        has = np.flatnonzero(s[1:] > s[:-1])
+        has = np.flatnonzero(h.start[1:] > h.start[:-1])
         if len(has):
-            most = np.maximum.reduceat(h["queue"], s[has])
+            most = np.maximum.reduceat(h.queue, h.start[has])
             better = most > best[has]
             best[has[better]] = most[better]
             owner[has[better]] = p
@@ -317,87 +433,61 @@ def sample(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> li
     """
     t, docs = lattices, len(texts)
     chunks = [chunks_of(x) for x in texts]
+    many = np.fromiter(map(len, chunks), np.int64, docs)
     node = t.nodes_of([c for d in chunks for c in d])
-    of = np.repeat(np.arange(docs), [len(c) for c in chunks])
     sizes = t.end[node] - node
-    before, bounds = _segment_sums(sizes.astype(float), of, docs)
-    char = before.astype(np.int64)
+    chunk_ends = np.cumsum(many)
+    of = np.repeat(np.arange(docs), many)
+    start = np.cumsum(sizes) - sizes  # the first character of each chunk, counted over all texts
+    base = np.append(start, 0)[chunk_ends - many]
+    char = start - base[of]
     top = -np.log(-np.log(_uniform(keys, np.zeros(docs, np.int64), 1)))
     out: list[tuple] = []
-    paths: list[dict] = []  # of each sample: doc -> place in its arrays
-    alive, first_of = np.arange(docs), np.zeros(docs, np.int64)
+    alive, first_of, held = np.arange(docs), np.zeros(docs, np.int64), []
     walk = Walks(t, of, node, char, keys, 2)
     edge, place, doc = walk.edge, walk.char, walk.doc
-    held: list[dict] = []
     bound = np.full(docs, -np.inf)
-    spent: dict[tuple[int, int], list[int]] = {}
     for number in range(k):
-        chance = t.chance[edge]
-        logs = np.log(chance)
-        prefix, start = _segment_sums(logs, doc, docs)
-        queue = np.full(len(edge), -np.inf)
-        # what a sample shares with the one it left is in that one's queue; deeper sets wait until they could win
-        _draw(queue, np.flatnonzero((prefix >= DEEP) & (place >= first_of[doc])), t, edge, chance, prefix, top, doc, keys, place, number)
-        total = np.add.reduceat(np.concatenate([logs, [0.0]]), np.minimum(start[:-1], len(logs))) if docs else np.empty(0)
-        total = np.where(start[1:] > start[:-1], total, 0.0)
-        deep = np.flatnonzero((prefix < DEEP) & (place >= first_of[doc]))
-        held.append({"edge": edge, "char": place, "start": start, "prefix": prefix, "queue": queue, "deep": (deep, chance, top, doc, number)})
-        out.append((alive, start, edge, total, top.copy()))
-        # the best set left in each document's queue
-        best, owner = _best(held, docs)
-        if any((best[h["deep"][3][h["deep"][0]]] < DEEP + MOST_NOISE).any() for h in held):
+        now = _Held(t, keys, edge, place, doc, first_of, top, number)
+        held.append(now)
+        out.append((alive, now.start, edge, now.total, top))
+        bound, owner = _best(held, docs)
+        if any((bound[h.doc[h.deep]] < DEEP + MOST_NOISE).any() for h in held):
             for h in held:
-                at, *facts = h["deep"]
-                if len(at):
-                    chance_of, top_of, doc_of, n = facts
-                    _draw(h["queue"], at, t, h["edge"], chance_of, h["prefix"], top_of, doc_of, keys, h["char"], n)
-                    h["deep"] = (at[:0], *facts)
-            best, owner = _best(held, docs)
-        bound = best.copy()
-        if number + 1 == k:
-            break
-        alive = np.flatnonzero(best > -np.inf)
-        heads, head_chars, first_of, top = [], [], np.zeros(docs, np.int64), best.copy()
-        tails_doc, tails_node, tails_char = [], [], []
-        for d in alive.tolist():
-            h = held[owner[d]]
-            lo, hi = h["start"][d], h["start"][d + 1]
-            i = int(lo + np.argmax(h["queue"][lo:hi]))
-            e0 = int(h["edge"][i])
-            where = int(np.searchsorted(t.first[: t.nodes + 1], e0, "right") - 1)
-            gone = spent.setdefault((int(owner[d]), i), [e0])
-            left = [e for e in range(t.first[where], t.first[where + 1]) if e not in gone]
-            c = t.chance[left]
-            key, at = keys[d : d + 1], np.array([h["char"][i]])
-            u = float(_uniform(key, at, 1000 + 4 * number)[0]) * c.sum()
-            e = int(left[min(int(np.searchsorted(np.cumsum(c), u, "right")), len(left) - 1)])
-            gone.append(e)
-            if len(left) > 1:
-                after = max(float(c[[x != e for x in left]].sum()), 1e-300)
-                r = h["prefix"][i] + np.log(after)
-                h["queue"][i] = r - np.log(np.exp(min(r - best[d], 700)) - np.log(_uniform(key, at, 1002 + 4 * number)[0]))
-            else:
-                h["queue"][i] = -np.inf
-            heads.append(np.append(h["edge"][lo:i], e))
-            head_chars.append(h["char"][lo : i + 1])
-            c_at = int(h["char"][i])
-            first_of[d] = c_at + 1
-            a, b = np.searchsorted(of, [d, d + 1])
-            chunk = int(a + np.searchsorted(char[a:b], c_at, "right") - 1)
-            inside = c_at + int(t.size[e])
-            rest_of = slice(chunk + 1, b)
-            if inside < char[chunk] + sizes[chunk]:
-                tails_doc.append(np.array([d])), tails_node.append(np.array([where + int(t.size[e])])), tails_char.append(np.array([inside]))
-            tails_doc.append(of[rest_of]), tails_node.append(node[rest_of]), tails_char.append(char[rest_of])
-        if not len(alive):
+                h.draw_deep()
+            bound, owner = _best(held, docs)
+        alive = np.flatnonzero(owner >= 0)
+        if number + 1 == k or not len(alive):
             break
-        walk = Walks(t, np.concatenate(tails_doc), np.concatenate(tails_node), np.concatenate(tails_char), keys, number + 3)
-        lens = np.array([len(x) for x in heads])
-        head_doc = np.repeat(alive, lens)
-        every_doc = np.concatenate([head_doc, walk.doc])
-        order = np.argsort(every_doc, kind="stable")  # heads come before tails of the same document
-        doc = every_doc[order]
-        edge, place = np.concatenate([*heads, walk.edge])[order], np.concatenate([*head_chars, walk.char])[order]
+        # from each document's best set: the edges before its place, the new edge, and a walk from there
+        top, first_of = bound.copy(), np.zeros(docs, np.int64)
+        heads, lengths = [], np.zeros(docs, np.int64)
+        at_node, at_char = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+        for p in np.unique(owner[alive]).tolist():
+            h = held[p]
+            d, at, where, new = h.split(bound, owner == p, number)
+            lengths[d] = at - h.start[d] + 1
+            first_of[d] = h.char[at] + 1
+            at_node[d], at_char[d] = where + t.size[new], h.char[at] + t.size[new]
+            whole = _spread(h.start[d], lengths[d])
+            before, chars = h.edge[whole], h.char[whole]
+            before[np.cumsum(lengths[d]) - 1] = new
+            heads.append((d, before, chars))
+        chunk = np.searchsorted(start, base[alive] + first_of[alive] - 1, "right") - 1
+        inside = at_char[alive] < char[chunk] + sizes[chunk]
+        rest = chunk_ends[alive] - chunk - ~inside  # chunks left, the one begun included
+        which = _spread(chunk + ~inside, rest)
+        tail_node, tail_char = node[which], char[which]
+        begun = (np.cumsum(rest) - rest)[inside]
+        tail_node[begun], tail_char[begun] = at_node[alive[inside]], at_char[alive[inside]]
+        walk = Walks(t, of[which], tail_node, tail_char, keys, number + 3)
+        tails = np.bincount(walk.doc, minlength=docs)
+        first = np.cumsum(lengths + tails) - lengths - tails
+        total = int(lengths.sum() + tails.sum())
+        edge, place, doc = np.empty(total, np.int64), np.empty(total, np.int64), np.repeat(np.arange(docs), lengths + tails)
+        for d, before, chars in [*heads, (np.arange(docs), walk.edge, walk.char)]:
+            to = _spread(first[d], lengths[d]) if before is not walk.edge else _spread(first + lengths, tails)
+            edge[to], place[to] = before, chars
     return [*out, bound]
 
 
@@ -417,13 +507,14 @@ def _ids(t: Lattices, edges: np.ndarray, start: np.ndarray) -> tuple[np.ndarray,
     """(piece ids, starts), the characters that no piece holds spelled in byte pieces."""
     piece = t.piece[edges]
     if len(piece) and piece.min() < 0:
-        spelled = [[int(p)] if p >= 0 else t.v.byte_id[list(chr(-1 - int(p)).encode("utf-8", "surrogatepass"))].tolist() for p in piece[piece < 0]]
+        lost, which = np.unique(piece[piece < 0], return_inverse=True)
+        spelled = [t.v.byte_id[list(chr(-1 - p).encode("utf-8", "surrogatepass"))] for p in lost.tolist()]
+        sizes = np.array([len(x) for x in spelled])
         many = np.ones(len(piece), np.int64)
-        many[piece < 0] = [len(x) for x in spelled]
-        run = np.concatenate([[0], np.cumsum(many)])
+        many[piece < 0] = sizes[which]
         out = np.repeat(piece, many)
-        out[np.repeat(piece < 0, many)] = [i for x in spelled for i in x]
-        return out, run[start]
+        out[np.repeat(piece < 0, many)] = np.concatenate(spelled)[_spread((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        return out, np.concatenate([[0], np.cumsum(many)])[start]
     return piece, start
 
 
