@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.rows import map_texts, picked
+from vellum.llm.rows import at_task_end, map_texts, picked, small_batches
 from vellum.operators.graph import connected_components
 from vellum.sources.scratch import Scratch
 
@@ -67,6 +67,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+at_task_end(_hashes.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,6 +111,11 @@ def signature(least: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def digest_of(shingles: np.ndarray) -> bytes | None:
+    """What stands for a set; None for the empty one."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 PROFILES = "doc_id bigint, n_shingles bigint, digest binary, halves array<bigint>, signature binary"
 
 
@@ -121,13 +127,13 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
         for text in texts:
             s = shingle_set(text, words)
             sizes.append(len(s))
+            digests.append(digest_of(s))
             if len(s):
                 least = minhashes(s)
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 halves.append(half_keys(least))
                 signatures.append(signature(least).tobytes())
             else:
-                digests.append(None), halves.append(None), signatures.append(None)
+                halves.append(None), signatures.append(None)
         return {"doc_id": ids, "n_shingles": sizes, "digest": digests, "halves": halves, "signature": signatures}
 
     return map_texts(docs, PROFILES, each)
@@ -158,7 +164,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
         return pd.Series((x == y).mean(axis=1) >= LEAST_EQUAL)
 
-    near = scratch.write(near.where(alike("s_u", "s_v")).select("u", "v"), "near")
+    near = scratch.write(near.where(alike("s_u", "s_v")).select("u", "v").distinct(), "near")
     wanted = scratch.write(near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct(), "wanted")
     texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
 
@@ -170,14 +176,16 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            u, v = batch.column(0), batch.column(1)
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):  # a pair at a time, without copies of the batch
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 n = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * n >= percent * (len(x) + len(y) - n):
-                    u.append(a), v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                good.append(100 * n >= percent * (len(x) + len(y) - n))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
 
+    small_batches(docs.sparkSession)
     links = scratch.write(both.select("u", "v", "of_u", "of_v").mapInArrow(confirm, "u bigint, v bigint"), "links")
     for used in (sets, wanted, near):
         scratch.release(used)
@@ -194,7 +202,7 @@ def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links and possible links of one block of a bucket of half key ``at``: those that ask against the others."""
     asks = frame["asks"].to_numpy()
     left, right = frame[asks], frame[~asks]
-    out: list[tuple[int, int, bool]] = []
+    us, vs, sures = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
     if len(left) and len(right):
         at = int(frame["at"].iloc[0])
         sizes = {s: f["n_shingles"].to_numpy() for s, f in (("x", left), ("y", right))}
@@ -214,7 +222,7 @@ def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                 c = parent[c]
             return c
 
-        cx, cy, nx, ny = left["component"].tolist(), right["component"].to_numpy(), left["node"].tolist(), right["node"].to_numpy()
+        cx, cy, nx, ny = left["component"].tolist(), right["component"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
         for k in range(len(x)):
             n, m = sizes["x"][k], sizes["y"]
             near = np.flatnonzero((cy != cx[k]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
@@ -230,13 +238,16 @@ def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             marked[codes_x[k]] = 0
             complete = (n <= SKETCH) & (m[near] <= SKETCH)
             linked = complete & (100 * common >= percent * (n + m[near] - common))
-            for j, sure in [(j, True) for j in near[linked]] + [(j, False) for j in near[~complete]]:
+            kept = []
+            for j in near[linked].tolist():
                 a, b = find(cx[k]), find(int(cy[j]))
-                if a != b and (sure or _alike_share(of_x[k], of_y[j]) >= LEAST_SKETCHED):
-                    out.append((nx[k], int(ny[j]), sure))
-                    if sure:
-                        parent[max(a, b)] = min(a, b)
-    return pd.DataFrame(out, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
+                if a != b:
+                    kept.append(j)
+                    parent[max(a, b)] = min(a, b)
+            mine = find(cx[k])
+            unsure = [j for j in near[~complete].tolist() if find(int(cy[j])) != mine and _alike_share(of_x[k], of_y[j]) >= LEAST_SKETCHED]
+            us.append(np.full(len(kept) + len(unsure), nx[k])), vs.append(ny[kept + unsure]), sures.append(np.arange(len(kept) + len(unsure)) < len(kept))
+    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "sure": np.concatenate(sures)})
 
 
 def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -249,7 +260,7 @@ def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFra
     their least hashes, and what passes for them is confirmed on full sets.
     """
     held = classes.join(nodes, "node", "left_semi").join(labels, "node", "left")
-    placed = held.select("node", F.coalesce("component", "node").alias("component"), F.posexplode(F.slice("halves", 1, SIDE)).alias("at", "half"))
+    placed = held.select("node", "digest", F.coalesce("component", "node").alias("component"), F.posexplode(F.slice("halves", 1, SIDE)).alias("at", "half"))
     placed = scratch.write(placed, "placed")
     parts = placed.groupBy("at", "half", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("at", "half").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
@@ -260,11 +271,12 @@ def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFra
     wanted = scratch.write(open_rows.select("node").distinct(), "open-nodes")
 
     def each(ids: list, texts: list[bytes]) -> dict[str, object]:
-        return {"node": ids, "sketch": [shingle_set(t, words)[:SKETCH].tobytes() for t in texts]}
+        sets = [shingle_set(t, words) for t in texts]
+        return {"node": ids, "digest": [digest_of(s) for s in sets], "sketch": [s[:SKETCH].tobytes() for s in sets]}
 
-    sketches = map_texts(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), "node bigint, sketch binary", each)
-    facts = scratch.write(sketches.join(classes.select("node", "n_shingles", "signature"), "node"), "facts")
-    full = open_rows.join(facts, "node")
+    sketches = map_texts(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), "node bigint, digest binary, sketch binary", each)
+    facts = scratch.write(sketches.join(classes.select("node", "digest", "n_shingles", "signature"), ["node", "digest"]), "facts")
+    full = open_rows.join(facts, ["node", "digest"])
     spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     common = ("at", "half", "node", "component", "n_shingles", "signature", "sketch")
     asked = full.where("component <> main").select(*common, F.lit(True).alias("asks"), spot(F.col("b_out")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("b_all") - 1)).alias("q"))
@@ -283,9 +295,9 @@ def near_groups(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent:
     pairs = scratch.write(whole.groupBy("digest", "doc_id", "n_shingles").agg(F.count("*").alias("n")), "pairs", keep=True)
     named = pairs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     nodes = scratch.write(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    # rows that repeat a class's least id and set give the same profile
-    reps = whole.join(nodes, (whole.digest == nodes.digest) & (whole.doc_id == nodes.node), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "halves", "signature")
-    classes = scratch.write(reps.dropDuplicates(["node", "n_shingles"]), "classes")
+    # rows that repeat a class's least id and set give the same profile; an id with several sets is the node of several classes
+    reps = whole.join(nodes, (whole.digest == nodes.digest) & (whole.doc_id == nodes.node), "left_semi").select(F.col("doc_id").alias("node"), "digest", "n_shingles", "halves", "signature")
+    classes = scratch.write(reps.dropDuplicates(["node", "digest"]), "classes")
     scratch.release(whole)
 
     keys = _table_keys(classes, scratch)
@@ -315,8 +327,22 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, one row of each component: those whose id is the component's least."""
+    """``docs`` with all its columns, those rows that :func:`near_dedup` keeps; of rows that repeat an id and a set that with the least JSON form stays."""
     with Scratch(docs.sparkSession, "near-dedup") as scratch:
         groups = near_groups(docs, scratch, words, percent, id_col, text_col)
         gone = scratch.write(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone", keep=True)
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+        repeated = scratch.write(groups.where("n > 1 AND n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "repeated", keep=True)
+        any_repeated = repeated.limit(1).count() > 0
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_of"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    kept = marked.join(gone, F.col("_of") == F.col("_gone"), "left_anti")
+    if not any_repeated:
+        return kept.select("row.*")
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([digest_of(shingle_set(t.encode(), words)) for t in texts], dtype="object")
+
+    again = kept.join(repeated, F.col("_of") == F.col("_id"), "left_semi").select("row", "_of", digest("_text").alias("_digest"))
+    first = again.where("_digest IS NOT NULL").groupBy("_of", "_digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    rest = kept.join(repeated, F.col("_of") == F.col("_id"), "left_anti").select("row")
+    return rest.union(first).union(again.where("_digest IS NULL").select("row")).select("row.*")  # rows without words all stay

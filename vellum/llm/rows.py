@@ -7,14 +7,16 @@ harm.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The characters that part words: \x20 and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAPS = r"[\x20\x09-\x0D]+"
 
 
@@ -23,11 +25,44 @@ def picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased and no other letter: the quick built-in serves texts of ASCII alone."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of its id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Bytes of a batch that goes to a Python worker, in place of Spark's 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES for Python workers, unless the session has a size of its own: a worker holds a batch several times over."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if setting not in spark.conf.getAll:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
+def at_task_end(clear: Callable[[], None]) -> None:
+    """Have ``clear`` called when the running task ends, and memory given back: idle workers stay, and other tasks need the room."""
+    _cleared.add(clear)
+
+
+_cleared: set[Callable[[], None]] = set()
+
+
+def end_task() -> None:
+    """What the maps of this module call when they have seen all their rows."""
+    for clear in _cleared:
+        clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def map_texts(df: DataFrame, schema: str, each: Callable[[list, list[bytes]], dict[str, object]], slice_bytes: int = 4 << 20) -> DataFrame:
     """Arrow map over (doc_id, text): ``each`` gets ids and UTF-8 texts of a slice and returns its columns.
 
@@ -52,6 +87,7 @@ def map_texts(df: DataFrame, schema: str, each: Callable[[list, list[bytes]], di
                 out = each(ids.slice(start, end - start).to_pylist(), texts.slice(start, end - start).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in want], schema=want)
                 start = end
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        end_task()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
