@@ -32,76 +32,76 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order."""
-    return F.filter(F.split(text, GAPS), lambda w: w != "")
+    return F.array_remove(F.split(text, GAPS), "")
 
 
-def _windows(hashes: Column) -> Column:
-    """A hash of each run of WINDOW word hashes."""
-    n = F.size(hashes) - WINDOW
-    return F.when(n < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))))
+def _joined(hashes: Column, apart: int) -> Column:
+    """A hash of each element and the one ``apart`` places before it, in order; elements without one before are passed over."""
+    n = F.size(hashes) - apart
+    both = F.zip_with(F.slice(hashes, apart + 1, F.greatest(n, F.lit(0))), F.slice(hashes, 1, F.greatest(n, F.lit(0))), lambda now, before: F.xxhash64(now, before))
+    return F.when(n > 0, both).otherwise(F.array().cast("array<bigint>"))
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
-    """Add n_repeat_words: words in windows whose hash occurs twice or more.
+    """Add n_repeat_words: words in windows of WINDOW = 8 whose hash occurs twice or more.
 
-    Sorted by hash, such windows stand next to their equals; their sorted starts
-    each cover the words up to the next start. Each step is a column of its own,
-    as a lambda evaluates what it names anew for each element. Texts without a
-    repeated window sort nothing.
+    Pairs of neighbouring words make runs of four, and these make windows. A window
+    that occurs twice has a run of four that does, so most texts stop there. Sorted
+    by hash, equal windows stand side by side; their sorted starts each cover the
+    words up to the next start. Each step is a column of its own, as a lambda
+    evaluates what it names anew for each element.
     """
-    repeated = F.size("windows") > F.size(F.array_distinct("windows"))
-    placed = F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))
-    df = df.withColumn("_sorted", F.when(repeated, F.array_sort(placed)).otherwise(F.slice(placed, 1, 0)))
+    df = df.withColumn("_fours", _joined(F.col("pairs"), 2))
+    repeated = F.size("_fours") > F.size(F.array_distinct("_fours"))
+    df = df.withColumn("_windows", F.when(repeated, _joined(F.col("_fours"), 4)).otherwise(F.array().cast("array<bigint>")))
+    repeated = F.size("_windows") > F.size(F.array_distinct("_windows"))
+    placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    df = df.withColumn("_sorted", F.when(repeated, F.array_sort(placed)))
     same = lambda i, j: F.coalesce(F.get("_sorted", i)["h"] == F.get("_sorted", j)["h"], F.lit(False))
     df = df.withColumn("_starts", F.array_sort(F.transform(F.filter("_sorted", lambda x, i: same(i, i - 1) | same(i, i + 1)), lambda x: x["at"])))
     gaps = F.transform("_starts", lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", i + 1) - at, F.lit(WINDOW))))
-    return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)).drop("_sorted", "_starts")
+    total = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
+    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0))).drop("_fours", "_windows", "_sorted", "_starts")
 
 
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, grams (hashed n-grams) and the base figures of each text."""
-    df = picked(docs, id_col, text_col)
-    df = df.withColumn("words", words_of(F.col("text")))
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("windows", _windows(F.col("hashes")))
+    """doc_id, text, words and the base figures of each text that need no windows."""
+    df = picked(docs, id_col, text_col).withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn("_lines", F.when(F.contains("text", F.lit("\n")), lines).otherwise(F.array().cast("array<string>")))
     return df.select(
-        "doc_id", "text", "hashes", "windows",
+        "doc_id", "text", "words",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", GAPS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
 
 
 def with_rules(df: DataFrame) -> DataFrame:
-    """Add n_repeat_words and base_failed to :func:`figures`."""
-    df = _with_repeats(df)
+    """Add hashes, pairs, n_repeat_words and base_failed to :func:`figures`."""
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    df = _with_repeats(df.withColumn("pairs", _joined(F.col("hashes"), 1)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
 
-def grams_of(hashes: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the words and of the pairs of neighbouring words."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.transform(hashes, lambda h, i: F.when(i > 0, F.pmod(F.xxhash64(h, F.get(hashes, i - 1)), F.lit(buckets)).cast("int")))
-    return F.concat(one, F.slice(two, 2, F.greatest(F.size(hashes) - 1, F.lit(0))))
-
-
 def is_trusted() -> Column:
     """Whether a text's figures make it target text: long enough, varied, without repeated lines, symbols or shouting."""
     n = F.col("n_words")
-    varied = 2 * F.size(F.array_distinct("hashes")) >= n
-    calm = (50 * F.col("n_symbols") <= n) & (20 * F.regexp_count("text", F.lit("!")) <= n)
+    varied = 2 * F.size(F.array_distinct("words")) >= n
+    calm = (50 * F.col("n_symbols") <= n) & (20 * (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))) <= n)
     return (n >= 50) & varied & (F.col("n_dup_lines") == 0) & calm
 
 
 def train(docs: DataFrame, scratch: Scratch, trusted: Column | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[int]:
     """1000 * log(trusted / raw) of each bucket. Counts cover every text; ``trusted`` may use the columns of :func:`figures`."""
-    df = figures(docs, id_col, text_col)
-    flagged = df.select(grams_of(F.col("hashes"), buckets).alias("grams"), (is_trusted() if trusted is None else trusted).cast("int").alias("good"))
-    # the outer form: the inner one's inferred filter would work out the n-grams once more
-    each = flagged.select(F.explode_outer("grams").alias("bucket"), "good").where("bucket IS NOT NULL")
+    df = figures(docs, id_col, text_col).select("words", (is_trusted() if trusted is None else trusted).cast("int").alias("good"))
+    # a word and the one after it, so that hashes and buckets are worked out in compiled code
+    neighbours = F.arrays_zip(F.col("words").alias("now"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("after"))
+    each = df.select(F.explode(neighbours).alias("w"), "good").select("w.now", "w.after", "good")
+    now, pair = F.xxhash64("now"), F.when(F.col("after").isNotNull(), F.xxhash64(F.xxhash64("after"), F.xxhash64("now")))
+    each = each.select(F.explode(F.array(F.pmod(now, F.lit(buckets)), F.pmod(pair, F.lit(buckets)))).alias("bucket"), "good").where("bucket IS NOT NULL")
     counts = scratch.write(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")), "counts")
     rows = counts.collect()  # at most ``buckets`` rows
     raw, target = [ADD] * buckets, [ADD] * buckets
@@ -119,10 +119,11 @@ def scored(docs: DataFrame, model: list[int], id_col: str = "doc_id", text_col:
 
 
 def _verdict(df: DataFrame, model: list[int], threshold: float, buckets: int) -> DataFrame:
-    ratios = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folded into one literal
-    df = df.withColumn("grams", grams_of(F.col("hashes"), buckets))
-    total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(ratios, b))
-    df = df.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams") / 1000).otherwise(0.0))
+    ratios = F.split(F.lit(",".join(map(str, model))), ",").cast("array<bigint>")  # folded into one literal
+    ratio = lambda h: F.get(ratios, F.pmod(h, F.lit(buckets)).cast("int"))
+    total = sum((F.aggregate(c, F.lit(0).cast("long"), lambda a, h: a + ratio(h)) for c in ("hashes", "pairs")), F.lit(0).cast("long"))
+    grams = F.size("hashes") + F.size("pairs")
+    df = df.withColumn("score", F.when(grams > 0, total / grams / 1000).otherwise(0.0))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
