@@ -44,22 +44,50 @@ def test_cuckoo_filter_has_what_it_was_given_and_loses_what_it_is_told_to():
     wrong = sum(r.randbytes(32) in held.filter for _ in range(5000))
     assert wrong < 25
     for key in keys[::2]:
-        held.remove(key, 1)
+        held.put(key, None, 0)
     assert all(held.find(k) is None for k in keys[::2]) and all(held.find(k) for k in keys[1::2])
 
 
 def test_index_inserts_looks_up_and_deletes(spark):
     with Scratch(spark, "test") as scratch:
         first = E.digests(spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string"))
-        index = E.CuckooIndex(None, 4, scratch).insert(first)
+        index = E.CuckooIndex(None, None, 4, scratch).insert(first)
         more = index.insert(E.digests(spark.createDataFrame([(9, "a"), (4, "c")], "doc_id long, text string")))
         live = {(r.keep_id, r.group_size) for r in more.live().collect()}
         assert live == {(9, 3), (3, 1), (4, 1)}
-        gone = more.delete(E.digests(spark.createDataFrame([(3, "B")], "doc_id long, text string")))
+        gone = more.delete(E.digests(spark.createDataFrame([(8, "B")], "doc_id long, text string")))
         asked = E.digests(spark.createDataFrame([(0, "b"), (0, "c"), (0, "zzz")], "doc_id long, text string"))
+        assert sorted((r.keep_id, r.group_size) for r in gone.lookup(asked).collect()) == [(3, 1), (4, 1)]  # there was no row 8 of b
+        gone = gone.delete(E.digests(spark.createDataFrame([(3, "B"), (7, "B")], "doc_id long, text string")))
         assert [(r.keep_id, r.group_size) for r in gone.lookup(asked).collect()] == [(4, 1)]
 
 
+def test_deletion_chooses_the_row_that_stays_anew(spark):
+    docs = lambda *rows: E.digests(spark.createDataFrame(list(rows), "doc_id long, text string"))
+    with Scratch(spark, "test") as scratch:
+        index = E.CuckooIndex(None, None, 4, scratch).insert(docs((1, "a"), (2, "A"), (9, "a"), (9, "a"), (None, "b"), (3, "b")))
+        now = lambda i: sorted((r.keep_id is not None, r.keep_id, r.group_size) for r in i.live().collect())
+        assert now(index) == [(True, 3, 2), (True, 9, 4)]
+        index = index.delete(docs((9, "A"), (3, "b")))
+        assert now(index) == [(False, None, 1), (True, 9, 3)]
+        index = index.delete(docs((9, "A"), (None, "b"), (5, "zzz")))
+        assert now(index) == [(True, 2, 2)]
+        assert now(index.insert(docs((7, "a"), (8, "b")))) == [(True, 7, 3), (True, 8, 1)]
+
+
+def test_index_decides_what_is_new(spark, monkeypatch):
+    """Partial counts of a text reach its bucket one after another; without the index's verdict each would be a text of its own."""
+    docs = spark.createDataFrame([(i, "same text") for i in range(200)], "doc_id long, text string")
+    got = E.exact_dedup(docs).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(199, 200)}
+    hits = []
+    held, find = E.Bucket(), E.Bucket.find
+    monkeypatch.setattr(E.Bucket, "find", lambda self, key: hits.append(find(self, key)) or hits[-1])
+    for i in range(5):
+        held.add(b"k" * 32, i, 2)
+    assert [h is not None for h in hits] == [False, True, True, True, True] and held.keys[b"k" * 32] == [4, 10]
+
+
 def near_rows() -> list[tuple]:
     """Chains and clouds of edited copies round the threshold, beside the edge cases."""
     r = random.Random(11)
@@ -97,10 +125,23 @@ def test_near_stage_keeps_columns_and_one_of_each_group(spark):
     got = N.drop_near_copies(docs)
     assert got.columns == docs.columns
     want = brute.near(rows, 5)
-    assert {r.doc_id for r in got.collect()} == {i for i, c in want.items() if i == c} | {None}
+    held = [r.doc_id for r in got.collect()]
+    assert set(held) == {i for i, c in want.items() if i == c} | {None}
+    assert collections.Counter(held) == collections.Counter(r.doc_id for r in N.near_dedup(docs).where("kept").collect())  # stage and query keep the same rows
     assert N.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_ids_with_several_sets_lose_no_link(spark):
+    """An id repeated with two texts of equal set size stands for both of them, and each of them brings in its near copies."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    text = lambda words, k=None: " ".join(w if i != k else "edited" for i, w in enumerate(words))
+    rows = [(1, text(a), "g"), (1, text(b), "g"), (1, text(a), "g"), (2, text(a, 59), "g"), (3, text(b, 59), "g"), (4, "other words " * 9, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    got = {r.doc_id: r.component_id for r in N.near_dedup(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert sorted((r.doc_id, r.text[:2]) for r in N.drop_near_copies(docs).collect()) == [(1, "a0"), (1, "b0"), (4, "ot")]
+
+
 def test_links_at_the_very_threshold_count(spark):
     """Sets of 9 and 9 with 8 in common: 80 of 100."""
     a = " ".join(f"t{i}" for i in range(12))  # nine shingles of four

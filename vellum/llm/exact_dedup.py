@@ -1,34 +1,37 @@
 """Exact dedup on a cuckoo-filter index of live digests.
 
-Every text becomes the SHA-256 of its A-Z lower-cased UTF-8. The index deals the
-digests into buckets; a bucket is one row with a cuckoo filter and the stored
-keys (digest, id that stays, number of rows). A digest that the filter lacks is
-new; one that the filter has is looked up among the bucket's stored keys, so the
-filter's false positives change no result. When an insertion finds no free slot,
-the table doubles and is filled again from the stored keys. Digests whose last
-row is deleted leave filter and keys.
-
-Equal texts are counted before they are dealt, so a text that a third of all
-rows share is one key of its bucket.
+Every text becomes the SHA-256 of its A-Z lower-cased UTF-8, by built-in
+functions. The index deals digests into buckets; a bucket is one row with a cuckoo
+filter and the stored keys: the whole digest that stands for the content, the id
+that stays and the number of rows. Partial counts reach a bucket one after another, and the bucket
+decides: a digest that the filter lacks is new; one that the filter has is
+verified against the bucket's stored keys, so the filter's false positives change
+no result, and joins the entry that it hits. When an insertion finds no free slot,
+the table doubles and is filled again from the stored keys. A side table has the
+ids of each digest with their counts: a deletion takes rows out of it and chooses
+the id that stays anew; digests whose last row goes leave filter and keys.
+
+A digest's rows are counted by :data:`PARTS` hashes of the id before they are
+dealt, so a text that a third of all rows share sends its bucket PARTS rows at
+most.
 
 Defined results: a null text counts as empty, and all empty texts are equal; a
-null id is smaller than any other; of rows that repeat an id and a text one stays.
+null id is smaller than any other; of rows that repeat an id and a text one stays,
+in the pipeline's stage that with the least JSON form; deleting rows that are not
+there changes nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.rows import picked
+from vellum.llm.rows import lowered, picked
 from vellum.sources.scratch import Scratch
 
-#: Stored keys that a bucket is laid out for, slots of a cell, moves before the table doubles.
-KEYS_PER_BUCKET, CELL, MOVES = 20_000, 4, 200
+#: Stored keys that a bucket is laid out for, slots of a cell, moves before the table doubles, partial counts of a digest.
+KEYS_PER_BUCKET, CELL, MOVES, PARTS = 20_000, 4, 200, 16
 
 
 class CuckooFilter:
@@ -94,6 +97,7 @@ class Bucket:
         return self.keys.get(key) if key in self.filter else None
 
     def add(self, key: bytes, doc_id: int | None, rows: int) -> None:
+        """A partial count: new if the filter or the stored keys lack it, else joined to the entry it hits."""
         held = self.find(key)
         if held is None:
             self.keys[key] = [doc_id, rows]
@@ -103,11 +107,12 @@ class Bucket:
             held[0] = max((x for x in (held[0], doc_id) if x is not None), default=None)
             held[1] += rows
 
-    def remove(self, key: bytes, rows: int) -> None:
+    def put(self, key: bytes, doc_id: int | None, rows: int) -> None:
+        """What is left of a digest after a deletion; without rows it leaves keys and filter."""
         held = self.find(key)
         if held is not None:
-            held[1] -= rows
-            if held[1] <= 0:
+            held[:] = doc_id, rows
+            if rows <= 0:
                 del self.keys[key]
                 self.filter.delete(key)
 
@@ -120,14 +125,15 @@ class Bucket:
                 return
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): lower-case hex SHA-256 of each text's normal form."""
+def digest_of(text_col: str) -> Column:
+    """Lower-case hex SHA-256 of a text's normal form, never null."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.coalesce(F.sha2(lowered(text).cast("binary"), 256), F.lit(""))  # a column that may be null would be worked out again to filter nulls
 
-    @F.pandas_udf("string")
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(x.encode().lower()).hexdigest() for x in texts], dtype="object")
 
-    return picked(docs, id_col, text_col).select("doc_id", digest("text").alias("digest"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest) of each row."""
+    return picked(docs, id_col, text_col).select("doc_id", digest_of("text").alias("digest"))
 
 
 INDEX = "bucket int, cells int, filter binary, keys array<struct<digest:string,keep_id:bigint,rows:bigint>>"
@@ -151,23 +157,24 @@ def _row(bucket: int, held: Bucket) -> pd.DataFrame:
 
 
 class CuckooIndex:
-    """A table of buckets, each written whole by the task that changed it.
+    """A table of buckets, each written whole by the task that changed it, and the table of the ids that they hold.
 
-    ``frame`` has a row for each bucket. :meth:`insert` and :meth:`delete` return
-    a new index; the old one stays valid until its files go.
+    ``frame`` has a row for each bucket, ``ids`` (digest, doc_id, n) a row for each
+    id of a digest. :meth:`insert` and :meth:`delete` return a new index; the old one
+    stays valid until its files go.
     """
 
-    def __init__(self, frame: DataFrame | None, buckets: int, scratch: Scratch) -> None:
-        self.frame, self.buckets, self.scratch = frame, buckets, scratch
+    def __init__(self, frame: DataFrame | None, ids: DataFrame | None, buckets: int, scratch: Scratch) -> None:
+        self.frame, self.ids, self.buckets, self.scratch = frame, ids, buckets, scratch
 
-    def _changed(self, changes: DataFrame) -> CuckooIndex:
-        """``changes``: (digest, doc_id, rows), a row for each digest; rows under 0 delete."""
+    def _changed(self, changes: DataFrame, ids: DataFrame, change: str) -> CuckooIndex:
+        """``changes``: (digest, doc_id, rows), given to ``change`` of their buckets one after another."""
         dealt = changes.select(_bucket(self.buckets), "digest", "doc_id", "rows")
 
         def apply(held: Bucket, frame: pd.DataFrame) -> Bucket:
+            each = getattr(held, change)
             for digest, doc_id, rows in zip(frame["digest"], frame["doc_id"].astype(object), frame["rows"]):
-                key = bytes.fromhex(digest)
-                held.remove(key, -rows) if rows < 0 else held.add(key, None if pd.isna(doc_id) else int(doc_id), int(rows))
+                each(bytes.fromhex(digest), None if pd.isna(doc_id) else int(doc_id), int(rows))
             return held
 
         def fresh(frame: pd.DataFrame) -> pd.DataFrame:
@@ -180,19 +187,30 @@ class CuckooIndex:
             made = dealt.groupBy("bucket").applyInPandas(fresh, INDEX)
         else:
             made = self.frame.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(merge, INDEX)
-        return CuckooIndex(self.scratch.write(made, "index"), self.buckets, self.scratch)
+        return CuckooIndex(self.scratch.write(made, "index"), ids, self.buckets, self.scratch)
 
     def insert(self, rows: DataFrame) -> CuckooIndex:
         """Add (digest, doc_id) rows."""
-        return self._changed(rows.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("rows")))
+        return self.insert_counted(counted(rows, self.scratch))
 
-    def insert_counted(self, rows: DataFrame) -> CuckooIndex:
-        """Add (digest, doc_id, rows), a row for each digest."""
-        return self._changed(rows)
+    def insert_counted(self, new: DataFrame) -> CuckooIndex:
+        """Add (digest, doc_id, n), a row for each id of a digest."""
+        ids = new if self.ids is None else self.scratch.write(self.ids.union(new).groupBy("digest", "doc_id").agg(F.sum("n").alias("n")), "ids", keep=True)
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+        partial = new.groupBy("digest", part.alias("part")).agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("rows"))
+        return self._changed(partial, ids, "add")
 
     def delete(self, rows: DataFrame) -> CuckooIndex:
-        """Take out (digest, doc_id) rows; the id that stays is not chosen anew while rows of the digest live."""
-        return self._changed(rows.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), (-F.count("*")).alias("rows")))
+        """Take out (digest, doc_id) rows; of a digest that lives on the id that stays is chosen anew."""
+        gone = self.scratch.write(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("m")), "gone")
+        mine = gone.select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_doc_id"), "m")
+        joined = self.ids.join(mine, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+        left = joined.select("digest", "doc_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).where("n > 0")
+        ids = self.scratch.write(left, "ids", keep=True)
+        touched = gone.select("digest").distinct()
+        rest = ids.join(touched, "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("rows"))
+        changes = touched.join(rest, "digest", "left").select("digest", "doc_id", F.coalesce("rows", F.lit(0)).alias("rows"))
+        return self._changed(changes, ids, "put")
 
     def live(self) -> DataFrame:
         """(digest, keep_id, group_size) of the live digests."""
@@ -211,20 +229,23 @@ class CuckooIndex:
         return self.frame.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(probe, out)
 
 
-def build_index(counted: DataFrame, scratch: Scratch, keys_per_bucket: int = KEYS_PER_BUCKET) -> CuckooIndex:
-    """An index of (digest, doc_id, rows), a row for each digest, with as many buckets as the keys need."""
-    n = max(1, -(-counted.count() // keys_per_bucket))
-    spark = counted.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return CuckooIndex(None, max(n, 2 * shuffles), scratch).insert_counted(counted)
+def counted(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(digest, doc_id, n), a row for each distinct id and digest, written."""
+    return scratch.write(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "ids", keep=True)
+
+
+def build_index(ids: DataFrame, scratch: Scratch, keys_per_bucket: int = KEYS_PER_BUCKET) -> CuckooIndex:
+    """An index of (digest, doc_id, n) rows, with as many buckets as they need."""
+    n = max(1, -(-ids.count() // keys_per_bucket))
+    shuffles = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return CuckooIndex(None, None, max(n, 2 * shuffles), scratch).insert_counted(ids)
 
 
 def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, n, keep_id, group_size): a row for each distinct id and text, n rows of which there are."""
-    pairs = scratch.write(digests(docs, id_col, text_col).groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "pairs", keep=True)
-    counted = scratch.write(pairs.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("rows")), "counted")
-    found = scratch.write(build_index(counted, scratch).lookup(counted), "found", keep=True)
-    return pairs.join(found, "digest")
+    index = build_index(counted(digests(docs, id_col, text_col), scratch), scratch)
+    live = scratch.write(index.live(), "live", keep=True)
+    return index.ids.join(live, "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,16 +264,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         groups = exact_groups(docs, scratch, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         stay = scratch.write(groups.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n").alias("_n")), "stay", keep=True)
         repeats = stay.where("_n > 1").limit(1).count() > 0
-    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_of"), _digest_of(docs, text_col).alias("_text"))
-    kept = marked.join(stay, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")), "left_semi")
-    if repeats:
-        kept = kept.groupBy("_of", "_text").agg(F.first("row").alias("row"))
-    return kept.select("row.*")
-
-
-def _digest_of(docs: DataFrame, text_col: str) -> F.Column:
-    @F.pandas_udf("string")
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256((x or "").encode().lower()).hexdigest() for x in texts], dtype="object")
-
-    return digest(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_of"), digest_of(text_col).alias("_text"))
+    kept = marked.join(stay, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")))
+    once = kept.where("_n = 1").select("row") if repeats else kept.select("row")
+    if repeats:  # only the rows that repeat an id and a text are shuffled whole
+        once = once.union(kept.where("_n > 1").groupBy("_of", "_text").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return once.select("row.*")
