@@ -11,16 +11,20 @@ from vellum.llm.rows import held_out, picked
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
     """Texts and 0/1 labels of at most ``per_class`` rows of each label, taken in the order of a hash of the id.
 
-    Held-out rows, null labels and ids with both labels are passed over, and so
-    are texts above ``most_bytes``: they are scored, but not fitted on. The
-    driver holds at most 2 * per_class * most_bytes.
+    Held-out rows, null labels and ids with both labels are passed over. Of a text
+    above ``most_bytes`` one block stands in the sample, of a quarter as many
+    characters, at a place that a hash of the id draws; its row is scored whole.
+    The driver holds at most 2 * per_class * most_bytes.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = parts[0].union(parts[1])  # 2 * per_class ids
-    texts = picked(docs, id_col, text_col).where(F.octet_length("text") <= most_bytes)
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    texts = picked(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    size = most_bytes // 4  # characters have four bytes at most
+    start = F.pmod(F.xxhash64("doc_id"), F.floor(F.length("text") / size) + 1) * size + 1
+    block = F.when(F.octet_length("text") <= most_bytes, F.col("text")).otherwise(F.col("text").substr(F.least(start, F.length("text") - size + 1).cast("int"), F.lit(size)))
+    rows = texts.select("doc_id", "label", block.alias("text")).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.label, r.doc_id))
     return [r.text.encode() for r in rows], np.array([r.label for r in rows], int)
 

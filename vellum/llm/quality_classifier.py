@@ -7,7 +7,8 @@ feature, and a logistic fit on the labelled sample turns it into a probability.
 Blocks cover the whole text.
 
 Fitted on at most :data:`PER_CLASS` rows of each label, none held out; every row
-is scored.
+is scored. The logistic fit sees each sample text's difference under dictionaries
+built from the other half of the sample.
 
 Defined results: a null or empty text has difference 0; without rows of both
 labels every score is the share of label 1 (0.5 without rows); repeated rows each
@@ -61,9 +62,8 @@ class CompressionModel:
         return probability(np.array([[self.difference(t)] for t in texts]).reshape(-1, 1), self.weights)
 
 
-def fit(texts: list[bytes], y: np.ndarray) -> CompressionModel:
-    if len(set(y.tolist())) < 2:
-        return CompressionModel(b"", b"", np.zeros(2), float(y.mean()) if len(y) else 0.5)
+def dictionaries(texts: list[bytes], y: np.ndarray) -> list[bytes]:
+    """That of the texts with label 1, and that of the others."""
     data = []
     for kind in (1, 0):
         samples = [b for t, k in zip(texts, y) if k == kind for b in blocks(t)]
@@ -71,10 +71,20 @@ def fit(texts: list[bytes], y: np.ndarray) -> CompressionModel:
             data.append(zstandard.train_dictionary(DICTIONARY, samples).as_bytes())
         except zstandard.ZstdError:  # too few samples to train on: the samples themselves are the dictionary
             data.append(b"".join(samples)[-DICTIONARY:] or b"\0" * 8)
-    model = CompressionModel(data[0], data[1], np.zeros(2), float(y.mean()))
-    x = np.array([[model.difference(t)] for t in texts])
-    model.weights = logistic(x, y)
-    return model
+    return data
+
+
+def fit(texts: list[bytes], y: np.ndarray) -> CompressionModel:
+    base = float(y.mean()) if len(y) else 0.5
+    if len(set(y.tolist())) < 2:
+        return CompressionModel(b"", b"", np.zeros(2), base)
+    x, half = np.zeros((len(texts), 1)), np.arange(len(texts)) % 2
+    for k in (0, 1):
+        rest, own = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        data = dictionaries([texts[i] for i in rest], y[rest])
+        other = CompressionModel(*data, np.zeros(2), base)
+        x[own, 0] = [other.difference(texts[i]) for i in own]
+    return CompressionModel(*dictionaries(texts, y), logistic(x, y), base)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
