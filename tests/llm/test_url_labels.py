@@ -24,3 +24,27 @@ def test_entropy_is_over_characters(spark):
     for u in urls:
         want = -sum(c / len(u) * math.log2(c / len(u)) for c in collections.Counter(u).values())
         assert math.isclose(got[u], want, abs_tol=1e-9)
+
+
+def test_method_judges_what_no_rule_fits(spark):
+    """Held out: hosts that were never fitted on. A suffix by itself blocks nothing."""
+    words = ("casino-win", "cheap-pills", "spam-farm", "adult-x", "poker-now", "free-bets")
+    bad = [f"http://{w}{k}.{s}/en/{k * 7}" for k in range(40) for w in words for s in ("org", "net")]
+    good = [f"https://{a}.{b}{k}.{s}/de/{k * 13}{t}" for k in range(80) for a in ("blog", "www", "m") for b in ("garden", "letter") for s, t in (("org", ""), ("net", ".html"), ("com", "?page=2"))]
+    urls = [(u, y) for y, group in ((1, bad), (0, good)) for u in group]
+    rows = [(k, u) for k, (u, _) in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    parts = U.with_parts(pages)
+    seen = parts.where(F.pmod(F.xxhash64("host"), F.lit(2)) == 0)
+    model = U.fit(U.lexical_labels(seen))
+    asked = parts.where(F.pmod(F.xxhash64("host"), F.lit(2)) == 1).select("page_id", "url")
+    got = [(r.verdict == "block", urls[r.page_id][1]) for r in U.judge(asked, model).where("rule IS NULL").collect()]
+    assert len(got) > 300
+    for y in (0, 1):
+        assert sum(v == bool(y) for v, k in got if k == y) >= 0.9 * sum(k == y for _, k in got)
+
+
+def test_labels_are_words_between_marks(spark):
+    urls = ["http://a.casino-win.com/x", "http://casinos.com/", "http://x.org/casino", "http://POKER.net", "nothing", None]
+    got = {r.url: r.label for r in U.lexical_labels(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    assert got == {urls[0]: 1.0, urls[1]: 0.0, urls[2]: 0.0, urls[3]: 1.0}

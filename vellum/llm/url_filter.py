@@ -3,10 +3,16 @@
 Features of a url: length, host length, path depth, digit ratio, character
 entropy, hyphens, dots, query parameters, and the block rate of its last host
 label and of its host's first label among the training urls, smoothed to the
-overall rate. Rates are kept where both labels occur; a kind of rate is left out
-whole where one of its values has more than :data:`PRIOR` urls, all of one label,
-as trees would tell such values apart by the overall rate in their place. The trees are Spark's own, fitted on at most :data:`SAMPLE` labelled
-urls, taken in the order of a hash; every url is judged.
+overall rate. A training url's rates come from the urls of the other folds. Rates
+are kept where both labels occur; a kind of rate is left out whole where one of
+its values has more than :data:`PRIOR` urls, all of one label, as trees would tell
+such values apart by the overall rate in their place. The trees are Spark's own,
+fitted on at most :data:`SAMPLE` labelled urls, taken in the order of a hash, both
+labels with the same weight in all; every url is judged.
+
+Where no labels are given, they come from :func:`lexical_labels`: a host with a
+word of :data:`LEXICON` is one to block. The rules' own verdicts are no labels, as
+they follow hosts and languages and not what a url looks like.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits
 no rule and is judged by the method on the features of the empty string; repeated
@@ -19,8 +25,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled urls fitted at most; trees; their depth; weight of the overall rate in a suffix's rate.
-SAMPLE, TREES, DEPTH, PRIOR = 20_000, 20, 4, 8.0
+#: Labelled urls fitted at most; trees; their depth; weight of the overall rate in a suffix's rate; folds of the rates.
+SAMPLE, TREES, DEPTH, PRIOR, FOLDS = 20_000, 20, 4, 8.0, 5
+#: Words between the marks of a host that label it as one to block: gambling, adult, medicine, loans, spam, tracking.
+LEXICON = ("ads", "adult", "bet", "bets", "betting", "casino", "gambling", "loans", "lottery", "payday", "pharma", "pills", "poker", "porn", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
 #: The rules as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 FEATURES = ("f_length", "f_host", "f_depth", "f_digits", "f_entropy", "f_hyphens", "f_dots", "f_params", "f_query", "f_suffix", "f_prefix")
@@ -103,26 +111,34 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(sample).collect()  # at most ``sample`` short strings
     if len({r.label for r in rows}) < 2:
         return UrlModel(None, 0.0, {"suffix": {}, "prefix": {}})
-    local = spark.createDataFrame([(r.url, r.label) for r in rows], "url string, label double").coalesce(1)
-    parts = with_features(with_parts(local))
+    local = spark.createDataFrame([(k % FOLDS, r.url, r.label) for k, r in enumerate(rows)], "fold int, url string, label double").coalesce(1)
     overall = sum(r.label for r in rows) / len(rows)
+    parts = with_features(with_parts(local)).withColumn("weight", F.when(F.col("label") > 0.5, 0.5 / overall).otherwise(0.5 / (1 - overall)))
     rates: dict[str, dict[str, float]] = {}
     for kind in ("suffix", "prefix"):
-        sums = parts.groupBy(f"_{kind}").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).collect()
+        value = f"_{kind}"
+        sums = parts.groupBy(value).agg(F.count("*").alias("n"), F.sum("label").alias("bad")).collect()
         one_sided = any(r.n > PRIOR and r.bad in (0, r.n) for r in sums)
         rates[kind] = {} if one_sided else {r[0]: (r.bad + PRIOR * overall) / (r.n + PRIOR) for r in sums if 0 < r.bad < r.n}
+        if not rates[kind]:
+            parts = parts.withColumn(f"f_{kind}", F.lit(overall))
+            continue
+        own = parts.groupBy(value, "fold").agg(F.count("*").alias("_n"), F.sum("label").alias("_bad"))
+        whole = spark.createDataFrame([(r[0], r.n, r.bad) for r in sums if r[0] in rates[kind]], f"{value} string, _all long, _all_bad double")
+        others = own.join(F.broadcast(whole), value).select(value, "fold", ((F.col("_all_bad") - F.col("_bad") + PRIOR * overall) / (F.col("_all") - F.col("_n") + PRIOR)).alias("_rate"))
+        parts = parts.join(F.broadcast(others), [value, "fold"], "left").withColumn(f"f_{kind}", F.coalesce("_rate", F.lit(overall))).drop("_rate")
     model = UrlModel(None, overall, rates)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_predicted", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
-    model.trees = gbt.fit(vectors.transform(model.encode(with_parts(local))).select("_features", "label"))
+    gbt = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", predictionCol="_predicted", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
+    model.trees = gbt.fit(vectors.transform(parts).select("_features", "label", "weight"))
     return model
 
 
-def rule_labels(pages: DataFrame, url_col: str = "url", rules: tuple = RULES) -> DataFrame:
-    """(url, label): the urls that the rules decide, each once."""
-    _, verdict = rule_columns(rules)
-    parts = with_parts(pages.select(F.col(url_col).alias("url")))
-    return parts.select("url", F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0).alias("label")).where("label IS NOT NULL").distinct()
+def lexical_labels(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """(url, label), each url once: 1 where a word of the host, between its marks, is in LEXICON; urls without a host have none."""
+    parts = with_parts(pages.select(F.col(url_col).alias("url"))).where("host <> ''")
+    listed = F.arrays_overlap(F.split("host", "[^a-z]+"), F.array(*map(F.lit, LEXICON)))
+    return parts.select("url", listed.cast("double").alias("label")).distinct()
 
 
 def judge(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:
@@ -134,5 +150,5 @@ def judge(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: s
 
 
 def url_filter(pages: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Judge every url; without ``labelled`` (url, label) the urls that rules decide are the labelled ones."""
-    return judge(pages, fit(rule_labels(pages, url_col) if labelled is None else labelled), id_col, url_col)
+    """Judge every url; without ``labelled`` (url, label) labels come from the lexicon."""
+    return judge(pages, fit(lexical_labels(pages, url_col) if labelled is None else labelled), id_col, url_col)
