@@ -63,6 +63,40 @@ def test_quality_stage_keeps_columns(spark):
     assert Q.quality_rules(docs.limit(0)).count() == 0 and Q.keep_quality(docs.limit(0)).count() == 0
 
 
+def test_stored_map_is_edited(spark):
+    """A second run takes the first one's map, keeps it as its former version and moves few slots."""
+    docs = [(i, "x" * (10 + i % 50)) for i in range(3000)]
+    _, stored = S.shard(spark.createDataFrame(docs, "doc_id long, text string"))
+    more = docs + [(i, "y" * 40) for i in range(3000, 3300)]
+    rows, table = S.shard(spark.createDataFrame(more, "doc_id long, text string"), stored=stored)
+    number, before = S.last_version(stored)
+    again, after = S.last_version(table)
+    assert (number, again) == (2, 3)
+    moved = sum(before[s] != after[s] for s in before)
+    assert 0 < moved < 60
+    assert {(r.virtual_slot, r.shard) for r in rows.collect()} <= set(after.items())
+    sizes = [r["sum(size)"] for r in rows.groupBy("shard").sum("size").collect()]
+    assert max(sizes) - min(sizes) <= 60
+    with pytest.raises(ValueError, match="slots"):
+        S.shard(spark.createDataFrame(more, "doc_id long, text string"), slots=64, stored=stored)
+
+
+def test_equal_rows_are_numbered_without_gaps(spark):
+    rows, _ = S.shard(spark.createDataFrame([(7, "same")] * 500 + [(None, None)] * 300 + [(8, "a"), (9, "b")], "doc_id long, text string"))
+    by = collections.defaultdict(list)
+    for r in rows.collect():
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 802
+
+
+@pytest.mark.parametrize("unit", [1e-7, 1.0, 1e33])
+def test_weights_are_in_any_unit(spark, unit):
+    docs = spark.createDataFrame([(i, "some text", f"s{i % 2}") for i in range(400)], "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("s0", 3 * unit), ("s1", unit)], "source string, weight double")
+    rates = {r.source: r.rate for r in M.source_rates(docs, weights).collect()}
+    assert rates == {"s0": pytest.approx(1.5), "s1": pytest.approx(0.5)}
+
+
 def inverse(u: float, mean: float) -> int:
     mass = below = math.exp(-mean)
     k = 0

@@ -12,7 +12,8 @@ with a hash of its own, so that exp(-rate) never underflows.
 
 Defined results: a null source is a source of its own; a null or empty text
 weighs 1 byte, as each document weighs its bytes plus 1; rows that repeat an id
-get the same count; a source with target weight 0 or without one gets rate 0.
+get the same count; a source with target weight 0 or without one gets rate 0, and
+so do weights under 0, infinite or no number.
 """
 
 from __future__ import annotations
@@ -66,11 +67,16 @@ def source_rates(docs: DataFrame, weights: DataFrame | None, source_col: str = "
     else:
         given = weights.select(F.col("source").alias("_source"), F.col("weight").cast("double").alias("weight")).groupBy("_source").agg(F.sum("weight").alias("weight"))
         weighed = sums.join(given, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-        weighed = weighed.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    total = weighed.agg(F.sum("bytes").alias("bytes"), F.sum(F.col("weight").cast("decimal(38,6)")).cast("double").alias("weight")).first()
-    if not total.weight:
+        finite = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight"))
+        weighed = weighed.withColumn("weight", F.coalesce(finite, F.lit(0.0)))
+    total = weighed.agg(F.sum("bytes").alias("bytes"), F.max("weight").alias("most")).first()
+    if not total.most:
         return weighed.select("source", "docs", "bytes", F.lit(0.0).alias("rate"))
-    rate = F.col("weight") / F.lit(total.weight) * F.lit(total.bytes) / F.col("bytes")
+    # over the greatest weight, so that any unit will do, and as decimals, whose sum has no order
+    share = (F.col("weight") / F.lit(total.most)).cast("decimal(38,18)")
+    weighed = weighed.withColumn("share", share)
+    shares = weighed.agg(F.sum("share").cast("double")).first()[0]
+    rate = F.col("share").cast("double") / F.lit(shares) * F.lit(total.bytes) / F.col("bytes")
     return weighed.select("source", "docs", "bytes", rate.alias("rate"))
 
 

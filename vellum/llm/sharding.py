@@ -2,9 +2,9 @@
 
 A record's id hashes into one of thousands of virtual slots. Bytes and rows are
 summed by slot, and a versioned map says which shard holds which slot. Version 1
-deals the slots out in turn; rebalancing edits it into version 2 by moving the
-fewest slots that bring the shards' bytes together, so the law is ``bytes``:
-sizes near equal. The map has at most :data:`SLOTS` rows a version, whatever the
+deals the slots out in turn; each rebalancing edits the newest version, this run's
+or a stored one, into the next by moving the fewest slots that bring the shards'
+bytes together, so the law is ``bytes``: sizes near equal. The map has at most :data:`SLOTS` rows a version, whatever the
 input, so the driver may hold it and a join may broadcast it.
 
 Defined results: a null text has 0 bytes and the CRC of the empty text, and its
@@ -14,13 +14,14 @@ size is 1; a null id hashes as the empty text; repeated rows each get a place.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellum.sources.scratch import Scratch
 
-#: Virtual slots: fixed for the life of a dataset, far above any number of shards.
-SLOTS = 8192
+#: Virtual slots: fixed for the life of a dataset, far above any number of shards. Parts of a slot that are numbered apart.
+SLOTS, PARTS = 8192, 8
 
 
 def virtual_slot(id_col: str, slots: int = SLOTS) -> Column:
@@ -91,9 +92,20 @@ def grow(held: dict[int, int], weight: dict[int, int], shards: int) -> dict[int,
     return new
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def last_version(table: DataFrame) -> tuple[int, dict[int, int]]:
+    """(version, virtual slot -> shard) of the newest version in a stored map."""
+    newest = table.agg(F.max("version")).first()[0]
+    return newest, {r.virtual_slot: r.shard for r in table.where(F.col("version") == newest).collect()}  # a row for each slot
+
+
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, map).
 
+    ``stored`` is the map that an earlier run returned: its newest version is edited
+    into the next one, so that only the slots that the new sizes ask for move.
+    Without it version 1 deals the slots out in turn. A stored map has to have the
+    same number of slots, and shards under ``shards``.
+
     rows: a row for each row of ``docs``: doc_id, size, text_crc32, law, shard,
     slot (place in the shard, gapless from 0), grown_shard (null under the law
     ``bytes``), virtual_slot, map_version. map: version, virtual_slot, shard,
@@ -102,28 +114,45 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "d
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     facts = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), virtual_slot(id_col, slots).alias("virtual_slot")
+        F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), virtual_slot(id_col, slots).alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("salt"),  # parts rows that are alike in all; the table written keeps it as it is
     )
+    facts = facts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "salt"), F.lit(PARTS)).cast("int")).drop("salt")
     with Scratch(spark, "sharding") as scratch:
         facts = scratch.write(facts, "facts", keep=True)
-        sums = facts.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-        weight, count = {}, {}
-        for r in sums.collect():  # at most ``slots`` rows
-            weight[r.virtual_slot], count[r.virtual_slot] = r.bytes, r.rows
-        versions = [first_map(slots, shards)]
-        versions.append(rebalance(versions[0], weight, shards))
+        sums = facts.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+        weight, count, parts = Counter(), Counter(), {}
+        for r in sums.collect():  # at most ``slots`` * PARTS rows
+            weight[r.virtual_slot] += r.bytes
+            count[r.virtual_slot] += r.rows
+            parts[r.virtual_slot, r.part] = r.rows
+        if stored is None:
+            versions = {1: first_map(slots, shards)}
+        else:
+            number, held = last_version(stored)
+            if len(held) != slots or max(held.values()) >= shards:
+                raise ValueError(f"the stored map has {len(held)} slots and shards up to {max(held.values())}")
+            versions = {number: held}
+        newest = max(versions) + 1
+        versions[newest] = rebalance(versions[newest - 1], weight, shards)
         lines = []
-        for version, held in enumerate(versions, 1):
+        for version, held in versions.items():
             place = [0] * shards
             for s in range(slots):
                 lines.append((version, s, held[s], weight.get(s, 0), count.get(s, 0), place[held[s]]))
                 place[held[s]] += count.get(s, 0)
         table = spark.createDataFrame(lines, "version int, virtual_slot int, shard int, bytes long, rows long, first_place long")
         table = scratch.write(table.coalesce(1), "map", keep=True)
-    now = table.where(F.col("version") == len(versions)).select("virtual_slot", "shard", "first_place")
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    rows = facts.withColumn("within", within).join(F.broadcast(now), "virtual_slot")
+        starts = []
+        first = {s: start for version, s, _, _, _, start in lines if version == newest}
+        for (s, part), n in sorted(parts.items()):
+            starts.append((s, part, versions[newest][s], first[s]))
+            first[s] += n
+        now = scratch.write(spark.createDataFrame(starts, "virtual_slot int, part int, shard int, first_place long").coalesce(1), "places", keep=True)
+    # equal ids share a slot, so a slot is numbered in parts
+    within = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size"))
+    rows = facts.withColumn("within", within).join(F.broadcast(now), ["virtual_slot", "part"])
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first_place") + F.col("within") - 1).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(len(versions)).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(newest).alias("map_version"),
     ), table
