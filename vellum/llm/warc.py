@@ -1,10 +1,11 @@
 """WARC records in seekable Zstandard bundles.
 
-Each record is an independent Zstandard frame. A bundle is frames one after
-another and a footer: a skippable frame with the compressed and plain size of
-each frame, as the public seekable format lays it down. An index maps a record's
-identifier to its bundle, frame and offset in the frame's plain text, so a reader
-decompresses the one frame it needs.
+Records are grouped into independent Zstandard frames of about
+:data:`FRAME_BYTES` plain bytes. A bundle is frames one after another and a footer:
+a skippable frame with the compressed and plain size of each frame, as the public
+seekable format lays it down. An index maps a record's identifier to its bundle,
+frame, and offset and length in the frame's plain text, so a reader decompresses
+the one frame it needs and cuts the record out.
 
 Bundles are rows of a table with a binary column of about :data:`BUNDLE_BYTES`,
 written by Spark to the shared folder, so any store and any loss of executors is
@@ -16,7 +17,9 @@ with a partial minimum before the shuffle.
 
 Defined results: a null html is the empty payload; a null page_id is never the
 smallest unless all of its group are null, and then all are responses; all rows
-that repeat the smallest page_id of a group are responses.
+that repeat the smallest page_id of a group are responses; rows that repeat a
+page_id and a payload share an identifier, under which :func:`fetch` gives each; a
+record longer than a frame has a frame of its own.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from vellum.llm.rows import end_task, small_batches
 from vellum.sources.scratch import Scratch
 
-#: Plain bytes after which a bundle is closed, payload bytes from which equal records become revisits, Zstandard's level.
-BUNDLE_BYTES, REVISIT_FROM, LEVEL = 4 << 20, 100, 3
+#: Plain bytes after which a bundle and a frame are closed, payload bytes from which equal records become revisits, Zstandard's level.
+BUNDLE_BYTES, FRAME_BYTES, REVISIT_FROM, LEVEL = 4 << 20, 128 << 10, 100, 3
 #: Fixed values of the seekable format: the skippable frame's magic number and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -85,7 +89,7 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def read_frame(bundle: bytes, frame: int) -> bytes:
-    """One record's plain bytes, decompressing no other frame."""
+    """A frame's plain bytes, decompressing no other frame."""
     at, size, _, plain = read_seek_table(bundle)[frame]
     return zstandard.ZstdDecompressor().decompress(bundle[at : at + size], max_output_size=plain)
 
@@ -94,34 +98,56 @@ RECORDS = "page_id bigint, url string, payload binary, digest string, refers_to
 BUNDLES = "bundle_id string, records int, bundle binary, index array<struct<record_id:string,frame:int,frame_offset:bigint,length:bigint>>"
 
 
+class _Bundle:
+    """A bundle as it fills: frames closed so far, the records of the open one, and the index of all."""
+
+    def __init__(self) -> None:
+        self.squeeze = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+        self.frames: list[bytes] = []
+        self.sizes: list[tuple[int, int]] = []
+        self.open: list[bytes] = []
+        self.in_open, self.plain = 0, 0
+        self.index: list[dict] = []
+
+    def add(self, name: str, record: bytes) -> None:
+        if self.open and self.in_open + len(record) > FRAME_BYTES:
+            self.close_frame()
+        self.index.append({"record_id": name, "frame": len(self.frames), "frame_offset": self.in_open, "length": len(record)})
+        self.open.append(record)
+        self.in_open += len(record)
+        self.plain += len(record)
+
+    def close_frame(self) -> None:
+        plain = b"".join(self.open)
+        self.frames.append(self.squeeze.compress(plain))
+        self.sizes.append((len(self.frames[-1]), len(plain)))
+        self.open, self.in_open = [], 0
+
+    def row(self) -> pa.RecordBatch:
+        self.close_frame()
+        data = b"".join(self.frames) + seek_table(self.sizes)
+        name = hashlib.sha256("\n".join(x["record_id"] for x in self.index).encode()).hexdigest()[:24]
+        values = (name, len(self.index), data, self.index)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BUNDLES)], schema=_BUNDLES)
+
+
+_BUNDLES = pa.schema([
+    ("bundle_id", pa.string()), ("records", pa.int32()), ("bundle", pa.binary()),
+    ("index", pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("frame_offset", pa.int64()), ("length", pa.int64())]))),
+])
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
-    types = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("frame_offset", pa.int64()), ("length", pa.int64())]))]
-    parts: list[bytes] = []
-    sizes: list[tuple[int, int]] = []
-    index: list[dict] = []
-
-    def close() -> pa.RecordBatch:
-        data = b"".join(parts) + seek_table(sizes)
-        name = hashlib.sha256("\n".join(x["record_id"] for x in index).encode()).hexdigest()[:24]
-        out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, len(sizes), data, list(index)), types)], names=["bundle_id", "records", "bundle", "index"])
-        parts.clear(), sizes.clear(), index.clear()
-        return out
-
-    plain = 0
+    bundle = _Bundle()
     for batch in batches:
         for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-            record = warc_record(page_id, url, payload, digest, refers_to)
-            frame = squeeze.compress(record)
-            index.append({"record_id": record_id(page_id, digest), "frame": len(sizes), "frame_offset": 0, "length": len(record)})
-            parts.append(frame)
-            sizes.append((len(frame), len(record)))
-            plain += len(record)
-            if plain >= BUNDLE_BYTES:
-                yield close()
-                plain = 0
-    if sizes:
-        yield close()
+            bundle.add(record_id(page_id, digest), warc_record(page_id, url, payload, digest, refers_to))
+            if bundle.plain >= BUNDLE_BYTES:
+                yield bundle.row()
+                bundle = _Bundle()
+    if bundle.index:
+        yield bundle.row()
+    end_task()
 
 
 def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -137,6 +163,7 @@ def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", ur
 
 def write_bundles(pages: DataFrame, scratch: Scratch, **columns: str) -> DataFrame:
     """Write each row's record and return the table of bundles with their indexes."""
+    small_batches(pages.sparkSession)
     return scratch.write(plan_records(pages, scratch, **columns).mapInArrow(_pack, BUNDLES), "bundles", keep=True)
 
 
@@ -155,31 +182,50 @@ def read_records(bundles: DataFrame) -> DataFrame:
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = zstandard.ZstdDecompressor()
         for batch in batches:
-            for bundle in batch.column(0).to_pylist():
+            for bundle, index in zip(batch.column(0), batch.column(1)):
                 rows = []
-                for at, size, _, length in read_seek_table(bundle):
-                    headers, body = parse_record(plain.decompress(bundle[at : at + size], max_output_size=length))
+                for record in _cut(bundle.as_py(), index.as_py()):
+                    headers, body = parse_record(record)
                     named, revisit = headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"] == "revisit"
                     if not revisit and hashlib.sha256(body).hexdigest() != named:
                         raise ValueError(f"payload of {headers['WARC-Record-ID']} differs from its digest")
                     page, to = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page")
                     rows.append((None if page is None else int(page), headers.get("WARC-Target-URI"), headers["WARC-Type"], None if revisit else body, int(headers["X-Payload-Length"]) if revisit else len(body), named, None if to is None else int(to)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        end_task()
+
+    small_batches(bundles.sparkSession)
+    return bundles.select("bundle", "index").mapInArrow(unpack, "page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint")
+
 
-    return bundles.select("bundle").mapInArrow(unpack, "page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint")
+def _cut(bundle: bytes, index: list[dict]) -> Iterator[bytes]:
+    """The records that ``index`` names, each found by its frame, offset and length; a frame is decompressed once. Raises where another record lies there."""
+    frame, plain = -1, b""
+    for at in sorted(index, key=lambda x: (x["frame"], x["frame_offset"])):
+        if at["frame"] != frame:
+            frame = at["frame"]
+            plain = read_frame(bundle, frame)
+        record = plain[at["frame_offset"] : at["frame_offset"] + at["length"]]
+        if f"<{at['record_id']}>" not in record.partition(b"\r\n\r\n")[0].decode():
+            raise ValueError(f"{at['record_id']} is not where the index says")
+        yield record
 
 
 def fetch(bundles: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """(record_id, record) for the ``record_ids`` asked for: the index finds bundle and frame, one frame is decompressed for each."""
-    hits = record_index(bundles).join(record_ids.select("record_id").distinct(), "record_id", "left_semi").groupBy("bundle_id").agg(F.collect_list(F.struct("record_id", "frame")).alias("hits"))
+    """(record_id, record) for the ``record_ids`` asked for: the index finds bundle, frame, offset and length, and only frames that hold one are decompressed."""
+    place = F.struct("record_id", "frame", "frame_offset", "length")
+    hits = record_index(bundles).join(record_ids.select("record_id").distinct(), "record_id", "left_semi").groupBy("bundle_id").agg(F.collect_list(place).alias("hits"))
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bundle, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([h["record_id"] for h in wanted]), pa.array([read_frame(bundle, h["frame"]) for h in wanted], pa.binary())], names=["record_id", "record"])
+            for bundle, wanted in zip(batch.column(0), batch.column(1)):
+                found = list(_cut(bundle.as_py(), wanted.as_py()))
+                names = [x["record_id"] for x in sorted(wanted.as_py(), key=lambda x: (x["frame"], x["frame_offset"]))]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], names=["record_id", "record"])
+        end_task()
 
+    small_batches(bundles.sparkSession)
     return bundles.select("bundle_id", "bundle").join(hits, "bundle_id").select("bundle", "hits").mapInArrow(pull, "record_id string, record binary")
 
 
