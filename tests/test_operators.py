@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from vellum.functions import text as T
+from vellum.functions import geometry as G, text as T
 from vellum.operators.graph import connected_components
 from vellum.operators.ordering import insertion_order
-from vellum.operators.regions import regions
-from vellum.sources.scratch import Scratch
+from vellum.operators.regions import line_components, regions
+from vellum.sources.scratch import Scratch, clean
+from vellum.sources.tables import read_dictionary
 from vellum.streaming.limits import over_limit
 
+BOXES = "page_id long, line_id long, x long, y long, w long, h long"
+
 
 def components(nodes, edges):
     near = {n: {n} for n in nodes}
@@ -63,13 +68,169 @@ def test_joined_text_leaves_no_space_at_dense_letters(spark):
 
 def test_regions_of_a_page(spark):
     lines = [(1, 1, 0, 0, 40, 10), (1, 2, 0, 12, 40, 10), (1, 3, 300, 300, 40, 10), (1, 4, 0, 24, 40, 10)]
-    got = {r.line_id: r.region_id for r in regions(spark.createDataFrame(lines, "page_id long, line_id long, x long, y long, w long, h long")).collect()}
+    with Scratch(spark, "test") as scratch:
+        got = {r.line_id: r.region_id for r in regions(spark.createDataFrame(lines, BOXES), scratch).collect()}
     assert got == {1: 1, 2: 1, 4: 1, 3: 3}
 
 
+def gap_of(a, b):
+    return math.hypot(max(b[0] - a[0] - a[2], a[0] - b[0] - b[2], 0), max(b[1] - a[1] - a[3], a[1] - b[1] - b[3], 0))
+
+
+def merges(a, b):
+    (ax, ay, aw, ah), (bx, by, bw, bh) = a, b
+    fa, fb, d = min(aw, ah), min(bw, bh), gap_of(a, b)
+    size = min(fa, fb)
+    if d > 2 * size or max(fa, fb) / size > 2 or d >= size:
+        return False
+    if (aw / ah > 1.3 and bw / bh < 1 / 1.3) or (bw / bh > 1.3 and aw / ah < 1 / 1.3):
+        return False
+    if abs(ax + aw // 2 - bx - bw // 2) < 3:
+        return True
+    wide, tall = lambda w, h: w > 1.9 * h, lambda w, h: h > 1.9 * w
+    if (wide(aw, ah) and tall(bw, bh)) or (wide(bw, bh) and tall(aw, ah)):
+        return False
+    if wide(aw, ah) or wide(bw, bh):
+        return min(abs(ax - bx), abs(ax + aw - bx - bw)) < 3 * size
+    if tall(aw, ah) or tall(bw, bh):
+        return min(abs(ay - by), abs(ay + ah - by - bh)) < 3 * size
+    return False
+
+
+def spanning(nodes, boxes):
+    """Prim's tree: (weight, u, v), heaviest first."""
+    inside, edges = [nodes[0]], []
+    while len(inside) < len(nodes):
+        edges.append(min((gap_of(boxes[u], boxes[v]), min(u, v), max(u, v), v) for u in inside for v in nodes if v not in inside))
+        inside.append(edges[-1][3])
+    return sorted(([e[:3] for e in edges]), key=lambda e: (-e[0], e[1], e[2]))
+
+
+def split(nodes, boxes):
+    font = {k: min(boxes[k][2:]) for k in nodes}
+    if len(nodes) == 1:
+        return [nodes]
+    if len(nodes) == 2:
+        u, v = nodes
+        return [nodes] if gap_of(boxes[u], boxes[v]) < 1.5 * max(font[u], font[v]) else [[u], [v]]
+    edges = spanning(nodes, boxes)
+    far = [e[0] for e in edges]
+    mean, spread = sum(far) / len(far), math.sqrt(sum((x - sum(far) / len(far)) ** 2 for x in far) / len(far))
+    size = sum(font.values()) / len(font)
+    _, u, v = edges[0]
+    centre = lambda k: (boxes[k][0] + boxes[k][2] / 2, boxes[k][1] + boxes[k][3] / 2)
+    aligned = min(abs(p - q) for p, q in zip(centre(u), centre(v)))
+    if (far[0] <= mean + 2 * spread or far[0] <= 1.5 * size) and (spread < max(0.3 * size + 5, 5) or (far[0] == 0 and aligned < 5)):
+        return [nodes]
+    groups = {}
+    for n, c in components(nodes, [e[1:] for e in edges[1:]]).items():
+        groups.setdefault(c, []).append(n)
+    return [x for g in groups.values() for x in split(sorted(g), boxes)]
+
+
+def test_regions_equal_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for page in range(60):
+        for line in range(1, r.randrange(2, 16)):
+            wide = r.random() < 0.7
+            a, b = r.uniform(60, 100), r.uniform(14, 22)
+            # places and sizes have no two equal gaps, so trees are the same whatever their ties
+            rows.append((page, line, round(r.uniform(0, 160), 3), round(r.uniform(0, 160), 3), round(a if wide else b, 3), round(b if wide else a, 3)))
+    with Scratch(spark, "test") as scratch:
+        got = {(x.page_id, x.line_id): (x.region_id, round(x.tree_weight, 6)) for x in regions(spark.createDataFrame(rows, "page_id long, line_id long, x double, y double, w double, h double"), scratch).collect()}
+    want = {}
+    for page in {x[0] for x in rows}:
+        boxes = {x[1]: x[2:] for x in rows if x[0] == page}
+        groups = {}
+        for n, c in components(list(boxes), [(u, v) for u in boxes for v in boxes if u < v and merges(boxes[u], boxes[v])]).items():
+            groups.setdefault(c, []).append(n)
+        for nodes in map(sorted, groups.values()):
+            weight = round(sum(e[0] for e in spanning(nodes, boxes)), 6)
+            for part in split(nodes, boxes):
+                want |= {(page, k): (min(part), weight) for k in part}
+    assert got == want and len({v for v in want.values()}) < len(want)
+
+
+def test_a_page_of_many_lines_has_its_own_components(spark):
+    """5,000 lines of one page, in rows of overlapping pairs, beside another page."""
+    rows = [(1, k, (k % 2) * 20, (k // 2) * 100, 30, 10) for k in range(5000)] + [(2, k, 0, k * 100, 30, 10) for k in range(3)]
+    with Scratch(spark, "test") as scratch:
+        got = line_components(spark.createDataFrame(rows, BOXES), scratch).groupBy("page_id", "component").count().collect()
+    assert collections.Counter((x.page_id, x["count"]) for x in got) == {(1, 2): 2500, (2, 1): 3}
+
+
+def test_insertion_order_equals_brute_force(spark):
+    r = random.Random(2)
+    rows = [(page, line, r.randrange(200), r.randrange(120), r.randrange(5, 60), r.randrange(5, 60)) for page in range(50) for line in range(1, r.randrange(2, 14))]
+    for right_to_left in (True, False):
+        want = {}
+        for page in {x[0] for x in rows}:
+            placed = []
+            for _, k, x, y, w, h in sorted((b for b in rows if b[0] == page), key=lambda b: (b[3] + b[5] / 2, b[1])):
+                cx, cy = x + w / 2, y + h / 2
+                for at, (_, px, py, pw, ph) in enumerate(placed):
+                    if cy > py + ph:
+                        continue
+                    if cy < py or (cx > px + pw / 2 if right_to_left else cx < px + pw / 2):
+                        placed.insert(at, (k, x, y, w, h))
+                        break
+                else:
+                    placed.append((k, x, y, w, h))
+            want |= {(page, b[0]): n for n, b in enumerate(placed, 1)}
+        got = insertion_order(spark.createDataFrame(rows, BOXES), right_to_left).collect()
+        assert {(b.page_id, b.line_id): b.place for b in got} == want
+
+
+def test_vertical_wrap_equals_brute_force(spark):
+    r = random.Random(6)
+    texts = ["", " ", "   a b", "字字字字", "a" * 30] + ["".join(r.choice("ab 字、(") for _ in range(r.randrange(1, 60))) for _ in range(30)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.wrapped_columns(F.col("t"), F.lit(50), F.lit(20), F.lit(12)).alias("c"))
+    forms = dict(zip(T.HORIZONTAL_MARKS, T.VERTICAL_MARKS))
+    for row in df.collect():
+        lines, line, height = [], "", 0
+        for c in texts[row.k]:
+            if height == 0 and c == " ":
+                continue
+            tall = 12 if ord(c) < 128 else 20
+            if height + tall > 50:
+                lines.append((line, height))
+                line, height = "", 0
+            line, height = line + forms.get(c, c), height + tall
+        assert [(x.text, x.height) for x in row.c] == [*lines, (line, height)]
+
+
+def test_syllables(spark):
+    rows = [("cat", "en", "cat"), ("medium", "en", "me|diu|m"), ("banana", "en", "ba|na|na"), ("strength", "en", "stre|ngth"), ("undefined", "en", "unde|fi|ne|d"), ("babababab", "en", "babababab"), ("a" * 17, "en", "aaa|aaa|aaa|aaa|aaa|aa"), ("hyphenation", "en", "hyphenation"), ("medium", "ja_JP", "medium"), ("easy", "en", "ea|sy"), ("unit", "en", "uni|t")]
+    df = spark.createDataFrame(rows, "w string, l string, want string").select("want", F.array_join(T.syllables(F.col("w"), F.col("l")), "|").alias("got"))
+    assert [(r.got, r.want) for r in df.collect() if r.got != r.want] == []
+
+
+def test_kept_tables_go_when_cleaned(spark):
+    clean(spark)
+    with Scratch(spark, "test") as scratch:
+        kept, gone = (scratch.write(spark.range(3), n, keep=k) for n, k in (("kept", True), ("gone", False)))
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept._vellum_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda df: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._vellum_path))
+    assert kept.count() == 3 and there(kept) and not there(gone)
+    assert clean(spark) == 1 and not there(kept) and clean(spark) == 0
+
+
+def test_dictionary_file(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("a\n b \n\nc\n")
+    assert [tuple(r) for r in read_dictionary(spark, str(tmp_path / "d.txt")).collect()] == [(0, "a"), (1, " b "), (2, ""), (3, "c")]
+
+
+def test_colour_difference_of_known_colours(spark):
+    rows = [((255, 255, 255), (255, 255, 255), 0.0), ((255, 255, 255), (0, 0, 0), 255 * 0.392), ((255, 0, 0), (0, 255, 0), math.sqrt((0.392 * 88) ** 2 + 166**2 + 16**2))]
+    for a, b, want in rows:
+        c = lambda x: [F.lit(v) for v in x]
+        assert abs(spark.range(1).select(G.color_difference(c(a), c(b))).first()[0] - want) < 0.01
+
+
 def test_insertion_order_goes_right_to_left(spark):
     boxes = [(1, 1, 0, 0, 10, 10), (1, 2, 50, 1, 10, 10), (1, 3, 20, 40, 10, 10)]
-    got = insertion_order(spark.createDataFrame(boxes, "page_id long, line_id long, x long, y long, w long, h long")).collect()
+    got = insertion_order(spark.createDataFrame(boxes, BOXES)).collect()
     assert [r.line_id for r in sorted(got, key=lambda r: r.place)] == [2, 1, 3]
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+#: Fixed values of sRGB with the D65 white: rows of X, Y, Z; white's X and Z; the weight of lightness in a colour difference.
+XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+WHITE, LIGHTNESS = (0.950456, 1.088754), 0.392
+
+
 def cols(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
@@ -83,6 +88,7 @@ def adaptive_padding(flood: Column, tw: Column, th: Column, chars: Column, base:
     return F.greatest(F.lit(3), F.least(F.lit(24), top, F.bround(mixed).cast("long")))
 
 
+# The coefficients and steps of the four figures around here are fixed values.
 def fallback_cap(confidence: Column, severity: Column) -> Column:
     """Largest enlargement, by steps of the bubble's confidence, a tenth more in severe cases."""
     c = F.coalesce(confidence, F.lit(0.0))
@@ -93,3 +99,70 @@ def fallback_cap(confidence: Column, severity: Column) -> Column:
 def early_bias(confidence: Column, ratio: Column) -> Column:
     c = F.coalesce(confidence, F.lit(0.0))
     return F.when((c < 0.20) & (ratio > 1.2), 1.2).when((c < 0.30) & (ratio > 1.6), 1.1).otherwise(1.0)
+
+
+def lab(r: Column, g: Column, b: Column) -> list[Column]:
+    """8-bit CIE L*a*b* of an 8-bit sRGB colour: L over 0 to 255, a and b moved by 128."""
+    linear = [F.when(c / 255 <= 0.04045, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4))) for c in (r, g, b)]
+    x, y, z = (sum((k * c for k, c in zip(row, linear)), F.lit(0.0)) for row in XYZ)
+    f = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    fx, fy, fz = f(x / WHITE[0]), f(y), f(z / WHITE[1])
+    lightness = F.when(y > 0.008856, 116 * fy - 16).otherwise(903.3 * y)
+    return [clamp(F.round(v, 0), 0, 255) for v in (lightness * 255 / 100, 500 * (fx - fy) + 128, 200 * (fy - fz) + 128)]
+
+
+def color_difference(one: list[Column], two: list[Column]) -> Column:
+    """Distance of two sRGB colours in 8-bit L*a*b*, the lightness weighed by :data:`LIGHTNESS`."""
+    d = [p - q for p, q in zip(lab(*one), lab(*two))]
+    return F.sqrt(F.pow(LIGHTNESS * d[0], F.lit(2.0)) + d[1] * d[1] + d[2] * d[2])
+
+
+def ordered_corners(points: Column) -> tuple[Column, Column]:
+    """(is vertical, corners from the top left clockwise) of four points (x, y) in any order.
+
+    The third and fourth shortest of the six distances are the long sides; their
+    mean direction says whether the quad stands. Ties go by the other coordinate.
+    """
+    p = lambda k: points[k]
+    pairs = F.array(*[
+        F.struct(((p(i)["x"] - p(j)["x"]) * (p(i)["x"] - p(j)["x"]) + (p(i)["y"] - p(j)["y"]) * (p(i)["y"] - p(j)["y"])).alias("far"), (p(i)["x"] - p(j)["x"]).alias("dx"), (p(i)["y"] - p(j)["y"]).alias("dy"))
+        for i in range(4) for j in range(i + 1, 4)
+    ])
+    sides = F.array_sort(pairs)
+    a, b = sides[2], sides[3]
+    turn = F.when(a["dx"] * b["dx"] + a["dy"] * b["dy"] < 0, -1).otherwise(1)
+    vertical = F.abs(a["dx"] * turn + b["dx"]) <= F.abs(a["dy"] * turn + b["dy"])
+    swap = lambda q: F.struct(q["y"].alias("y"), q["x"].alias("x"))
+    down = F.array_sort(F.transform(points, swap))  # by y, then x
+    across = F.array_sort(F.transform(points, lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+    first = lambda q, r, c: F.when(q[c] <= r[c], q).otherwise(r)
+    last = lambda q, r, c: F.when(q[c] <= r[c], r).otherwise(q)
+    standing = [first(down[0], down[1], "x"), last(down[0], down[1], "x"), last(down[2], down[3], "x"), first(down[2], down[3], "x")]
+    lying = [first(across[0], across[1], "y"), first(across[2], across[3], "y"), last(across[2], across[3], "y"), last(across[0], across[1], "y")]
+    both = [F.when(vertical, F.struct(s["x"].alias("x"), s["y"].alias("y"))).otherwise(q) for s, q in zip(standing, lying)]
+    return vertical, F.array(*both)
+
+
+def sound_quad(points: list[tuple[Column, Column]], base: list[tuple[Column, Column]], angle: Column) -> list[tuple[Column, Column]]:
+    """A quad to draw in: the base one where the given one is under 20 pixels, not convex or has an edge under 4.
+
+    A level quad of a region at 10 to 45 degrees is turned by 0.35 of that angle, 10 degrees at most.
+    """
+    ring = list(zip(points, points[1:] + points[:1]))
+    area = F.abs(sum((a[0] * b[1] - b[0] * a[1] for a, b in ring), F.lit(0))) / 2
+    turns = [(b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) for (a, b), (_, c) in zip(ring, ring[1:] + ring[:1])]
+    convex = (F.least(*turns) >= 0) | (F.greatest(*turns) <= 0)
+    shortest = F.least(*[(b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1]) for a, b in ring])
+    poor = (area < 20) | ~convex | (shortest < 16)
+    held = [tuple(F.when(poor, q).otherwise(p).cast("double") for p, q in zip(*both)) for both in zip(points, base)]
+    level = F.abs(F.degrees(F.atan2(held[1][1] - held[0][1], held[1][0] - held[0][0]))) < 3
+    leans = (F.abs(angle) > 10) & (F.abs(angle) < 45) & level
+    by = F.radians(F.when(leans, clamp(angle * 0.35, -10.0, 10.0)).otherwise(0.0))
+    cx, cy = (sum((p[k] for p in held), F.lit(0.0)) / 4 for k in (0, 1))
+    return [(cx + (x - cx) * F.cos(by) - (y - cy) * F.sin(by), cy + (x - cx) * F.sin(by) + (y - cy) * F.cos(by)) for x, y in held]
+
+
+def rect_distance(ax: Column, ay: Column, ax2: Column, ay2: Column, bx: Column, by: Column, bx2: Column, by2: Column) -> Column:
+    """Distance of two rectangles given by their corners: between corners, along an axis where they face each other, 0 where they meet."""
+    across, down = F.greatest(ax - bx2, bx - ax2), F.greatest(ay - by2, by - ay2)
+    return F.when((across > 0) & (down > 0), F.sqrt((across * across + down * down).cast("double"))).otherwise(F.greatest(across, down, F.lit(0)).cast("double"))

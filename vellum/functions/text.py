@@ -94,6 +94,56 @@ def joined(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(""), seam)
 
 
+#: The letters after which a word may break.
+VOWELS = "aeiouAEIOU"
+
+
+def syllables(word: Column, lang: Column) -> Column:
+    """Parts at which a word may break, where no hyphenator is at hand.
+
+    Words of 3 letters or fewer and those of languages without spaces stay whole.
+    Up to 9 letters a word breaks after a vowel that a consonant follows, not
+    after its first letter, if that makes 2 to 4 parts. Above 15 it breaks every
+    3 letters. All others stay whole.
+    """
+    n, tail = F.length(word), word.substr(F.lit(2), F.length(word))
+    broken = F.split(F.concat(F.substring(word, 1, 1), F.regexp_replace(tail, f"([{VOWELS}])([^{VOWELS}])", "$1\u0000$2")), "\u0000")
+    threes = F.transform(F.sequence(F.lit(0), F.ceil(n / 3).cast("int") - 1), lambda k: F.substring(word, k * 3 + 1, F.lit(3)))
+    whole = F.array(word)
+    short = F.when(F.size(broken).between(2, 4), broken).otherwise(whole)
+    return F.when((n <= 3) | is_cjk_code(lang), whole).when(n <= 9, short).when(n > 15, threes).otherwise(whole)
+
+
+def left_to_right_runs_reversed(text: Column) -> Column:
+    """For setting in a right-to-left direction: runs of valuable characters of the other direction are turned round."""
+    run = VALUABLE[:-1] + RIGHT_TO_LEFT[1:]
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)({run}+|.)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.reverse(p)), "")
+
+
+def wrapped_columns(text: Column, most: Column, dense: Column, thin: Column) -> Column:
+    """Columns of vertical text as structs (text, height): greedy, a new one where the next character would go over ``most``.
+
+    Spaces at the head of a column are left out. Heights are synthetic: ``thin`` for
+    ASCII characters and spaces, ``dense`` for all others.
+    """
+    done = F.array().cast("array<struct<text:string,height:bigint>>")
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(done.alias("done"), F.lit("").alias("text"), zero.alias("height"))
+
+    def put(a: Column, c: Column) -> Column:
+        tall = F.when(F.ascii(c) < 128, thin).otherwise(dense).cast("bigint")
+        over = a["height"] + tall > most
+        full = F.array_append(a["done"], F.struct(a["text"].alias("text"), a["height"].alias("height")))
+        shape = vertical(c)
+        return F.when((a["height"] == 0) & (c == " "), a).when(over, F.struct(full.alias("done"), shape.alias("text"), tall.alias("height"))).otherwise(
+            F.struct(a["done"].alias("done"), F.concat(a["text"], shape).alias("text"), (a["height"] + tall).alias("height"))
+        )
+
+    end = lambda a: F.array_append(a["done"], F.struct(a["text"].alias("text"), a["height"].alias("height")))
+    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), start, put, end)
+
+
 def complexity(name: Column) -> Column:
     """The group that an image's name says."""
     low = F.lower(name)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Pixels of a gap that starts a new column, and a new row.
@@ -26,16 +25,42 @@ def coordinate_order(boxes: DataFrame, right_to_left: bool = True) -> DataFrame:
 def insertion_order(boxes: DataFrame, right_to_left: bool = True) -> DataFrame:
     """(page_id, line_id, place): boxes by height, each put before the first placed box that is beside it on the far side, or below it.
 
-    What is placed decides where the next goes, so a page is one small task of pandas.
+    What is placed decides where the next goes, so a page is one array and its
+    fold. Of boxes of one height the one with the smaller line_id comes first.
     """
+    box = F.struct((F.col("y") + F.col("h") / 2).alias("cy"), "line_id", (F.col("x") + F.col("w") / 2).alias("cx"), F.col("y").alias("top"), (F.col("y") + F.col("h")).alias("bottom"))
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
-    def page(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.y + r.h / 2, r.line_id, r.x + r.w / 2, r.y, r.y + r.h) for r in frame.itertuples()]
-        placed: list[tuple] = []
-        for cy, line, cx, top, bottom in sorted(rows):
-            goes_before = (cy <= p[4] and (cy < p[3] or (cx > p[2] if right_to_left else cx < p[2])) for p in placed)
-            at = next((k for k, yes in enumerate(goes_before) if yes), len(placed))
-            placed.insert(at, (cy, line, cx, top, bottom))
-        return pd.DataFrame({"page_id": int(frame["page_id"].iloc[0]), "line_id": [p[1] for p in placed], "place": range(1, len(placed) + 1)})
+    def before(b: Column, p: Column) -> Column:
+        beside = b["cx"] > p["cx"] if right_to_left else b["cx"] < p["cx"]
+        return (b["cy"] <= p["bottom"]) & ((b["cy"] < p["top"]) | beside)
 
-    return boxes.select("page_id", "line_id", "x", "y", "w", "h").groupBy("page_id").applyInPandas(page, "page_id long, line_id long, place int")
+    def put(placed: Column, b: Column) -> Column:
+        at = F.array_position(F.transform(placed, lambda p: before(b, p)), F.lit(True)).cast("int")
+        return F.array_insert(placed, F.when(at > 0, at).otherwise(F.size(placed) + 1), b)
+
+    order = F.aggregate("boxes", F.slice("boxes", 1, 0), put)
+    placed = pages.select("page_id", F.posexplode(order).alias("at", "b"))
+    return placed.select("page_id", F.col("b.line_id").alias("line_id"), (F.col("at") + 1).alias("place"))
+
+
+def row_fill(panels: DataFrame, right_to_left: bool = True) -> DataFrame:
+    """(page_id, line_id, place): rows of panels, each from its top-most one down to a tolerance, and across within a row.
+
+    The tolerance is 10 pixels or 0.3 of the mean height. A row starts at its own
+    first panel, not at the one before, so rows are a fold over the page's panels
+    by height.
+    """
+    panel = F.struct("y", "line_id", "x")
+    pages = panels.groupBy("page_id").agg(F.array_sort(F.collect_list(panel)).alias("panels"), F.greatest(F.lit(10.0), F.avg("h") * 0.3).alias("near"))
+    start = F.struct(F.lit(None).cast("long").alias("base"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
+
+    def put(a: Column, p: Column) -> Column:
+        new = a["base"].isNull() | (p["y"] - a["base"] > F.col("near"))
+        row = a["row"] + new.cast("int")
+        return F.struct(F.when(new, p["y"]).otherwise(a["base"]).alias("base"), row.alias("row"), F.array_append(a["rows"], row).alias("rows"))
+
+    rows = F.aggregate("panels", start, put, lambda a: a["rows"])
+    each = pages.select("page_id", F.explode(F.arrays_zip("panels", rows.alias("row"))).alias("z")).select("page_id", "z.panels.line_id", "z.panels.x", "z.panels.y", "z.row")
+    side = -F.col("x") if right_to_left else F.col("x")
+    return each.select("page_id", "line_id", F.row_number().over(Window.partitionBy("page_id").orderBy("row", side, "y", "line_id")).alias("place"))

@@ -1,12 +1,16 @@
-"""Regions of text lines: candidate pairs, page-local components, the recursive split, and what a region holds."""
+"""Regions of text lines: candidate pairs, their components, the recursive split, and what a region holds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.functions.geometry import box_gap, can_merge
+from vellum.operators.graph import connected_components
+from vellum.sources.scratch import Scratch
 
 #: Tolerances of the merge test, and of the test that groups lines by direction.
 MERGE = {"aspect": 1.3, "fonts": 2.0, "gap": 1.0, "gap2": 3.0}
@@ -15,8 +19,9 @@ DIRECTION = {"aspect": 1.0, "fonts": 1.5, "gap": 0.6, "gap2": 1.5}
 
 def page_pairs(lines: DataFrame) -> DataFrame:
     """Unordered pairs of a page's lines, columns prefixed a_ and b_; an equi-join on the page."""
-    a = lines.select("page_id", *[F.col(c).alias(f"a_{c}") for c in ("line_id", "x", "y", "w", "h")])
-    b = lines.select("page_id", *[F.col(c).alias(f"b_{c}") for c in ("line_id", "x", "y", "w", "h")])
+    held = [c for c in ("line_id", "x", "y", "w", "h", "node") if c in lines.columns]
+    a = lines.select("page_id", *[F.col(c).alias(f"a_{c}") for c in held])
+    b = lines.select("page_id", *[F.col(c).alias(f"b_{c}") for c in held])
     return a.join(b, "page_id").where("a_line_id < b_line_id")
 
 
@@ -83,33 +88,59 @@ def _split(nodes: list[int], gap: np.ndarray, font: np.ndarray, centre: np.ndarr
     return done
 
 
-REGIONS = "page_id long, line_id long, region_id long, tree_weight double"
+def line_components(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float] = MERGE) -> DataFrame:
+    """page_id, line_id, x, y, w, h, component: a number that the lines joined by merge pairs share.
+
+    Lines are numbered as they are written, so no page can hold too many of them,
+    and components form over all pages at once, however large a page is.
+    """
+    held = lines.select("page_id", "line_id", "x", "y", "w", "h", F.monotonically_increasing_id().alias("node"))
+    held = scratch.write(held, "lines", keep=True)
+    edges = page_pairs(held).where(can_merge("a", "b", **tolerances)).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+    labels = scratch.write(connected_components(edges, scratch), "labels", keep=True)
+    joined = held.join(labels, "node", "left")
+    return joined.select("page_id", "line_id", "x", "y", "w", "h", F.coalesce("component", "node").alias("component"))
 
 
-def regions(lines: DataFrame, tolerances: dict[str, float] = MERGE) -> DataFrame:
+REGIONS = "page_id long, line_id long, region_id long, tree_weight double"
+_REGIONS = pa.schema([("page_id", pa.int64()), ("line_id", pa.int64()), ("region_id", pa.int64()), ("tree_weight", pa.float64())])
+
+
+def _split_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many components a batch: rows of (page_id, lines by line_id). Those of one or two lines are settled as arrays."""
+    for batch in batches:
+        lists = batch.column(1)
+        start = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values
+        ids = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x, y, w, h = (flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(1, 5))
+        sizes = np.diff(start)
+        region, weight = ids.copy(), np.zeros(len(ids))
+        font = np.minimum(w, h)
+        two = start[:-1][sizes == 2]
+        gap = np.hypot(*(np.maximum(np.maximum(p[two + 1] - (p + q)[two], p[two] - (p + q)[two + 1]), 0) for p, q in ((x, w), (y, h))))
+        weight[two] = weight[two + 1] = gap
+        near = gap < 1.5 * np.maximum(font[two], font[two + 1])
+        region[two[near] + 1] = ids[two[near]]
+        for k in np.flatnonzero(sizes > 2).tolist():
+            here = slice(int(start[k]), int(start[k + 1]))
+            a, b, c, d = x[here], y[here], w[here], h[here]
+            dx = np.maximum(np.maximum(a[None] - (a + c)[:, None], a[:, None] - (a + c)[None]), 0)
+            dy = np.maximum(np.maximum(b[None] - (b + d)[:, None], b[:, None] - (b + d)[None]), 0)
+            gaps, nodes = np.hypot(dx, dy), list(range(len(a)))
+            weight[here] = sum(e[0] for e in _tree(nodes, gaps))
+            for part in _split(nodes, gaps, font[here], np.stack([a + c / 2, b + d / 2], axis=1)):
+                region[here.start + np.array(part)] = ids[here.start + min(part)]
+        pages = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+        first, last = int(start[0]), int(start[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(pages), pa.array(ids[first:last]), pa.array(region[first:last]), pa.array(weight[first:last])], schema=_REGIONS)
+
+
+def regions(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float] = MERGE) -> DataFrame:
     """(page_id, line_id, region_id, tree_weight): region_id is the least line of the region, tree_weight the sum of its component's tree.
 
-    A page's lines are few, so a page is one small task of pandas.
+    A component is the unit of work, not a page; its split looks at all pairs of its lines.
     """
-
-    def page(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_id", ignore_index=True)
-        x, y, w, h = (frame[c].to_numpy(float) for c in "xywh")
-        dx = np.maximum(np.maximum(x[None] - (x + w)[:, None], x[:, None] - (x + w)[None]), 0)
-        dy = np.maximum(np.maximum(y[None] - (y + h)[:, None], y[:, None] - (y + h)[None]), 0)
-        gap, font = np.hypot(dx, dy), np.minimum(w, h)
-        centre = np.stack([x + w / 2, y + h / 2], axis=1)
-        ids = frame["line_id"].to_numpy()
-        place = {int(v): k for k, v in enumerate(ids)}
-        edges = [(k, place[int(v)]) for k, to in enumerate(frame["links"]) for v in to]
-        out = []
-        for group in _components(list(range(len(ids))), edges):
-            weight = sum(e[0] for e in _tree(group, gap))
-            for part in _split(group, gap, font, centre):
-                out += [(int(frame["page_id"][0]), int(ids[k]), int(ids[min(part)]), weight) for k in part]
-        return pd.DataFrame(out, columns=["page_id", "line_id", "region_id", "tree_weight"])
-
-    links = merge_pairs(lines, tolerances).groupBy("page_id", F.col("src").alias("line_id")).agg(F.collect_list("dst").alias("links"))
-    held = lines.select("page_id", "line_id", "x", "y", "w", "h").join(links, ["page_id", "line_id"], "left")
-    held = held.withColumn("links", F.coalesce("links", F.array().cast("array<bigint>")))
-    return held.groupBy("page_id").applyInPandas(page, REGIONS)
+    line = F.struct("line_id", "x", "y", "w", "h")
+    parts = line_components(lines, scratch, tolerances).groupBy("page_id", "component").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return parts.select("page_id", "lines").mapInArrow(_split_all, REGIONS)

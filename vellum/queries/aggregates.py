@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vellum.functions import text as T
 from vellum.plans.report import FIGURES_SQL, METRICS_SQL, group_report, image_report, median_or_zero, mean_or_zero, region_metrics, share
+from vellum.queries.geometry import LEANT_ANGLE_SQL, leant_angle
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.tables import read_table
@@ -59,13 +60,13 @@ def font_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(spark, sf_dir).groupBy("page_id").agg(F.min(F.least("w", "h")).cast("int").alias("font_size"))
 
 
-ANGLE_SQL = f"WITH {LINES_SQL}, a AS (SELECT page_id, degrees(avg(CASE WHEN h > w THEN 0 ELSE atan2(CAST(w AS DOUBLE), CAST(0 AS DOUBLE)) END)) - 90 AS angle FROM lines GROUP BY page_id) SELECT page_id, round(CASE WHEN abs(angle) < 3 THEN 0 ELSE angle END, 6) + 0.0 AS angle FROM a"
-
-
-@query("A6_mean_angle", ANGLE_SQL)
+@query(
+    "A6_mean_angle",
+    f"WITH {LINES_SQL}, a AS (SELECT page_id, degrees(avg({LEANT_ANGLE_SQL})) - 90 AS angle FROM lines GROUP BY page_id) SELECT page_id, round(CASE WHEN abs(angle) < 3 THEN 0 ELSE angle END, 6) + 0.0 AS angle FROM a",
+)
 def mean_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = F.when(F.col("h") > F.col("w"), 0.0).otherwise(F.atan2(F.col("w").cast("double"), F.lit(0.0)))
-    angles = text_lines(spark, sf_dir).groupBy("page_id").agg((F.degrees(F.avg(each)) - 90).alias("angle"))
+    """Over lines leant over a little; 0 where it is within 3 degrees of level."""
+    angles = text_lines(spark, sf_dir).groupBy("page_id").agg((F.degrees(F.avg(leant_angle())) - 90).alias("angle"))
     return angles.select("page_id", (F.round(F.when(F.abs("angle") < 3, 0.0).otherwise(F.col("angle")), 6) + F.lit(0.0)).alias("angle"))
 
 
@@ -122,11 +123,6 @@ def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_report(text_lines(spark, sf_dir), read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id")))
 
 
-@query("A16_mask_union", f"WITH {LINES_SQL} SELECT page_id, bit_or(fg_r) AS mask FROM lines GROUP BY page_id")
-def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_lines(spark, sf_dir).groupBy("page_id").agg(F.bit_or("fg_r").alias("mask"))
-
-
 @query("A17_running_bounds", f"WITH {LINES_SQL} SELECT page_id, line_id, min(x) OVER o AS x0, max(x + w) OVER o AS x1 FROM lines WINDOW o AS (PARTITION BY page_id ORDER BY line_id)")
 def running_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = Window.partitionBy("page_id").orderBy("line_id")
@@ -155,9 +151,3 @@ def running_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A22_run_summary", "SELECT count(*) AS total, count(*) FILTER (length(html) > 2000) AS successes FROM pages")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").agg(F.count("*").alias("total"), F.count_if(F.length("html") > 2000).alias("successes"))
-
-
-@query("A23_border_counts", f"WITH {LINES_SQL} SELECT page_id, count(*) FILTER (x < 10 AND fg_r < 127) AS left_side, count(*) FILTER (x + w > 190 AND fg_r < 127) AS right_side FROM lines GROUP BY page_id")
-def border_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dark = F.col("fg_r") < 127
-    return text_lines(spark, sf_dir).groupBy("page_id").agg(F.count_if((F.col("x") < 10) & dark).alias("left_side"), F.count_if((F.col("x") + F.col("w") > 190) & dark).alias("right_side"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.functions import text as T
-from vellum.functions.languages import FROM_ISO, ORIENTATION
+from vellum.functions.languages import FROM_ISO, NAMES, ORIENTATION
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.tables import read_table
 
 ISO_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in FROM_ISO.items())
+NAME_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in NAMES.items())
 ORIENTATION_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in ORIENTATION.items())
 
 
@@ -95,17 +96,6 @@ def binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(spark, sf_dir).select("page_id", "line_id", (F.col("prob") > 0.7).cast("int").alias("bit"))
 
 
-@query(
-    "P12_ignored",
-    "WITH s AS (SELECT doc_id, length(text) AS total, length(text) - length(replace(text, 'e', '')) AS black FROM documents WHERE length(text) > 0) SELECT doc_id, round(100.0 * black / total, 4) AS ratio FROM s WHERE 100.0 * black / total BETWEEN 10 AND 90",
-)
-def ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share test on counts: letters e for dark border pixels, all characters for the border."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("total"), F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit(""))))
-    docs = docs.toDF("doc_id", "total", "black").where("total > 0").withColumn("share", F.lit(100.0) * F.col("black") / F.col("total"))
-    return docs.where("share BETWEEN 10 AND 90").select("doc_id", F.round("share", 4).alias("ratio"))
-
-
 @query("P14_routing", f"WITH {LINES_SQL} SELECT page_id, line_id, CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN upper(text) ELSE text END AS translation FROM lines")
 def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of value go to the translator, here upper-casing; the others pass through."""
@@ -124,9 +114,23 @@ def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", code.alias("target_lang")).select("doc_id", "target_lang", F.coalesce(F.element_at(preset, F.col("target_lang")), F.lit("auto")).alias("direction"))
 
 
-@query("P16_query_list", f"WITH {LINES_SQL} SELECT DISTINCT text FROM lines")
+@query("P16_query_list", f"WITH {LINES_SQL} SELECT page_id, line_id, text AS query FROM lines")
 def query_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_lines(spark, sf_dir).select("text").distinct()
+    """One query for each region, repeated texts too."""
+    return text_lines(spark, sf_dir).select("page_id", "line_id", F.col("text").alias("query"))
+
+
+@query(
+    "P17_language_check",
+    f"""WITH iso(lang, code) AS (VALUES {ISO_VALUES}), valid(code, name) AS (VALUES {NAME_VALUES})
+SELECT d.doc_id, CASE WHEN i.code = 'ENG' THEN 'same' WHEN v.code IS NULL THEN 'invalid' ELSE 'translate' END AS route FROM documents d LEFT JOIN iso i ON i.lang = d.lang LEFT JOIN valid v ON v.code = i.code""",
+)
+def language_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts already in the target language pass as they are; codes outside the table are told apart."""
+    iso, names = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (FROM_ISO, NAMES))
+    code = F.element_at(iso, F.col("lang"))
+    route = F.when(code == "ENG", "same").when(F.element_at(names, code).isNull(), "invalid").otherwise("translate")
+    return read_table(spark, sf_dir, "documents").select("doc_id", route.alias("route"))
 
 
 IMAGE_SQL = "SELECT p_partkey, 400 + p_size * 10 AS w, 600 + p_partkey * 3 AS h FROM part"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.functions import geometry as G
 from vellum.queries.filters import IMAGE_SQL, images
@@ -14,9 +14,32 @@ def each_line(spark: SparkSession, sf_dir: str, **columns: object) -> DataFrame:
     return text_lines(spark, sf_dir).select("page_id", "line_id", *[c.alias(n) for n, c in columns.items()])  # type: ignore[attr-defined]
 
 
-@query("G1_vertical_lines", f"WITH {LINES_SQL} SELECT page_id, line_id, h > w AS vertical FROM lines")
-def vertical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return each_line(spark, sf_dir, vertical=F.col("h") > F.col("w"))
+#: The corners of a line leant over, in an order that says nothing.
+MIXED_SQL = f"""{LINES_SQL}, leant AS (SELECT page_id, line_id, x + (line_id * 3) % 11 - 5 AS tx, x AS bx, y, w, h FROM lines),
+mixed AS (SELECT page_id, line_id, [{{'x': tx + w, 'y': y}}, {{'x': bx, 'y': y + h}}, {{'x': tx, 'y': y}}, {{'x': bx + w, 'y': y + h}}] AS p FROM leant)"""
+
+
+@query(
+    "G1_ordered_corners",
+    f"""WITH {MIXED_SQL}, pairs AS (SELECT page_id, line_id, p, unnest([[1, 2], [1, 3], [1, 4], [2, 3], [2, 4], [3, 4]]) AS ij FROM mixed),
+d AS (SELECT page_id, line_id, p[ij[1]].x - p[ij[2]].x AS dx, p[ij[1]].y - p[ij[2]].y AS dy FROM pairs),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, line_id ORDER BY dx * dx + dy * dy, dx, dy) AS nth FROM d),
+s AS (SELECT a.page_id, a.line_id, CASE WHEN a.dx * b.dx + a.dy * b.dy < 0 THEN -1 ELSE 1 END AS t, a.dx AS px, a.dy AS py, b.dx AS qx, b.dy AS qy FROM k a JOIN k b ON a.page_id = b.page_id AND a.line_id = b.line_id AND a.nth = 3 AND b.nth = 4),
+f AS (SELECT page_id, line_id, abs(px * t + qx) <= abs(py * t + qy) AS vertical FROM s),
+c AS (SELECT page_id, line_id, unnest(p) AS q FROM mixed),
+r AS (SELECT c.page_id, c.line_id, f.vertical, q.x AS x, q.y AS y, row_number() OVER (PARTITION BY c.page_id, c.line_id ORDER BY CASE WHEN f.vertical THEN q.y ELSE q.x END, CASE WHEN f.vertical THEN q.x ELSE q.y END) <= 2 AS leads FROM c JOIN f ON f.page_id = c.page_id AND f.line_id = c.line_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id, line_id, leads ORDER BY CASE WHEN vertical THEN x ELSE y END) AS nth FROM r)
+SELECT page_id, line_id, vertical, CASE WHEN vertical THEN CASE WHEN leads THEN nth WHEN nth = 2 THEN 3 ELSE 4 END ELSE CASE WHEN leads THEN CASE nth WHEN 1 THEN 1 ELSE 4 END ELSE nth + 1 END END AS corner, x, y FROM o""",
+)
+def ordered_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the top left clockwise, with whether the quad stands."""
+    x, y, w, h, k = G.cols(*"xywh", "line_id")
+    top = x + k * 3 % 11 - 5
+    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
+    lines = text_lines(spark, sf_dir).withColumn("p", F.array(point(top + w, y), point(x, y + h), point(top, y), point(x + w, y + h)))
+    vertical, corners = G.ordered_corners(F.col("p"))
+    each = lines.select("page_id", "line_id", vertical.alias("vertical"), F.posexplode(corners).alias("at", "q"))
+    return each.select("page_id", "line_id", "vertical", (F.col("at") + 1).cast("long").alias("corner"), "q.x", "q.y")
 
 
 @query("G2_midpoints", f"WITH {LINES_SQL} SELECT page_id, line_id, CAST(trunc((x + x + w) / 2.0) AS BIGINT) AS mx, CAST(trunc((y + y + h) / 2.0) AS BIGINT) AS my FROM lines")
@@ -45,12 +68,23 @@ def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_line(spark, sf_dir, cx=(x + (x + w) + (x + w) + x) / 4, cy=(y + y + (y + h) + (y + h)) / 4)
 
 
-@query("G6_angle", f"WITH {LINES_SQL} SELECT page_id, line_id, round(CASE WHEN h > w THEN 0 ELSE pi() / 2 END, 8) AS angle FROM lines")
+#: Lines leant over: the top edge is moved sideways by a few pixels, so that they have an angle.
+LEAN_SQL = "((line_id * 3) % 11 - 5)"
+#: Angle of the vector from the middle of the top edge to that of the bottom edge, both cut to whole pixels, measured from the vertical.
+LEANT_ANGLE_SQL = f"atan2(CAST(trunc((x + x + w) / 2.0) - trunc((x + x + w + 2 * {LEAN_SQL}) / 2.0) AS DOUBLE), CAST(h AS DOUBLE))"
+
+
+def leant_angle() -> Column:
+    """From the vertical: sideways part first."""
+    x, w, h = G.cols("x", "w", "h")
+    lean = F.col("line_id") * 3 % 11 - 5
+    vx = G.truncated_mean(x, x + w) - G.truncated_mean(x + lean, x + w + lean)
+    return F.atan2(vx.cast("double"), h.cast("double"))
+
+
+@query("G6_angle", f"WITH {LINES_SQL}, a AS (SELECT page_id, line_id, {LEANT_ANGLE_SQL} AS angle FROM lines) SELECT page_id, line_id, round(angle, 8) + 0.0 AS angle, abs(angle) < 15 * pi() / 180 AS axis_aligned FROM a")
 def angle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the longer side, from the vertical."""
-    tall = F.col("h") > F.col("w")
-    vx, vy = F.when(tall, 0.0).otherwise(F.col("w").cast("double")), F.when(tall, F.col("h").cast("double")).otherwise(0.0)
-    return each_line(spark, sf_dir, angle=F.round(F.atan2(vx, vy), 8))
+    return each_line(spark, sf_dir, angle=F.round(leant_angle(), 8) + F.lit(0.0), axis_aligned=F.abs(leant_angle()) < 15 * F.pi() / 180)
 
 
 @query("G7_gap", f"WITH {LINES_SQL} SELECT a.page_id, a.line_id, round(sqrt(CAST(power(greatest(b.x - (a.x + a.w), a.x - (b.x + b.w), 0), 2) + power(greatest(b.y - (a.y + a.h), a.y - (b.y + b.h), 0), 2) AS DOUBLE)), 6) AS gap FROM lines a JOIN lines b ON a.page_id = b.page_id AND b.line_id = a.line_id + 1")
@@ -61,6 +95,24 @@ def gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["page_id", "line_id"]).select("page_id", "line_id", F.round(G.box_gap("a", "b"), 6).alias("gap"))
 
 
+NEXT_SQL = "FROM lines a JOIN lines b ON a.page_id = b.page_id AND b.line_id = a.line_id + 1"
+
+
+@query(
+    "G8_rect_distance",
+    f"""WITH {LINES_SQL}, d AS (SELECT a.page_id, a.line_id, greatest(a.x - (b.x + b.w), b.x - (a.x + a.w)) AS across, greatest(a.y - (b.y + b.h), b.y - (a.y + a.h)) AS down {NEXT_SQL})
+SELECT page_id, line_id, round(CASE WHEN across > 0 AND down > 0 THEN sqrt(CAST(across * across + down * down AS DOUBLE)) ELSE CAST(greatest(across, down, 0) AS DOUBLE) END, 6) AS distance FROM d""",
+)
+def rect_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each line and the next one of its page."""
+    lines = text_lines(spark, sf_dir)
+    corners = lambda k: [F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"), (F.col("x") + F.col("w")).alias(f"{k}x2"), (F.col("y") + F.col("h")).alias(f"{k}y2")]
+    a = lines.select("page_id", "line_id", *corners("a"))
+    b = lines.select("page_id", (F.col("line_id") - 1).alias("line_id"), *corners("b"))
+    far = G.rect_distance(*G.cols("ax", "ay", "ax2", "ay2", "bx", "by", "bx2", "by2"))
+    return a.join(b, ["page_id", "line_id"]).select("page_id", "line_id", F.round(far, 6).alias("distance"))
+
+
 @query("G11_rotated", f"WITH {LINES_SQL} SELECT page_id, line_id, CAST(trunc(round(x * cos(pi() / 6) - y * sin(pi() / 6), 6)) AS BIGINT) AS rx, CAST(trunc(round(x * sin(pi() / 6) + y * cos(pi() / 6), 6)) AS BIGINT) AS ry FROM lines")
 def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By 30 degrees about the page's corner, cut to whole pixels."""
@@ -87,11 +139,47 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(spark, sf_dir).groupBy("page_id").agg(F.when((F.count("*") == 1) | (wide * 2 > F.count("*")), "center").otherwise("left").alias("alignment"))
 
 
-@query("G16_contrast", f"WITH {LINES_SQL} SELECT page_id, line_id, CASE WHEN abs(fg_r - fg_b) + abs(fg_g - fg_b) < 30 THEN CASE WHEN (fg_r + fg_g + fg_b) / 3.0 <= 127 THEN 255 ELSE 0 END ELSE fg_b END AS bg FROM lines")
+#: A second colour of each line, more or less like the first.
+GROUND_SQL = "(fg_r + line_id * 9) % 256 AS bg_r, (fg_g + line_id * line_id * 5) % 256 AS bg_g, (fg_b + line_id * 3) % 256 AS bg_b"
+
+
+def _lab_sql(r: str, g: str, b: str) -> str:
+    """A scalar subquery with the list [L, a, b] of a colour."""
+    linear = [f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END" for c in (r, g, b)]
+    sums = [" + ".join(f"{k}::DOUBLE * ({c})" for k, c in zip(row, linear)) for row in G.XYZ]
+    x, y, z = f"({sums[0]}) / {G.WHITE[0]}::DOUBLE", f"({sums[1]})", f"({sums[2]}) / {G.WHITE[1]}::DOUBLE"
+    f = lambda t: f"(CASE WHEN {t} > 0.008856 THEN pow({t}, 1.0::DOUBLE / 3) ELSE 7.787::DOUBLE * {t} + 16.0::DOUBLE / 116 END)"
+    light = f"(CASE WHEN {y} > 0.008856 THEN 116 * {f(y)} - 16 ELSE 903.3::DOUBLE * {y} END) * 255 / 100"
+    return "[" + ", ".join(f"greatest(0, least(255, round({v}, 0)))" for v in (light, f"500 * ({f(x)} - {f(y)}) + 128", f"200 * ({f(y)} - {f(z)}) + 128")) + "]"
+
+
+DIFFERENCE_SQL = f"""{LINES_SQL}, coloured AS (SELECT *, {GROUND_SQL} FROM lines),
+labs AS (SELECT *, {_lab_sql("fg_r", "fg_g", "fg_b")} AS p, {_lab_sql("bg_r", "bg_g", "bg_b")} AS q FROM coloured),
+differences AS (SELECT *, sqrt(pow({G.LIGHTNESS}::DOUBLE * (p[1] - q[1]), 2) + pow(p[2] - q[2], 2) + pow(p[3] - q[3], 2)) AS difference FROM labs)"""
+
+
+def coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with bg_r, bg_g, bg_b and the difference of the two colours."""
+    k = F.col("line_id")
+    lines = text_lines(spark, sf_dir).withColumns({"bg_r": (F.col("fg_r") + k * 9) % 256, "bg_g": (F.col("fg_g") + k * k * 5) % 256, "bg_b": (F.col("fg_b") + k * 3) % 256})
+    return lines.withColumn("difference", G.color_difference(G.cols("fg_r", "fg_g", "fg_b"), G.cols("bg_r", "bg_g", "bg_b")))
+
+
+@query("G15_color_difference", f"WITH {DIFFERENCE_SQL} SELECT page_id, line_id, round(difference, 5) AS difference FROM differences")
+def color_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coloured(spark, sf_dir).select("page_id", "line_id", F.round("difference", 5).alias("difference"))
+
+
+@query(
+    "G16_contrast",
+    f"""WITH {DIFFERENCE_SQL} SELECT page_id, line_id, CASE WHEN difference < 30 THEN CASE WHEN (fg_r + fg_g + fg_b) / 3.0 <= 127 THEN 255 ELSE 0 END ELSE bg_r END AS r,
+CASE WHEN difference < 30 THEN CASE WHEN (fg_r + fg_g + fg_b) / 3.0 <= 127 THEN 255 ELSE 0 END ELSE bg_g END AS g, CASE WHEN difference < 30 THEN CASE WHEN (fg_r + fg_g + fg_b) / 3.0 <= 127 THEN 255 ELSE 0 END ELSE bg_b END AS b, difference > 15 AS stroked FROM differences""",
+)
 def contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = F.abs(F.col("fg_r") - F.col("fg_b")) + F.abs(F.col("fg_g") - F.col("fg_b")) < 30
-    dark = (F.col("fg_r") + F.col("fg_g") + F.col("fg_b")) / 3 <= 127
-    return each_line(spark, sf_dir, bg=F.when(near, F.when(dark, 255).otherwise(0)).otherwise(F.col("fg_b")))
+    """A ground too like its letters becomes white or black; letters are stroked unless the colours are nearly the same."""
+    plain = F.when((F.col("fg_r") + F.col("fg_g") + F.col("fg_b")) / 3 <= 127, 255).otherwise(0)
+    fixed = [F.when(F.col("difference") < 30, plain).otherwise(F.col(f"bg_{c}")).alias(c) for c in "rgb"]
+    return coloured(spark, sf_dir).select("page_id", "line_id", *fixed, (F.col("difference") > 15).alias("stroked"))
 
 
 @query(
@@ -130,6 +218,56 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_line(spark, sf_dir, x2=x + w, y2=y + h, x3=x, y3=y + h)
 
 
+BENT_SQL = f"""{LINES_SQL}, bent AS (SELECT page_id, line_id, x AS x1, y AS y1, x + w AS x2, y + line_id % 3 AS y2, x + w - (line_id * 17) % 60 AS x3, y + h AS y3, x AS x4, y + h - (line_id * 11) % 40 AS y4, x, y, w, h, (line_id * 13) % 100 - 50 AS angle FROM lines)"""
+_TURNS = [f"((x{b} - x{a}) * (y{c} - y{b}) - (y{b} - y{a}) * (x{c} - x{b}))" for a, b, c in ((1, 2, 3), (2, 3, 4), (3, 4, 1), (4, 1, 2))]
+
+
+@query(
+    "G26_sound_quads",
+    f"""WITH {BENT_SQL}, judged AS (SELECT *, abs(x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y4 - x4 * y3 + x4 * y1 - x1 * y4) / 2.0 < 20
+  OR NOT (least({", ".join(_TURNS)}) >= 0 OR greatest({", ".join(_TURNS)}) <= 0)
+  OR least({", ".join(f"power(x{b} - x{a}, 2) + power(y{b} - y{a}, 2)" for a, b in ((1, 2), (2, 3), (3, 4), (4, 1)))}) < 16 AS poor FROM bent),
+held AS (SELECT page_id, line_id, angle, CASE WHEN poor THEN x ELSE x1 END::DOUBLE AS px, CASE WHEN poor THEN y ELSE y1 END::DOUBLE AS py, CASE WHEN poor THEN x + w ELSE x2 END::DOUBLE AS qx, CASE WHEN poor THEN y ELSE y2 END::DOUBLE AS qy,
+  CASE WHEN poor THEN x + w ELSE x3 END::DOUBLE AS rx, CASE WHEN poor THEN y + h ELSE y3 END::DOUBLE AS ry, CASE WHEN poor THEN x ELSE x4 END::DOUBLE AS sx, CASE WHEN poor THEN y + h ELSE y4 END::DOUBLE AS sy FROM judged),
+turned AS (SELECT *, radians(CASE WHEN abs(angle) > 10 AND abs(angle) < 45 AND abs(degrees(atan2(qy - py, qx - px))) < 3 THEN greatest(-10, least(10, angle * 0.35::DOUBLE)) ELSE 0 END) AS t, (px + qx + rx + sx) / 4 AS mx, (py + qy + ry + sy) / 4 AS my FROM held)
+SELECT page_id, line_id, {", ".join(f"round(mx + ({k}x - mx) * cos(t) - ({k}y - my) * sin(t), 4) + 0.0 AS {k}x, round(my + ({k}x - mx) * sin(t) + ({k}y - my) * cos(t), 4) + 0.0 AS {k}y" for k in "pqrs")} FROM turned""",
+)
+def sound_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with one corner pulled in and one pulled up, some out of shape."""
+    x, y, w, h, k = G.cols(*"xywh", "line_id")
+    bent = [(x, y), (x + w, y + k % 3), (x + w - k * 17 % 60, y + h), (x, y + h - k * 11 % 40)]
+    quad = G.sound_quad(bent, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)], k * 13 % 100 - 50)
+    return each_line(spark, sf_dir, **{f"{name}{c}": F.round(v, 4) + F.lit(0.0) for name, corner in zip("pqrs", quad) for c, v in zip("xy", corner)})
+
+
+#: Two regions, a line and the next one of its page, that share the bubble round the first.
+SHARED_SQL = f"""{LINES_SQL}, shared AS (SELECT a.page_id, a.line_id, a.x - 8 AS ox, a.y - 8 AS oy, a.w + 16 AS ow, a.h + 16 AS oh, a.x + a.w / 2.0 AS cxi, a.y + a.h / 2.0 AS cyi, b.x + b.w / 2.0 AS cxj, b.y + b.h / 2.0 AS cyj {NEXT_SQL})"""
+
+
+@query(
+    "G27_bubble_split",
+    f"""WITH {SHARED_SQL}, c AS (SELECT *, abs(cxi - cxj) > abs(cyi - cyj) AS across, greatest(ox + 10, least(CAST(trunc((cxi + cxj) / 2) AS BIGINT), ox + ow - 10)) AS sx, greatest(oy + 10, least(CAST(trunc((cyi + cyj) / 2) AS BIGINT), oy + oh - 10)) AS sy FROM shared),
+f AS (SELECT *, CASE WHEN across THEN cxi <= cxj ELSE cyi <= cyj END AS leads FROM c)
+SELECT page_id, line_id, CASE WHEN across AND NOT leads THEN sx ELSE ox END AS x, CASE WHEN NOT across AND NOT leads THEN sy ELSE oy END AS y,
+CASE WHEN NOT across THEN ow WHEN leads THEN sx - ox ELSE ox + ow - sx END AS w, CASE WHEN across THEN oh WHEN leads THEN sy - oy ELSE oy + oh - sy END AS h FROM f""",
+)
+def bubble_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of a shared bubble that stays with its first region: cut half-way between the centres, along the axis on which they are further apart, 10 pixels from the edge at least."""
+    lines = text_lines(spark, sf_dir)
+    x, y, w, h = G.cols(*"xywh")
+    middle = lambda k: [(x + w / 2).alias(f"cx{k}"), (y + h / 2).alias(f"cy{k}")]
+    mine = lines.select("page_id", "line_id", (x - 8).alias("bx"), (y - 8).alias("by"), (w + 16).alias("bw"), (h + 16).alias("bh"), *middle("i"))
+    df = mine.join(lines.select("page_id", (F.col("line_id") - 1).alias("line_id"), *middle("j")), ["page_id", "line_id"])
+    across = F.abs(F.col("cxi") - F.col("cxj")) > F.abs(F.col("cyi") - F.col("cyj"))
+    cut = lambda c, low, size: F.greatest(F.col(low) + 10, F.least(((F.col(f"c{c}i") + F.col(f"c{c}j")) / 2).cast("long"), F.col(low) + F.col(size) - 10))
+    df = df.withColumns({"across": across, "sx": cut("x", "bx", "bw"), "sy": cut("y", "by", "bh")})
+    df = df.withColumn("leads", F.when(F.col("across"), F.col("cxi") <= F.col("cxj")).otherwise(F.col("cyi") <= F.col("cyj")))
+    part = lambda along, low, size, at: (F.when(along & ~F.col("leads"), F.col(at)).otherwise(F.col(low)), F.when(~along, F.col(size)).when(F.col("leads"), F.col(at) - F.col(low)).otherwise(F.col(low) + F.col(size) - F.col(at)))
+    px, pw = part(F.col("across"), "bx", "bw", "sx")
+    py, ph = part(~F.col("across"), "by", "bh", "sy")
+    return df.select("page_id", "line_id", px.alias("x"), py.alias("y"), pw.alias("w"), ph.alias("h"))
+
+
 @query("G30_extended_rect", f"WITH {LINES_SQL} SELECT page_id, line_id, greatest(x - 6, 0) AS x1, greatest(y - 6, 0) AS y1, least(w + 12, 240 - greatest(x - 6, 0) - 1) AS w1, least(h + 12, 240 - greatest(y - 6, 0) - 1) AS h1 FROM lines")
 def extended_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, w, h = G.cols(*"xywh")
@@ -166,9 +304,9 @@ def overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("page_id", "line_id", F.round(F.greatest(F.lit(0.0), need / F.col("w") - 1), 6).alias("overflow"), F.round(F.least(F.lit(1.0), F.col("w") / need), 6).alias("shrink"))
 
 
-@query("G37_gamma", f"WITH {LINES_SQL} SELECT page_id, round(ln(127.5) / ln(avg(fg_r) + 2), 6) AS gamma FROM lines GROUP BY page_id")
+@query("G37_gamma", f"WITH {LINES_SQL} SELECT page_id, round(ln(127.5) / ln(avg(fg_r) + 1e-6::DOUBLE), 5) AS gamma FROM lines GROUP BY page_id")
 def gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_lines(spark, sf_dir).groupBy("page_id").agg(F.round(F.log(F.lit(127.5)) / F.log(F.avg("fg_r") + 2), 6).alias("gamma"))
+    return text_lines(spark, sf_dir).groupBy("page_id").agg(F.round(F.log(F.lit(127.5)) / F.log(F.avg("fg_r") + 1e-6), 5).alias("gamma"))
 
 
 @query("G38_inclusive_size", f"WITH {LINES_SQL} SELECT page_id, line_id, greatest(1, w + 1) AS bw, greatest(1, h + 1) AS bh FROM lines")

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from vellum.functions.geometry import box_gap, iou, overlap_area
 from vellum.functions.languages import FROM_ISO, NAMES, ORIENTATION
 from vellum.operators import regions as R
-from vellum.operators.graph import connected_components
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.scratch import Scratch
@@ -62,6 +61,34 @@ def component_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("page_id", "component").agg(F.min(rank).alias("best")).select("page_id", "component", "best.line_id", F.round("best.share", 6).alias("share"))
 
 
+@query(
+    "P11_components_kept",
+    f"""WITH {LINES_SQL}, parts AS (SELECT page_id, line_id AS component, x - 4 AS x, y - 4 AS y, 2 + (line_id * 5) % 23 AS w, 2 + (line_id * 3) % 19 AS h FROM lines),
+pairs AS (SELECT a.page_id, a.component, a.w * a.h AS area, b.line_id, b.w * b.h AS line_area, greatest(least(b.w, b.h, a.w, a.h), 10) AS unit,
+  CAST(greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS DOUBLE) / least(a.w * a.h, b.w * b.h) AS share,
+  sqrt(CAST(power(greatest(b.x - (a.x + a.w / 2.0), (a.x + a.w / 2.0) - (b.x + b.w), 0), 2) + power(greatest(b.y - (a.y + a.h / 2.0), (a.y + a.h / 2.0) - (b.y + b.h), 0), 2) AS DOUBLE)) AS far
+  FROM parts a JOIN lines b ON a.page_id = b.page_id WHERE a.w * a.h > 9),
+most AS (SELECT *, row_number() OVER (PARTITION BY page_id, component ORDER BY share DESC, line_id) AS nth FROM pairs), nearest AS (SELECT *, row_number() OVER (PARTITION BY page_id, component ORDER BY far, line_id) AS nth FROM pairs)
+SELECT m.page_id, m.component, CASE WHEN m.share > 0.01 THEN m.line_id ELSE n.line_id END AS line_id FROM most m JOIN nearest n ON n.page_id = m.page_id AND n.component = m.component AND n.nth = 1
+WHERE m.nth = 1 AND m.area < m.line_area AND (m.share > 0.01 OR n.far < 0.5 * n.unit)""",
+)
+def components_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over 9 pixels that are smaller than the line they overlap most: that line takes them, or, with hardly any overlap, the nearest one if it is near enough."""
+    lines, k = text_lines(spark, sf_dir), F.col("line_id")
+    parts = lines.select("page_id", k.alias("component"), (F.col("x") - 4).alias("a_x"), (F.col("y") - 4).alias("a_y"), (2 + k * 5 % 23).alias("a_w"), (2 + k * 3 % 19).alias("a_h")).where("a_w * a_h > 9")
+    both = parts.join(lines.select("page_id", "line_id", *[F.col(c).alias(f"b_{c}") for c in "xywh"]), "page_id")
+    area, line_area = F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h")
+    cx, cy = F.col("a_x") + F.col("a_w") / 2, F.col("a_y") + F.col("a_h") / 2
+    off = lambda c, low, size: F.greatest(F.col(low) - c, c - (F.col(low) + F.col(size)), F.lit(0.0))
+    df = both.select("page_id", "component", "line_id", area.alias("area"), line_area.alias("line_area"), (overlap_area("a", "b") / F.least(area, line_area)).alias("share"), F.hypot(off(cx, "b_x", "b_w"), off(cy, "b_y", "b_h")).alias("far"), F.greatest(F.least("a_w", "a_h", "b_w", "b_h"), F.lit(10)).alias("unit"))
+    most = F.min(F.struct(-F.col("share"), "line_id", "share", "line_area")).alias("most")
+    nearest = F.min(F.struct("far", "line_id", "unit")).alias("nearest")
+    best = df.groupBy("page_id", "component").agg(F.min("area").alias("area"), most, nearest)
+    overlaps = F.col("most.share") > 0.01
+    best = best.where((F.col("area") < F.col("most.line_area")) & (overlaps | (F.col("nearest.far") < 0.5 * F.col("nearest.unit"))))
+    return best.select("page_id", "component", F.when(overlaps, F.col("most.line_id")).otherwise(F.col("nearest.line_id")).alias("line_id"))
+
+
 @query(
     "J5_overlaps",
     f"""WITH {LINES_SQL}, pairs AS (SELECT a.page_id, a.line_id AS src, b.line_id AS dst, a.w * a.h + b.w * b.h AS total,
@@ -102,25 +129,27 @@ SELECT page_id, line_id, min(seen) AS component FROM reach GROUP BY page_id, lin
 
 @query("J8_components", COMPONENTS_SQL)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scale-out form: alternating stars over all pages at once, nodes numbered page by page."""
-    lines = text_lines(spark, sf_dir)
-    node = lambda c: F.col("page_id") * 4096 + F.col(c)  # noqa: E731  a page holds fewer than 4096 lines
+    """A component's name is its least line."""
     with Scratch(spark, "components") as scratch:
-        edges = R.merge_pairs(lines).select(node("src").alias("u"), node("dst").alias("v"))
-        labels = scratch.write(connected_components(edges, scratch), "labels", keep=True)
-    joined = lines.select("page_id", "line_id", node("line_id").alias("node")).join(labels, "node", "left")
-    return joined.select("page_id", "line_id", F.coalesce(F.col("component") - F.col("page_id") * 4096, F.col("line_id")).alias("component"))
+        lines = R.line_components(text_lines(spark, sf_dir), scratch).select("page_id", "line_id", F.col("component").alias("number"))
+        lines = scratch.write(lines, "numbered", keep=True)
+    names = lines.groupBy("number").agg(F.min("line_id").alias("component"))
+    return lines.join(names, "number").select("page_id", "line_id", "component")
 
 
 @query("J9_tree_weight")
 def tree_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of each component's least spanning tree, by region."""
-    return R.regions(text_lines(spark, sf_dir)).groupBy("page_id", "region_id").agg(F.round(F.max("tree_weight"), 6).alias("tree_weight"))
+    with Scratch(spark, "tree-weight") as scratch:
+        found = R.regions(text_lines(spark, sf_dir), scratch)
+    return found.groupBy("page_id", "region_id").agg(F.round(F.max("tree_weight"), 6).alias("tree_weight"))
 
 
 @query("J10_regions")
 def split_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.regions(text_lines(spark, sf_dir)).select("page_id", "line_id", "region_id")
+    with Scratch(spark, "regions") as scratch:
+        found = R.regions(text_lines(spark, sf_dir), scratch)
+    return found.select("page_id", "line_id", "region_id")
 
 
 @query(

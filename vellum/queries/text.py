@@ -96,6 +96,38 @@ def cjk_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.is_cjk_code(F.col("lang")).alias("cjk"))
 
 
+#: Every word of the benchmark and of the product names, with a language by its length.
+WORDS_SQL = "words AS (SELECT DISTINCT word, CASE WHEN length(word) % 5 = 4 THEN 'ja_JP' ELSE 'en_US' END AS lang FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark UNION ALL SELECT replace(p_name, ' ', '') FROM part) WHERE word <> '')"
+
+
+@query(
+    "T17_syllables",
+    f"""WITH {WORDS_SQL}, b AS (SELECT *, string_split(substr(word, 1, 1) || regexp_replace(substr(word, 2), '([{T.VOWELS}])([^{T.VOWELS}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS broken FROM words)
+SELECT word, array_to_string(CASE WHEN length(word) <= 3 OR regexp_matches(lang, '^(ja|jp|zh|ko|th|lo|my|km)') THEN [word] WHEN length(word) <= 9 THEN CASE WHEN len(broken) BETWEEN 2 AND 4 THEN broken ELSE [word] END
+WHEN length(word) > 15 THEN list_transform(range(0, CAST(ceil(length(word) / 3.0) AS BIGINT)), lambda k: substr(word, CAST(k * 3 + 1 AS BIGINT), 3)) ELSE [word] END, '|') AS parts FROM b""",
+)
+def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    words = words.union(read_table(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("")))).where("word <> ''").distinct()
+    lang = F.when(F.length("word") % 5 == 4, "ja_JP").otherwise("en_US")
+    return words.select("word", F.array_join(T.syllables(F.col("word"), lang), "|").alias("parts"))
+
+
+RUN_SQL = T.VALUABLE[:-1] + T.RIGHT_TO_LEFT[1:]
+
+
+@query("T19_reversed_runs", f"SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)({RUN_SQL}+|.)'), lambda p: reverse(p)), '') AS text FROM benchmark")
+def reversed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "benchmark").select("item_id", T.left_to_right_runs_reversed(F.col("text")).alias("text"))
+
+
+@query("W14_vertical_wrap")
+def vertical_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a 20-pixel font in 400 pixels; widths are synthetic, no font's."""
+    columns = T.wrapped_columns(F.col("text"), F.lit(400), F.lit(20), F.lit(12))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(columns).alias("place", "c")).select("item_id", "place", "c.text", "c.height")
+
+
 @query("T21_complexity", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'easy') THEN 'easy' WHEN contains(lower(p_name), 'medium') THEN 'medium' WHEN contains(lower(p_name), 'complex') THEN 'complex' ELSE 'unknown' END AS complexity FROM part")
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select("p_partkey", T.complexity(F.col("p_name")).alias("complexity"))

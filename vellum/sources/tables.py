@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir``; only Spark's reader touches the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(index, token) of a dictionary file, a token a line, numbered from 0 in the order of the lines; line ends go, spaces stay.
+
+    A file is one text value here, as its lines' order is what numbers them.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    return whole.select(F.posexplode(lines).alias("index", "token"))

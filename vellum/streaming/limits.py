@@ -15,7 +15,7 @@ def over_limit(events: DataFrame, limit: int = PER_MINUTE, user: str = "user_id"
     return counts.where(F.col("n") > limit).select(F.col(user), F.col("window.start").alias("minute"), "n")
 
 
-def waits(events: DataFrame, user: str = "user_id", ts: str = "ts", pace: float = PACE_SECONDS) -> DataFrame:
-    """Add wait: whether less than the pace has gone since the user's request before."""
-    before = F.lag(ts).over(Window.partitionBy(user).orderBy(ts))
+def waits(events: DataFrame, user: str = "user_id", ts: str = "ts", pace: float = PACE_SECONDS, tie: str = "event_id") -> DataFrame:
+    """Add wait: whether less than the pace has gone since the user's request before; of requests at one time ``tie`` says which comes first."""
+    before = F.lag(ts).over(Window.partitionBy(user).orderBy(ts, tie))
     return events.withColumn("wait", F.coalesce(F.timestamp_diff("MICROSECOND", before, F.col(ts)) < int(pace * 1_000_000), F.lit(False)))
