@@ -8,10 +8,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry as G, text as T
+from vellum.functions import geometry as G, text as T, wrapping
 from vellum.operators.graph import connected_components
 from vellum.operators.ordering import insertion_order
-from vellum.operators.regions import line_components, regions
+from vellum.operators.regions import line_components, regions, split_shared
+from vellum.sources.config import config
 from vellum.sources.scratch import Scratch, clean
 from vellum.sources.tables import read_dictionary
 from vellum.streaming.limits import over_limit
@@ -200,6 +201,145 @@ def test_vertical_wrap_equals_brute_force(spark):
         assert [(x.text, x.height) for x in row.c] == [*lines, (line, height)]
 
 
+def test_horizontal_wrap():
+    W = wrapping
+    size = 20  # letters 11 wide, spaces 6, hyphens 7
+    assert W.wrap("", size, 300, 200) == []
+    assert W.wrap("one two three", size, 300, 200) == [("one two three", 11 * 11 + 2 * 6)]
+    assert [t for t, _ in W.wrap("one two three", size, 60, 200)] == ["one", "two", "three"]
+    assert [t for t, _ in W.wrap("aaaaaaaaaaaaaaaaaa bb", size, 70, 400)] == ["aaaaaa", "aaaaaa", "aaaaaa", "bb"]
+    assert [t for t, _ in W.wrap("字字字字字 字", size, 60, 200, "ja_JP")] == ["字字字", "字字 字"]
+    r = random.Random(4)
+    for _ in range(300):
+        words = ["".join(r.choice("abei字") for _ in range(r.randrange(1, 24))) for _ in range(r.randrange(1, 14))]
+        w, h = r.randrange(20, 300), r.randrange(20, 300)
+        lines = W.wrap(" ".join(words), size, w, h)
+        assert "".join(t for t, _ in lines).replace(" ", "") == "".join(words)
+        assert all(n == W.width(t, size) for t, n in lines)
+        wide, _ = W.grown(words, size, max(w, 2 * size), h)
+        assert all(n <= wide + W.width("-", size) + size for _, n in lines)  # a line may take a fragment under the font size
+        # no line could have taken the next one's first word whole
+        for (a, n), (b, _) in zip(lines, lines[1:]):
+            first = b.split(" ")[0]
+            if first in words and a.split(" ")[-1] in words:
+                assert n + W.width(" ", size) + W.width(first, size) > wide or W.width(first, size) <= size
+
+
+def test_largest_font_fits_and_the_next_does_not():
+    W = wrapping
+    for text, w, h in (("some words to set", 200, 100), ("a", 60, 60), ("long text " * 40, 400, 300)):
+        got = W.largest_font(text, w, h, 24, "en_US", 0.6, len(text))
+        def fits(size):
+            dense = max(0.0, min(1.0, (len(text) / min(w, h) - 0.22) / 0.35))
+            margin = max(4, int(min(w, h) * max(0.02, min(0.10, 7 / min(w, h))) * (1 + 0.2 * dense)))
+            lines = W.wrap(text, size, w - 2 * margin, h - 2 * margin)
+            return size * len(lines) + max(int(size * 0.15), 3) * (len(lines) - 1) + 2 * margin <= h * max(1, 1.01 - 0.03 * dense) and max(n for _, n in lines) + 2 * margin <= w * max(1, 1.02 - 0.03 * dense)
+        assert got == 10 or fits(got)
+        assert got >= 16 or not fits(got + 1)
+
+
+def test_parts_agree_with_the_column_form(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice("aeioubcdst") for _ in range(r.randrange(1, 20))) for _ in range(300)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.syllables(F.col("w"), F.lit("en")).alias("s"))
+    assert all(x.s == wrapping.parts_of(x.w, "en") for x in df.collect())
+
+    def plain(word):
+        out, now = [], ""
+        for i, c in enumerate(word):
+            now += c
+            if len(now) >= 2 and c in "aeiou" and i + 1 < len(word) and word[i + 1] not in "aeiou":
+                out.append(now)
+                now = ""
+        return [*out, now] if now else out
+
+    for w in words:
+        if 4 <= len(w) <= 9:
+            assert wrapping.parts_of(w, "en") == (plain(w) if 2 <= len(plain(w)) <= 4 else [w])
+
+
+def test_overflow_and_nudged_font(spark):
+    lit = lambda *v: [F.lit(x) for x in v]
+    along, across = wrapping.overflow_scales(*lit(3, 130, 1, 100.0))
+    assert tuple(round(x, 6) for x in spark.range(1).select(along, across).first()) == (1.7, 2.5)
+    fonts = [wrapping.nudged_font(F.lit(20), 0, 10, F.lit(x)) for x in (0.5, 2.0, 9.0)] + [wrapping.nudged_font(F.lit(0), -3, 10, F.lit(1.0))]
+    assert tuple(spark.range(1).select(*fonts).first()) == (20, 24, 27, 10)
+
+
+def test_shared_ground_equals_brute_force(spark):
+    r = random.Random(12)
+    rows = [(page, line, r.randrange(40), r.randrange(40), r.randrange(30, 60), r.randrange(30, 60)) for page in range(40) for line in range(1, r.randrange(2, 8))]
+    bubbles = spark.createDataFrame(rows, BOXES).selectExpr("page_id", "line_id", "x + w / 2 cx", "y + h / 2 cy", "x", "y", "w", "h")
+    want = {}
+    for page in {x[0] for x in rows}:
+        held = {b[1]: b[2:] for b in rows if b[0] == page}
+        centre = {k: (x + w / 2, y + h / 2) for k, (x, y, w, h) in held.items()}
+        for i in sorted(held):
+            for j in sorted(held):
+                if i >= j:
+                    continue
+                (x, y, w, h), (p, q, s, t) = held[i], held[j]
+                both = max(0, min(x + w, p + s) - max(x, p)) * max(0, min(y + h, q + t) - max(y, q))
+                if both / (w * h + s * t - both) < 0.5:
+                    continue
+                (ax, ay), (bx, by) = centre[i], centre[j]
+                if abs(ax - bx) > abs(ay - by):
+                    cut = max(x + 10, min(int((ax + bx) / 2), x + w - 10))
+                    halves = (x, y, cut - x, h), (cut, y, x + w - cut, h)
+                    held[i], held[j] = halves if ax <= bx else halves[::-1]
+                else:
+                    cut = max(y + 10, min(int((ay + by) / 2), y + h - 10))
+                    halves = (x, y, w, cut - y), (x, cut, w, y + h - cut)
+                    held[i], held[j] = halves if ay <= by else halves[::-1]
+        want |= {(page, k): v for k, v in held.items()}
+    got = {(b.page_id, b.line_id): (b.x, b.y, b.w, b.h) for b in split_shared(bubbles).collect()}
+    assert got == want and got != {b[:2]: b[2:] for b in rows}
+
+
+def test_mask_kernels_equal_brute_force():
+    import numpy as np
+
+    from vellum.operators import masks as M
+
+    r = random.Random(3)
+    for _ in range(40):
+        h, w = r.randrange(1, 9), r.randrange(1, 9)
+        grey = np.array([[r.choice((10, 40, 60, 200)) for _ in range(w)] for _ in range(h)])
+        x, y = r.randrange(w), r.randrange(h)
+        reached, todo = set(), [(x, y)]
+        while todo:
+            a, b = todo.pop()
+            if (a, b) in reached or not (0 <= a < w and 0 <= b < h) or abs(int(grey[b, a]) - int(grey[y, x])) > 35:
+                continue
+            reached.add((a, b))
+            todo += [(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)]
+        mask = M.flood_fill(grey, x, y)
+        assert {(int(a), int(b)) for b, a in zip(*np.nonzero(mask))} == reached
+        label = M.labelled(grey > 50)
+        cells = {(a, b) for b in range(h) for a in range(w) if grey[b, a] > 50}
+        touching = [(p[1] * w + p[0], q[1] * w + q[0]) for p in cells for q in cells if p != q and max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1]
+        roots = components([b * w + a for a, b in cells], touching)
+        names = {c: n for n, c in enumerate(sorted(set(roots.values())), 1)}
+        assert all(label[b, a] == names[roots[b * w + a]] for a, b in cells) and (label > 0).sum() == len(cells)
+        for padding in (1, 3, 5):
+            left = M.eroded(mask, x, y, padding)
+            for p in [*range(padding, 1, -2), 0]:
+                keep = np.array([[all(mask[j, i] for j in range(max(0, b - p), min(h, b + p + 1)) for i in range(max(0, a - p), min(w, a + p + 1))) for a in range(w)] for b in range(h)])
+                if keep[y, x]:
+                    break
+            assert (left == keep).all()
+        assert M.eroded(mask, -1, 0, 3) is None
+
+
+def test_settings_fill_in_and_report(spark):
+    rows = ["", None, "{}", '{"detector": {"detection_size": 1024, "box_threshold": 0.5}, "translator": {"target_lang": "CHS"}, "inpainter": {"inpainter": "none"}, "render": {"direction": "horizontal"}, "kernel_size": 5}', "[1]", '{"ocr": ', '{"render": {"alignment": "up"}}', '{"detector": {"detection_size": "wide"}}']
+    got = [r.c for r in spark.createDataFrame(list(enumerate(rows)), "k int, t string").select("k", config(F.col("t")).alias("c")).orderBy("k").collect()]
+    assert [c.error for c in got] == [None, None, None, None, "json", "json", "render.alignment", "json"]
+    assert (got[0].detector.detection_size, got[0].detector.box_threshold, got[0].translator.target_lang, got[0].ocr.prob, got[0].kernel_size) == (1536, 0.7, "ENG", None, 3) and got[0] == got[1] == got[2]
+    full = got[3]
+    assert (full.detector.detection_size, full.detector.box_threshold, full.detector.text_threshold, full.translator.target_lang, full.inpainter.inpainter, full.render.direction, full.kernel_size) == (1024, 0.5, 0.5, "CHS", "none", "horizontal", 5)
+
+
 def test_syllables(spark):
     rows = [("cat", "en", "cat"), ("medium", "en", "me|diu|m"), ("banana", "en", "ba|na|na"), ("strength", "en", "stre|ngth"), ("undefined", "en", "unde|fi|ne|d"), ("babababab", "en", "babababab"), ("a" * 17, "en", "aaa|aaa|aaa|aaa|aaa|aa"), ("hyphenation", "en", "hyphenation"), ("medium", "ja_JP", "medium"), ("easy", "en", "ea|sy"), ("unit", "en", "uni|t")]
     df = spark.createDataFrame(rows, "w string, l string, want string").select("want", F.array_join(T.syllables(F.col("w"), F.col("l")), "|").alias("got"))

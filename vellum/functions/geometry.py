@@ -162,6 +162,11 @@ def sound_quad(points: list[tuple[Column, Column]], base: list[tuple[Column, Col
     return [(cx + (x - cx) * F.cos(by) - (y - cy) * F.sin(by), cy + (x - cx) * F.sin(by) + (y - cy) * F.cos(by)) for x, y in held]
 
 
+def turned(x: Column, y: Column, cx: Column, cy: Column, angle: Column) -> tuple[Column, Column]:
+    """A point turned about a centre, by an angle from the vertical."""
+    return (y - cy) * F.sin(angle) + (x - cx) * F.cos(angle) + cx, (y - cy) * F.cos(angle) - (x - cx) * F.sin(angle) + cy
+
+
 def rect_distance(ax: Column, ay: Column, ax2: Column, ay2: Column, bx: Column, by: Column, bx2: Column, by2: Column) -> Column:
     """Distance of two rectangles given by their corners: between corners, along an axis where they face each other, 0 where they meet."""
     across, down = F.greatest(ax - bx2, bx - ax2), F.greatest(ay - by2, by - ay2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,33 +18,113 @@ def inscribed_rectangle(mask: np.ndarray) -> tuple[int, int, int, int]:
     run of columns spans a rectangle. Of equal areas the first counts: by bottom
     row, then right end, then height.
     """
-    best, area = (0, 0, 0, 0), 0
-    if mask is None or not mask.size:
-        return best
-    heights = np.zeros(mask.shape[1], np.int64)
-    width = np.arange(mask.shape[1], 0, -1)
+    if mask is None or not mask.size or not (mask > 0).any():
+        return 0, 0, 0, 0
+    heights = np.zeros(mask.shape, np.int64)
+    above = heights[0]
     for row, pixels in enumerate(mask > 0):
-        heights = np.where(pixels, heights + 1, 0)
-        for end in range(1, len(heights) + 1):
-            if heights[end - 1] and (end == len(heights) or heights[end] < heights[end - 1]):
-                least = np.minimum.accumulate(heights[end - 1 :: -1])[::-1]  # from each start up to the end
-                areas = least * width[-end:]
-                at = len(areas) - 1 - int(areas[::-1].argmax())
-                if areas[at] > area:
-                    area, tall = int(areas[at]), int(least[at])
-                    best = (at, row - tall + 1, end - at, tall)
-    return best
+        above = heights[row] = np.where(pixels, above + 1, 0)
+    best, found = (0,), (0, 0, 0, 0)
+    least = heights
+    for wide in range(1, mask.shape[1] + 1):  # ``least`` has the least height over each run of ``wide`` columns
+        if wide > 1:
+            least = np.minimum(least[:, :-1], heights[:, wide - 1 :])
+        area = int(least.max()) * wide
+        if area >= best[0] and area:
+            row, start = divmod(int((least == area // wide).argmax()), least.shape[1])
+            rank = (area, -row, -(start + wide), -wide)
+            if rank > best:
+                tall = area // wide
+                best, found = rank, (start, row - tall + 1, wide, tall)
+    return found
 
 
 def inscribed_rectangles(pixels: DataFrame) -> DataFrame:
-    """(mask_id, x, y, w, h) for masks given by their set pixels (mask_id, px, py). A mask is one small task."""
+    """(mask_id, x, y, w, h) for masks given by their set pixels (mask_id, px, py), many masks a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, px, py in zip(batch["mask_id"], batch["px"], batch["py"]):
+                mask = np.zeros((int(py.max()) + 1, int(px.max()) + 1), np.uint8)
+                mask[py, px] = 1
+                rows.append((name, *inscribed_rectangle(mask)))
+            yield pd.DataFrame(rows, columns=["mask_id", "x", "y", "w", "h"])
+
+    held = pixels.groupBy("mask_id").agg(F.collect_list(F.struct(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))).alias("p"))
+    return held.select("mask_id", "p.px", "p.py").mapInPandas(run, RECTANGLES)
+
+
+def flooded(mask: np.ndarray, x: int, y: int) -> np.ndarray:
+    """The set pixels that touch (x, y) side by side, over any number of steps; none if that one is not set."""
+    reached = np.zeros_like(mask, bool)
+    reached[y, x] = mask[y, x]
+    while True:
+        grown = reached.copy()
+        grown[1:] |= reached[:-1]
+        grown[:-1] |= reached[1:]
+        grown[:, 1:] |= reached[:, :-1]
+        grown[:, :-1] |= reached[:, 1:]
+        grown &= mask
+        if (grown == reached).all():
+            return reached
+        reached = grown
+
+
+def flood_fill(grey: np.ndarray, x: int, y: int, near: int = 35) -> np.ndarray:
+    """Pixels joined to the seed whose grey is within ``near`` of its grey."""
+    return flooded(np.abs(grey.astype(int) - int(grey[y, x])) <= near, x, y)
+
+
+def eroded(mask: np.ndarray, x: int, y: int, padding: int) -> np.ndarray | None:
+    """The mask without pixels nearer than ``padding`` to an unset one, along either axis; with less padding, two at a time, until (x, y) stays.
+
+    What lies outside the image does not count as unset. None if (x, y) is outside or not set.
+    """
+    h, w = mask.shape
+    if not (0 <= x < w and 0 <= y < h) or not mask[y, x]:
+        return None
+    holes = np.zeros((h + 1, w + 1), np.int64)
+    holes[1:, 1:] = np.cumsum(np.cumsum(~mask, axis=0), axis=1)
+    for p in range(padding, 1, -2):
+        top, bottom = np.clip(np.arange(h) - p, 0, h), np.clip(np.arange(h) + p + 1, 0, h)
+        left, right = np.clip(np.arange(w) - p, 0, w), np.clip(np.arange(w) + p + 1, 0, w)
+        inside = holes[np.ix_(bottom, right)] - holes[np.ix_(top, right)] - holes[np.ix_(bottom, left)] + holes[np.ix_(top, left)]
+        if inside[y, x] == 0:
+            return inside == 0
+    return mask
+
+
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """Components of set pixels that touch by a side or corner, numbered from 1 in the order of their first pixels; 0 for unset ones."""
+    h, w = mask.shape
+    far = h * w
+    label = np.full((h + 2, w + 2), far)
+    inner = label[1:-1, 1:-1]
+    inner[mask] = np.arange(far).reshape(h, w)[mask]
+    while True:
+        least = np.minimum.reduce([label[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
+        least = np.where(mask, least, far)
+        if (least == inner).all():
+            break
+        inner[:] = least
+    names, place = np.unique(inner, return_inverse=True)
+    return np.where(mask, place.reshape(h, w) + 1, 0)
+
+
+IMAGES = "image_id bigint, w int, h int, grey array<int>"
+
+
+def over_images(images: DataFrame, schema: str, each: Callable[[int, np.ndarray], list[tuple]]) -> DataFrame:
+    """Rows of ``each``(image_id, grey) for images of :data:`IMAGES`, many of them a batch."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((int(frame["py"].max()) + 1, int(frame["px"].max()) + 1), np.uint8)
-        mask[frame["py"], frame["px"]] = 1
-        return pd.DataFrame([(int(frame["mask_id"].iloc[0]), *inscribed_rectangle(mask))], columns=["mask_id", "x", "y", "w", "h"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, *r) for i, w, h, grey in zip(batch["image_id"], batch["w"], batch["h"], batch["grey"]) for r in each(i, np.asarray(grey, int).reshape(h, w))]
+            yield pd.DataFrame(rows, columns=names)
 
-    return pixels.groupBy("mask_id").applyInPandas(one, RECTANGLES)
+    return images.select("image_id", "w", "h", "grey").mapInPandas(run, schema)
 
 
 def policy(box: dict[str, Column], inner: dict[str, Column]) -> dict[str, Column]:

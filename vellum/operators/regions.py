@@ -88,6 +88,47 @@ def _split(nodes: list[int], gap: np.ndarray, font: np.ndarray, centre: np.ndarr
     return done
 
 
+def split_shared(bubbles: DataFrame) -> DataFrame:
+    """(page_id, line_id, x, y, w, h) of ``bubbles``, a rectangle x, y, w, h and a centre cx, cy for each line, where those of IoU 0.5 and more have shared out their ground.
+
+    Pairs go in the order of their lines, and a cut holds for the pairs after it,
+    so a page with an overlap is one array and its fold. The first rectangle of a
+    pair is cut half-way between the centres, along the axis on which they are
+    further apart, 10 pixels from its edges at least; both parts are of it.
+    """
+    box = F.struct("line_id", "cx", "cy", *[F.col(c).cast("long").alias(c) for c in "xywh"])
+    pages = bubbles.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    last = F.size("boxes") - 1
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i < last, F.transform(F.sequence(F.least(i + 1, last), last), lambda j: F.struct(i.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))))
+
+    def alike(p: Column, q: Column) -> Column:
+        across = F.greatest(F.least(p["x"] + p["w"], q["x"] + q["w"]) - F.greatest(p["x"], q["x"]), F.lit(0))
+        down = F.greatest(F.least(p["y"] + p["h"], q["y"] + q["h"]) - F.greatest(p["y"], q["y"]), F.lit(0))
+        union = p["w"] * p["h"] + q["w"] * q["h"] - across * down
+        return (union > 0) & (2 * across * down >= union)
+
+    def parts(p: Column, q: Column) -> tuple[Column, Column]:
+        along = F.abs(p["cx"] - q["cx"]) > F.abs(p["cy"] - q["cy"])
+        leads = F.when(along, p["cx"] <= q["cx"]).otherwise(p["cy"] <= q["cy"])
+        cut = lambda c, size: F.greatest(p[c] + 10, F.least(((p[f"c{c}"] + q[f"c{c}"]) / 2).cast("long"), p[c] + p[size] - 10))
+        sx, sy = cut("x", "w"), cut("y", "h")
+        part = lambda r, first: F.struct(
+            r["line_id"].alias("line_id"), r["cx"].alias("cx"), r["cy"].alias("cy"),
+            F.when(along & ~first, sx).otherwise(p["x"]).alias("x"), F.when(~along & ~first, sy).otherwise(p["y"]).alias("y"),
+            F.when(~along, p["w"]).when(first, sx - p["x"]).otherwise(p["x"] + p["w"] - sx).alias("w"), F.when(along, p["h"]).when(first, sy - p["y"]).otherwise(p["y"] + p["h"] - sy).alias("h"),
+        )
+        return part(p, leads), part(q, ~leads)
+
+    def settle(boxes: Column, pair: Column) -> Column:
+        p, q = F.get(boxes, pair["i"]), F.get(boxes, pair["j"])
+        one, two = parts(p, q)
+        return F.when(alike(p, q), F.transform(boxes, lambda b, k: F.when(k == pair["i"], one).when(k == pair["j"], two).otherwise(b))).otherwise(boxes)
+
+    some = F.exists(pairs, lambda pair: alike(F.get("boxes", pair["i"]), F.get("boxes", pair["j"])))
+    done = F.when(some, F.aggregate(pairs, F.col("boxes"), settle)).otherwise(F.col("boxes"))
+    return pages.select("page_id", F.explode(done).alias("b")).select("page_id", "b.line_id", "b.x", "b.y", "b.w", "b.h")
+
+
 def line_components(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float] = MERGE) -> DataFrame:
     """page_id, line_id, x, y, w, h, component: a number that the lines joined by merge pairs share.
 

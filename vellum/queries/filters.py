@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vellum.functions import text as T
 from vellum.functions.languages import FROM_ISO, NAMES, ORIENTATION
 from vellum.queries.registry import query
+from vellum.sources.config import config
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.tables import read_table
 
@@ -15,10 +16,24 @@ NAME_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in NAMES.items())
 ORIENTATION_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in ORIENTATION.items())
 
 
-@query("S4_json_config", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.mode'), 'auto') AS mode FROM events")
+#: A request's settings from an event's number: some left out, some of no choice, some no JSON.
+CONFIG_TEXT_SQL = """CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN '{"detector": {"detection_size": ' || (1024 + k) || ', "box_threshold": 0.5}, "translator": {"target_lang": "CHS"}}'
+WHEN 2 THEN '{"render": {"direction": "horizontal", "font_size_offset": ' || k || '}}' WHEN 3 THEN '{"render": {"direction": "sideways"}}' WHEN 4 THEN '{"detector": {"detection_size": ' WHEN 5 THEN '{"inpainter": {"inpainter": "none"}, "ocr": {"prob": 0.25}}' ELSE '{}' END"""
+
+
+@query(
+    "S4_json_config",
+    f"""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), t AS (SELECT event_id, k, {CONFIG_TEXT_SQL} AS config FROM e),
+j AS (SELECT event_id, k, CASE WHEN config = '' THEN '{{}}' WHEN json_valid(config) THEN config END AS j FROM t)
+SELECT event_id, coalesce(CAST(json_extract(j, '$.detector.detection_size') AS INT), 1536) AS detection_size, coalesce(CAST(json_extract(j, '$.detector.box_threshold') AS DOUBLE), 0.7) AS box_threshold, coalesce(json_extract_string(j, '$.translator.target_lang'), 'ENG') AS target_lang,
+coalesce(json_extract_string(j, '$.render.direction'), 'auto') AS direction, coalesce(CAST(json_extract(j, '$.render.font_size_offset') AS INT), 0) AS font_size_offset, coalesce(json_extract_string(j, '$.inpainter.inpainter'), 'lama_large') AS inpainter, CAST(json_extract(j, '$.ocr.prob') AS DOUBLE) AS prob,
+CASE WHEN j IS NULL THEN 'json' WHEN coalesce(json_extract_string(j, '$.render.direction'), 'auto') NOT IN ('auto', 'horizontal', 'vertical') THEN 'render.direction' END AS error FROM j WHERE k IS NOT NULL""",
+)
 def json_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.from_json("props", "k bigint, mode string")
-    return read_table(spark, sf_dir, "events").select("event_id", parsed.alias("c")).select("event_id", F.coalesce("c.k", F.lit(0)).alias("k"), F.coalesce("c.mode", F.lit("auto")).alias("mode"))
+    events = read_table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k IS NOT NULL")
+    parsed = events.select("event_id", config(F.expr(CONFIG_TEXT_SQL)).alias("c"))
+    wanted = ("detector.detection_size", "detector.box_threshold", "translator.target_lang", "render.direction", "render.font_size_offset", "inpainter.inpainter", "ocr.prob", "error")
+    return parsed.select("event_id", *[F.col(f"c.{n}").alias(n.split(".")[-1]) for n in wanted])
 
 
 @query("S8_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -73,12 +88,13 @@ def area_over_16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "P6_candidates",
     f"""WITH {LINES_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY line_id) AS nth FROM lines)
-SELECT page_id, line_id FROM ranked WHERE nth <= 1000 AND least(w, h) >= 3 AND prob >= 0.7 AND least(w, h) + 2 >= 5""",
+SELECT page_id, line_id FROM ranked WHERE nth <= 1000 AND least(w, h) >= 3 AND prob >= 0.7 AND least(w, h) + CAST(w * h AS DOUBLE) * CAST(2.3 AS DOUBLE) / (w + h) >= 5""",
 )
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_id numbers a page's lines without gaps, so it is the rank itself."""
+    """line_id numbers a page's lines without gaps, so it is the rank itself; widening by 2.3 times area over perimeter adds to both ends of a side."""
     side = F.least("w", "h")
-    return text_lines(spark, sf_dir).where((F.col("line_id") <= 1000) & (side >= 3) & (F.col("prob") >= 0.7) & (side + 2 >= 5)).select("page_id", "line_id")
+    wider = side + F.col("w") * F.col("h") * F.lit(2.3) / (F.col("w") + F.col("h"))
+    return text_lines(spark, sf_dir).where((F.col("line_id") <= 1000) & (side >= 3) & (F.col("prob") >= 0.7) & (wider >= 5)).select("page_id", "line_id")
 
 
 @query("P7_sure_lines", f"WITH {LINES_SQL} SELECT page_id, line_id, prob FROM lines WHERE NOT prob < 0.7")

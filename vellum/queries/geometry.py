@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vellum.functions import geometry as G
+from vellum.functions.languages import ORIENTATION
 from vellum.queries.filters import IMAGE_SQL, images
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
@@ -19,6 +20,14 @@ MIXED_SQL = f"""{LINES_SQL}, leant AS (SELECT page_id, line_id, x + (line_id * 3
 mixed AS (SELECT page_id, line_id, [{{'x': tx + w, 'y': y}}, {{'x': bx, 'y': y + h}}, {{'x': tx, 'y': y}}, {{'x': bx + w, 'y': y + h}}] AS p FROM leant)"""
 
 
+def mixed_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with p, the corners of MIXED_SQL."""
+    x, y, w, h, k = G.cols(*"xywh", "line_id")
+    top = x + k * 3 % 11 - 5
+    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
+    return text_lines(spark, sf_dir).withColumn("p", F.array(point(top + w, y), point(x, y + h), point(top, y), point(x + w, y + h)))
+
+
 @query(
     "G1_ordered_corners",
     f"""WITH {MIXED_SQL}, pairs AS (SELECT page_id, line_id, p, unnest([[1, 2], [1, 3], [1, 4], [2, 3], [2, 4], [3, 4]]) AS ij FROM mixed),
@@ -28,18 +37,16 @@ s AS (SELECT a.page_id, a.line_id, CASE WHEN a.dx * b.dx + a.dy * b.dy < 0 THEN
 f AS (SELECT page_id, line_id, abs(px * t + qx) <= abs(py * t + qy) AS vertical FROM s),
 c AS (SELECT page_id, line_id, unnest(p) AS q FROM mixed),
 r AS (SELECT c.page_id, c.line_id, f.vertical, q.x AS x, q.y AS y, row_number() OVER (PARTITION BY c.page_id, c.line_id ORDER BY CASE WHEN f.vertical THEN q.y ELSE q.x END, CASE WHEN f.vertical THEN q.x ELSE q.y END) <= 2 AS leads FROM c JOIN f ON f.page_id = c.page_id AND f.line_id = c.line_id),
-o AS (SELECT *, row_number() OVER (PARTITION BY page_id, line_id, leads ORDER BY CASE WHEN vertical THEN x ELSE y END) AS nth FROM r)
-SELECT page_id, line_id, vertical, CASE WHEN vertical THEN CASE WHEN leads THEN nth WHEN nth = 2 THEN 3 ELSE 4 END ELSE CASE WHEN leads THEN CASE nth WHEN 1 THEN 1 ELSE 4 END ELSE nth + 1 END END AS corner, x, y FROM o""",
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id, line_id, leads ORDER BY CASE WHEN vertical THEN x ELSE y END) AS nth FROM r),
+n AS (SELECT page_id, line_id, vertical, CASE WHEN vertical THEN CASE WHEN leads THEN nth WHEN nth = 2 THEN 3 ELSE 4 END ELSE CASE WHEN leads THEN CASE nth WHEN 1 THEN 1 ELSE 4 END ELSE nth + 1 END END AS corner, x, y FROM o)
+SELECT page_id, line_id, vertical, {", ".join(f"max(x) FILTER (corner = {k}) AS x{k}, max(y) FILTER (corner = {k}) AS y{k}" for k in (1, 2, 3, 4))} FROM n GROUP BY page_id, line_id, vertical""",
 )
 def ordered_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the top left clockwise, with whether the quad stands."""
-    x, y, w, h, k = G.cols(*"xywh", "line_id")
-    top = x + k * 3 % 11 - 5
-    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
-    lines = text_lines(spark, sf_dir).withColumn("p", F.array(point(top + w, y), point(x, y + h), point(top, y), point(x + w, y + h)))
+    lines = mixed_corners(spark, sf_dir)
     vertical, corners = G.ordered_corners(F.col("p"))
-    each = lines.select("page_id", "line_id", vertical.alias("vertical"), F.posexplode(corners).alias("at", "q"))
-    return each.select("page_id", "line_id", "vertical", (F.col("at") + 1).cast("long").alias("corner"), "q.x", "q.y")
+    placed = lines.select("page_id", "line_id", vertical.alias("vertical"), corners.alias("q"))
+    return placed.select("page_id", "line_id", "vertical", *[F.col("q")[k][c].alias(f"{c}{k + 1}") for k in range(4) for c in "xy"])
 
 
 @query("G2_midpoints", f"WITH {LINES_SQL} SELECT page_id, line_id, CAST(trunc((x + x + w) / 2.0) AS BIGINT) AS mx, CAST(trunc((y + y + h) / 2.0) AS BIGINT) AS my FROM lines")
@@ -121,22 +128,71 @@ def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_line(spark, sf_dir, rx=whole(F.col("x") * c - F.col("y") * s), ry=whole(F.col("x") * s + F.col("y") * c))
 
 
-@query("G12_min_rect", f"WITH {LINES_SQL} SELECT page_id, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, CAST((max(x + w) - min(x)) * (max(y + h) - min(y)) AS BIGINT) AS area FROM lines GROUP BY page_id")
-def min_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, h = F.max(F.col("x") + F.col("w")) - F.min("x"), F.max(F.col("y") + F.col("h")) - F.min("y")
-    return text_lines(spark, sf_dir).groupBy("page_id").agg(w.alias("w"), h.alias("h"), (w * h).alias("area"))
+#: A page's angle in degrees, from its number.
+TILT_SQL = "((page_id % 7) * 5 - 15)"
 
 
-@query("G13_direction", f"WITH {LINES_SQL}, r AS (SELECT page_id, w, h, row_number() OVER (PARTITION BY page_id ORDER BY w * h DESC, line_id) AS nth FROM lines) SELECT page_id, CASE WHEN CAST(w AS DOUBLE) / h < 1 THEN 'v' ELSE 'h' END AS direction FROM r WHERE nth = 1")
+@query(
+    "G12_min_rect",
+    f"""WITH {LINES_SQL}, c AS (SELECT page_id, x, y, w, h, (min(x) OVER p + max(x + w) OVER p) / 2.0::DOUBLE AS cx, (min(y) OVER p + max(y + h) OVER p) / 2.0::DOUBLE AS cy, radians({TILT_SQL}) AS t FROM lines WINDOW p AS (PARTITION BY page_id)),
+q AS (SELECT page_id, cx, cy, t, unnest([x, x + w, x + w, x]) AS px, unnest([y, y, y + h, y + h]) AS py FROM c),
+r AS (SELECT page_id, cx, cy, t, trunc(round((py - cy) * sin(t) + (px - cx) * cos(t) + cx, 6)) AS rx, trunc(round((py - cy) * cos(t) - (px - cx) * sin(t) + cy, 6)) AS ry FROM q),
+b AS (SELECT page_id, min(cx) AS cx, min(cy) AS cy, min(t) AS t, min(rx) AS x0, min(ry) AS y0, max(rx) AS x1, max(ry) AS y1 FROM r GROUP BY page_id),
+k AS (SELECT page_id, cx, cy, t, unnest([1, 2, 3, 4]) AS n, unnest([x0, x1, x1, x0]) AS px, unnest([y0, y0, y1, y1]) AS py FROM b),
+m AS (SELECT page_id, n, trunc(greatest(0, round((cy - py) * sin(t) + (px - cx) * cos(t) + cx, 6))) AS mx, trunc(greatest(0, round((py - cy) * cos(t) + (px - cx) * sin(t) + cy, 6))) AS my FROM k),
+p AS (SELECT page_id, list(mx ORDER BY n) AS x, list(my ORDER BY n) AS y FROM m GROUP BY page_id),
+z AS (SELECT *, sqrt(pow((x[2] + x[3] - x[4] - x[1]) / 2, 2) + pow((y[2] + y[3] - y[4] - y[1]) / 2, 2)) AS across, sqrt(pow((x[3] + x[4] - x[1] - x[2]) / 2, 2) + pow((y[3] + y[4] - y[1] - y[2]) / 2, 2)) AS down,
+  abs(x[1] * y[2] - x[2] * y[1] + x[2] * y[3] - x[3] * y[2] + x[3] * y[4] - x[4] * y[3] + x[4] * y[1] - x[1] * y[4]) / 2 AS area FROM p)
+SELECT page_id, {", ".join(f"CAST(x[{n}] AS BIGINT) AS x{n}, CAST(y[{n}] AS BIGINT) AS y{n}" for n in (1, 2, 3, 4))}, round(across, 6) AS across, round(down, 6) AS down, round(across / down, 6) AS aspect, area FROM z WHERE down > 0""",
+)
+def min_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of a region turned level, turned back: corners, size along both axes, aspect and area; coordinates are cut to whole pixels and not under 0."""
+    page = Window.partitionBy("page_id")
+    x, y, w, h = G.cols(*"xywh")
+    middle = lambda c, size: (F.min(c).over(page) + F.max(c + size).over(page)) / 2
+    df = text_lines(spark, sf_dir).withColumns({"cx": middle(x, w), "cy": middle(y, h), "t": F.radians(F.col("page_id") % 7 * 5 - 15)})
+    turn = lambda px, py, t: G.turned(px, py, F.col("cx"), F.col("cy"), t)
+    corners = [turn(px, py, F.col("t")) for px, py in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    ends = [f(*[F.round(c[k], 6).cast("long") for c in corners]).alias(n) for f, k, n in ((F.least, 0, "x0"), (F.least, 1, "y0"), (F.greatest, 0, "x1"), (F.greatest, 1, "y1"))]
+    pages = df.select("page_id", "cx", "cy", "t", *ends).groupBy("page_id").agg(*[F.min(c).alias(c) for c in ("cx", "cy", "t", "x0", "y0")], F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    back = [turn(F.col(a), F.col(b), -F.col("t")) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]
+    whole = {f"{c}{n}": F.greatest(F.lit(0.0), F.round(v, 6)).cast("long") for n, p in enumerate(back, 1) for c, v in zip("xy", p)}
+    quad = pages.select("page_id", *[v.alias(k) for k, v in whole.items()])
+    p = [(F.col(f"x{n}"), F.col(f"y{n}")) for n in (1, 2, 3, 4)]
+    size = lambda a, b, c, d: F.hypot((a[0] + b[0] - c[0] - d[0]) / 2, (a[1] + b[1] - c[1] - d[1]) / 2)
+    area = F.abs(sum((a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])), F.lit(0))) / 2
+    quad = quad.withColumns({"across": size(p[1], p[2], p[3], p[0]), "down": size(p[2], p[3], p[0], p[1]), "area": area}).where("down > 0")
+    return quad.select("page_id", *whole, F.round("across", 6).alias("across"), F.round("down", 6).alias("down"), F.round(F.col("across") / F.col("down"), 6).alias("aspect"), "area")
+
+
+#: What a request says of a page, from its number: a direction or none, a target language, an alignment or none.
+ASKED_SQL = """CASE page_id % 6 WHEN 0 THEN 'h' WHEN 1 THEN 'vr' ELSE 'auto' END AS asked, CASE page_id % 4 WHEN 0 THEN 'ARA' WHEN 1 THEN 'JPN' WHEN 2 THEN 'CHS' ELSE 'XXX' END AS lang, CASE page_id % 5 WHEN 0 THEN 'right' ELSE 'auto' END AS align"""
+DIRECTION_SQL = f"""{LINES_SQL}, r AS (SELECT page_id, w, h, count(*) OVER (PARTITION BY page_id) AS n, {ASKED_SQL}, row_number() OVER (PARTITION BY page_id ORDER BY w * h DESC, line_id) AS nth FROM lines),
+preset(code, way) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in ORIENTATION.items())}),
+d AS (SELECT page_id, n, align, CASE WHEN asked IN ('h', 'v', 'hr', 'vr') THEN asked WHEN way IN ('h', 'v', 'hr', 'vr') THEN way WHEN CAST(w AS DOUBLE) / h < 1 THEN 'v' ELSE 'h' END AS direction FROM r LEFT JOIN preset ON code = lang WHERE nth = 1)"""
+
+
+def directed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, n, align, direction: the direction asked for, else the language's, else by the shape of the largest line, the first of equals."""
+    shape = F.min_by(F.when(F.col("w") / F.col("h") < 1, "v").otherwise("h"), F.struct(-(F.col("w") * F.col("h")), F.col("line_id")))
+    pages = text_lines(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n"), shape.alias("shape"))
+    pages = pages.select("page_id", "n", "shape", *[F.expr(x) for x in ASKED_SQL.split(", CASE")[:1]], *[F.expr(f"CASE{x}") for x in ASKED_SQL.split(", CASE")[1:]])
+    preset = F.element_at(F.create_map(*[F.lit(x) for kv in ORIENTATION.items() for x in kv]), F.col("lang"))
+    known = lambda c: F.when(c.isin("h", "v", "hr", "vr"), c)
+    return pages.select("page_id", "n", "align", F.coalesce(known(F.col("asked")), known(preset), F.col("shape")).alias("direction"))
+
+
+@query("G13_direction", f"WITH {DIRECTION_SQL} SELECT page_id, direction FROM d")
 def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    way = F.when(F.col("w") / F.col("h") < 1, "v").otherwise("h")
-    return text_lines(spark, sf_dir).groupBy("page_id").agg(F.min_by(way, F.struct(-(F.col("w") * F.col("h")), F.col("line_id"))).alias("direction"))
+    return directed_pages(spark, sf_dir).select("page_id", "direction")
 
 
-@query("G14_alignment", f"WITH {LINES_SQL} SELECT page_id, CASE WHEN count(*) = 1 OR sum(CASE WHEN h > w THEN 0 ELSE 1 END) * 2 > count(*) THEN 'center' ELSE 'left' END AS alignment FROM lines GROUP BY page_id")
+@query("G14_alignment", f"WITH {DIRECTION_SQL} SELECT page_id, CASE WHEN align IN ('left', 'center', 'right') THEN align WHEN n = 1 OR direction = 'h' THEN 'center' WHEN direction = 'hr' THEN 'right' ELSE 'left' END AS alignment FROM d")
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = F.count_if(~(F.col("h") > F.col("w")))
-    return text_lines(spark, sf_dir).groupBy("page_id").agg(F.when((F.count("*") == 1) | (wide * 2 > F.count("*")), "center").otherwise("left").alias("alignment"))
+    """As asked for; else single lines and left-to-right text in the middle, right-to-left lines on the right, the others on the left."""
+    pages, way = directed_pages(spark, sf_dir), F.col("direction")
+    chosen = F.when(F.col("align").isin("left", "center", "right"), F.col("align")).when((F.col("n") == 1) | (way == "h"), "center").when(way == "hr", "right").otherwise("left")
+    return pages.select("page_id", chosen.alias("alignment"))
 
 
 #: A second colour of each line, more or less like the first.
@@ -185,11 +241,11 @@ def contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "G17_bubble_confidence",
     f"""WITH {LINES_SQL}, b AS (SELECT page_id, line_id, w * h * (1 + line_id % 5) AS flood, w * h AS area, prob, w + line_id % 7 - 3 AS bw, h + line_id % 5 - 2 AS bh, w, h FROM lines)
-SELECT page_id, line_id, round(0.45 * greatest(0.0, least(1.0, (CAST(flood AS DOUBLE) / greatest(area, 1) - 1.0) / 4.0)) + 0.30 * greatest(0.0, least(1.0, prob)) + 0.25 * (0.5 * greatest(0.0, least(1.0, CAST(bw AS DOUBLE) / greatest(w, 1))) + 0.5 * greatest(0.0, least(1.0, CAST(bh AS DOUBLE) / greatest(h, 1)))), 7) AS score FROM b""",
+SELECT page_id, line_id, round(0.45 * greatest(0.0, least(1.0, (CAST(flood AS DOUBLE) / greatest(area, 1) - 1.0) / 4.0)) + 0.30 * greatest(0.0, least(1.0, prob)) + 0.25 * (0.5 * greatest(0.0, least(1.0, CAST(bw AS DOUBLE) / greatest(w, 1))) + 0.5 * greatest(0.0, least(1.0, CAST(bh AS DOUBLE) / greatest(h, 1)))), 9) AS score FROM b""",
 )
 def bubble_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h, k = G.cols("w", "h", "line_id")
-    return each_line(spark, sf_dir, score=F.round(G.bubble_confidence(w * h * (1 + k % 5), w * h, F.col("prob"), w + k % 7 - 3, h + k % 5 - 2, w, h), 7))
+    return each_line(spark, sf_dir, score=F.round(G.bubble_confidence(w * h * (1 + k % 5), w * h, F.col("prob"), w + k % 7 - 3, h + k % 5 - 2, w, h), 9))
 
 
 @query(
@@ -218,6 +274,20 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_line(spark, sf_dir, x2=x + w, y2=y + h, x3=x, y3=y + h)
 
 
+@query(
+    "G25_ordered_points",
+    f"""WITH {MIXED_SQL}, c AS (SELECT page_id, line_id, unnest(p) AS q FROM mixed)
+SELECT page_id, line_id, min_by(q.x, [q.x + q.y, q.x]) AS x1, min_by(q.y, [q.x + q.y, q.x]) AS y1, min_by(q.x, [q.y - q.x, q.x]) AS x2, min_by(q.y, [q.y - q.x, q.x]) AS y2,
+max_by(q.x, [q.x + q.y, q.x]) AS x3, max_by(q.y, [q.x + q.y, q.x]) AS y3, max_by(q.x, [q.y - q.x, q.x]) AS x4, max_by(q.y, [q.y - q.x, q.x]) AS y4 FROM c GROUP BY page_id, line_id""",
+)
+def ordered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By sum and difference of the coordinates: least sum, least difference, largest sum, largest difference."""
+    ranked = lambda key: F.array_sort(F.transform("p", lambda q: F.struct(key(q).alias("k"), q["x"].alias("x"), q["y"].alias("y"))))
+    df = mixed_corners(spark, sf_dir).withColumns({"total": ranked(lambda q: q["x"] + q["y"]), "apart": ranked(lambda q: q["y"] - q["x"])})
+    corner = lambda c, at, n: [F.col(c)[at]["x"].alias(f"x{n}"), F.col(c)[at]["y"].alias(f"y{n}")]
+    return df.select("page_id", "line_id", *corner("total", 0, 1), *corner("apart", 0, 2), *corner("total", 3, 3), *corner("apart", 3, 4))
+
+
 BENT_SQL = f"""{LINES_SQL}, bent AS (SELECT page_id, line_id, x AS x1, y AS y1, x + w AS x2, y + line_id % 3 AS y2, x + w - (line_id * 17) % 60 AS x3, y + h AS y3, x AS x4, y + h - (line_id * 11) % 40 AS y4, x, y, w, h, (line_id * 13) % 100 - 50 AS angle FROM lines)"""
 _TURNS = [f"((x{b} - x{a}) * (y{c} - y{b}) - (y{b} - y{a}) * (x{c} - x{b}))" for a, b, c in ((1, 2, 3), (2, 3, 4), (3, 4, 1), (4, 1, 2))]
 

@@ -101,6 +101,14 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("page_id", F.col("a_line_id").alias("src"), F.col("b_line_id").alias("dst"), F.round("iou", 6).alias("iou"))
 
 
+@query("J5_shared_ground")
+def shared_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bubbles 8 pixels round each line, shared out where they overlap."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    bubbles = text_lines(spark, sf_dir).select("page_id", "line_id", (x + w / 2).alias("cx"), (y + h / 2).alias("cy"), (x - 8).alias("x"), (y - 8).alias("y"), (w + 16).alias("w"), (h + 16).alias("h"))
+    return R.split_shared(bubbles)
+
+
 @query("J6_zip", f"WITH {LINES_SQL} SELECT a.page_id, a.line_id, a.text, upper(b.text) AS translation FROM lines a JOIN lines b ON a.page_id = b.page_id AND a.line_id = b.line_id")
 def zip_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of a page side by side: zipped as arrays, with one shuffle and no join."""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.functions import geometry as G
+from vellum.functions import geometry as G, text as T
+from vellum.functions.wrapping import fitted_font, nudged_font, overflow_scales, wrapped_lines
 from vellum.operators.masks import inscribed_rectangles, policy
 from vellum.operators.stages import REGISTRY
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
+from vellum.sources.tables import read_table
 
 
 @query(
@@ -98,6 +100,51 @@ def drawing_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box.join(inner, "mask_id").select("mask_id", *[c.alias(s) for s, c in chosen.items()])
 
 
+def placed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the pages with their boxes, a translation that is longer than the text, font, and the enlargements it needs.
+
+    Wide boxes are set in lines, tall ones in columns.
+    """
+    w, h = G.cols("w", "h")
+    lines = text_lines(spark, sf_dir).select("page_id", "line_id", "x", "y", "w", "h", "prob", "text", G.font_size(w, h).alias("font"), F.concat_ws(" ", "text", F.when(F.col("line_id") % 2 == 0, F.col("text"))).alias("translation"))
+    lines = lines.withColumns({"rows": wrapped_lines("translation", "font", w + 1.0, h + 1.0, F.lit("en_US")), "columns": T.wrapped_columns(F.col("translation"), h + 1, F.col("font"), F.floor(F.col("font") * 0.6))})
+    wide = [F.size("rows"), F.array_max(F.transform("rows", lambda r: r["width"])), w + 1.0]
+    tall = [F.size("columns"), F.array_max(F.transform("columns", lambda c: c["height"])), h + 1.0]
+    (ax, ay), (by, bx) = (overflow_scales(n, most, F.lit(1), room) for n, most, room in (wide, tall))
+    return lines.withColumns({"scale_x": F.when(w > h, ax).otherwise(bx), "scale_y": F.when(w > h, ay).otherwise(by)}).drop("rows", "columns")
+
+
+@query("G22_overflow_scales")
+def g22_overflow_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed_texts(spark, sf_dir).select("page_id", "line_id", F.round("scale_x", 6).alias("scale_x"), F.round("scale_y", 6).alias("scale_y"))
+
+
+@query("G23_resized_regions")
+def resized_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The font nudged for a longer translation, and the box enlarged about its centre by what overflow asks, within the cap of its confidence."""
+    df = placed_texts(spark, sf_dir)
+    x, y, w, h = G.cols(*"xywh")
+    df = df.withColumn("new_font", nudged_font(F.col("font"), 0, 10, T.length_ratio(F.col("text"), F.col("translation"))))
+    growth = 1.0 + 0.35 * F.greatest(F.lit(0.0), (F.col("new_font") - F.col("font")) / F.col("font"))
+    df = df.withColumn("growth", growth)
+    cap = G.fallback_cap(F.col("prob"), F.greatest("growth", "scale_x", "scale_y"))
+    sx, sy = (F.least(F.greatest("growth", c, F.lit(1.0)), cap) for c in ("scale_x", "scale_y"))
+    df = df.withColumns({"sx": sx, "sy": sy})
+    moved = (F.col("sx") > 1.001) | (F.col("sy") > 1.001)
+    low = lambda at, size, s: F.when(moved, (at + size / 2 - size / 2 * F.col(s)).cast("long")).otherwise(at)
+    high = lambda at, size, s: F.when(moved, (at + size / 2 + size / 2 * F.col(s)).cast("long")).otherwise(at + size)
+    return df.select("page_id", "line_id", F.col("new_font").alias("font"), low(x, w, "sx").alias("x1"), low(y, h, "sy").alias("y1"), high(x, w, "sx").alias("x2"), high(y, h, "sy").alias("y2"))
+
+
+@query("G24_fitted_font")
+def g24_fitted_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest font of each benchmark text in a box that grows with its number."""
+    k, text = F.col("item_id"), F.col("text")
+    side = 80.0 + k % 7 * 40
+    font = fitted_font(text, side * 2, side, F.lit(24), F.lit("en_US"), (k % 10) / 10.0, T.places(text))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", font.alias("font"))
+
+
 @query("E1_identity_stage", f"WITH {LINES_SQL} SELECT page_id, line_id, text AS translation FROM lines")
 def identity_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return REGISTRY["identity translator"]().apply(text_lines(spark, sf_dir).select("page_id", "line_id", "text"))

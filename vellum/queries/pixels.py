@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vellum.operators import masks as M
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.tables import read_table
@@ -82,12 +84,63 @@ def p12_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A16_mask_union",
-    f"""WITH {LINES_SQL}, across AS (SELECT page_id, line_id, y, h, unnest(range(x // 5, (x + w - 1) // 5 + 1)) AS px FROM lines), masks AS (SELECT page_id, line_id, px, unnest(range(y // 5, (y + h - 1) // 5 + 1)) AS py FROM across)
-SELECT page_id, px, py, bit_or(1 << CAST((line_id - 1) % 16 AS INT)) AS mask FROM masks GROUP BY page_id, px, py""",
+    f"""WITH {LINES_SQL}, across AS (SELECT page_id, line_id, y, h, unnest(range(x // 5, (x + w - 1) // 5 + 1)) AS px FROM lines), masks AS (SELECT page_id, line_id, px, unnest(range(y // 5, (y + h - 1) // 5 + 1)) AS py FROM across),
+united AS (SELECT page_id, px, py, bit_or(1 << CAST((line_id - 1) % 16 AS INT)) AS mask FROM masks GROUP BY page_id, px, py)
+SELECT page_id, count(*) AS area, CAST(sum(mask) AS BIGINT) AS total, CAST(max(mask) AS INT) AS most FROM united GROUP BY page_id""",
 )
 def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line's mask has a bit of its own, in cells of 5 pixels; partial unions come before the shuffle."""
+    """Each line's mask has a bit of its own, in cells of 5 pixels; by page the area of the union and what its bits add up to."""
     cells = lambda low, size: F.explode(F.sequence(F.floor(F.col(low) / 5), F.floor((F.col(low) + F.col(size) - 1) / 5)))
     masks = text_lines(spark, sf_dir).withColumn("px", cells("x", "w")).withColumn("py", cells("y", "h"))
     bit = F.call_function("shiftleft", F.lit(1), ((F.col("line_id") - 1) % 16).cast("int"))
-    return masks.groupBy("page_id", "px", "py").agg(F.bit_or(bit).alias("mask"))
+    united = masks.groupBy("page_id", "px", "py").agg(F.bit_or(bit).alias("mask"))
+    return united.groupBy("page_id").agg(F.count("*").alias("area"), F.sum("mask").alias("total"), F.max("mask").alias("most"))
+
+
+def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, w, h, grey: blots of a light and a dark shade, row by row, as arrays."""
+    k = F.col("p_partkey")
+    images = read_table(spark, sf_dir, "part").select(k.alias("image_id"), (12 + F.col("p_size") % 9).cast("int").alias("w"), (10 + k % 7).cast("int").alias("h"))
+    x, y, i = (lambda at: at % F.col("w")), (lambda at: F.floor(at / F.col("w"))), F.col("image_id")
+    light = lambda at: ((x(at) * (i % 5 + 1) + y(at) * (i % 3 + 2)) % 11 < 7) | ((x(at) + y(at) + i) % 6 == 0)
+    shade = lambda at: F.when(light(at), 200 + (x(at) + y(at)) % 20).otherwise(40 + x(at) % 10).cast("int")
+    return images.withColumn("grey", F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), shade))
+
+
+@query("K2_flood_area")
+def flood_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area and bounds of the flood from each image's middle."""
+
+    def each(_: int, grey: np.ndarray) -> list[tuple]:
+        h, w = grey.shape
+        y, x = np.nonzero(M.flood_fill(grey, w // 2, h // 2))
+        return [(len(x), int(x.min()), int(y.min()), int(x.max()), int(y.max()))]
+
+    return M.over_images(grey_images(spark, sf_dir), "image_id bigint, area int, x0 int, y0 int, x1 int, y1 int", each)
+
+
+@query("K3_eroded_area")
+def eroded_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area that is left of each flood when it is eroded by up to 5 pixels."""
+
+    def each(_: int, grey: np.ndarray) -> list[tuple]:
+        h, w = grey.shape
+        left = M.eroded(M.flood_fill(grey, w // 2, h // 2), w // 2, h // 2, 5)
+        return [(int(left.sum()),)]
+
+    return M.over_images(grey_images(spark, sf_dir), "image_id bigint, area int", each)
+
+
+@query("K6_labelled_components")
+def labelled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, area and bounds of each component of light pixels."""
+
+    def each(_: int, grey: np.ndarray) -> list[tuple]:
+        label = M.labelled(grey > 127)
+        out = []
+        for n in range(1, int(label.max()) + 1):
+            y, x = np.nonzero(label == n)
+            out.append((n, len(x), int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1)))
+        return out
+
+    return M.over_images(grey_images(spark, sf_dir), "image_id bigint, label int, area int, x int, y int, w int, h int", each)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.functions import text as T
+from vellum.functions.wrapping import wrapped_lines
 from vellum.queries.registry import query
 from vellum.sources.tables import read_table
 
@@ -40,7 +41,7 @@ def valuable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.count_of(F.col("text"), T.VALUABLE).alias("n"))
 
 
-@query("T7_right_to_left", "SELECT doc_id, regexp_matches(text, '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]') AS rtl FROM documents")
+@query("T7_right_to_left", "SELECT doc_id, regexp_matches(text, '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}\\x{10E60}-\\x{10E7F}\\x{1EE00}-\\x{1EEFF}]') AS rtl FROM documents")
 def right_to_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.col("text").rlike(T.RIGHT_TO_LEFT).alias("rtl"))
 
@@ -52,7 +53,10 @@ def repeating_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T9_cleaned")
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "benchmark").select("item_id", T.cleaned(F.col("text"), F.col("text")).alias("clean"))
+    """Every other translation repeats a short start of its query, and is shorter."""
+    text = F.col("text")
+    translation = F.when(F.col("item_id") % 2 == 0, F.repeat(F.substring(text, 1, 4), 3)).otherwise(text)
+    return read_table(spark, sf_dir, "benchmark").select("item_id", T.cleaned(text, translation).alias("clean"))
 
 
 @query("T10_reply_parse", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), props) AS translated FROM events")
@@ -128,6 +132,13 @@ def vertical_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(columns).alias("place", "c")).select("item_id", "place", "c.text", "c.height")
 
 
+@query("T18_horizontal_wrap")
+def horizontal_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a 20-pixel font in a box of 300 by 200."""
+    lines = wrapped_lines(F.col("text"), F.lit(20), F.lit(300.0), F.lit(200.0), F.lit("en_US"))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(lines).alias("place", "l")).select("item_id", "place", "l.text", "l.width")
+
+
 @query("T21_complexity", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'easy') THEN 'easy' WHEN contains(lower(p_name), 'medium') THEN 'medium' WHEN contains(lower(p_name), 'complex') THEN 'complex' ELSE 'unknown' END AS complexity FROM part")
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select("p_partkey", T.complexity(F.col("p_name")).alias("complexity"))
