@@ -18,7 +18,11 @@ in the queue is the bound that turns weights into inclusion probabilities,
 1 - exp(-exp(log_prob - bound)).
 
 Random numbers are hashes of seed, row key, sample and character, so any task, in
-any order, draws the same.
+any order, draws the same. Sums are taken within a document, so what is drawn
+with it changes nothing.
+
+The vocabulary file is read by the workers: it has to lie at the path given on
+every executor, as a part of their image or put there by ``SparkContext.addFile``.
 
 Defined results: a null text counts as empty; an empty text has one segmentation,
 of no pieces, with inclusion 1; a text with fewer segmentations than k gives all
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm.hash_table import HashTable
-from vellum.llm.rows import map_texts, picked
+from vellum.llm.rows import at_task_end, map_texts, picked
 
 #: Segmentations of each text; seed; nodes after which a worker forgets the rarer chunks it has laid out.
 SAMPLES, SEED, MOST_NODES = 2, 8, 500_000
@@ -491,12 +495,16 @@ def sample(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> li
     return [*out, bound]
 
 
+_vocabularies: dict[str, Vocabulary] = {}
 _loaded: dict[str, Lattices] = {}
+at_task_end(_loaded.clear)  # the vocabulary stays, the chunks laid out go
 
 
 def _lattices(path: str) -> Lattices:
     if path not in _loaded:
-        _loaded[path] = Lattices(Vocabulary(path))
+        if path not in _vocabularies:
+            _vocabularies[path] = Vocabulary(path)
+        _loaded[path] = Lattices(_vocabularies[path])
     return _loaded[path]
 
 
