@@ -340,6 +340,24 @@ def test_settings_fill_in_and_report(spark):
     assert (full.detector.detection_size, full.detector.box_threshold, full.detector.text_threshold, full.translator.target_lang, full.inpainter.inpainter, full.render.direction, full.kernel_size) == (1024, 0.5, 0.5, "CHS", "none", "horizontal", 5)
 
 
+def test_stages_are_kept_or_unloaded(spark):
+    from vellum.operators import stages
+
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "page_id long, line_id long, text string")
+    for keep in (True, False):
+        assert {r.translation for r in stages.dispatch("identity translator", df, keep).collect()} == {"a", "b"}
+    stage = stages.prepare("identity translator")
+    assert stage.reload() is str and stage.key() in stages._loaded
+    stage.drop()
+    assert stage.key() not in stages._loaded
+    try:
+        stages.prepare("none such")
+    except ValueError as wrong:
+        assert "identity translator" in str(wrong)
+    else:
+        raise AssertionError("an unknown stage was prepared")
+
+
 def test_syllables(spark):
     rows = [("cat", "en", "cat"), ("medium", "en", "me|diu|m"), ("banana", "en", "ba|na|na"), ("strength", "en", "stre|ngth"), ("undefined", "en", "unde|fi|ne|d"), ("babababab", "en", "babababab"), ("a" * 17, "en", "aaa|aaa|aaa|aaa|aaa|aa"), ("hyphenation", "en", "hyphenation"), ("medium", "ja_JP", "medium"), ("easy", "en", "ea|sy"), ("unit", "en", "uni|t")]
     df = spark.createDataFrame(rows, "w string, l string, want string").select("want", F.array_join(T.syllables(F.col("w"), F.col("l")), "|").alias("got"))

@@ -111,10 +111,9 @@ def shared_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J6_zip", f"WITH {LINES_SQL} SELECT a.page_id, a.line_id, a.text, upper(b.text) AS translation FROM lines a JOIN lines b ON a.page_id = b.page_id AND a.line_id = b.line_id")
 def zip_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of a page side by side: zipped as arrays, with one shuffle and no join."""
-    lists = text_lines(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "text"))).alias("a"))
-    zipped = lists.select("page_id", F.explode(F.arrays_zip(F.col("a"), F.transform("a", lambda x: F.upper(x["text"])).alias("b"))).alias("z"))
-    return zipped.select("page_id", "z.a.line_id", "z.a.text", F.col("z.b").alias("translation"))
+    """Lists of a page side by side: a join on the place, so no page is one row."""
+    lines = text_lines(spark, sf_dir).select("page_id", "line_id", "text")
+    return lines.join(lines.select("page_id", "line_id", F.upper("text").alias("translation")), ["page_id", "line_id"])
 
 
 @query(

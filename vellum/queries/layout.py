@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vellum.functions import geometry as G, text as T
 from vellum.functions.wrapping import fitted_font, nudged_font, overflow_scales, wrapped_lines
 from vellum.operators.masks import inscribed_rectangles, policy
-from vellum.operators.stages import REGISTRY
+from vellum.operators.stages import dispatch
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.tables import read_table
@@ -147,4 +147,4 @@ def g24_fitted_font(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("E1_identity_stage", f"WITH {LINES_SQL} SELECT page_id, line_id, text AS translation FROM lines")
 def identity_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REGISTRY["identity translator"]().apply(text_lines(spark, sf_dir).select("page_id", "line_id", "text"))
+    return dispatch("identity translator", text_lines(spark, sf_dir).select("page_id", "line_id", "text"))
