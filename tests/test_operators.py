@@ -358,6 +358,36 @@ def test_stages_are_kept_or_unloaded(spark):
         raise AssertionError("an unknown stage was prepared")
 
 
+def test_quad_gap_equals_sampled_distance(spark):
+    r = random.Random(10)
+
+    def quad():
+        t, w, h, cx, cy = r.uniform(-0.7, 0.7), r.uniform(5, 40), r.uniform(5, 40), r.uniform(0, 80), r.uniform(0, 80)
+        return [(cx + a * w * math.cos(t) - b * h * math.sin(t), cy + a * w * math.sin(t) + b * h * math.cos(t)) for a, b in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))]
+
+    def edges(q):
+        return list(zip(q, q[1:] + q[:1]))
+
+    def inside(v, q):
+        return all((b[0] - a[0]) * (v[1] - a[1]) - (b[1] - a[1]) * (v[0] - a[0]) >= 0 for a, b in edges(q))
+
+    def points(q):
+        return [(a[0] + (b[0] - a[0]) * k / 200, a[1] + (b[1] - a[1]) * k / 200) for a, b in edges(q) for k in range(200)]
+
+    pairs = [(quad(), quad()) for _ in range(60)] + [([(0, 0), (40, 0), (40, 40), (0, 40)], [(10, 10), (20, 10), (20, 20), (10, 20)])]
+    df = spark.createDataFrame([(k, p, q) for k, (p, q) in enumerate([([(float(x), float(y)) for x, y in p], [(float(x), float(y)) for x, y in q]) for p, q in pairs])], "k int, p array<struct<x:double,y:double>>, q array<struct<x:double,y:double>>")
+    meet = 0
+    for row in df.select("k", G.quad_gap(F.col("p"), F.col("q")).alias("gap")).collect():
+        p, q = pairs[row.k]
+        if any(inside(v, q) for v in points(p)) or any(inside(v, p) for v in points(q)):
+            assert row.gap < 0.25
+            meet += 1
+        else:
+            want = min(math.dist(a, b) for a in points(p)[::2] for b in points(q)[::2])
+            assert abs(row.gap - want) < 0.5
+    assert 5 < meet < 55
+
+
 def test_syllables(spark):
     rows = [("cat", "en", "cat"), ("medium", "en", "me|diu|m"), ("banana", "en", "ba|na|na"), ("strength", "en", "stre|ngth"), ("undefined", "en", "unde|fi|ne|d"), ("babababab", "en", "babababab"), ("a" * 17, "en", "aaa|aaa|aaa|aaa|aaa|aa"), ("hyphenation", "en", "hyphenation"), ("medium", "ja_JP", "medium"), ("easy", "en", "ea|sy"), ("unit", "en", "uni|t")]
     df = spark.createDataFrame(rows, "w string, l string, want string").select("want", F.array_join(T.syllables(F.col("w"), F.col("l")), "|").alias("got"))

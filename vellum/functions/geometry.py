@@ -171,3 +171,54 @@ def rect_distance(ax: Column, ay: Column, ax2: Column, ay2: Column, bx: Column,
     """Distance of two rectangles given by their corners: between corners, along an axis where they face each other, 0 where they meet."""
     across, down = F.greatest(ax - bx2, bx - ax2), F.greatest(ay - by2, by - ay2)
     return F.when((across > 0) & (down > 0), F.sqrt((across * across + down * down).cast("double"))).otherwise(F.greatest(across, down, F.lit(0)).cast("double"))
+
+
+def quad_gap(p: Column, q: Column) -> Column:
+    """Distance of two convex quads, arrays of four points (x, y) in ring order: 0 where they meet or one holds the other."""
+    ring = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(F.get(c, k).alias("a"), F.get(c, (k + 1) % 4).alias("b")))
+
+    def apart(e: Column) -> Column:
+        nx, ny = e["a"]["y"] - e["b"]["y"], e["b"]["x"] - e["a"]["x"]
+        one, two = (F.transform(c, lambda v: v["x"] * nx + v["y"] * ny) for c in (p, q))
+        return (F.array_max(one) < F.array_min(two)) | (F.array_max(two) < F.array_min(one))
+
+    def square(v: Column, e: Column) -> Column:
+        ax, ay, dx, dy = e["a"]["x"], e["a"]["y"], e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        along = clamp(((v["x"] - ax) * dx + (v["y"] - ay) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12)), 0.0, 1.0)
+        ox, oy = v["x"] - ax - along * dx, v["y"] - ay - along * dy
+        return ox * ox + oy * oy
+
+    least = lambda c, d: F.array_min(F.flatten(F.transform(c, lambda v: F.transform(ring(d), lambda e: square(v, e)))))
+    return F.when(F.exists(F.concat(ring(p), ring(q)), apart), F.sqrt(F.least(least(p, q), least(q, p)))).otherwise(0.0)
+
+
+def quad_shape(p: Column) -> dict[str, Column]:
+    """font, aspect, angle and the upright bounds x, y, w, h of a quad in ring order from the top left; middles of edges are cut to whole pixels."""
+    middle = lambda i, j, c: truncated_mean(p[i][c], p[j][c]).cast("double")
+    down = [middle(2, 3, c) - middle(0, 1, c) for c in "xy"]
+    across = [middle(3, 0, c) - middle(1, 2, c) for c in "xy"]
+    tall, wide = (F.sqrt(v[0] * v[0] + v[1] * v[1]) for v in (down, across))
+    xs, ys = F.transform(p, lambda v: v["x"]), F.transform(p, lambda v: v["y"])
+    return {
+        "font": F.least(tall, wide), "aspect": wide / tall, "angle": F.atan2(down[0], down[1]),
+        "x": F.array_min(xs), "y": F.array_min(ys), "w": F.array_max(xs) - F.array_min(xs), "h": F.array_max(ys) - F.array_min(ys),
+    }
+
+
+def can_merge_quads(a: str, b: str, aspect: float, fonts: float, gap: float, gap2: float, ratio: float = 1.9, far: float = 2.0) -> Column:
+    """:func:`can_merge` for quads with columns of :func:`quad_shape` under the prefixes, and their distance in ``gap``.
+
+    Two that are upright to 15 degrees go by their bounds; others need nearly the
+    same angle, fonts within a quarter and a small distance.
+    """
+    (ax, ay, aw, ah, fa, sa, ta), (bx, by, bw, bh, fb, sb, tb) = (cols(*(f"{k}_{c}" for c in ("x", "y", "w", "h", "font", "aspect", "angle"))) for k in (a, b))
+    size, d = F.least(fa, fb), F.col("gap")
+    straight = (F.abs(ta) < 15 * F.pi() / 180) & (F.abs(tb) < 15 * F.pi() / 180)
+    opposed = ((sa > aspect) & (sb < 1 / aspect)) | ((sb > aspect) & (sa < 1 / aspect))
+    centred = F.abs(ax + F.floor(aw / 2) - (bx + F.floor(bw / 2))) < gap2
+    wide_a, wide_b, tall_a, tall_b = aw > ah * ratio, bw > bh * ratio, ah > aw * ratio, bh > bw * ratio
+    near = lambda u, v: F.abs(u - v) < size * gap2
+    shaped = F.when((wide_a & tall_b) | (wide_b & tall_a), False).when(wide_a | wide_b, near(ax, bx) | near(ax + aw, bx + bw)).when(tall_a | tall_b, near(ay, by) | near(ay + ah, by + bh)).otherwise(False)
+    level = (d < size * gap) & F.when(centred, True).otherwise(shaped)
+    leant = (F.abs(ta - tb) < 15 * F.pi() / 180) & (d <= size * gap2) & (F.abs(fa - fb) / size <= 0.25)
+    return (d <= far * size) & (F.greatest(fa, fb) / size <= fonts) & ~opposed & F.when(straight, level).otherwise(leant)
