@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
+
 import corpus_pipeline
+from tests.llm import brute
 from vellum.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +32,29 @@ def test_stages_take_no_rows(spark):
     docs = read_table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_edge_rows_go_through_every_stage(spark, tmp_path):
+    """Each stage is held against brute force on what its predecessor kept."""
+    filler = [" ".join(f"f{k}w{i}" for i in range(80)) for k in range(12)]
+    rows = [*brute.edge_rows(), *[(100 + k, t, "en", f"s{k % 2}", len(t), "r", k, "d") for k, t in enumerate([*filler, *filler[:3], filler[5].upper(), filler[6].replace("f6w7 ", "other ")])]]
+    docs = spark.createDataFrame(rows, brute.DOCS)
+    columns = docs.columns
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in docs.collect()]
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(at)))
+        docs = spark.read.parquet(str(tmp_path / str(at)))
+        now = docs.collect()
+        if at < 4:
+            assert docs.columns == columns and {tuple(r) for r in now} <= set(before), name
+        if at == 0:
+            assert all(not brute.base_figures(r.text)[-1] for r in now) and {100, 112, 115, 116} <= {r.doc_id for r in now}
+        if at == 1:
+            want = collections.Counter((k[0], k[4]) for k in brute.exact(before) if k[3])
+            assert collections.Counter((r.doc_id, hashlib.sha256(brute.lowered(r.text)).hexdigest()) for r in now) == want
+        if at == 2:
+            groups = brute.near(before, 5)
+            assert {r.doc_id for r in now} == {i for i, c in groups.items() if i == c} | {r[0] for r in before if r[0] is None}
+            assert 116 not in {r.doc_id for r in now} and 106 in {r.doc_id for r in now}
+        if at == 4:
+            assert {r.doc_id for r in now} <= {r[0] for r in before} and all(r.decoded for r in now) and len(now) >= len(before)
