@@ -17,6 +17,9 @@ RIGHT_TO_LEFT = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\
 #: Marks of horizontal text, and below each the vertical form that stands for it.
 HORIZONTAL_MARKS = "‥—―–_()（）{}〔〕【】《》〈〉「」『』[]…⋯“”‘’~〜～!?.。;；:：,，-−・"
 VERTICAL_MARKS = "︰︱|︲︳︵︶︵︶︷︸︹︺︻︼︽︾︿﹀﹁﹂﹃﹄﹇﹈⋮︙﹁﹂﹁﹂︴︴︴︕︖︒︒︔︔︓︓︐︐︲︲·"
+#: Patterns of a translation put right and what replaces them, in order; the second list is not for Arabic.
+TIDY = [(r"(?U)\s+", " "), (r"(?U)(?<![.,;!?])([.,;!?])(?=\w)", "$1 "), (r"(?U)([.,;!?])\s+(?=[.,;!?]|$)", "$1")]
+TIDY_SPACED = [(r"(?U)(?<=[.,;!?\w])\s+([.,;!?])", "$1"), (r"(?U)((?:\s|^)\.+)\s+(?=\w)", "$1")]
 #: Small kana that take half a place.
 HALF_WIDTH = "っッぁぃぅぇぉ"
 
@@ -45,9 +48,7 @@ def shortest_period(text: Column) -> Column:
 
 def tidy(text: Column, arabic: bool = False) -> Column:
     """Spaces of a translation put right: runs become one, marks stand by the word before and apart from the word after."""
-    steps = [(r"(?U)\s+", " "), (r"(?U)(?<![.,;!?])([.,;!?])(?=\w)", "$1 "), (r"(?U)([.,;!?])\s+(?=[.,;!?]|$)", "$1")]
-    if not arabic:
-        steps += [(r"(?U)(?<=[.,;!?\w])\s+([.,;!?])", "$1"), (r"(?U)((?:\s|^)\.+)\s+(?=\w)", "$1")]
+    steps = TIDY if arabic else TIDY + TIDY_SPACED
     return reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)
 
 
