@@ -30,4 +30,9 @@ k AS (SELECT k, CAST(k AS DOUBLE) AS x FROM range(0, 60) r(k)),
 c AS (SELECT u.doc_id, u.source, u.rate, u.n_bytes, list_sum(list_transform(range(0, 60), lambda k: CASE WHEN u.u > list_sum(list_transform(range(0, k + 1), lambda i: exp(-u.rate + i * ln(u.rate) - lgamma(i + 1)))) THEN 1 ELSE 0 END)) AS copies FROM u),
 x AS (SELECT *, unnest(range(0, CAST(copies AS BIGINT))) AS copy FROM c)
 SELECT doc_id, source, copy, copies, round(rate, 6) AS rate, n_bytes, md5('order 20:' || doc_id || ':' || copy) AS shuffle_key FROM x""",
+    "op12_fill_in_middle": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+h AS (SELECT *, CAST('0x' || substr(hex, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(hex, 9, 8) AS BIGINT) % (n + 1) AS c2, CAST('0x' || substr(hex, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(hex, 25, 8) AS BIGINT) AS h4 FROM t),
+f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, text, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, prefix_chars, middle_chars, sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
