@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import exact_dedup, fill_in_middle, mixing, near_dedup, pieces, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
+from vellum.llm import exact_dedup, fill_in_middle, licenses, mixing, near_dedup, pieces, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
 from vellum.llm.oracles import ORACLES
 from vellum.sources.tables import read_table
 
@@ -56,8 +56,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op8_sampled_pieces, op9_url_filter, op10_mixing, op12_fill_in_middle)
+    f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op8_sampled_pieces, op9_url_filter, op10_mixing, op12_fill_in_middle, op13_license_scan)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
