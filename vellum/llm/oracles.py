@@ -30,6 +30,12 @@ k AS (SELECT k, CAST(k AS DOUBLE) AS x FROM range(0, 60) r(k)),
 c AS (SELECT u.doc_id, u.source, u.rate, u.n_bytes, list_sum(list_transform(range(0, 60), lambda k: CASE WHEN u.u > list_sum(list_transform(range(0, k + 1), lambda i: exp(-u.rate + i * ln(u.rate) - lgamma(i + 1)))) THEN 1 ELSE 0 END)) AS copies FROM u),
 x AS (SELECT *, unnest(range(0, CAST(copies AS BIGINT))) AS copy FROM c)
 SELECT doc_id, source, copy, copies, round(rate, 6) AS rate, n_bytes, md5('order 20:' || doc_id || ':' || copy) AS shuffle_key FROM x""",
+    "op11_hard_negatives": """WITH r AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+w AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM r),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM w a JOIN w b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
     "op12_fill_in_middle": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
 h AS (SELECT *, CAST('0x' || substr(hex, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(hex, 9, 8) AS BIGINT) % (n + 1) AS c2, CAST('0x' || substr(hex, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(hex, 25, 8) AS BIGINT) AS h4 FROM t),
 f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import exact_dedup, fill_in_middle, licenses, mixing, near_dedup, pieces, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
+from vellum.llm import exact_dedup, fill_in_middle, hard_negatives, licenses, mixing, near_dedup, pieces, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
 from vellum.llm.oracles import ORACLES
 from vellum.sources.tables import read_table
 
@@ -52,6 +52,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.source", "copy", "copies", F.round("rate", 6).alias("rate"), F.coalesce(F.octet_length("row.text"), F.lit(0)).alias("n_bytes"), "shuffle_key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op8_sampled_pieces, op9_url_filter, op10_mixing, op12_fill_in_middle, op13_license_scan)
+    f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_toxicity, op4_warc, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op8_sampled_pieces, op9_url_filter, op10_mixing, op11_hard_negatives, op12_fill_in_middle, op13_license_scan)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
