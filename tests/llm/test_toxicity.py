@@ -5,10 +5,12 @@ from __future__ import annotations
 import collections
 import math
 import random
+import zlib
 
 import numpy as np
 
 from vellum.llm import toxicity as X
+from vellum.llm.labelled import labelled_sample
 from vellum.sources.scratch import Scratch
 
 
@@ -88,3 +90,41 @@ def test_ratios_equal_plain_kneser_ney(spark):
             alone = [want([w])[0] for w in words]
             features = (sum(r8) / len(r8), max(alone), max(sum(r8[i : i + n]) / n for i in range(len(r8) - n + 1)))
             assert np.allclose(pair.features([text.encode()])[0], features)
+
+
+def long_rows() -> tuple[list[tuple], list[tuple]]:
+    """Labelled texts above the block of the sample: of one word, of many, and one whose only gap lies outside any block."""
+    r = random.Random(8)
+    texts = [(k, "x" * 40_000 + str(k)) for k in range(12)]
+    texts += [(k, " ".join(f"w{r.randrange(30_000)}" for _ in range(12_000))) for k in range(12, 24)]
+    texts += [(24, "y" * 50_000 + " end"), (25, "é" * 33_000)]
+    texts += [(k, f"plain words number {k} of a short text") for k in range(26, 80)]
+    return texts, [(k, k % 2) for k, _ in texts]
+
+
+def test_long_labelled_texts_of_one_word_and_of_many(spark):
+    texts, y = long_rows()
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int")
+    rows = X.classify(docs, labels).collect()
+    assert len(rows) == len(texts) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_sample_blocks_have_whole_words_alone(spark):
+    texts, y = long_rows()
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int")
+    sample, _ = labelled_sample(docs, labels, "toxic", X.PER_CLASS, X.MOST_BYTES, whole_words=True)
+    corpus = {w for _, t in texts for w in t.encode().split()}
+    assert all(w in corpus for t in sample for w in t.split()) and all(t.split() for t in sample)
+    many = [t for t in sample if len(t.split()) > 500]
+    assert len(many) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(12, 24))
+    assert not any(len(w) > 30_000 for t in sample for w in t.split())
+
+
+def test_words_without_counts_take_no_other_words_count():
+    words = np.sort(X.word_hashes(b"alpha beta gamma"))
+    shared = X.SharedCounts(words, np.array([5.0, 7.0, 9.0]), 21, 3)
+    assert shared.chance(X.word_hashes(b"stranger other")).tolist() == [0.5 / 22.5] * 2
+    assert shared.chance(np.array([np.iinfo(np.uint64).max, 0], np.uint64)).tolist() == [0.5 / 22.5] * 2
+    empty = X.SharedCounts(np.empty(0, np.uint64), np.empty(0), 0, 0)
+    assert empty.chance(words).tolist() == [0.5] * 3
+    X.KneserNeyPair([b"a b c", b"d e f"], np.array([1, 0]), empty)

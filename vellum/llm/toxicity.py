@@ -11,7 +11,8 @@ itself, and the largest mean over runs of :data:`RUN` words, as one passage make
 long text toxic. A logistic fit turns the three into a probability.
 
 Fitted on at most :data:`PER_CLASS` rows of each label, none held out; every row
-is scored. Every bigram of the sample is kept.
+is scored. Every bigram of the sample is kept. Of a long text the sample has a block of
+whole words; a text of one long word is scored and not fitted on.
 
 Defined results: a null or empty text has ratios of 0; without rows of both labels
 every score is the share of label 1 (0.5 without rows); repeated rows each get
@@ -82,8 +83,12 @@ class SharedCounts(NamedTuple):
     distinct: int
 
     def chance(self, words: np.ndarray) -> np.ndarray:
-        """Of hashes of sample words; over all words of the corpus the chances sum to 1."""
-        return (self.n[np.searchsorted(self.keys, words)] + 0.5) / (self.total + 0.5 * self.distinct)
+        """Of hashes of words; over all words of the corpus the chances sum to 1. A word that the corpus has not counts 0."""
+        n = np.zeros(len(words))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+            n = np.where(self.keys[at] == words, self.n[at], 0.0)
+        return (n + 0.5) / max(1.0, self.total + 0.5 * self.distinct)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -228,7 +233,7 @@ class ToxicityModel:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of ``docs``."""
     texts = picked(docs, id_col, text_col)
-    sample, y = labelled_sample(docs, labels, label_col, PER_CLASS, MOST_BYTES, id_col, text_col)
+    sample, y = labelled_sample(docs, labels, label_col, PER_CLASS, MOST_BYTES, id_col, text_col, whole_words=True)
     with Scratch(docs.sparkSession, "toxicity") as scratch:
         shared = shared_counts(texts, sample, scratch)
     model = ToxicityModel(sample, y, shared)
