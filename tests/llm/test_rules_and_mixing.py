@@ -167,3 +167,20 @@ def test_edits_of_the_map_move_few_slots():
     third = S.grow(second, weight, 8)
     assert all(third[s] in (second[s], 8) for s in second)
     assert abs(sum(weight[s] for s in third if third[s] == 8) - sum(weight.values()) / 9) < 1000
+
+
+def test_shards_stay_even_where_an_id_holds_a_third_of_the_rows(spark):
+    rows = [(7, "one text that repeats")] * 2000 + [(7, f"text {i % 50} of the same id") for i in range(1000)] + [(1000 + i, "x" * (i % 60)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, table = S.shard(docs)
+    held = got.collect()
+    assert len(held) == len(rows)
+    size = collections.Counter()
+    for r in held:
+        size[r.shard] += r.size
+    assert max(size.values()) - min(size.values()) <= 0.02 * sum(size.values()) / 8
+    for k in range(8):
+        assert sorted(r.slot for r in held if r.shard == k) == list(range(sum(r.shard == k for r in held)))
+    assert sum(r.size for r in held) == sum(len(t) + 1 for _, t in rows)
+    again = S.shard(docs, stored=table)[0]
+    assert again.count() == len(rows)

@@ -1,6 +1,8 @@
 """Sharding by fixed virtual slots.
 
-A record's id hashes into one of thousands of virtual slots. Bytes and rows are
+A record's id hashes into one of thousands of virtual slots. A slot that holds more than
+:data:`HOT` of a shard's share in many rows, as an id that repeats may, is hot: its rows hash with
+their text's CRC and their place instead, so they spread over all slots. Bytes and rows are
 summed by slot, and a versioned map says which shard holds which slot. Version 1
 deals the slots out in turn; each rebalancing edits the newest version, this run's
 or a stored one, into the next by moving the fewest slots that bring the shards'
@@ -22,6 +24,8 @@ from vellum.sources.scratch import Scratch
 
 #: Virtual slots: fixed for the life of a dataset, far above any number of shards. Parts of a slot that are numbered apart.
 SLOTS, PARTS = 8192, 8
+#: Share of a shard's bytes, and rows, from which a slot is hot.
+HOT, HOT_ROWS = 1 / 32, 16
 
 
 def virtual_slot(id_col: str, slots: int = SLOTS) -> Column:
@@ -92,6 +96,16 @@ def grow(held: dict[int, int], weight: dict[int, int], shards: int) -> dict[int,
     return new
 
 
+def hot_slots(sums: list, shards: int) -> list[int]:
+    """Slots of (virtual_slot, bytes, rows) ``sums`` that are hot."""
+    size, rows = Counter(), Counter()
+    for r in sums:
+        size[r.virtual_slot] += r.bytes
+        rows[r.virtual_slot] += r.rows
+    most = sum(size.values()) / shards * HOT
+    return sorted(s for s in size if size[s] > most and rows[s] >= HOT_ROWS)
+
+
 def last_version(table: DataFrame) -> tuple[int, dict[int, int]]:
     """(version, virtual slot -> shard) of the newest version in a stored map."""
     newest = table.agg(F.max("version")).first()[0]
@@ -117,12 +131,17 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "d
         F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), virtual_slot(id_col, slots).alias("virtual_slot"),
         F.monotonically_increasing_id().alias("salt"),  # parts rows that are alike in all; the table written keeps it as it is
     )
-    facts = facts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "salt"), F.lit(PARTS)).cast("int")).drop("salt")
+    own = F.xxhash64("doc_id", "text_crc32", "size", "salt")
+    facts = facts.select("*", F.pmod(own, F.lit(PARTS)).cast("int").alias("part"), F.pmod(F.xxhash64(own), F.lit(slots)).cast("int").alias("spread")).drop("salt")
     with Scratch(spark, "sharding") as scratch:
         facts = scratch.write(facts, "facts", keep=True)
-        sums = facts.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+        sums = lambda t: t.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # noqa: E731  at most ``slots`` * PARTS rows
+        held = sums(facts)
+        if hot := hot_slots(held, shards):
+            facts = facts.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(hot), F.col("spread")).otherwise(F.col("virtual_slot")))
+            held = sums(facts)
         weight, count, parts = Counter(), Counter(), {}
-        for r in sums.collect():  # at most ``slots`` * PARTS rows
+        for r in held:
             weight[r.virtual_slot] += r.bytes
             count[r.virtual_slot] += r.rows
             parts[r.virtual_slot, r.part] = r.rows
@@ -149,7 +168,7 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "d
             starts.append((s, part, versions[newest][s], first[s]))
             first[s] += n
         now = scratch.write(spark.createDataFrame(starts, "virtual_slot int, part int, shard int, first_place long").coalesce(1), "places", keep=True)
-    # equal ids share a slot, so a slot is numbered in parts
+    # a slot is numbered in parts
     within = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size"))
     rows = facts.withColumn("within", within).join(F.broadcast(now), ["virtual_slot", "part"])
     return rows.select(
