@@ -159,3 +159,28 @@ def test_similar_texts_share_a_table_nearly_always():
         same = a == b
         miss += not (same[: N.SIDE].any() and same[N.SIDE :].any())
     assert miss <= 1
+
+
+def test_pairs_under_the_limit_are_not_sent_to_confirmation(spark, monkeypatch):
+    """200 texts of 700 shingles that share three quarters: none is a link, and blocks tell so by themselves."""
+    base = [f"b{i}" for i in range(604)]
+    rows = [(k, " ".join(base + [f"own{k}x{i}" for i in range(100)])) for k in range(200)]
+    sent, confirmed = [], N._confirmed
+    monkeypatch.setattr(N, "_confirmed", lambda pairs, *rest: sent.append(pairs.count()) or confirmed(pairs, *rest))
+    got = N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert sum(sent) < 2000
+
+
+def test_long_sets_near_the_limit_equal_brute_force(spark):
+    """Sets beyond what blocks compare whole: both sides of the limit, each pair once."""
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(6000)]
+    rows = []
+    for k, changed in enumerate((0, 60, 100, 120, 140, 150, 160, 200, 300)):
+        words = list(base)
+        for i in range(changed):
+            words[i * (6000 // (changed or 1)) + 3] = f"e{k}x{r.randrange(10**6)}"
+        rows.append((k + 1, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows, 5)

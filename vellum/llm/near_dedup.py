@@ -12,9 +12,11 @@ collection with half key j of the second. Minimum hashes worked out:
 3. Each table's bucket links its members to its least one; links are confirmed on
    the full sets and joined into components.
 4. Where the members of a half key's bucket still lie in different components, each
-   member outside its largest component is compared with the others in blocks:
-   signatures first, then sets. No pair that shares a table and could join
-   components is left out, and no pairs are spelled out but links.
+   member outside its largest component is compared with the others in blocks, each
+   pair once: signatures first, then sets, of which a block has each once. No pair that
+   shares a table and could join components is left out, and no pairs are spelled out but
+   links that join components and, of sets above :data:`SKETCH`, those too near the
+   limit to tell by that many hashes.
 
 At a similarity of 0.8 two texts share a table with a probability of 0.9999; above
 it the miss fades quickly.
@@ -48,7 +50,7 @@ WORDS, PERCENT = 5, 80
 LEAST_EQUAL = 0.58
 #: Members of a block in the comparison of a bucket's rest; least hashes of a set that it compares, and the share of
 #: equal ones below which a longer pair goes no further: five standard deviations under 0.8.
-BLOCK, SKETCH, LEAST_SKETCHED = 1024, 512, 0.71
+BLOCK, SKETCH, LEAST_SKETCHED = 1024, 4096, 0.77
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _random.integers(1, 1 << 63, size=2 * SIDE * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,55 +201,51 @@ def _alike_share(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links and possible links of one block of a bucket of half key ``at``: those that ask against the others."""
+    """Links and possible links of one block of a bucket of half key ``at``: those that ask against the others.
+
+    A pair of two that ask stands in two blocks: that where the smaller node asks has it.
+    Each link found joins two components of the block, and what they hold is not compared again.
+    """
     asks = frame["asks"].to_numpy()
     left, right = frame[asks], frame[~asks]
-    us, vs, sures = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    us, vs, sures = [], [], []
     if len(left) and len(right):
         at = int(frame["at"].iloc[0])
-        sizes = {s: f["n_shingles"].to_numpy() for s, f in (("x", left), ("y", right))}
         x, y = (np.frombuffer(b"".join(f["signature"]), np.uint16).reshape(len(f), -1) for f in (left, right))
         of_x, of_y = ([np.frombuffer(v, np.uint64) for v in f["sketch"]] for f in (left, right))
-        _, code = np.unique(np.concatenate(of_x + of_y), return_inverse=True)
-        ends = np.cumsum([len(v) for v in of_x + of_y])
-        codes_x = np.split(code, ends)[: len(of_x)]
-        start = ends[len(of_x) - 1]
-        codes_y, starts_y = code[start:], ends[len(of_x) - 1 : -1] - start
-        marked = np.zeros(int(code.max()) + 1, np.int32)
-        parent = {int(c): int(c) for c in frame["component"]}
-
-        def find(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        cx, cy, nx, ny = left["component"].tolist(), right["component"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
+        (cx, nx, mx), (cy, ny, my) = ((f["component"].to_numpy().copy(), f["node"].to_numpy(), f["n_shingles"].to_numpy()) for f in (left, right))
+        outside = right["outside"].to_numpy()
+        codes: list[np.ndarray] = []
         for k in range(len(x)):
-            n, m = sizes["x"][k], sizes["y"]
-            near = np.flatnonzero((cy != cx[k]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            near = np.flatnonzero((cy != cx[k]) & (~outside | (nx[k] < ny)) & (100 * np.minimum(mx[k], my) >= percent * np.maximum(mx[k], my)))
             equal = y[near] == x[k]
             whole = equal.reshape(len(near), 2, SIDE, DEPTH).all(axis=3)
             # the two share a table, and this is the first half key that they share
-            good = (equal.mean(axis=1) >= LEAST_EQUAL) & whole[:, 1].any(axis=1) & (whole[:, 0].argmax(axis=1) == at)
-            near = near[good]
+            near = near[(equal.mean(axis=1) >= LEAST_EQUAL) & whole[:, 1].any(axis=1) & (whole[:, 0].argmax(axis=1) == at)]
             if not len(near):
                 continue
-            marked[codes_x[k]] = 1
-            common = np.add.reduceat(marked[codes_y], starts_y)[near]
-            marked[codes_x[k]] = 0
-            complete = (n <= SKETCH) & (m[near] <= SKETCH)
-            linked = complete & (100 * common >= percent * (n + m[near] - common))
-            kept = []
-            for j in near[linked].tolist():
-                a, b = find(cx[k]), find(int(cy[j]))
-                if a != b:
-                    kept.append(j)
-                    parent[max(a, b)] = min(a, b)
-            mine = find(cx[k])
-            unsure = [j for j in near[~complete].tolist() if find(int(cy[j])) != mine and _alike_share(of_x[k], of_y[j]) >= LEAST_SKETCHED]
-            us.append(np.full(len(kept) + len(unsure), nx[k])), vs.append(ny[kept + unsure]), sures.append(np.arange(len(kept) + len(unsure)) < len(kept))
-    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "sure": np.concatenate(sures)})
+            if not codes:  # places of all hashes of the block, to mark those of one set
+                places, code = np.unique(np.concatenate(of_x + of_y), return_inverse=True)
+                codes = np.split(code, np.cumsum([len(v) for v in of_x + of_y])[:-1])
+                marked = np.zeros(len(places), bool)
+            marked[codes[k]] = True
+            for j in near.tolist():
+                if cy[j] == cx[k]:
+                    continue
+                sure = mx[k] <= SKETCH and my[j] <= SKETCH
+                if sure:
+                    common = np.count_nonzero(marked[codes[len(x) + j]])
+                    good = 100 * common >= percent * (mx[k] + my[j] - common)
+                else:
+                    good = _alike_share(of_x[k], of_y[j]) >= LEAST_SKETCHED
+                if good:
+                    us.append(nx[k]), vs.append(ny[j]), sures.append(sure)
+                if good and sure:
+                    gone, stays = cy[j], cx[k]
+                    cx[cx == gone] = stays
+                    cy[cy == gone] = stays
+            marked[codes[k]] = False
+    return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64), "sure": np.array(sures, bool)})
 
 
 def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -279,10 +277,11 @@ def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFra
     full = open_rows.join(facts, ["node", "digest"])
     spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     common = ("at", "half", "node", "component", "n_shingles", "signature", "sketch")
-    asked = full.where("component <> main").select(*common, F.lit(True).alias("asks"), spot(F.col("b_out")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("b_all") - 1)).alias("q"))
-    others = full.select(*common, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("b_out") - 1)).alias("p"), spot(F.col("b_all")).alias("q"))
+    asked = full.where("component <> main").select(*common, F.lit(True).alias("asks"), F.lit(True).alias("outside"), spot(F.col("b_out")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("b_all") - 1)).alias("q"))
+    others = full.select(*common, F.lit(False).alias("asks"), (F.col("component") != F.col("main")).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("b_out") - 1)).alias("p"), spot(F.col("b_all")).alias("q"))
     found = asked.union(others).groupBy("at", "half", "p", "q").applyInPandas(lambda f: _compared(f, percent), "u bigint, v bigint, sure boolean")
-    out = scratch.write(found.distinct(), "rest")
+    ordered = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sure").where("u < v")
+    out = scratch.write(ordered.distinct(), "rest")
     for used in (placed, plan, open_rows, facts):
         scratch.release(used)
     return out
