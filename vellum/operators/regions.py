@@ -25,9 +25,34 @@ def page_pairs(lines: DataFrame) -> DataFrame:
     return a.join(b, "page_id").where("a_line_id < b_line_id")
 
 
+#: Side of a cell in pixels.
+CELL = 256
+
+
+def near_pairs(lines: DataFrame, reach: float = 0.0, cell: int = CELL) -> DataFrame:
+    """The :func:`page_pairs` of boxes no further apart than ``reach`` times their mean font: a join on page and cell of a grid.
+
+    A box, with a margin of half of ``reach`` times its font, stands in the cells that it
+    covers. Boxes that near have margins that meet, and the cell where their common
+    part begins has the pair, so it comes once. A page of any number of lines is dealt out by its cells.
+    """
+    held = [c for c in ("line_id", "x", "y", "w", "h", "node") if c in lines.columns]
+    margin = F.least("w", "h") * (reach / 2)
+    low, high = {c: F.floor((F.col(c) - margin) / cell) for c in "xy"}, {c: F.floor((F.col(c) + F.col(s) + margin) / cell) for c, s in zip("xy", "wh")}
+    placed = lines.withColumns({"_lx": low["x"], "_ly": low["y"]}).withColumn("_cx", F.explode(F.sequence("_lx", high["x"]))).withColumn("_cy", F.explode(F.sequence("_ly", high["y"])))
+    a, b = (placed.select("page_id", "_cx", "_cy", *[F.col(c).alias(f"{s}_{c.strip('_')}") for c in (*held, "_lx", "_ly")]) for s in "ab")
+    both = a.join(b, ["page_id", "_cx", "_cy"]).where("a_line_id < b_line_id")
+    return both.where((F.col("_cx") == F.greatest("a_lx", "b_lx")) & (F.col("_cy") == F.greatest("a_ly", "b_ly"))).drop("_cx", "_cy", "a_lx", "b_lx", "a_ly", "b_ly")
+
+
+def candidate_pairs(lines: DataFrame, tolerances: dict[str, float] = MERGE) -> DataFrame:
+    """Pairs that pass the merge test: it wants a distance below the smaller font times ``gap``, and twice that font at most."""
+    return near_pairs(lines, min(2.0, tolerances["gap"])).where(can_merge("a", "b", **tolerances))
+
+
 def merge_pairs(lines: DataFrame, tolerances: dict[str, float] = MERGE) -> DataFrame:
     """(page_id, src, dst, distance) of the pairs that pass the merge test."""
-    good = page_pairs(lines).where(can_merge("a", "b", **tolerances))
+    good = candidate_pairs(lines, tolerances)
     return good.select("page_id", F.col("a_line_id").alias("src"), F.col("b_line_id").alias("dst"), box_gap("a", "b").alias("distance"))
 
 
@@ -137,7 +162,7 @@ def line_components(lines: DataFrame, scratch: Scratch, tolerances: dict[str, fl
     """
     held = lines.select("page_id", "line_id", "x", "y", "w", "h", F.monotonically_increasing_id().alias("node"))
     held = scratch.write(held, "lines", keep=True)
-    edges = page_pairs(held).where(can_merge("a", "b", **tolerances)).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+    edges = candidate_pairs(held, tolerances).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
     labels = scratch.write(connected_components(edges, scratch), "labels", keep=True)
     joined = held.join(labels, "node", "left")
     return joined.select("page_id", "line_id", "x", "y", "w", "h", F.coalesce("component", "node").alias("component"))
@@ -185,3 +210,25 @@ def regions(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float] = M
     line = F.struct("line_id", "x", "y", "w", "h")
     parts = line_components(lines, scratch, tolerances).groupBy("page_id", "component").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     return parts.select("page_id", "lines").mapInArrow(_split_all, REGIONS)
+
+
+TREES = "page_id long, first long, lines long, weight array<double>, mean_font double"
+
+
+def tree_edges(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float] = MERGE) -> DataFrame:
+    """page_id, first (the component's least line), lines, weight (of the edges of its least spanning tree, heaviest first) and mean_font, for components of two lines and more."""
+    line = F.struct("line_id", "x", "y", "w", "h")
+    parts = line_components(lines, scratch, tolerances).groupBy("page_id", "component").agg(F.array_sort(F.collect_list(line)).alias("lines")).where(F.size("lines") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y, w, h = (np.array([r[c] for r in held], float) for c in "xywh")
+                away = lambda p, q: np.maximum(np.maximum(p[None] - (p + q)[:, None], p[:, None] - (p + q)[None]), 0)
+                tree = _tree(list(range(len(held))), np.hypot(away(x, w), away(y, h)))
+                rows.append({"page_id": page, "first": held[0]["line_id"], "lines": len(held), "weight": [e[0] for e in tree], "mean_font": float(np.minimum(w, h).mean())})
+            schema = pa.schema([("page_id", pa.int64()), ("first", pa.int64()), ("lines", pa.int64()), ("weight", pa.list_(pa.float64())), ("mean_font", pa.float64())])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return parts.select("page_id", "lines").mapInArrow(run, TREES)

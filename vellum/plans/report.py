@@ -63,11 +63,6 @@ def image_report(lines: DataFrame) -> DataFrame:
     return region_metrics(lines).groupBy("page_id").agg(*figures())
 
 
-def in_order(report: DataFrame, name: str) -> DataFrame:
-    """A report's rows by name: a range partitioning and a sort, so a report of any number of images will do."""
-    return report.orderBy(name)
-
-
 def group_report(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages, regions and the figures of each group; pages without regions count as pages."""
     groups = F.element_at(F.array(F.lit("complex"), F.lit("easy"), F.lit("medium")), (F.col("page_id") % 3 + 1).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vellum.functions.geometry import box_gap, iou, overlap_area
+from vellum.functions.geometry import iou, overlap_area
 from vellum.functions.languages import FROM_ISO, NAMES, ORIENTATION
 from vellum.operators import regions as R
 from vellum.queries.registry import query
@@ -97,7 +97,7 @@ def components_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, src, dst, round(CAST(common AS DOUBLE) / (total - common), 6) AS iou FROM pairs WHERE CAST(common AS DOUBLE) / (total - common) >= 0.5""",
 )
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = R.page_pairs(text_lines(spark, sf_dir)).withColumn("iou", iou("a", "b")).where("iou >= 0.5")
+    pairs = R.near_pairs(text_lines(spark, sf_dir)).withColumn("iou", iou("a", "b")).where("iou >= 0.5")
     return pairs.select("page_id", F.col("a_line_id").alias("src"), F.col("b_line_id").alias("dst"), F.round("iou", 6).alias("iou"))
 
 
@@ -129,9 +129,9 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(F.broadcast(names), "code", "left").join(F.broadcast(preset), "code", "left").select("doc_id", "name", "direction")
 
 
-COMPONENTS_SQL = f"""WITH RECURSIVE {merge_sql(**R.MERGE)}, both_ways AS (SELECT page_id, src, dst FROM edges UNION ALL SELECT page_id, dst, src FROM edges),
-reach(page_id, line_id, seen) AS (SELECT page_id, line_id, line_id FROM lines UNION SELECT r.page_id, r.line_id, e.dst FROM reach r JOIN both_ways e ON e.page_id = r.page_id AND e.src = r.seen)
-SELECT page_id, line_id, min(seen) AS component FROM reach GROUP BY page_id, line_id"""
+REACH_SQL = f"""WITH RECURSIVE {merge_sql(**R.MERGE)}, both_ways AS (SELECT page_id, src, dst FROM edges UNION ALL SELECT page_id, dst, src FROM edges),
+reach(page_id, line_id, seen) AS (SELECT page_id, line_id, line_id FROM lines UNION SELECT r.page_id, r.line_id, e.dst FROM reach r JOIN both_ways e ON e.page_id = r.page_id AND e.src = r.seen)"""
+COMPONENTS_SQL = f"{REACH_SQL} SELECT page_id, line_id, min(seen) AS component FROM reach GROUP BY page_id, line_id"
 
 
 @query("J8_components", COMPONENTS_SQL)
@@ -177,10 +177,25 @@ def region_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where((F.col("n") == 1) & (F.col("distance") < 1.5 * F.col("font"))).select("page_id", F.col("src").alias("region_id"), F.col("dst").alias("other"))
 
 
+#: An edge between two lines of a component is in its least spanning tree if no shorter ones join its ends; equal weights go by the lines' order.
+TREE_SQL = f"""{REACH_SQL}, parts AS (SELECT page_id, line_id, min(seen) AS component FROM reach GROUP BY page_id, line_id),
+every AS (SELECT a.page_id, c.component, a.line_id AS src, b.line_id AS dst, {GAP_SQL} AS gap FROM parts c JOIN parts d ON d.page_id = c.page_id AND d.component = c.component AND c.line_id < d.line_id
+  JOIN lines a ON a.page_id = c.page_id AND a.line_id = c.line_id JOIN lines b ON b.page_id = d.page_id AND b.line_id = d.line_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id, component ORDER BY gap, src, dst) AS place FROM every),
+ways AS (SELECT page_id, component, src AS u, dst AS v, place FROM ranked UNION ALL SELECT page_id, component, dst, src, place FROM ranked),
+joined(page_id, component, place, node) AS (SELECT page_id, component, place, src FROM ranked UNION SELECT j.page_id, j.component, j.place, w.v FROM joined j JOIN ways w ON w.page_id = j.page_id AND w.component = j.component AND w.u = j.node AND w.place < j.place),
+tree AS (SELECT r.* FROM ranked r LEFT JOIN joined j ON j.page_id = r.page_id AND j.component = r.component AND j.place = r.place AND j.node = r.dst WHERE j.node IS NULL)"""
+
+
 @query(
     "A11_gap_figures",
-    f"WITH {LINES_SQL}, gaps AS (SELECT a.page_id, {GAP_SQL} AS gap FROM lines a JOIN lines b ON a.page_id = b.page_id AND a.line_id < b.line_id) SELECT page_id, round(avg(gap), 5) AS mean_gap, round(stddev_pop(gap), 5) AS spread, round(max(gap), 5) AS most FROM gaps GROUP BY page_id",
+    f"""{TREE_SQL}, fonts AS (SELECT p.page_id, p.component, avg(least(l.w, l.h)) AS mean_font FROM parts p JOIN lines l ON l.page_id = p.page_id AND l.line_id = p.line_id GROUP BY p.page_id, p.component)
+SELECT t.page_id, t.component, round(avg(gap), 5) AS mean_gap, round(stddev_pop(gap), 5) AS spread, round(max(gap), 5) AS most, round(any_value(mean_font), 5) AS mean_font FROM tree t JOIN fonts f ON f.page_id = t.page_id AND f.component = t.component GROUP BY t.page_id, t.component""",
 )
 def gap_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = R.page_pairs(text_lines(spark, sf_dir)).select("page_id", box_gap("a", "b").alias("gap"))
-    return gaps.groupBy("page_id").agg(F.round(F.avg("gap"), 5).alias("mean_gap"), F.round(F.stddev_pop("gap"), 5).alias("spread"), F.round(F.max("gap"), 5).alias("most"))
+    """Mean, spread and maximum of the edges of each component's least spanning tree, and its mean font."""
+    with Scratch(spark, "gap-figures") as scratch:
+        trees = R.tree_edges(text_lines(spark, sf_dir), scratch)
+    each = trees.select("page_id", F.col("first").alias("component"), "mean_font", F.explode("weight").alias("gap"))
+    figures = [F.round(f("gap"), 5).alias(n) for f, n in ((F.avg, "mean_gap"), (F.stddev_pop, "spread"), (F.max, "most"))]
+    return each.groupBy("page_id", "component").agg(*figures, F.round(F.max("mean_font"), 5).alias("mean_font"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.functions import text as T
 from vellum.functions.wrapping import wrapped_lines
@@ -59,9 +59,31 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select("item_id", T.cleaned(text, translation).alias("clean"))
 
 
-@query("T10_reply_parse", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), props) AS translated FROM events")
+#: What opens and closes the wrapper of a reply that is no JSON.
+WRAP_OPEN, WRAP_CLOSE = r'(?s)^\s*\{.*?"translated"\s*:\s*"', r'"\s*\}\s*$'
+_REPLY_SQL = """CASE event_id % 4 WHEN 0 THEN '{"translated": "word ' || event_id || '"}' WHEN 1 THEN ' {"note": 1, "translated" : "a "quoted" ' || event_id || '" } ' WHEN 2 THEN 'plain ' || event_id || ' ' ELSE props END"""
+
+
+def reply(raw: Column) -> Column:
+    """The ``translated`` value of a JSON reply, the whole reply where it has none; a reply that is no JSON loses its wrapper and the blanks at its ends."""
+    blanks = F.lit(" \t\n\r\x0b\x0c")
+    content = F.trim(raw, blanks)
+    stripped = F.trim(F.regexp_replace(F.regexp_replace(content, WRAP_OPEN, ""), WRAP_CLOSE, ""), blanks)
+    is_object = F.startswith(content, F.lit("{")) & F.try_parse_json(content).isNotNull()
+    return F.when(is_object, F.coalesce(F.get_json_object(content, "$.translated"), content)).otherwise(stripped)
+
+
+@query(
+    "T10_reply_parse",
+    f"""WITH r AS (SELECT event_id, trim({_REPLY_SQL}) AS c FROM events)
+SELECT event_id, CASE WHEN json_valid(c) THEN coalesce(json_extract_string(c, '$.translated'), c) ELSE trim(regexp_replace(regexp_replace(c, '^\\s*\\{{.*?"translated"\\s*:\\s*"', '', 's'), '"\\s*\\}}\\s*$', '')) END AS translated FROM r""",
+)
 def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.col("props")).alias("translated"))
+    """Replies of four kinds: JSON, a wrapper with bare quotes inside, plain text, and JSON without the key."""
+    k = F.col("event_id")
+    kinds = F.when(k % 4 == 0, F.concat(F.lit('{"translated": "word '), k, F.lit('"}'))).when(k % 4 == 1, F.concat(F.lit(' {"note": 1, "translated" : "a "quoted" '), k, F.lit('" } '))).when(k % 4 == 2, F.concat(F.lit("plain "), k, F.lit(" "))).otherwise(F.col("props"))
+    rows = read_table(spark, sf_dir, "events").select("event_id", kinds.alias("raw"))
+    return rows.select("event_id", reply(F.col("raw")).alias("translated"))
 
 
 @query("T11_prompt", "SELECT conv_id, turn, 'Translate into English: {\"untranslated\": \"' || text || '\"}' AS prompt FROM conversations")

@@ -1,4 +1,4 @@
-"""Request limits on an event stream: the same functions take a batch or a stream."""
+"""Request limits: :func:`over_limit` takes a batch or a stream, :func:`waits` a batch; :mod:`vellum.streaming.flow` has pacing and history on a stream."""
 
 from __future__ import annotations
 
