@@ -38,6 +38,12 @@ def traced(mask: np.ndarray, x: int, y: int, empty: int) -> np.ndarray:
         now = step(*now)  # type: ignore[misc]
 
 
+def holes(mask: np.ndarray) -> np.ndarray:
+    """Unset pixels from which no way leads out of the image, side by side."""
+    open_ = np.pad(~mask, 1, constant_values=True)
+    return (open_ & ~flooded(open_, 0, 0))[1:-1, 1:-1]
+
+
 def borders(mask: np.ndarray) -> list[np.ndarray]:
     """Outer borders of the components (pixels that touch by side or corner) and borders of their holes, in the order of their first pixels."""
     found = []
@@ -46,12 +52,11 @@ def borders(mask: np.ndarray) -> list[np.ndarray]:
     for at in places[np.unique(label.ravel()[places], return_index=True)[1]].tolist():
         y, x = divmod(at, mask.shape[1])
         found.append(((y, x, 0), traced(mask, x, y, 0)))
-    open_ = np.pad(~mask, 1, constant_values=True)
-    holes = (open_ & ~flooded(open_, 0, 0))[1:-1, 1:-1]
-    while holes.any():
-        y, x = divmod(int(holes.ravel().argmax()), mask.shape[1])
+    left = holes(mask)
+    while left.any():
+        y, x = divmod(int(left.ravel().argmax()), mask.shape[1])
         found.append(((y, x - 1, 1), traced(mask, x - 1, y, 4)))  # what is west of a hole's first pixel is set
-        holes = holes & ~flooded(holes, x, y)
+        left = left & ~flooded(left, x, y)
     return [points for _, points in sorted(found, key=lambda f: f[0])]
 
 
