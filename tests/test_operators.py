@@ -225,17 +225,94 @@ def test_horizontal_wrap():
                 assert n + W.width(" ", size) + W.width(first, size) > wide or W.width(first, size) <= size
 
 
-def test_largest_font_fits_and_the_next_does_not():
+def test_largest_font_equals_a_search_over_all_sizes(spark):
+    """In lines and in columns; of all sizes that may be tried the largest that fits, laid out anew for each."""
     W = wrapping
-    for text, w, h in (("some words to set", 200, 100), ("a", 60, 60), ("long text " * 40, 400, 300)):
-        got = W.largest_font(text, w, h, 24, "en_US", 0.6, len(text))
-        def fits(size):
-            dense = max(0.0, min(1.0, (len(text) / min(w, h) - 0.22) / 0.35))
-            margin = max(4, int(min(w, h) * max(0.02, min(0.10, 7 / min(w, h))) * (1 + 0.2 * dense)))
-            lines = W.wrap(text, size, w - 2 * margin, h - 2 * margin)
-            return size * len(lines) + max(int(size * 0.15), 3) * (len(lines) - 1) + 2 * margin <= h * max(1, 1.01 - 0.03 * dense) and max(n for _, n in lines) + 2 * margin <= w * max(1, 1.02 - 0.03 * dense)
-        assert got == 10 or fits(got)
-        assert got >= 16 or not fits(got + 1)
+    texts = [("some words to set", 200.0, 100.0), ("a", 60.0, 60.0), ("long text " * 40, 400.0, 300.0), ("字字字 字字字字字", 90.0, 140.0), ("", 50.0, 50.0), ("one more line of text here", 300.0, 900.0), ("x" * 60, 70.0, 240.0)]
+    rows = [(f"{k}{c}{wide}", t, w, h, 24, "en_US", c, float(len(t)), wide) for k, (t, w, h) in enumerate(texts) for c in (0.2, 0.6) for wide in (True, False)]
+    df = spark.createDataFrame([*rows, ("none", None, 9.0, 9.0, 24, "en_US", 0.5, 1.0, True)], "k string, t string, w double, h double, first int, lang string, c double, places double, wide boolean")
+    got = {r.k: r.font for r in W.fitted_font(df, "t", "w", "h", "first", "lang", "c", "places", horizontal=F.col("wide")).collect()}
+    assert got.pop("none") is None and len(got) == len(rows)
+    for k, t, w, h, first, lang, c, places, wide in rows:
+        side = min(w, h)
+        dense, unsure = max(0.0, min(1.0, (places / side - 0.22) / 0.35)), c < 0.45
+        margin = max(4, int(side * (max(0.02, min(0.10, 7 / side)) * (0.85 if unsure else 1.0) * (1 + 0.2 * dense))))
+        most = min(int(side * 0.56), 40) if side < 80 else int(40 + (side - 80) * 0.30) if side < 200 else min(int(side * 0.44), 168)
+        most = max(min(round(most * (1 - 0.12 * dense)), int(max(first * (3.2 if unsure else 2.6), 18))), 16)
+        across, along = (max(1.0, base + (0.03 if unsure else 0) - 0.03 * dense) for base in (1.01, 1.02))
+        fit = [10]
+        for size in range(10, most + 1):
+            if wide:
+                lines = [n for _, n in W.wrap(t, size, max(2 * margin, w - 2 * margin), max(2 * margin, h - 2 * margin))]
+                gap, down, over = max(int(size * 0.15), 3), h, w
+            else:
+                lines, room = [0], max(2 * margin, h - 2 * margin)
+                for ch in t:
+                    n = math.floor(size * 0.6) if ord(ch) < 128 else size
+                    if lines[-1] == 0 and ch == " ":
+                        continue
+                    lines = [*lines, n] if lines[-1] + n > room else [*lines[:-1], lines[-1] + n]
+                gap, down, over = max(int(size * 0.10), 2), w, h
+            if size * len(lines) + gap * max(0, len(lines) - 1) + 2 * margin <= down * across and max(lines, default=0) + 2 * margin <= over * along:
+                fit.append(size)
+        assert got[k] == max(fit), k
+
+
+def plain_breaks(word, patterns, left=2, right=3):
+    """Every pattern at every place."""
+    marked, best = f".{word.lower()}.", {}
+    for p in patterns:
+        letters = "".join(c for c in p if not c.isdigit())
+        for start in range(len(marked) - len(letters) + 1):
+            if marked[start : start + len(letters)] == letters:
+                at = start
+                for c in p:
+                    if c.isdigit():
+                        best[at] = max(best.get(at, 0), int(c))
+                    else:
+                        at += 1
+    cuts = [k for k in range(left, len(word) - right + 1) if best.get(k + 1, 0) % 2]
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+
+def test_hyphenator_equals_every_pattern_at_every_place():
+    r = random.Random(9)
+    patterns = ["a1b", "1ba", "ab2b", ".ab3c", "c1c", "2c1a.", "b1c", "a3a1b", "1c2b", "b4b"] + ["".join(r.choice("abc") + r.choice(["", "", "1", "2", "3"]) for _ in range(r.randrange(1, 5))) for _ in range(40)]
+    held = wrapping.Patterns(patterns)
+    for _ in range(400):
+        word = "".join(r.choice("abcABd") for _ in range(r.randrange(3, 30)))
+        assert held.breaks(word) == plain_breaks(word, patterns)
+        n = len(word)
+        assert wrapping.parts_of(word, "en", held) == (held.breaks(word) if 10 <= n <= 100 else wrapping.parts_of(word, "en"))
+        assert wrapping.parts_of(word, "ja", held) == [word]
+
+
+def test_hyphenated_lines_are_filled_from_those_after_them():
+    W, size = wrapping, 20
+    held = W.Patterns(["a1b", "b1a", "e1i", "i1b"])
+    r = random.Random(10)
+    fewer = 0
+    for _ in range(300):
+        words = ["".join(r.choice("abei") for _ in range(r.randrange(1, 24))) for _ in range(r.randrange(2, 14))]
+        w, h = r.randrange(60, 300), r.randrange(20, 80)
+        lines, without = W.wrap(" ".join(words), size, w, h, "en", held), W.wrap(" ".join(words), size, w, h, "en")
+        shown = "".join(t[:-1] if t.endswith("-") else t + " " for t, _ in lines)
+        assert shown.replace(" ", "") == "".join(words)
+        assert all(n == W.width(t, size) for t, n in lines)
+        for word in shown.split(" "):
+            assert word == "" or word in words or len(word) > 9
+        fewer += len(lines) < len(without)
+    assert fewer >= 1
+    # parts go back while they leave room, the join of one word takes no space, an emptied line goes
+    lines = [[(0, 0, 1)], [(1, 0, 3)], [(2, 0, 1)]]
+    W.filled_back(lines, [[30], [20, 20, 20], [10]], 5, 100)
+    assert lines == [[(0, 0, 1), (1, 0, 3), ], [(2, 0, 1)]]
+    lines = [[(0, 0, 1)], [(1, 0, 3)], [(2, 0, 1)]]
+    W.filled_back(lines, [[30], [20, 20, 20], [10]], 5, 76)
+    assert lines == [[(0, 0, 1), (1, 0, 2)], [(1, 2, 3), (2, 0, 1)]]  # 76 - 60 leaves 11 beside the space
+    lines = [[(0, 0, 1)], [(1, 0, 3)], [(2, 0, 1)]]
+    W.filled_back(lines, [[30], [20, 20, 20], [12]], 5, 76)
+    assert lines == [[(0, 0, 1), (1, 0, 2)], [(1, 2, 3)], [(2, 0, 1)]]
 
 
 def test_parts_agree_with_the_column_form(spark):

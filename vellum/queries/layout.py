@@ -136,13 +136,19 @@ def resized_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "line_id", F.col("new_font").alias("font"), low(x, w, "sx").alias("x1"), low(y, h, "sy").alias("y1"), high(x, w, "sx").alias("x2"), high(y, h, "sy").alias("y2"))
 
 
+def boxed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text with a box that grows with its number."""
+    k = F.col("item_id")
+    side = 80.0 + k % 7 * 40
+    wide = k % 3 != 0
+    return read_table(spark, sf_dir, "benchmark").select("item_id", "text", F.when(wide, side * 2).otherwise(side).alias("w"), F.when(wide, side).otherwise(side * 2).alias("h"), F.lit(24).alias("first"), F.lit("en_US").alias("lang"), ((k % 10) / 10.0).alias("confidence"), T.places(F.col("text")).alias("places"))
+
+
 @query("G24_fitted_font")
 def g24_fitted_font(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest font of each benchmark text in a box that grows with its number."""
-    k, text = F.col("item_id"), F.col("text")
-    side = 80.0 + k % 7 * 40
-    font = fitted_font(text, side * 2, side, F.lit(24), F.lit("en_US"), (k % 10) / 10.0, T.places(text))
-    return read_table(spark, sf_dir, "benchmark").select("item_id", font.alias("font"))
+    """The largest font of each text in its box, wide boxes set in lines, tall ones in columns."""
+    boxed = boxed_texts(spark, sf_dir)
+    return fitted_font(boxed, "text", "w", "h", "first", "lang", "confidence", "places", horizontal=F.col("w") > F.col("h")).select("item_id", "font")
 
 
 @query("E1_identity_stage", f"WITH {LINES_SQL} SELECT page_id, line_id, text AS translation FROM lines")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.functions import text as T
-from vellum.functions.wrapping import wrapped_lines
+from vellum.functions.wrapping import Patterns, hyphenated_lines, hyphenated_parts, wrapped_lines
 from vellum.queries.registry import query
 from vellum.sources.tables import read_table
 
@@ -139,6 +139,37 @@ def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", F.array_join(T.syllables(F.col("word"), lang), "|").alias("parts"))
 
 
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pattern): a break between two consonants that stand between vowels, in the pairs that the regions', nations' and parts' names have; none inside the pairs that sound as one.
+
+    A hyphenator's table is the caller's. Its rows are pairs of letters, 400 at most.
+    """
+    names = read_table(spark, sf_dir, "part").select(F.lower("p_name").alias("n")).union(read_table(spark, sf_dir, "nation").select(F.lower("n_name")))
+    pairs = names.select(F.explode(F.regexp_extract_all("n", F.lit("(?=([b-df-hj-np-tv-z]{2}))"), F.lit(1))).alias("p")).distinct()
+    one = F.col("p").isin("ch", "ck", "sh", "th", "ph", "gh", "wh", "ng", "qu")
+    return pairs.select(F.concat(F.substring("p", 1, 1), F.when(one, "2").otherwise("1"), F.substring("p", 2, 1)).alias("pattern"))
+
+
+def hyphenator(spark: SparkSession, sf_dir: str) -> Patterns:
+    return Patterns(sorted(r.pattern for r in patterns(spark, sf_dir).collect()))  # pairs of letters
+
+
+@query("T17_hyphenated")
+def hyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the words of the benchmark and of the product names by letter patterns."""
+    held = hyphenator(spark, sf_dir)
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    words = words.union(read_table(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("")))).where("word <> ''").distinct()
+    return words.select("word", F.array_join(hyphenated_parts(held)("word", F.lit("en_US")), "|").alias("parts"))
+
+
+@query("T18_hyphenated_wrap")
+def hyphenated_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a 20-pixel font in a box of 260 by 60, broken by letter patterns, filled where they are too many."""
+    lines = hyphenated_lines(hyphenator(spark, sf_dir))(F.col("text"), F.lit(20), F.lit(260.0), F.lit(60.0), F.lit("en_US"))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(lines).alias("place", "l")).select("item_id", "place", "l.text", "l.width")
+
+
 RUN_SQL = T.VALUABLE[:-1] + T.RIGHT_TO_LEFT[1:]
 
 
