@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.functions import geometry as G, text as T
 from vellum.functions.wrapping import fitted_font, nudged_font, overflow_scales, wrapped_lines
 from vellum.operators.masks import inscribed_rectangles, policy
 from vellum.operators.stages import dispatch
+from vellum.plans.pipeline import Pipeline, Step, batched
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.tables import read_table
@@ -154,3 +156,21 @@ def g24_fitted_font(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("E1_identity_stage", f"WITH {LINES_SQL} SELECT page_id, line_id, text AS translation FROM lines")
 def identity_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch("identity translator", text_lines(spark, sf_dir).select("page_id", "line_id", "text"))
+
+
+def _shouted(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.assign(translation=frame["text"].str.upper())
+
+
+#: Lines with text that are sure, a translation by batches, and a report by page.
+LAYOUT_STEPS = [
+    Step("text", lambda df: df.where(F.trim("text") != "")),
+    Step("sure", lambda df: df.where("prob >= 0.55"), ("avg(prob) AS mean_prob",)),
+    Step("translated", lambda df: batched(df.select("page_id", "line_id", "text"), _shouted, "page_id bigint, line_id bigint, text string, translation string")),
+    Step("report", lambda df: df.groupBy("page_id").agg(F.count("*").alias("lines"), F.sum(F.length("translation")).alias("chars"), F.min("translation").alias("first"))),
+]
+
+
+@query("E6_layout_pipeline", f"WITH {LINES_SQL} SELECT page_id, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, min(upper(text)) AS first FROM lines WHERE trim(text) <> '' AND prob >= 0.55 GROUP BY page_id")
+def layout_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pipeline(LAYOUT_STEPS).plan(text_lines(spark, sf_dir))
