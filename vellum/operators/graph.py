@@ -2,7 +2,7 @@
 
 First each batch of edges is joined up by itself and goes on as stars, so that
 components whose edges lie together, such as those of a page, are done at once
-and the others have fewer edges. Every step after that is a join and a grouped
+and the others have fewer edges; where that leaves each node one label, nothing else runs. Every step after that is a join and a grouped
 minimum over the edges left, so no node's neighbours meet in one task but as
 partial minima, and the driver sees only a count and a checksum. The number of
 steps grows with the logarithm of the longest path.
@@ -67,6 +67,17 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether each node has one label: then the batches have joined up everything, as where each page's edges lie together."""
+    both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), "v"))
+    return both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").limit(1).count() == 0
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, max_steps: int = 60) -> DataFrame:
     """Label each node of ``edges`` (u, v: long) with the least node of its component.
 
@@ -76,6 +87,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_steps: int = 60
     """
     held = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     now = scratch.write(held.mapInArrow(_starred, "u long, v long").distinct(), "edges")
+    if _settled(now):
+        return _labels(now)
     before = _mark(now)
     for _ in range(max_steps):
         large = scratch.write(_large_star(now, scratch), "large-star")
@@ -88,5 +101,4 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_steps: int = 60
         before = mark
     else:
         raise RuntimeError(f"components did not settle in {max_steps} steps")
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return found.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _labels(now)

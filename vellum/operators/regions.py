@@ -87,8 +87,15 @@ def _tree(nodes: list[int], gap: np.ndarray) -> list[tuple[float, int, int]]:
     return sorted(kept, key=lambda e: -e[0])
 
 
-def _split(nodes: list[int], gap: np.ndarray, font: np.ndarray, centre: np.ndarray) -> list[list[int]]:
-    """A component in regions: pairs by distance, larger ones cut at the tree's heaviest edge until they hold together."""
+#: Fonts between two lines of a pair, and how far their directions may differ.
+PAIR_FONTS, PAIR_TURN = 1.5, 0.2 * np.pi
+
+
+def _split(nodes: list[int], gap: np.ndarray, font: np.ndarray, centre: np.ndarray, angle: np.ndarray | None = None) -> list[list[int]]:
+    """A component in regions: pairs by distance and direction, larger ones cut at the tree's heaviest edge until they hold together.
+
+    Upright boxes all have the same direction.
+    """
     todo, done = [nodes], []
     while todo:
         group = todo.pop()
@@ -96,7 +103,7 @@ def _split(nodes: list[int], gap: np.ndarray, font: np.ndarray, centre: np.ndarr
             done.append(group)
         elif len(group) == 2:
             u, v = group
-            close = gap[u, v] < 1.5 * max(font[u], font[v])
+            close = gap[u, v] < PAIR_FONTS * max(font[u], font[v]) and (angle is None or abs(angle[u] - angle[v]) < PAIR_TURN)
             done.extend([group] if close else [[u], [v]])
         else:
             edges = _tree(group, gap)
@@ -186,7 +193,7 @@ def _split_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = start[:-1][sizes == 2]
         gap = np.hypot(*(np.maximum(np.maximum(p[two + 1] - (p + q)[two], p[two] - (p + q)[two + 1]), 0) for p, q in ((x, w), (y, h))))
         weight[two] = weight[two + 1] = gap
-        near = gap < 1.5 * np.maximum(font[two], font[two + 1])
+        near = gap < PAIR_FONTS * np.maximum(font[two], font[two + 1])
         region[two[near] + 1] = ids[two[near]]
         for k in np.flatnonzero(sizes > 2).tolist():
             here = slice(int(start[k]), int(start[k + 1]))
@@ -232,3 +239,46 @@ def tree_edges(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return parts.select("page_id", "lines").mapInArrow(run, TREES)
+
+
+def tilted_regions(quads: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(page_id, line_id, region_id) of ``quads`` (page_id, line_id, p, font, angle), whose ``pairs`` (page_id, src, dst) belong together.
+
+    Components form over all pages at once; a component is the unit of the split, which looks at all pairs of its lines.
+    """
+    held = scratch.write(quads.select("page_id", "line_id", "p", "font", "angle", F.monotonically_increasing_id().alias("node")), "quads", keep=True)
+    end = lambda name, node: held.select("page_id", F.col("line_id").alias(name), F.col("node").alias(node))
+    edges = pairs.join(end("src", "u"), ["page_id", "src"]).join(end("dst", "v"), ["page_id", "dst"]).select("u", "v")
+    labels = scratch.write(connected_components(edges, scratch), "labels", keep=True)
+    joined = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = joined.groupBy("page_id", "component").agg(F.array_sort(F.collect_list(F.struct("line_id", "font", "angle", "p"))).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, ids, regions_ = [], [], []
+            for page, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p = np.array([[(q["x"], q["y"]) for q in r["p"]] for r in lines], float)
+                font, angle = (np.array([r[c] for r in lines], float) for c in ("font", "angle"))
+                for part in _split(list(range(len(lines))), ring_gaps(p), font, p.mean(axis=1), angle):
+                    pages += [page] * len(part)
+                    ids += [lines[k]["line_id"] for k in part]
+                    regions_ += [lines[min(part)]["line_id"]] * len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (pages, ids, regions_)], names=["page_id", "line_id", "region_id"])
+
+    return parts.select("page_id", "lines").mapInArrow(run, "page_id long, line_id long, region_id long")
+
+
+def ring_gaps(p: np.ndarray) -> np.ndarray:
+    """Distances of all pairs of convex rings (n, corners, 2): 0 where they meet or one holds the other."""
+    n, m = p.shape[:2]
+    edge = np.roll(p, -1, axis=1) - p
+    normal = np.stack([-edge[..., 1], edge[..., 0]], axis=-1)
+    along = np.einsum("akc,bjc->abkj", normal, p)  # corners of b along the normals of a
+    own = np.einsum("akc,ajc->akj", normal, p)[:, None]
+    apart = ((along.min(axis=3) > own.max(axis=3)) | (along.max(axis=3) < own.min(axis=3))).any(axis=2)
+    apart |= apart.T
+    off = p[None, :, None, :, :] - p[:, None, :, None, :]  # from the start of each edge of a to each corner of b
+    e = edge[:, None, :, None, :]
+    at = np.clip((off * e).sum(axis=-1) / np.maximum((e * e).sum(axis=-1), 1e-12), 0, 1)
+    far = ((off - at[..., None] * e) ** 2).sum(axis=-1).reshape(n, n, m * m).min(axis=2)
+    return np.where(apart, np.sqrt(np.minimum(far, far.T)), 0.0)

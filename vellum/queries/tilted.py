@@ -8,6 +8,7 @@ from vellum.functions import geometry as G
 from vellum.operators import regions as R
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
+from vellum.sources.scratch import Scratch
 
 #: Lines turned about their middle, by an angle of the page and a little of the line; corners on whole pixels.
 TURN_SQL = "radians((page_id % 5) * 12 - 24 + (line_id % 2) * 4)"
@@ -90,3 +91,10 @@ def tilted_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge pairs with the branch for lines at an angle."""
     good = tilted_pairs(spark, sf_dir).where(G.can_merge_quads("a", "b", **R.MERGE))
     return good.select("page_id", F.col("a_line_id").alias("src"), F.col("b_line_id").alias("dst"), F.round("gap", 5).alias("gap"))
+
+
+@query("J10_tilted_regions")
+def tilted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of tilted lines: pairs also need nearly the same direction."""
+    with Scratch(spark, "tilted-regions") as scratch:
+        return R.tilted_regions(tilted(spark, sf_dir), tilted_merge_pairs(spark, sf_dir), scratch)
