@@ -58,3 +58,34 @@ def test_edge_rows_go_through_every_stage(spark, tmp_path):
             assert 116 not in {r.doc_id for r in now} and 106 in {r.doc_id for r in now}
         if at == 4:
             assert {r.doc_id for r in now} <= {r[0] for r in before} and all(r.decoded for r in now) and len(now) >= len(before)
+
+
+def test_quality_and_mixing_stages_equal_brute_force(spark):
+    """Every row that quality rules keep or drop, by the scores of its own words; every count of the mixture."""
+    import bisect
+    import math
+
+    from vellum.llm import mixing, quality_rules
+
+    docs = read_table(spark, SF, "documents")
+    verdict = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, k in verdict.items() if k)
+    rows = kept.collect()
+    size = lambda r: len((r.text or "").encode()) + 1
+    total = collections.Counter()
+    for r in rows:
+        total[r.source] += size(r)
+    weight = {s: n**mixing.ALPHA for s, n in total.items()}
+    rate = {s: weight[s] / sum(weight.values()) * sum(total.values()) / n for s, n in total.items()}
+    want = {}
+    for r in rows:
+        u = (int(hashlib.md5(f"20:1:{r.doc_id}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        steps, chance = [], 0.0
+        for k in range(60):
+            chance += math.exp(-rate[r.source] + k * math.log(rate[r.source]) - math.lgamma(k + 1))
+            steps.append(chance)
+        want[r.doc_id] = bisect.bisect_left(steps, u)
+    got = collections.Counter(r.doc_id for r in stages["mixing"](spark, kept, SF).collect())
+    assert got == collections.Counter({i: n for i, n in want.items() if n})

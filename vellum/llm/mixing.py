@@ -13,7 +13,8 @@ with a hash of its own, so that exp(-rate) never underflows.
 Defined results: a null source is a source of its own; a null or empty text
 weighs 1 byte, as each document weighs its bytes plus 1; rows that repeat an id
 get the same count; a source with target weight 0 or without one gets rate 0, and
-so do weights under 0, infinite or no number.
+so do weights under 0, infinite, no number, or under 5e-19 of the largest one
+(shares are decimals of 18 digits, so that their sum has no order).
 """
 
 from __future__ import annotations

@@ -64,6 +64,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Samples of a text at most: above, the streams of samples would meet those of the walks.
+MOST_SAMPLES = 256
+
+
 def _uniform(keys: np.ndarray, at: np.ndarray, stream: int) -> np.ndarray:
     """Numbers in (0, 1) hashed from mixed row keys, character places and a stream under 4096."""
     h = _mix(keys + (at.astype(np.uint64) * np.uint64(4096) + np.uint64(stream)) * _K1)
@@ -529,8 +533,10 @@ def _ids(t: Lattices, edges: np.ndarray, start: np.ndarray) -> tuple[np.ndarray,
 def segment(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to k segmentations of each text: doc_id, sample (from 0), n_pieces, piece_ids, log_prob, perturbed, log_inclusion, decoded.
 
-    decoded says whether the pieces decode to the text.
+    decoded says whether the pieces decode to the text. ``k`` may be MOST_SAMPLES at most, as each sample draws from random streams of its own.
     """
+    if not 0 <= k <= MOST_SAMPLES:
+        raise ValueError(f"k is from 0 to {MOST_SAMPLES}, not {k}")
 
     def each(ids: list, raw: list[bytes]) -> dict[str, object]:
         t = _lattices(model)

@@ -40,7 +40,10 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of BATCH_BYTES for Python workers, unless the session has a size of its own: a worker holds a batch several times over."""
+    """Batches of BATCH_BYTES for Python workers, unless the session has a size of its own: a worker holds a batch several times over.
+
+    The setting holds for the session from then on, as Spark reads it when a plan runs and not when it is made.
+    """
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if setting not in spark.conf.getAll:
         spark.conf.set(setting, str(BATCH_BYTES))
