@@ -222,3 +222,10 @@ def can_merge_quads(a: str, b: str, aspect: float, fonts: float, gap: float, gap
     level = (d < size * gap) & F.when(centred, True).otherwise(shaped)
     leant = (F.abs(ta - tb) < 15 * F.pi() / 180) & (d <= size * gap2) & (F.abs(fa - fb) / size <= 0.25)
     return (d <= far * size) & (F.greatest(fa, fb) / size <= fonts) & ~opposed & F.when(straight, level).otherwise(leant)
+
+
+def inner_margin(side: Column, chars: Column) -> Column:
+    """Margin inside a box, by its smaller side and the text's length."""
+    whole = lambda c: F.bround(c).cast("long")
+    wide = whole((0.040 * side + 1.0) * clamp(1.02 - 0.0022 * chars, 0.86, 1.08))
+    return F.when(side < 70, F.greatest(F.lit(1), whole(side * 0.02))).when(side < 120, F.greatest(F.lit(2), whole(side * 0.03))).otherwise(F.greatest(F.lit(2), F.least(F.lit(10), wide)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vellum.functions.geometry import inner_margin
+
 #: Decimals of the report's figures.
 DIGITS = 6
 
@@ -21,24 +23,49 @@ def share(test: Column) -> Column:
     return F.round(F.coalesce(100.0 * F.count_if(test) / F.when(F.count("*") > 0, F.count("*")), F.lit(0.0)), DIGITS)
 
 
+def overflow_figures(w: Column, h: Column, chars: Column, font: Column, wide: Column, count: Column, extent: Column) -> dict[str, Column]:
+    """spacing, overflow_w, overflow_h, shrink and centering of a text of ``count`` lines (columns where not ``wide``), the widest ``extent`` pixels, in a box.
+
+    The text with its border needs room inside the box's margin; what it lacks is the overflow, what it is scaled by to fit
+    the shrink. Centring rounds down, so an odd rest makes the sides a pixel unlike.
+    """
+    border = F.greatest((font * 0.07).cast("int"), F.lit(1))
+    around = (font + border) * 2
+    spacing = F.when(wide, F.greatest((font * 0.15).cast("int"), F.lit(3))).otherwise(F.greatest((font * 0.10).cast("int"), F.lit(2)))
+    stacked = font * count + spacing * (count - 1)
+    need_w, need_h = F.when(wide, extent).otherwise(stacked) + around, F.when(wide, stacked).otherwise(h) + around
+    margin = inner_margin(F.least(w, h), chars)
+    room_w, room_h = F.greatest(F.lit(1), w - margin * 2), F.greatest(F.lit(1), h - margin * 2)
+    over = lambda need, room: F.greatest(F.lit(0.0), (need - room) / room)
+    rest = lambda need, room: (room - F.least(need, room)) % 2
+    return {
+        "spacing": spacing, "overflow_w": over(need_w, room_w), "overflow_h": over(need_h, room_h),
+        "shrink": F.least(F.lit(1.0), room_w / need_w, room_h / need_h), "centering": rest(need_w, room_w) + rest(need_h, room_h),
+    }
+
+
 def region_metrics(lines: DataFrame) -> DataFrame:
-    """A metric row for each line, as if rendered in its box."""
+    """A metric row for each line, as if rendered in its box; lines and columns are counted by the whole text's length."""
     small, size = F.least("w", "h"), F.length("text")
     df = lines.select("page_id", "line_id", "prob", small.cast("int").alias("font_original"), (small + F.col("line_id") % 3).cast("int").alias("font"), size.alias("chars"), "w", "h")
-    over = lambda need, side: F.greatest(F.lit(0.0), need / side - 1)
-    return df.select(
-        "page_id", "line_id", (F.col("prob") >= 0.7).alias("bubble"), "font", (F.col("font") - F.col("font_original")).alias("font_delta"),
-        F.ceil(F.col("chars") * F.col("font") * 0.5 / F.col("w")).alias("line_count"), F.round(F.col("font") * 0.15).cast("int").alias("spacing"),
-        over(F.col("chars") * F.col("font") * 0.5, F.col("w")).alias("overflow_w"), over(F.col("font") * 1.0, F.col("h")).alias("overflow_h"),
-        F.least(F.lit(1.0), F.col("h") / F.col("font")).alias("shrink"), (F.abs(F.col("w") - F.col("h")) % 4).alias("centering"),
+    w, h, font, wide = F.col("w"), F.col("h"), F.col("font"), F.col("w") > F.col("h")
+    across, length = F.greatest(w, font * 2), F.col("chars") * F.floor(font * 55 / 100)
+    count = F.greatest(F.lit(1), F.when(wide, F.ceil(length / across)).otherwise(F.ceil(F.col("chars") * F.floor(font * 60 / 100) / h)))
+    held = overflow_figures(w, h, F.col("chars"), font, wide, F.col("line_count"), F.least(length, across))
+    return df.withColumn("line_count", count).select(
+        "page_id", "line_id", (F.col("prob") >= 0.7).alias("bubble"), "font", (font - F.col("font_original")).alias("font_delta"), "line_count", *[c.alias(n) for n, c in held.items()],
     )
 
 
 #: The same rows in SQL, for WITH, after the lines.
-METRICS_SQL = """sized AS (SELECT page_id, line_id, prob, least(w, h) AS original, least(w, h) + line_id % 3 AS font, length(text) AS chars, w, h FROM lines),
-metrics AS (SELECT page_id, line_id, prob >= 0.7 AS bubble, font, font - original AS font_delta, ceil(CAST(chars * font * 0.5 AS DOUBLE) / w) AS line_count,
-  CAST(round(CAST(font * 0.15 AS DOUBLE)) AS INT) AS spacing, greatest(0.0, CAST(chars * font * 0.5 AS DOUBLE) / w - 1) AS overflow_w, greatest(0.0, CAST(font AS DOUBLE) / h - 1) AS overflow_h,
-  least(1.0, CAST(h AS DOUBLE) / font) AS shrink, abs(w - h) % 4 AS centering FROM sized)"""
+METRICS_SQL = """sized AS (SELECT page_id, line_id, prob, least(w, h) AS original, least(w, h) + line_id % 3 AS font, length(text) AS chars, w, h, least(w, h) AS side FROM lines),
+counted AS (SELECT *, chars * (font * 55 // 100) AS length, greatest(w, font * 2) AS across, greatest(1, font * 7 // 100) AS border, CASE WHEN w > h THEN greatest(font * 15 // 100, 3) ELSE greatest(font // 10, 2) END AS spacing,
+  CASE WHEN side < 70 THEN greatest(1, CAST(round_even(side * 0.02::DOUBLE, 0) AS BIGINT)) WHEN side < 120 THEN greatest(2, CAST(round_even(side * 0.03::DOUBLE, 0) AS BIGINT)) ELSE 2 END AS margin FROM sized),
+laid AS (SELECT *, greatest(1, CASE WHEN w > h THEN (length + across - 1) // across ELSE (chars * (font * 60 // 100) + h - 1) // h END) AS line_count FROM counted),
+needed AS (SELECT *, (CASE WHEN w > h THEN least(length, across) ELSE font * line_count + spacing * (line_count - 1) END) + (font + border) * 2 AS need_w,
+  (CASE WHEN w > h THEN font * line_count + spacing * (line_count - 1) ELSE h END) + (font + border) * 2 AS need_h, greatest(1, w - margin * 2) AS room_w, greatest(1, h - margin * 2) AS room_h FROM laid),
+metrics AS (SELECT page_id, line_id, prob >= 0.7 AS bubble, font, font - original AS font_delta, line_count, spacing, greatest(0.0, CAST(need_w - room_w AS DOUBLE) / room_w) AS overflow_w, greatest(0.0, CAST(need_h - room_h AS DOUBLE) / room_h) AS overflow_h,
+  least(1.0, CAST(room_w AS DOUBLE) / need_w, CAST(room_h AS DOUBLE) / need_h) AS shrink, (room_w - least(need_w, room_w)) % 2 + (room_h - least(need_h, room_h)) % 2 AS centering FROM needed)"""
 
 
 def figures() -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from vellum.functions import geometry as G
 from vellum.functions.languages import ORIENTATION
 from vellum.queries.filters import IMAGE_SQL, images
+from vellum.plans.report import METRICS_SQL, region_metrics
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 
@@ -367,11 +368,11 @@ def unclip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_line(spark, sf_dir, distance=F.round(w * h * F.lit(2.3) / (2 * (w + h)), 4))
 
 
-@query("G36_overflow", f"WITH {LINES_SQL} SELECT page_id, line_id, round(greatest(0.0, CAST(length(text) * 6 AS DOUBLE) / w - 1), 6) AS overflow, round(least(1.0, CAST(w AS DOUBLE) / (length(text) * 6)), 6) AS shrink FROM lines WHERE length(text) > 0")
+@query("G36_overflow", f"WITH {LINES_SQL}, {METRICS_SQL} SELECT page_id, line_id, round(overflow_w, 6) AS overflow_w, round(overflow_h, 6) AS overflow_h, round(shrink, 6) AS shrink, CAST(centering AS BIGINT) AS centering FROM metrics")
 def overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = F.length("text") * 6
-    lines = text_lines(spark, sf_dir).where(F.length("text") > 0)
-    return lines.select("page_id", "line_id", F.round(F.greatest(F.lit(0.0), need / F.col("w") - 1), 6).alias("overflow"), F.round(F.least(F.lit(1.0), F.col("w") / need), 6).alias("shrink"))
+    """The report's overflow, shrink and centring of each line, lines counted by the text's length."""
+    rows = region_metrics(text_lines(spark, sf_dir))
+    return rows.select("page_id", "line_id", *[F.round(c, 6).alias(c) for c in ("overflow_w", "overflow_h", "shrink")], F.col("centering").cast("long"))
 
 
 @query("G37_gamma", f"WITH {LINES_SQL} SELECT page_id, round(ln(127.5) / ln(avg(fg_r) + 1e-6::DOUBLE), 5) AS gamma FROM lines GROUP BY page_id")

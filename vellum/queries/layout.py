@@ -10,6 +10,7 @@ from vellum.functions.wrapping import fitted_font, nudged_font, overflow_scales,
 from vellum.operators.masks import inscribed_rectangles, policy
 from vellum.operators.stages import dispatch
 from vellum.plans.pipeline import Pipeline, Step, batched
+from vellum.plans.report import overflow_figures
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.tables import read_table
@@ -72,10 +73,7 @@ ELSE greatest(2, least(10, CAST(round_even((0.040::DOUBLE * side + 1.0) * greate
 )
 def inner_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margin inside a bubble, by its smaller side and the text's length; sides are four times those of the line."""
-    side = F.greatest(F.lit(1), 4 * F.least("w", "h"))
-    whole = lambda c: F.bround(c).cast("long")
-    wide = whole((0.040 * side + 1.0) * G.clamp(1.02 - 0.0022 * F.length("text"), 0.86, 1.08))
-    margin = F.when(side < 70, F.greatest(F.lit(1), whole(side * 0.02))).when(side < 120, F.greatest(F.lit(2), whole(side * 0.03))).otherwise(F.greatest(F.lit(2), F.least(F.lit(10), wide)))
+    margin = G.inner_margin(F.greatest(F.lit(1), 4 * F.least("w", "h")), F.length("text"))
     return text_lines(spark, sf_dir).select("page_id", "line_id", margin.alias("margin"))
 
 
@@ -174,3 +172,17 @@ LAYOUT_STEPS = [
 @query("E6_layout_pipeline", f"WITH {LINES_SQL} SELECT page_id, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, min(upper(text)) AS first FROM lines WHERE trim(text) <> '' AND prob >= 0.55 GROUP BY page_id")
 def layout_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Pipeline(LAYOUT_STEPS).plan(text_lines(spark, sf_dir))
+
+
+@query("G36_laid_out")
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overflow, shrink and centring of each line's translation as it is laid out: wide boxes in lines, tall ones in columns."""
+    w, h = G.cols("w", "h")
+    font = G.font_size(w, h).cast("int")
+    lines = text_lines(spark, sf_dir).select("page_id", "line_id", "w", "h", F.concat_ws(" ", "text", "text").alias("text"), font.alias("font"))
+    lines = lines.withColumns({"rows": wrapped_lines("text", "font", w.cast("double"), h.cast("double"), F.lit("en_US")), "columns": T.wrapped_columns(F.col("text"), h, F.col("font"), F.floor(F.col("font") * 0.6))})
+    wide = w > h
+    count = F.greatest(F.lit(1), F.when(wide, F.size("rows")).otherwise(F.size("columns")))
+    extent = F.coalesce(F.array_max(F.transform("rows", lambda r: r["width"])), F.lit(0))
+    figures = overflow_figures(w, h, F.length("text"), F.col("font"), wide, count, extent)
+    return lines.select("page_id", "line_id", *[F.round(c, 6).alias(n) if n.startswith(("over", "shrink")) else c.alias(n) for n, c in figures.items()])
