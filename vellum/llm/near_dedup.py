@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.rows import at_task_end, map_texts, picked, small_batches
+from vellum.llm.rows import at_task_end, end_task, map_texts, picked, small_batches
 from vellum.operators.graph import connected_components
 from vellum.sources.scratch import Scratch
 
@@ -52,6 +52,9 @@ LEAST_EQUAL = 0.58
 #: equal ones below which a longer pair goes no further: five standard deviations under 0.8.
 BLOCK, SKETCH, LEAST_SKETCHED = 1024, 4096, 0.77
 
+#: Bytes of sketches from which a block counts as large.
+LARGE_BLOCK = 1 << 20
+
 _random = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _random.integers(1, 1 << 63, size=2 * SIDE * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 1 << 63, size=2 * SIDE * DEPTH, dtype=np.uint64)
@@ -186,6 +189,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                 good.append(100 * n >= percent * (len(x) + len(y) - n))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
+        end_task()
 
     small_batches(docs.sparkSession)
     links = scratch.write(both.select("u", "v", "of_u", "of_v").mapInArrow(confirm, "u bigint, v bigint"), "links")
@@ -248,6 +252,14 @@ def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64), "sure": np.array(sures, bool)})
 
 
+def _compared_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """:func:`_compared`, giving memory back after a block of many or long sets."""
+    out = _compared(frame, percent)
+    if len(frame) >= BLOCK // 8 or frame["sketch"].str.len().sum() > LARGE_BLOCK:
+        end_task()
+    return out
+
+
 def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v, sure) across components: in each bucket of a half key that holds several, the members outside its largest component against all others.
 
@@ -279,7 +291,7 @@ def _rest(nodes: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFra
     common = ("at", "half", "node", "component", "n_shingles", "signature", "sketch")
     asked = full.where("component <> main").select(*common, F.lit(True).alias("asks"), F.lit(True).alias("outside"), spot(F.col("b_out")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("b_all") - 1)).alias("q"))
     others = full.select(*common, F.lit(False).alias("asks"), (F.col("component") != F.col("main")).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("b_out") - 1)).alias("p"), spot(F.col("b_all")).alias("q"))
-    found = asked.union(others).groupBy("at", "half", "p", "q").applyInPandas(lambda f: _compared(f, percent), "u bigint, v bigint, sure boolean")
+    found = asked.union(others).groupBy("at", "half", "p", "q").applyInPandas(lambda f: _compared_block(f, percent), "u bigint, v bigint, sure boolean")
     ordered = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sure").where("u < v")
     out = scratch.write(ordered.distinct(), "rest")
     for used in (placed, plan, open_rows, facts):
