@@ -44,6 +44,13 @@ def first_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("page_id").agg(F.min_by("direction", F.struct(-F.col("n"), "first")).alias("direction"))
 
 
+@query("A21_orientation_vote", f"WITH {LINES_SQL} SELECT page_id, CASE WHEN 2 * count(*) FILTER (h > w) > count(*) THEN 'v' ELSE 'h' END AS orientation FROM lines GROUP BY page_id")
+def orientation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standing where more than half of a page's lines are."""
+    standing = 2 * F.count_if(F.col("h") > F.col("w")) > F.count("*")
+    return text_lines(spark, sf_dir).groupBy("page_id").agg(F.when(standing, "v").otherwise("h").alias("orientation"))
+
+
 @query(
     "A4_region_probability",
     f"WITH {LINES_SQL}, t AS (SELECT page_id, sum(w * h) AS total FROM lines GROUP BY page_id) SELECT l.page_id, h > w AS tall, round(exp(sum(ln(prob) * w * h / total)), 8) AS prob FROM lines l JOIN t ON t.page_id = l.page_id GROUP BY 1, 2",

@@ -9,7 +9,8 @@ from vellum.functions.languages import FROM_ISO, NAMES, ORIENTATION
 from vellum.queries.registry import query
 from vellum.sources.config import config
 from vellum.sources.layout import LINES_SQL, text_lines
-from vellum.sources.tables import read_table
+from vellum.sources.scratch import Scratch
+from vellum.sources.tables import read_dictionary, read_table
 
 ISO_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in FROM_ISO.items())
 NAME_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in NAMES.items())
@@ -171,3 +172,19 @@ def detector_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     mega = F.col("w") * F.col("h") / 1_000_000.0
     size = F.greatest(F.lit(1024), F.least(F.lit(3072), F.bround(F.greatest("w", "h") / 64.0).cast("long") * 64))
     return images(spark, sf_dir).select("p_partkey", size.alias("detection_size"), F.when(mega < 1, 0.55).when(mega < 2.5, 0.60).when(mega < 4, 0.65).otherwise(0.70).alias("box_threshold"))
+
+
+@query("S13_dictionary", "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS index, n_name AS token FROM nation")
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' names as a dictionary file, a token a line, written to the shared folder and read back by number."""
+    path = Scratch(spark, "dictionary").path("tokens", keep=True)
+    names = read_table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list("n_name")).alias("names"))  # a dictionary is one file
+    names.select(F.array_join("names", "\n").alias("value")).coalesce(1).write.text(path)
+    return read_dictionary(spark, path)
+
+
+@query("P4_truthy_translation", f"WITH {LINES_SQL} SELECT page_id, line_id FROM lines WHERE CASE WHEN line_id % 3 = 0 THEN '' ELSE text END <> ''")
+def truthy_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with any translation, blanks included; those without one have the empty string here."""
+    lines = text_lines(spark, sf_dir).withColumn("translation", F.when(F.col("line_id") % 3 == 0, "").otherwise(F.col("text")))
+    return lines.where(F.col("translation").isNotNull() & (F.col("translation") != "")).select("page_id", "line_id")

@@ -357,6 +357,66 @@ def padded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("p_partkey", (F.ceil(w / 256) * 256).alias("w256"), (F.ceil(h / 8) * 8).alias("h8"), (4 * F.floor((w + 7) / 4)).alias("crop"))
 
 
+#: Sizes that the steps of a page image's way ask for: detection and inpainting.
+DETECT, INPAINT = 1536, 800
+
+
+@query(
+    "G32_resized",
+    f"""WITH i AS ({IMAGE_SQL}), r AS (SELECT p_partkey, w, h, {DETECT}::DOUBLE / greatest(w, h) AS ratio, {INPAINT}::DOUBLE / greatest(w, h) AS keep FROM i),
+t AS (SELECT *, CAST(round_even(w * ratio, 0) AS BIGINT) AS tw, CAST(round_even(h * ratio, 0) AS BIGINT) AS th, CASE WHEN greatest(w, h) > {INPAINT} THEN CAST(round_even(w * keep, 0) AS BIGINT) ELSE w END AS kw, CASE WHEN greatest(w, h) > {INPAINT} THEN CAST(round_even(h * keep, 0) AS BIGINT) ELSE h END AS kh FROM r)
+SELECT p_partkey, round(ratio, 8) AS ratio, (256 - tw % 256) % 256 AS pad_w, (256 - th % 256) % 256 AS pad_h, (tw + (256 - tw % 256) % 256) // 2 AS heat_w, (th + (256 - th % 256) % 256) // 2 AS heat_h,
+CAST(round_even(abs(w - h) / greatest(1.0::DOUBLE, CAST(greatest(w, h) AS DOUBLE) / {DETECT}), 0) AS BIGINT) AS square_pad, kw + (8 - kw % 8) % 8 AS inpaint_w, kh + (8 - kh % 8) % 8 AS inpaint_h FROM t""",
+)
+def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale and padding to 256 for detection and its heat map, what a square pads, and the inpainter's size in eights."""
+    w, h = G.cols("w", "h")
+    longer = F.greatest(w, h)
+    whole = lambda c: F.bround(c).cast("long")
+    pad = lambda c, to: (to - c % to) % to
+    ratio, keep = F.lit(float(DETECT)) / longer, F.lit(float(INPAINT)) / longer
+    df = images(spark, sf_dir).withColumns({"ratio": ratio, "tw": whole(w * ratio), "th": whole(h * ratio), "kw": F.when(longer > INPAINT, whole(w * keep)).otherwise(w), "kh": F.when(longer > INPAINT, whole(h * keep)).otherwise(h)})
+    tw, th, kw, kh = G.cols("tw", "th", "kw", "kh")
+    return df.select(
+        "p_partkey", F.round("ratio", 8).alias("ratio"), pad(tw, 256).alias("pad_w"), pad(th, 256).alias("pad_h"), F.floor((tw + pad(tw, 256)) / 2).alias("heat_w"), F.floor((th + pad(th, 256)) / 2).alias("heat_h"),
+        whole(F.abs(w - h) / F.greatest(F.lit(1.0), longer / DETECT)).alias("square_pad"), (kw + pad(kw, 8)).cast("long").alias("inpaint_w"), (kh + pad(kh, 8)).cast("long").alias("inpaint_h"),
+    )
+
+
+def base_quad(box: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Corners (x1, y1 to x4, y4) to place a text in: those of an inpaint box, given as an object, a list of four or four points, else of the region.
+
+    Boxes of 2 pixels or less in a direction, and what is none of these, are passed over.
+    """
+    named, listed, points = F.from_json(box, "x int, y int, w int, h int"), F.from_json(box, "array<int>"), F.from_json(box, "array<array<int>>")
+    corners = lambda a, b, c, d: F.array(*[v.cast("long") for v in (a, b, a + c, b, a + c, b + d, a, b + d)])
+    item = lambda k: F.get(listed, F.lit(k))
+    by_name = F.when((named["w"] > 2) & (named["h"] > 2), corners(named["x"], named["y"], named["w"], named["h"]))
+    by_place = F.when((F.size(listed) == 4) & (item(2) > 2) & (item(3) > 2), corners(item(0), item(1), item(2), item(3)))
+    four = (F.size(points) == 4) & F.forall(points, lambda p: F.size(p) == 2)
+    by_points = F.when(four, F.flatten(points).cast("array<long>"))
+    opens = F.substring(F.trim(box), 1, 2)
+    return F.coalesce(F.when(F.startswith(opens, F.lit("{")), by_name), F.when(opens == "[[", by_points), F.when(F.startswith(opens, F.lit("[")), by_place), corners(x, y, w, h))
+
+
+@query(
+    "G25_base_quads",
+    f"""WITH {LINES_SQL}, k AS (SELECT page_id, line_id, x, y, w, h, line_id % 5 AS kind FROM lines),
+b AS (SELECT *, CASE WHEN kind = 0 AND w % 9 > 2 AND h > 2 THEN [x + 1, y, x + 1 + w % 9, y, x + 1 + w % 9, y + h, x + 1, y + h] WHEN kind = 1 AND w > 2 AND h % 7 > 2 THEN [x, y, x + w, y, x + w, y + h % 7, x, y + h % 7]
+WHEN kind = 2 THEN [x, y, x + w, y, x + w, y + h, x, y + h + 3] ELSE [x, y, x + w, y, x + w, y + h, x, y + h] END AS q FROM k)
+SELECT page_id, line_id, array_to_string(q, ',') AS quad FROM b""",
+)
+def base_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's quad, from an inpaint box of one of three forms where it has one that is large enough."""
+    x, y, w, h, k = G.cols(*"xywh", "line_id")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    named = text('{"x": ', x + 1, ', "y": ', y, ', "w": ', w % 9, ', "h": ', h, "}")
+    listed = text("[", x, ", ", y, ", ", w, ", ", h % 7, "]")
+    points = text("[[", x, ",", y, "],[", x + w, ",", y, "],[", x + w, ",", y + h, "],[", x, ",", y + h + 3, "]]")
+    box = F.when(k % 5 == 0, named).when(k % 5 == 1, listed).when(k % 5 == 2, points).when(k % 5 == 3, "none")
+    return each_line(spark, sf_dir, quad=F.array_join(base_quad(box, x, y, w, h), ","))
+
+
 @query("G33_rescaled", f"WITH {LINES_SQL} SELECT page_id, line_id, x * 1.5::DOUBLE AS x, y * 2.5::DOUBLE AS y FROM lines")
 def rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_line(spark, sf_dir, x=F.col("x") * F.lit(1.5), y=F.col("y") * F.lit(2.5))

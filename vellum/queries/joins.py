@@ -199,3 +199,25 @@ def gap_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = trees.select("page_id", F.col("first").alias("component"), "mean_font", F.explode("weight").alias("gap"))
     figures = [F.round(f("gap"), 5).alias(n) for f, n in ((F.avg, "mean_gap"), (F.stddev_pop, "spread"), (F.max, "most"))]
     return each.groupBy("page_id", "component").agg(*figures, F.round(F.max("mean_font"), 5).alias("mean_font"))
+
+
+@query("W15_tree_edges", f"{TREE_SQL} SELECT page_id, component, row_number() OVER (PARTITION BY page_id, component ORDER BY gap DESC) AS place, round(gap, 5) AS weight FROM tree")
+def tree_edges_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of each component's least spanning tree, the heaviest first."""
+    with Scratch(spark, "tree-edges") as scratch:
+        trees = R.tree_edges(text_lines(spark, sf_dir), scratch)
+    each = trees.select("page_id", F.col("first").alias("component"), F.posexplode("weight").alias("place", "weight"))
+    return each.select("page_id", "component", (F.col("place") + 1).cast("long").alias("place"), F.round("weight", 5).alias("weight"))
+
+
+@query(
+    "G10_rect_iou",
+    f"""WITH {LINES_SQL}, n AS (SELECT a.page_id, a.line_id, a.w * a.h + b.w * b.h AS total, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS common
+  FROM lines a JOIN lines b ON a.page_id = b.page_id AND b.line_id = a.line_id + 1) SELECT page_id, line_id, round(CAST(common AS DOUBLE) / (total - common), 6) AS iou FROM n""",
+)
+def rect_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each line's box and the next one's of its page."""
+    lines = text_lines(spark, sf_dir)
+    a = lines.select("page_id", "line_id", *[F.col(c).alias(f"a_{c}") for c in "xywh"])
+    b = lines.select("page_id", (F.col("line_id") - 1).alias("line_id"), *[F.col(c).alias(f"b_{c}") for c in "xywh"])
+    return a.join(b, ["page_id", "line_id"]).select("page_id", "line_id", F.round(iou("a", "b"), 6).alias("iou"))

@@ -31,6 +31,13 @@ def control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.translate("text", "\t\n\r", "").rlike(T.CONTROL).alias("has"))
 
 
+@query("T4_valuable_characters", "SELECT DISTINCT c, regexp_full_match(c, '[^\\p{P}\\p{Zs}\\p{Cc}\\p{Cf}\\p{Nd}\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]') AS valuable FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM benchmark)")
+def valuable_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each character of the benchmark's texts, and whether it says something."""
+    chars = read_table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))).alias("c")).distinct()
+    return chars.select("c", T.is_valuable(F.col("c")).alias("valuable"))
+
+
 @query("T5_valuable", "SELECT doc_id, regexp_matches(text, '[^\\p{P}\\p{Zs}\\p{Cc}\\p{Cf}\\p{Nd}\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]') AS valuable FROM documents")
 def valuable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.is_valuable(F.col("text")).alias("valuable"))

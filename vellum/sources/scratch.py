@@ -68,13 +68,18 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         """Write ``df`` and return the written table, read with its known schema."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        path = self.path(name, keep)
         df.write.parquet(path)
-        (_kept.setdefault(self.spark.sparkContext.applicationId, []) if keep else self.temporary).append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._vellum_path = path  # type: ignore[attr-defined]
         return out
 
+    def path(self, name: str, keep: bool = False) -> str:
+        """A path of this run for what is not a table, deleted like one."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        (_kept.setdefault(self.spark.sparkContext.applicationId, []) if keep else self.temporary).append(path)
+        return path
+
     def release(self, df: DataFrame) -> None:
         """Delete a table of :meth:`write` before the run ends."""
         path = df._vellum_path  # type: ignore[attr-defined]
