@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _POINT = "struct<x:double,y:double>"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Keeps the optimizer from working a column out anew inside each lambda that names it: a filter on a value that is not deterministic stays where it is."""
+    return df.withColumn("_pin", F.monotonically_increasing_id()).where("_pin >= 0").drop("_pin")
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -61,11 +66,11 @@ def hull(points: Column) -> Column:
 
 def clipped(ring: Column, by: Column) -> Column:
     """The part of a convex ring inside another: it is cut along each edge of ``by`` in turn."""
-    sign = F.when(signed_area(by) < 0, -1.0).otherwise(1.0)
-    edges = F.zip_with(by, next_of(by), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    edges = F.when(signed_area(by) < 0, F.zip_with(next_of(by), by, edge)).otherwise(F.zip_with(by, next_of(by), edge))
 
     def cut(held: Column, e: Column) -> Column:
-        side = lambda p: sign * _turn(e["a"], e["b"], p)
+        side = lambda p: _turn(e["a"], e["b"], p)
 
         def part(p: Column, q: Column) -> Column:
             s, t = side(p), side(q)
@@ -91,9 +96,11 @@ def widened(ring: Column, by: Column, arc: float) -> Column:
 
     def corner(p: Column, i: Column) -> Column:
         start = F.when(i == 0, F.element_at(out, -1)).otherwise(F.get(out, i - 1))
-        turn = F.get(out, i) - start
-        sweep = turn - 2 * F.pi() * F.floor(turn / (2 * F.pi()))
-        n = F.greatest(F.lit(1), F.ceil(sweep / step).cast("int"))
-        return F.transform(F.sequence(F.lit(0), n), lambda j: point(p["x"] + by * F.cos(start + sweep * j / n), p["y"] + by * F.sin(start + sweep * j / n)))
-
-    return F.flatten(F.transform(ring, corner))
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), start.alias("start"), (F.get(out, i) - start).alias("turn"))
+
+    # each step has what it needs of a corner in a struct, so that nothing is worked out for each point of an arc
+    swept = F.transform(F.transform(ring, corner), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["start"].alias("start"), (c["turn"] - 2 * F.pi() * F.floor(c["turn"] / (2 * F.pi()))).alias("sweep")))
+    counted = F.transform(swept, lambda c: F.struct(c.alias("c"), F.greatest(F.lit(1), F.ceil(c["sweep"] / step).cast("int")).alias("n")))
+    turned = lambda c, n, j: c["start"] + c["sweep"] * j / n
+    arc_of = lambda d: F.transform(F.sequence(F.lit(0), d["n"]), lambda j: point(d["c"]["x"] + by * F.cos(turned(d["c"], d["n"], j)), d["c"]["y"] + by * F.sin(turned(d["c"], d["n"], j))))
+    return F.flatten(F.transform(counted, arc_of))

@@ -88,9 +88,9 @@ SELECT page_id, line_id, round(any_value(dist), 6) AS distance, count(*) AS poin
 )
 def offset_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tilted line's quad moved outwards by 2.2 times its area over its perimeter, corners rounded: points and area."""
-    df = tilted(spark, sf_dir).select("page_id", "line_id", "p").withColumn("area", P.area(F.col("p"))).where("area > 0")
-    df = df.withColumn("by", F.col("area") * 2.2 / P.perimeter(F.col("p")))
-    df = df.withColumn("wide", P.widened(F.col("p"), F.col("by"), C.ARC))
+    df = P.settled(tilted(spark, sf_dir).select("page_id", "line_id", "p")).withColumn("area", P.area(F.col("p")))
+    df = P.settled(df.withColumn("by", F.col("area") * 2.2 / P.perimeter(F.col("p"))).where("area > 0"))
+    df = P.settled(df.withColumn("wide", P.widened(F.col("p"), F.col("by"), C.ARC)))
     return df.select("page_id", "line_id", F.round("by", 6).alias("distance"), F.size("wide").cast("long").alias("points"), F.round(P.area(F.col("wide")), 4).alias("area"))
 
 
@@ -119,7 +119,7 @@ SELECT page_id, line_id, round({area_sql("r")}, 5) AS area FROM c4""",
 )
 def tilted_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area that each tilted line shares with the next one of its page."""
-    quads = tilted(spark, sf_dir).select("page_id", "line_id", "p")
+    quads = P.settled(tilted(spark, sf_dir).select("page_id", "line_id", "p"))
     after = quads.select("page_id", (F.col("line_id") - 1).alias("line_id"), F.col("p").alias("q"))
     return quads.join(after, ["page_id", "line_id"]).select("page_id", "line_id", F.round(P.shared_area(F.col("p"), F.col("q")), 5).alias("area"))
 
@@ -134,9 +134,9 @@ SELECT page_id, count(*) AS corners, round(abs(sum(ax * by_ - bx * ay)) / 2, 5)
 )
 def region_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hull of all corners of a page's tilted lines. Hulls of parts of the lines come first, so a page of any size meets as a few corners."""
-    quads = tilted(spark, sf_dir).select("page_id", "p", F.pmod("line_id", F.lit(16)).alias("part"))
+    quads = P.settled(tilted(spark, sf_dir).select("page_id", "line_id", "p")).select("page_id", "p", F.pmod("line_id", F.lit(16)).alias("part"))
     parts = quads.groupBy("page_id", "part").agg(P.hull(F.flatten(F.collect_list("p"))).alias("p"))
-    whole = parts.groupBy("page_id").agg(F.flatten(F.collect_list("p")).alias("p")).withColumn("h", P.hull(F.col("p")))
+    whole = P.settled(parts.groupBy("page_id").agg(F.flatten(F.collect_list("p")).alias("p")).withColumn("h", P.hull(F.col("p"))))
     return whole.select("page_id", F.size("h").cast("long").alias("corners"), F.round(P.area(F.col("h")), 5).alias("area"), F.round(P.perimeter(F.col("h")), 5).alias("around"))
 
 
@@ -152,16 +152,18 @@ scored AS (SELECT *, common / least(cw * ch, line_area) AS share, CASE WHEN list
 
 def tilted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, component, cw, ch and the lines that overlap it most (``most``) and lie nearest (``nearest``)."""
-    quads = tilted(spark, sf_dir)
+    quads = P.settled(tilted(spark, sf_dir))
     k, corner = F.col("line_id"), F.get("p", F.lit(0))
     parts = quads.select("page_id", k.alias("component"), (corner["x"] - 4).alias("cx"), (corner["y"] - 4).alias("cy"), (2.0 + k * 5 % 23).alias("cw"), (2.0 + k * 3 % 19).alias("ch")).where("cw * ch > 9")
     at = lambda dx, dy: P.point(F.col("cx") + dx, F.col("cy") + dy)
     none, w, h = F.lit(0), F.col("cw"), F.col("ch")
-    parts = parts.select("page_id", "component", "cw", "ch", F.array(at(none, none), at(w, none), at(w, h), at(none, h)).alias("square"), F.array_repeat(at(w / 2, h / 2), 4).alias("dot"))
-    both = parts.join(quads.select("page_id", "line_id", "p", "font"), "page_id")
-    both = both.withColumns({"line_area": P.area(F.col("p")), "common": P.shared_area(F.col("p"), F.col("square")), "far": quad_gap(F.col("p"), F.col("dot"))})
-    share = F.round(F.col("common") / F.least(w * h, F.col("line_area")), 9)
-    most = F.min(F.struct((-share).alias("less"), "line_id", share.alias("share"), "line_area")).alias("most")
+    parts = parts.select("page_id", "component", "cx", "cy", "cw", "ch", F.array(at(none, none), at(w, none), at(w, h), at(none, h)).alias("square"), F.array_repeat(at(w / 2, h / 2), 4).alias("dot"))
+    parts = P.settled(parts)
+    both = parts.join(quads.select("page_id", "line_id", "p", "font", "x", "y", F.col("w").alias("bw"), F.col("h").alias("bh")), "page_id")
+    meets = (F.col("x") < F.col("cx") + w) & (F.col("cx") < F.col("x") + F.col("bw")) & (F.col("y") < F.col("cy") + h) & (F.col("cy") < F.col("y") + F.col("bh"))
+    both = both.withColumns({"line_area": P.area(F.col("p")), "common": F.when(meets, P.shared_area(F.col("p"), F.col("square"))).otherwise(0.0), "far": quad_gap(F.col("p"), F.col("dot"))})
+    share = F.col("common") / F.least(w * h, F.col("line_area"))
+    most = F.min(F.struct((-F.round(share, 9)).alias("less"), "line_id", share.alias("share"), "line_area")).alias("most")
     return both.groupBy("page_id", "component", "cw", "ch").agg(most, F.min(F.struct(F.round("far", 9).alias("far"), "line_id", "font")).alias("nearest"))
 
 
@@ -172,7 +174,7 @@ SELECT page_id, component, CASE WHEN round(share, 9) > 0 THEN line_id ELSE neare
 )
 def tilted_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each component's line: the one that it overlaps most, else the nearest."""
-    line = F.when(F.col("most.share") > 0, F.col("most.line_id")).otherwise(F.col("nearest.line_id"))
+    line = F.when(F.col("most.less") < 0, F.col("most.line_id")).otherwise(F.col("nearest.line_id"))
     return tilted_matches(spark, sf_dir).select("page_id", "component", line.alias("line_id"), F.round("most.share", 6).alias("share"))
 
 
@@ -185,7 +187,7 @@ WHERE m.nth = 1 AND m.cw * m.ch < m.line_area AND (round(m.share, 9) > 0.01 OR r
 def tilted_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components that are smaller than the tilted line they overlap most: it takes them, or with hardly any overlap the nearest if it is near enough."""
     best = tilted_matches(spark, sf_dir)
-    overlaps = F.col("most.share") > 0.01
+    overlaps = F.col("most.less") < -0.01
     near = F.col("nearest.far") < 0.5 * F.greatest(F.least("nearest.font", "cw", "ch"), F.lit(10))
     kept = best.where((F.col("cw") * F.col("ch") < F.col("most.line_area")) & (overlaps | near))
     return kept.select("page_id", "component", F.when(overlaps, F.col("most.line_id")).otherwise(F.col("nearest.line_id")).alias("line_id"))
