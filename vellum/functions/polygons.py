@@ -89,6 +89,20 @@ def shared_area(ring: Column, other: Column) -> Column:
     return area(clipped(ring, other))
 
 
+def point_gap(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point from a convex ring, 0 inside."""
+    side = lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+
+    def square(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))))
+        ox, oy = x - a["x"] - along * dx, y - a["y"] - along * dy
+        return ox * ox + oy * oy
+
+    sides = F.zip_with(ring, next_of(ring), side)
+    return F.when((F.array_min(sides) >= 0) | (F.array_max(sides) <= 0), 0.0).otherwise(F.sqrt(F.array_min(F.zip_with(ring, next_of(ring), square))))
+
+
 def widened(ring: Column, by: Column, arc: float) -> Column:
     """A convex ring, of growing angle as y points down, moved outwards by ``by``; corners become arcs within ``arc`` of the circle."""
     out = F.zip_with(ring, next_of(ring), lambda a, b: F.atan2(-(b["x"] - a["x"]), b["y"] - a["y"]))

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.functions import polygons as P
-from vellum.functions.geometry import quad_gap
 from vellum.operators import contours as C
 from vellum.operators.masks import over_images
 from vellum.queries.registry import query
@@ -157,11 +156,11 @@ def tilted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = quads.select("page_id", k.alias("component"), (corner["x"] - 4).alias("cx"), (corner["y"] - 4).alias("cy"), (2.0 + k * 5 % 23).alias("cw"), (2.0 + k * 3 % 19).alias("ch")).where("cw * ch > 9")
     at = lambda dx, dy: P.point(F.col("cx") + dx, F.col("cy") + dy)
     none, w, h = F.lit(0), F.col("cw"), F.col("ch")
-    parts = parts.select("page_id", "component", "cx", "cy", "cw", "ch", F.array(at(none, none), at(w, none), at(w, h), at(none, h)).alias("square"), F.array_repeat(at(w / 2, h / 2), 4).alias("dot"))
+    parts = parts.select("page_id", "component", "cx", "cy", "cw", "ch", F.array(at(none, none), at(w, none), at(w, h), at(none, h)).alias("square"))
     parts = P.settled(parts)
     both = parts.join(quads.select("page_id", "line_id", "p", "font", "x", "y", F.col("w").alias("bw"), F.col("h").alias("bh")), "page_id")
     meets = (F.col("x") < F.col("cx") + w) & (F.col("cx") < F.col("x") + F.col("bw")) & (F.col("y") < F.col("cy") + h) & (F.col("cy") < F.col("y") + F.col("bh"))
-    both = both.withColumns({"line_area": P.area(F.col("p")), "common": F.when(meets, P.shared_area(F.col("p"), F.col("square"))).otherwise(0.0), "far": quad_gap(F.col("p"), F.col("dot"))})
+    both = both.withColumns({"line_area": P.area(F.col("p")), "common": F.when(meets, P.shared_area(F.col("p"), F.col("square"))).otherwise(0.0), "far": P.point_gap(F.col("cx") + w / 2, F.col("cy") + h / 2, F.col("p"))})
     share = F.col("common") / F.least(w * h, F.col("line_area"))
     most = F.min(F.struct((-F.round(share, 9)).alias("less"), "line_id", share.alias("share"), "line_area")).alias("most")
     return both.groupBy("page_id", "component", "cw", "ch").agg(most, F.min(F.struct(F.round("far", 9).alias("far"), "line_id", "font")).alias("nearest"))
