@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.functions import polygons as P
 from vellum.operators import contours as C
-from vellum.operators.masks import over_images
+from vellum.operators.masks import drawn, over_images
 from vellum.queries.registry import query
 from vellum.queries.tilted import TILTED_SQL, tilted
 from vellum.sources.tables import read_table
@@ -20,21 +20,23 @@ def score_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, w, h, grey: two bars at an angle on each map, one with a hole, scores from 0 to 255."""
     k, size = F.col("p_partkey"), F.col("p_size")
     maps = read_table(spark, sf_dir, "part").select(k.alias("image_id"), (36 + size % 9).cast("int").alias("w"), (28 + k % 7).cast("int").alias("h"))
-    i, w = F.col("image_id"), F.col("w")
-    x, y = (lambda at: at % w), (lambda at: F.floor(at / w))
+    i = F.col("image_id")
+    one, two = F.radians(i % 12 * 15), F.radians(i % 7 * 25)
+    maps = maps.withColumns({"cos_one": F.cos(one), "sin_one": F.sin(one), "cos_two": F.cos(two), "sin_two": F.sin(two)})
 
-    def bar(at: Column, cx: Column, cy: Column, turn: Column, long: Column, thick: Column) -> tuple[Column, Column]:
-        u = (x(at) - cx) * F.cos(turn) + (y(at) - cy) * F.sin(turn)
-        v = (y(at) - cy) * F.cos(turn) - (x(at) - cx) * F.sin(turn)
-        return (F.abs(u) < long) & (F.abs(v) < thick), (F.abs(u) < 2.5) & (F.abs(v) < 1.5)
+    def score(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        i = c["image_id"]
 
-    def score(at: Column) -> Column:
-        one, hole = bar(at, w / 3, F.lit(10.0), F.radians(i % 12 * 15), 6.0 + i % 4, 3.0 + i % 3)
-        two, _ = bar(at, w * 0.7, F.lit(20.0), F.radians(i % 7 * 25), 5.0 + i % 5, 1.0 + i % 4)
-        shade = (x(at) * 3 + y(at) * 5 + i) % 40
-        return F.when(one & ~(hole & (i % 2 == 0)), 215 + shade).when(two, 150 + shade).otherwise(shade).cast("int")
+        def bar(cx: np.ndarray, cy: float, turn: str, long: np.ndarray, thick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cos, sin = c[f"cos_{turn}"], c[f"sin_{turn}"]
+            u, v = np.abs((x - cx) * cos + (y - cy) * sin), np.abs((y - cy) * cos - (x - cx) * sin)
+            return (u < long) & (v < thick), (u < 2.5) & (v < 1.5)
 
-    return maps.withColumn("grey", F.transform(F.sequence(F.lit(0), w * F.col("h") - 1), score))
+        one, hole = bar(c["w"] / 3, 10.0, "one", 6.0 + i % 4, 3.0 + i % 3)
+        two, _ = bar(c["w"] * 0.7, 20.0, "two", 5.0 + i % 5, 1.0 + i % 4)
+        return (x * 3 + y * 5 + i) % 40 + np.where(one & ~(hole & (i % 2 == 0)), 215, np.where(two, 150, 0))
+
+    return drawn(maps, score, ("cos_one", "sin_one", "cos_two", "sin_two"))
 
 
 @query("K15_contour_boxes")

@@ -101,10 +101,13 @@ def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, w, h, grey: blots of a light and a dark shade, row by row, as arrays."""
     k = F.col("p_partkey")
     images = read_table(spark, sf_dir, "part").select(k.alias("image_id"), (12 + F.col("p_size") % 9).cast("int").alias("w"), (10 + k % 7).cast("int").alias("h"))
-    x, y, i = (lambda at: at % F.col("w")), (lambda at: F.floor(at / F.col("w"))), F.col("image_id")
-    light = lambda at: ((x(at) * (i % 5 + 1) + y(at) * (i % 3 + 2)) % 11 < 7) | ((x(at) + y(at) + i) % 6 == 0)
-    shade = lambda at: F.when(light(at), 200 + (x(at) + y(at)) % 20).otherwise(40 + x(at) % 10).cast("int")
-    return images.withColumn("grey", F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), shade))
+
+    def shade(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        i = c["image_id"]
+        light = ((x * (i % 5 + 1) + y * (i % 3 + 2)) % 11 < 7) | ((x + y + i) % 6 == 0)
+        return np.where(light, 200 + (x + y) % 20, 40 + x % 10)
+
+    return M.drawn(images, shade)
 
 
 @query("K2_flood_area")
@@ -136,11 +139,6 @@ def labelled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, area and bounds of each component of light pixels."""
 
     def each(_: int, grey: np.ndarray) -> list[tuple]:
-        label = M.labelled(grey > 127)
-        out = []
-        for n in range(1, int(label.max()) + 1):
-            y, x = np.nonzero(label == n)
-            out.append((n, len(x), int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1)))
-        return out
+        return [(n, area, x, y, w, h) for n, (area, x, y, w, h) in enumerate(M.extents(M.labelled(grey > 127)), 1)]
 
     return M.over_images(grey_images(spark, sf_dir), "image_id bigint, label int, area int, x int, y int, w int, h int", each)
