@@ -121,14 +121,15 @@ def _split(nodes: list[int], gap: np.ndarray, font: np.ndarray, centre: np.ndarr
 
 
 def split_shared(bubbles: DataFrame) -> DataFrame:
-    """(page_id, line_id, x, y, w, h) of ``bubbles``, a rectangle x, y, w, h and a centre cx, cy for each line, where those of IoU 0.5 and more have shared out their ground.
+    """(page_id, line_id, x, y, w, h) and what other columns there are of ``bubbles``, a rectangle x, y, w, h and a centre cx, cy for each line, where those of IoU 0.5 and more have shared out their ground.
 
     Pairs go in the order of their lines, and a cut holds for the pairs after it,
     so a page with an overlap is one array and its fold. The first rectangle of a
     pair is cut half-way between the centres, along the axis on which they are
     further apart, 10 pixels from its edges at least; both parts are of it.
     """
-    box = F.struct("line_id", "cx", "cy", *[F.col(c).cast("long").alias(c) for c in "xywh"])
+    others = [c for c in bubbles.columns if c not in ("page_id", "line_id", "cx", "cy", *"xywh")]
+    box = F.struct("line_id", "cx", "cy", *[F.col(c).cast("long").alias(c) for c in "xywh"], *others)
     pages = bubbles.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
     last = F.size("boxes") - 1
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i < last, F.transform(F.sequence(F.least(i + 1, last), last), lambda j: F.struct(i.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))))
@@ -148,6 +149,7 @@ def split_shared(bubbles: DataFrame) -> DataFrame:
             r["line_id"].alias("line_id"), r["cx"].alias("cx"), r["cy"].alias("cy"),
             F.when(along & ~first, sx).otherwise(p["x"]).alias("x"), F.when(~along & ~first, sy).otherwise(p["y"]).alias("y"),
             F.when(~along, p["w"]).when(first, sx - p["x"]).otherwise(p["x"] + p["w"] - sx).alias("w"), F.when(along, p["h"]).when(first, sy - p["y"]).otherwise(p["y"] + p["h"] - sy).alias("h"),
+            *[r[c].alias(c) for c in others],
         )
         return part(p, leads), part(q, ~leads)
 
@@ -158,7 +160,7 @@ def split_shared(bubbles: DataFrame) -> DataFrame:
 
     some = F.exists(pairs, lambda pair: alike(F.get("boxes", pair["i"]), F.get("boxes", pair["j"])))
     done = F.when(some, F.aggregate(pairs, F.col("boxes"), settle)).otherwise(F.col("boxes"))
-    return pages.select("page_id", F.explode(done).alias("b")).select("page_id", "b.line_id", "b.x", "b.y", "b.w", "b.h")
+    return pages.select("page_id", F.explode(done).alias("b")).select("page_id", "b.line_id", "b.x", "b.y", "b.w", "b.h", *[f"b.{c}" for c in others])
 
 
 def line_components(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float] = MERGE) -> DataFrame:

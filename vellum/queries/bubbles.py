@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.operators import bubbles as B
+from vellum.operators.masks import drawn
 from vellum.operators.regions import split_shared
 from vellum.queries.registry import query
 from vellum.sources.tables import read_table
@@ -19,14 +20,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     df = read_table(spark, sf_dir, "part").select(k.alias("image_id"), (78 + size % 7).cast("int").alias("w"), (60 + k % 5).cast("int").alias("h"))
     i, w, h = F.col("image_id"), F.col("w"), F.col("h")
-    x, y = (lambda at: at % w), (lambda at: F.floor(at / w))
 
-    def shade(at: Column) -> Column:
-        dx, dy = (x(at) - (w / 2 - 6 + i % 9)) / (16.0 + i % 5), (y(at) - h / 2) / (15.0 + i % 6)
-        shape = F.when(i % 3 == 0, F.greatest(F.abs(dx), F.abs(dy))).otherwise(dx * dx + dy * dy)
-        noise = (x(at) * 7 + y(at) * 13 + i) % 17
-        ink = ((x(at) + 2 * y(at) + i) % 9 < 2) & (F.abs(x(at) - w / 2) < 9) & (F.abs(y(at) - h / 2) < 5) & (i % 4 == 1)
-        return F.when((shape < 1) & ~ink, 225 + noise).otherwise(60 + noise).cast("int")
+    def shade(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        i, w, h = c["image_id"], c["w"], c["h"]
+        dx, dy = (x - (w / 2 - 6 + i % 9)) / (16.0 + i % 5), (y - h / 2) / (15.0 + i % 6)
+        shape = np.where(i % 3 == 0, np.maximum(np.abs(dx), np.abs(dy)), dx * dx + dy * dy)
+        ink = ((x + 2 * y + i) % 9 < 2) & (np.abs(x - w / 2) < 9) & (np.abs(y - h / 2) < 5) & (i % 4 == 1)
+        return (x * 7 + y * 13 + i) % 17 + np.where((shape < 1) & ~ink, 225, 60)
 
     def region(n: int, cx: Column, cy: Column, rw: Column, rh: Column) -> Column:
         x0, y0, lean = (cx - F.floor(rw / 2)).cast("int"), (cy - F.floor(rh / 2)).cast("int"), (i % 5 - 2).cast("int")
@@ -36,7 +36,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     middle, low = (w / 2).cast("int"), (h / 2).cast("int")
     own = F.array(region(0, middle, low - 3, 20 + i % 6, 10 + i % 4), region(1, middle - 1, low + 4, 18 + i % 5, 8 + i % 3), region(2, F.lit(8), F.lit(8), 12 + i % 3, 7 + i % 2))
-    return df.withColumns({"grey": F.transform(F.sequence(F.lit(0), w * h - 1), shade), "regions": own})
+    return drawn(df.withColumn("regions", own), shade).select("image_id", "w", "h", "grey", "regions")
 
 
 def centre(r: dict) -> tuple[int, int]:
@@ -68,8 +68,7 @@ def all_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
     found = B.with_regions(pages(spark, sf_dir), "page_id bigint, line_id bigint, cx double, cy double, x int, y int, w int, h int, confidence double", each)
-    shared = split_shared(found.drop("confidence"))
-    return shared.join(found.select("page_id", "line_id", "confidence"), ["page_id", "line_id"]).select(F.col("page_id").alias("image_id"), F.col("line_id").alias("region_id"), "x", "y", "w", "h", "confidence")
+    return split_shared(found).select(F.col("page_id").alias("image_id"), F.col("line_id").alias("region_id"), "x", "y", "w", "h", "confidence")
 
 
 @query("K7_complete_mask")
