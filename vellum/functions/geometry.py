@@ -198,10 +198,10 @@ def quad_shape(p: Column) -> dict[str, Column]:
     down = [middle(2, 3, c) - middle(0, 1, c) for c in "xy"]
     across = [middle(3, 0, c) - middle(1, 2, c) for c in "xy"]
     tall, wide = (F.sqrt(v[0] * v[0] + v[1] * v[1]) for v in (down, across))
-    xs, ys = F.transform(p, lambda v: v["x"]), F.transform(p, lambda v: v["y"])
+    (x, x2), (y, y2) = ([of(*(p[k][c] for k in range(4))) for of in (F.least, F.greatest)] for c in "xy")
     return {
         "font": F.least(tall, wide), "aspect": wide / tall, "angle": F.atan2(down[0], down[1]),
-        "x": F.array_min(xs), "y": F.array_min(ys), "w": F.array_max(xs) - F.array_min(xs), "h": F.array_max(ys) - F.array_min(ys),
+        "x": x, "y": y, "w": x2 - x, "h": y2 - y,
     }
 
 

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.functions.geometry import box_gap, can_merge
+from vellum.functions.geometry import box_gap, can_merge, can_merge_quads
+from vellum.operators import quads as Q
 from vellum.operators.graph import connected_components
 from vellum.sources.scratch import Scratch
 
@@ -243,29 +244,46 @@ def tree_edges(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float]
     return parts.select("page_id", "lines").mapInArrow(run, TREES)
 
 
-def tilted_regions(quads: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, line_id, region_id) of ``quads`` (page_id, line_id, p, font, angle), whose ``pairs`` (page_id, src, dst) belong together.
+def tilted_pairs(quads: DataFrame, tolerances: dict[str, float] = MERGE) -> DataFrame:
+    """Pairs of a page's tilted lines that pass the merge test, columns prefixed a_ and b_, with their distance ``gap``.
 
-    Components form over all pages at once; a component is the unit of the split, which looks at all pairs of its lines.
+    The distance of the lines' bounds, which is no larger, decides first: every rule wants a small distance.
     """
-    held = scratch.write(quads.select("page_id", "line_id", "p", "font", "angle", F.monotonically_increasing_id().alias("node")), "quads", keep=True)
-    end = lambda name, node: held.select("page_id", F.col("line_id").alias(name), F.col("node").alias(node))
-    edges = pairs.join(end("src", "u"), ["page_id", "src"]).join(end("dst", "v"), ["page_id", "dst"]).select("u", "v")
+    a, b = (quads.select("page_id", *[F.col(c).alias(f"{s}_{c}") for c in quads.columns if c != "page_id"]) for s in "ab")
+    near = a.join(b, "page_id").where("a_line_id < b_line_id").withColumn("gap", box_gap("a", "b") - 1e-6)
+    near = near.where(can_merge_quads("a", "b", **tolerances)).drop("gap")
+    with_gap = Q.with_figures(near, "gap double", lambda rows: [Q.gaps(Q.rings(rows, "a_p"), Q.rings(rows, "b_p"))], drop=("a_p", "b_p"))
+    return with_gap.where(can_merge_quads("a", "b", **tolerances))
+
+
+def tilted_regions(quads: DataFrame, scratch: Scratch, tolerances: dict[str, float] = MERGE) -> DataFrame:
+    """(page_id, line_id, region_id) of ``quads`` (page_id, line_id, p and the columns of its shape).
+
+    Components of the merge pairs form over all pages at once; a component is the unit of the split, which looks at all pairs of its lines.
+    """
+    held = scratch.write(quads.withColumn("node", F.monotonically_increasing_id()), "quads", keep=True)
+    edges = tilted_pairs(held, tolerances).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
     labels = scratch.write(connected_components(edges, scratch), "labels", keep=True)
     joined = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = joined.groupBy("page_id", "component").agg(F.array_sort(F.collect_list(F.struct("line_id", "font", "angle", "p"))).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages, ids, regions_ = [], [], []
-            for page, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p = np.array([[(q["x"], q["y"]) for q in r["p"]] for r in lines], float)
-                font, angle = (np.array([r[c] for r in lines], float) for c in ("font", "angle"))
-                for part in _split(list(range(len(lines))), ring_gaps(p), font, p.mean(axis=1), angle):
-                    pages += [page] * len(part)
-                    ids += [lines[k]["line_id"] for k in part]
-                    regions_ += [lines[min(part)]["line_id"]] * len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (pages, ids, regions_)], names=["page_id", "line_id", "region_id"])
+            lists = batch.column(1)
+            start = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            ids, font, angle = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            p = Q.rings(pa.RecordBatch.from_arrays([flat.field(3)], names=["p"]), "p")
+            sizes, region = np.diff(start), ids.copy()
+            two = start[:-1][sizes == 2]
+            close = (Q.gaps(p[two], p[two + 1]) < PAIR_FONTS * np.maximum(font[two], font[two + 1])) & (np.abs(angle[two] - angle[two + 1]) < PAIR_TURN)
+            region[two[close] + 1] = ids[two[close]]
+            for k in np.flatnonzero(sizes > 2).tolist():
+                here = slice(int(start[k]), int(start[k + 1]))
+                for part in _split(list(range(int(sizes[k]))), ring_gaps(p[here]), font[here], p[here].mean(axis=1), angle[here]):
+                    region[here.start + np.array(part)] = ids[here.start + min(part)]
+            pages = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (pages, ids, region)], names=["page_id", "line_id", "region_id"])
 
     return parts.select("page_id", "lines").mapInArrow(run, "page_id long, line_id long, region_id long")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.functions import polygons as P
-from vellum.operators import contours as C
+from vellum.operators import contours as C, quads as Q
 from vellum.operators.masks import drawn, over_images
 from vellum.queries.registry import query
-from vellum.queries.tilted import TILTED_SQL, tilted
+from vellum.queries.tilted import TILTED_SQL, followed, tilted
 from vellum.sources.tables import read_table
 
 #: Thresholds of pixel and box in 255ths, and how far a box is widened.
@@ -89,10 +91,19 @@ SELECT page_id, line_id, round(any_value(dist), 6) AS distance, count(*) AS poin
 )
 def offset_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tilted line's quad moved outwards by 2.2 times its area over its perimeter, corners rounded: points and area."""
-    df = P.settled(tilted(spark, sf_dir).select("page_id", "line_id", "p")).withColumn("area", P.area(F.col("p")))
-    df = P.settled(df.withColumn("by", F.col("area") * 2.2 / P.perimeter(F.col("p"))).where("area > 0"))
-    df = P.settled(df.withColumn("wide", P.widened(F.col("p"), F.col("by"), C.ARC)))
-    return df.select("page_id", "line_id", F.round("by", 6).alias("distance"), F.size("wide").cast("long").alias("points"), F.round(P.area(F.col("wide")), 4).alias("area"))
+
+    def figures(batch: pa.RecordBatch) -> list[np.ndarray]:
+        p = Q.rings(batch, "p")
+        edge = np.roll(p, -1, axis=1) - p
+        area, around = Q.area(p), np.sqrt((edge * edge).sum(axis=2)).sum(axis=1)
+        some = area > 0
+        points, wide, by = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p))
+        by[some] = area[some] * 2.2 / around[some]
+        points[some], wide[some] = Q.widened(p[some], by[some], C.ARC)
+        return [by, points, wide]
+
+    df = Q.with_figures(tilted(spark, sf_dir).select("page_id", "line_id", "p"), "by double, points bigint, wide double", figures, drop=("p",)).where("points > 0")
+    return df.select("page_id", "line_id", F.round("by", 6).alias("distance"), "points", F.round("wide", 4).alias("area"))
 
 
 def _cut_sql(ring: str, by: str, k: int) -> str:
@@ -120,9 +131,8 @@ SELECT page_id, line_id, round({area_sql("r")}, 5) AS area FROM c4""",
 )
 def tilted_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area that each tilted line shares with the next one of its page."""
-    quads = P.settled(tilted(spark, sf_dir).select("page_id", "line_id", "p"))
-    after = quads.select("page_id", (F.col("line_id") - 1).alias("line_id"), F.col("p").alias("q"))
-    return quads.join(after, ["page_id", "line_id"]).select("page_id", "line_id", F.round(P.shared_area(F.col("p"), F.col("q")), 5).alias("area"))
+    shared = Q.with_figures(followed(tilted(spark, sf_dir)), "area double", lambda b: [Q.shared_areas(Q.rings(b, "p"), Q.rings(b, "q"))], drop=("p", "q"))
+    return shared.select("page_id", "line_id", F.round("area", 5).alias("area"))
 
 
 @query(
@@ -134,11 +144,39 @@ h AS (SELECT page_id, ax, ay, bx, by_ FROM t GROUP BY page_id, ax, ay, bx, by_ H
 SELECT page_id, count(*) AS corners, round(abs(sum(ax * by_ - bx * ay)) / 2, 5) AS area, round(sum(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2))), 5) AS around FROM h GROUP BY page_id""",
 )
 def region_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hull of all corners of a page's tilted lines. Hulls of parts of the lines come first, so a page of any size meets as a few corners."""
-    quads = P.settled(tilted(spark, sf_dir).select("page_id", "line_id", "p")).select("page_id", "p", F.pmod("line_id", F.lit(16)).alias("part"))
-    parts = quads.groupBy("page_id", "part").agg(P.hull(F.flatten(F.collect_list("p"))).alias("p"))
-    whole = P.settled(parts.groupBy("page_id").agg(F.flatten(F.collect_list("p")).alias("p")).withColumn("h", P.hull(F.col("p"))))
-    return whole.select("page_id", F.size("h").cast("long").alias("corners"), F.round(P.area(F.col("h")), 5).alias("area"), F.round(P.perimeter(F.col("h")), 5).alias("around"))
+    """Hull of all corners of a page's tilted lines. Lines of a page that meet in a batch leave their own hull, so a page of any size meets as a few corners."""
+
+    def figures(batch: pa.RecordBatch) -> list[list]:
+        found = []
+        for points in _rings_of(batch.column("p")):
+            ring = C.hull(points)
+            edge = np.roll(ring, -1, axis=0) - ring
+            found.append((len(ring), C.area_of(ring) if len(ring) > 2 else 0.0, float(np.sqrt((edge * edge).sum(axis=1)).sum())))
+        return list(zip(*found)) or [[], [], []]
+
+    parts = tilted(spark, sf_dir).select("page_id", "p").mapInArrow(_parts_of_pages, "page_id bigint, p array<struct<x:double,y:double>>")
+    whole = parts.groupBy("page_id").agg(F.flatten(F.collect_list("p")).alias("p"))
+    whole = Q.with_figures(whole, "corners bigint, area double, around double", figures, drop=("p",))
+    return whole.select("page_id", "corners", F.round("area", 5).alias("area"), F.round("around", 5).alias("around"))
+
+
+def _rings_of(lists: pa.ListArray) -> list[np.ndarray]:
+    flat = lists.flatten()
+    points = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
+    return np.split(points, np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+
+def _parts_of_pages(batches: Iterator[pa.RecordBatch], most: int = 16) -> Iterator[pa.RecordBatch]:
+    """Corners by page: those of lines that follow each other are one row, as their hull where they are more than ``most``."""
+    for batch in batches:
+        page = Q.column(batch, "page_id")
+        starts = np.flatnonzero(np.diff(page, prepend=page[:1] - 1))
+        groups = np.split(Q.rings(batch, "p").reshape(-1, 2), 4 * starts[1:])
+        groups = [C.hull(g) if len(g) > most else g for g in groups]
+        offsets = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+        points = np.concatenate(groups)
+        flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(page[starts]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["page_id", "p"])
 
 
 _SQUARE_SQL = "[{'x': p[1].x - 4, 'y': p[1].y - 4}, {'x': p[1].x - 4 + cw, 'y': p[1].y - 4}, {'x': p[1].x - 4 + cw, 'y': p[1].y - 4 + ch}, {'x': p[1].x - 4, 'y': p[1].y - 4 + ch}]"
@@ -153,19 +191,34 @@ scored AS (SELECT *, common / least(cw * ch, line_area) AS share, CASE WHEN list
 
 def tilted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, component, cw, ch and the lines that overlap it most (``most``) and lie nearest (``nearest``)."""
-    quads = P.settled(tilted(spark, sf_dir))
+    quads = tilted(spark, sf_dir)
     k, corner = F.col("line_id"), F.get("p", F.lit(0))
     parts = quads.select("page_id", k.alias("component"), (corner["x"] - 4).alias("cx"), (corner["y"] - 4).alias("cy"), (2.0 + k * 5 % 23).alias("cw"), (2.0 + k * 3 % 19).alias("ch")).where("cw * ch > 9")
-    at = lambda dx, dy: P.point(F.col("cx") + dx, F.col("cy") + dy)
-    none, w, h = F.lit(0), F.col("cw"), F.col("ch")
-    parts = parts.select("page_id", "component", "cx", "cy", "cw", "ch", F.array(at(none, none), at(w, none), at(w, h), at(none, h)).alias("square"))
-    parts = P.settled(parts)
-    both = parts.join(quads.select("page_id", "line_id", "p", "font", "x", "y", F.col("w").alias("bw"), F.col("h").alias("bh")), "page_id")
-    meets = (F.col("x") < F.col("cx") + w) & (F.col("cx") < F.col("x") + F.col("bw")) & (F.col("y") < F.col("cy") + h) & (F.col("cy") < F.col("y") + F.col("bh"))
-    both = both.withColumns({"line_area": P.area(F.col("p")), "common": F.when(meets, P.shared_area(F.col("p"), F.col("square"))).otherwise(0.0), "far": P.point_gap(F.col("cx") + w / 2, F.col("cy") + h / 2, F.col("p"))})
-    share = F.col("common") / F.least(w * h, F.col("line_area"))
-    most = F.min(F.struct((-F.round(share, 9)).alias("less"), "line_id", share.alias("share"), "line_area")).alias("most")
-    return both.groupBy("page_id", "component", "cw", "ch").agg(most, F.min(F.struct(F.round("far", 9).alias("far"), "line_id", "font")).alias("nearest"))
+    both = parts.join(quads.select("page_id", "line_id", "p", "font"), "page_id")
+    best = both.mapInArrow(best_lines, "page_id bigint, component bigint, cw double, ch double, most struct<less:double,line_id:bigint,share:double,line_area:double>, nearest struct<far:double,line_id:bigint,font:double>")
+    return best.groupBy("page_id", "component", "cw", "ch").agg(F.min("most").alias("most"), F.min("nearest").alias("nearest"))
+
+
+def best_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of components beside lines, each component's best lines in the batch: by overlap, and by the distance of its middle."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, Q.ROWS):
+            batch = whole.slice(start, Q.ROWS)
+            page, component, line, cx, cy, w, h, font = (Q.column(batch, c) for c in ("page_id", "component", "line_id", "cx", "cy", "cw", "ch", "font"))
+            p = Q.rings(batch, "p")
+            square = np.stack([np.stack([cx + dx * w, cy + dy * h], axis=1) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))], axis=1)
+            area = Q.area(p)
+            share = Q.shared_areas(p, square) / np.minimum(w * h, area)
+            less, far = -share.round(9) + 0.0, Q.point_gaps(np.stack([cx + w / 2, cy + h / 2], axis=1), p).round(9)
+            first = {}
+            for name, key in (("most", less), ("nearest", far)):
+                order = np.lexsort((line, key, component, page))
+                begins = (np.diff(page[order], prepend=page[order[0]] - 1) != 0) | (np.diff(component[order], prepend=component[order[0]] - 1) != 0)
+                first[name] = order[begins]
+            m, n = first["most"], first["nearest"]
+            most = pa.StructArray.from_arrays([less[m], line[m], share[m], area[m]], names=["less", "line_id", "share", "line_area"])
+            nearest = pa.StructArray.from_arrays([far[n], line[n], font[n]], names=["far", "line_id", "font"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[m]) for c in (page, component, w, h)), most, nearest], names=["page_id", "component", "cw", "ch", "most", "nearest"])
 
 
 @query(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vellum.functions import geometry as G
-from vellum.operators import regions as R
+from vellum.operators import quads as Q, regions as R
 from vellum.queries.registry import query
 from vellum.sources.layout import LINES_SQL, text_lines
 from vellum.sources.scratch import Scratch
@@ -61,18 +61,18 @@ def tilted_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tilted(spark, sf_dir).select("page_id", "line_id", *rounded, (F.col("w") * F.col("h")).alias("bounds"))
 
 
-def tilted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unordered pairs of a page's tilted lines, columns prefixed a_ and b_, with their distance ``gap``."""
-    quads = tilted(spark, sf_dir)
-    a, b = (quads.select("page_id", *[F.col(c).alias(f"{s}_{c}") for c in quads.columns if c != "page_id"]) for s in "ab")
-    return a.join(b, "page_id").where("a_line_id < b_line_id").withColumn("gap", G.quad_gap(F.col("a_p"), F.col("b_p")))
+def followed(quads: DataFrame) -> DataFrame:
+    """page_id, line_id, p of each line and q of the next one of its page."""
+    page = Window.partitionBy("page_id").orderBy("line_id")
+    both = quads.select("page_id", "line_id", "p", F.lead("p").over(page).alias("q"), F.lead("line_id").over(page).alias("next"))
+    return both.where("next = line_id + 1").drop("next")
 
 
 @query("G7_quad_gap", f"WITH {TILTED_SQL} SELECT a.page_id, a.line_id AS src, b.line_id AS dst, round({GAP_SQL}, 5) AS gap FROM shaped a JOIN shaped b ON a.page_id = b.page_id AND b.line_id = a.line_id + 1")
 def quad_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each line and the next one of its page."""
-    near = tilted_pairs(spark, sf_dir).where("b_line_id = a_line_id + 1")
-    return near.select("page_id", F.col("a_line_id").alias("src"), F.col("b_line_id").alias("dst"), F.round("gap", 5).alias("gap"))
+    near = Q.with_figures(followed(tilted(spark, sf_dir)), "gap double", lambda b: [Q.gaps(Q.rings(b, "p"), Q.rings(b, "q"))], drop=("p", "q"))
+    return near.select("page_id", F.col("line_id").alias("src"), (F.col("line_id") + 1).alias("dst"), F.round("gap", 5).alias("gap"))
 
 
 _LIMIT = "15 * pi() / 180"
@@ -89,7 +89,7 @@ ELSE abs(ta - tb) < {_LIMIT} AND gap <= size * {R.MERGE["gap2"]} AND (largest -
 )
 def tilted_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge pairs with the branch for lines at an angle."""
-    good = tilted_pairs(spark, sf_dir).where(G.can_merge_quads("a", "b", **R.MERGE))
+    good = R.tilted_pairs(tilted(spark, sf_dir))
     return good.select("page_id", F.col("a_line_id").alias("src"), F.col("b_line_id").alias("dst"), F.round("gap", 5).alias("gap"))
 
 
@@ -97,4 +97,4 @@ def tilted_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tilted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of tilted lines: pairs also need nearly the same direction."""
     with Scratch(spark, "tilted-regions") as scratch:
-        return R.tilted_regions(tilted(spark, sf_dir), tilted_merge_pairs(spark, sf_dir), scratch)
+        return R.tilted_regions(tilted(spark, sf_dir), scratch)
