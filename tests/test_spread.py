@@ -27,3 +27,10 @@ def test_long_paths_take_few_steps():
     spots = np.zeros((6, 6), bool)
     spots[::2, ::2] = True
     assert M.labelled(spots).max() == 9 and M.flooded(spots, 1, 1).sum() == 0 and M.flooded(spots, 2, 2).sum() == 1
+
+
+@pytest.mark.parametrize("name", ["W12_tile_plan", "W13_reassembly"])
+def test_tiles_of_images_are_dealt_out_and_laid_without_a_shuffle_of_rows(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the images
+    assert df.rdd.getNumPartitions() >= 16
