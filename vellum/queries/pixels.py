@@ -90,11 +90,11 @@ SELECT page_id, count(*) AS area, CAST(sum(mask) AS BIGINT) AS total, CAST(max(m
 )
 def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line's mask has a bit of its own, in cells of 5 pixels; by page the area of the union and what its bits add up to."""
-    cells = lambda low, size: F.explode(F.sequence(F.floor(F.col(low) / 5), F.floor((F.col(low) + F.col(size) - 1) / 5)))
-    masks = text_lines(spark, sf_dir).withColumn("px", cells("x", "w")).withColumn("py", cells("y", "h"))
-    bit = F.call_function("shiftleft", F.lit(1), ((F.col("line_id") - 1) % 16).cast("int"))
-    united = masks.groupBy("page_id", "px", "py").agg(F.bit_or(bit).alias("mask"))
-    return united.groupBy("page_id").agg(F.count("*").alias("area"), F.sum("mask").alias("total"), F.max("mask").alias("most"))
+
+    def figures(pages: np.ndarray, starts: np.ndarray, px: np.ndarray, py: np.ndarray, bits: np.ndarray) -> list:
+        return [pages, np.diff(starts, append=len(px)), np.add.reduceat(bits, starts), np.maximum.reduceat(bits, starts)]
+
+    return M.over_pages(text_lines(spark, sf_dir), "page_id bigint, area bigint, total bigint, most int", figures)
 
 
 def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
