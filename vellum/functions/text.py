@@ -75,12 +75,22 @@ def vertical(text: Column) -> Column:
 
 def places(text: Column) -> Column:
     """Length of the stripped text with small kana at a half."""
-    return F.length(strip(text)) - 0.5 * F.regexp_count(strip(text), F.lit(f"[{HALF_WIDTH}]"))
+    return places_of(strip(text))
+
+
+def places_of(stripped: Column) -> Column:
+    """:func:`places` of a text that has been stripped."""
+    return F.length(stripped) - 0.5 * F.regexp_count(stripped, F.lit(f"[{HALF_WIDTH}]"))
 
 
 def length_ratio(original: Column, translation: Column) -> Column:
     """Places of the translation over those of the original, 0.5 at least; 1 for an empty original."""
-    return F.when(places(original) <= 0, 1.0).otherwise(F.greatest(F.lit(0.5), places(F.coalesce(translation, F.lit(""))) / places(original)))
+    return ratio_of(places(original), places(F.coalesce(translation, F.lit(""))))
+
+
+def ratio_of(held: Column, wanted: Column) -> Column:
+    """:func:`length_ratio` of texts of so many places."""
+    return F.when(held <= 0, 1.0).otherwise(F.greatest(F.lit(0.5), wanted / held))
 
 
 def is_cjk_code(code: Column) -> Column:
