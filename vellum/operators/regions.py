@@ -230,18 +230,47 @@ def tree_edges(lines: DataFrame, scratch: Scratch, tolerances: dict[str, float]
     line = F.struct("line_id", "x", "y", "w", "h")
     parts = line_components(lines, scratch, tolerances).groupBy("page_id", "component").agg(F.array_sort(F.collect_list(line)).alias("lines")).where(F.size("lines") > 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y, w, h = (np.array([r[c] for r in held], float) for c in "xywh")
-                away = lambda p, q: np.maximum(np.maximum(p[None] - (p + q)[:, None], p[:, None] - (p + q)[None]), 0)
-                tree = _tree(list(range(len(held))), np.hypot(away(x, w), away(y, h)))
-                rows.append({"page_id": page, "first": held[0]["line_id"], "lines": len(held), "weight": [e[0] for e in tree], "mean_font": float(np.minimum(w, h).mean())})
-            schema = pa.schema([("page_id", pa.int64()), ("first", pa.int64()), ("lines", pa.int64()), ("weight", pa.list_(pa.float64())), ("mean_font", pa.float64())])
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return parts.select("page_id", "lines").mapInArrow(run, TREES)
+    return parts.select("page_id", "lines").mapInArrow(_trees, TREES)
+
+
+#: Lines of components that are looked at together.
+TOGETHER = 1 << 16
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:data:`TREES` of components (page_id, lines by line_id), those of as many lines together."""
+    for batch in batches:
+        lists = batch.column(1)
+        start = lists.offsets.to_numpy().astype(np.int64)
+        sizes, start = np.diff(start), start[:-1] - start[0]
+        flat, pages = lists.flatten(), batch.column(0).to_numpy(zero_copy_only=False)
+        ids, boxes = flat.field(0).to_numpy(zero_copy_only=False), [flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(1, 5)]
+        for size in np.unique(sizes).tolist():
+            these, some = np.flatnonzero(sizes == size), max(1, TOGETHER // size)
+            for low in range(0, len(these), some):
+                at = these[low : low + some]
+                x, y, w, h = (c[start[at][:, None] + np.arange(size)] for c in boxes)
+                weight = tree_weights(x, y, w, h)
+                ends = pa.array(np.arange(len(at) + 1) * (size - 1), pa.int32())
+                columns = [pa.array(pages[at], pa.int64()), pa.array(ids[start[at]], pa.int64()), pa.array(np.full(len(at), size), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(weight.ravel())), pa.array(np.minimum(w, h).mean(axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "first", "lines", "weight", "mean_font"])
+
+
+def tree_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Weights, heaviest first, of the least spanning tree of each row's boxes; they are the same for every such tree.
+
+    The nearest box outside joins next, so a row needs its boxes' distances to the last that joined, not all pairs.
+    """
+    n, size = x.shape
+    row, out = np.arange(n), np.zeros((n, size - 1))
+    near, joined, last = np.full((n, size), np.inf), np.zeros((n, size), bool), np.zeros(n, np.int64)
+    away = lambda p, q, o: np.maximum(np.maximum(p - (p + q)[row, o][:, None], p[row, o][:, None] - (p + q)), 0)
+    for k in range(size - 1):
+        joined[row, last] = True
+        near = np.where(joined, np.inf, np.minimum(near, np.hypot(away(x, w, last), away(y, h, last))))
+        last = near.argmin(axis=1)
+        out[:, k] = near[row, last]
+    return -np.sort(-out, axis=1)
 
 
 def tilted_pairs(quads: DataFrame, tolerances: dict[str, float] = MERGE) -> DataFrame:
