@@ -11,7 +11,7 @@ from vellum.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["K4_single_bubble", "K5_bubbles"])
+@pytest.mark.parametrize("name", ["K1_crops", "K4_single_bubble", "K5_bubbles"])
 def test_pixels_stay_in_the_task_that_draws_them(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "grey" not in plan
@@ -72,3 +72,25 @@ def test_bubbles_of_many_images_equal_those_of_each():
     assert found.tolist() == [k for k, b in enumerate(alone) if b is not None] and 10 < len(found) < len(texts)
     assert [(*b, s) for b, s in zip(box.tolist(), score.tolist())] == [tuple(b) for b in alone if b is not None]
     assert len(B.bubbles(soft, w, h, B.Texts(*np.zeros((7, 0), np.int64)))[0]) == 0
+
+
+def test_crops_of_many_quads_equal_those_of_each():
+    """Quads at angles, some beyond the image, some that are no parallelograms, in images of several sizes."""
+    r = np.random.Generator(np.random.PCG64(14))
+    w, h = r.integers(30, 60, 12), r.integers(30, 50, 12)
+    grey = np.zeros((12, h.max(), w.max()), np.int64)
+    for k in range(12):
+        grey[k, : h[k], : w[k]] = r.integers(1, 256, (h[k], w[k]))
+    image = np.sort(r.integers(0, 12, 40))
+    quad = r.integers(-6, 40, (40, 1, 2)) + np.where(r.random((40, 1, 1)) < 0.5, [[0, 0], [18, 3], [17, 12], [-1, 9]], [[0, 0], [9, -2], [9, 20], [0, 22]])
+    quad[::4] += r.integers(-2, 3, (10, 4, 2))
+    across = r.random(40) < 0.5
+    seen = {}
+    for at, strips in B.crops(grey, w, h, image, quad, across):
+        seen |= dict(zip(at.tolist(), strips))
+    assert sorted(seen) == list(range(40)) and sum(s.any() for s in seen.values()) > 25
+    for k in range(40):
+        own = B.crop(grey[image[k], : h[image[k]], : w[image[k]]], quad[k], across[k])
+        assert seen[k].shape == own.shape and (seen[k] == own).all() and own.shape[0] == 48
+    turned = B.homography(quad, quad + [3, 4])
+    assert np.allclose(turned, [[1, 0, 3], [0, 1, 4], [0, 0, 1]], atol=1e-9)

@@ -58,6 +58,10 @@ def texts_of(regions: pa.StructArray, image: np.ndarray, horizontal: np.ndarray
     return B.Texts(image, (x + w / 2).astype(np.int64), (y + h / 2).astype(np.int64), w, h, chars, w >= h if horizontal is None else horizontal)
 
 
+def quads_of(regions: pa.StructArray) -> np.ndarray:
+    return regions.field("q").flatten().to_numpy().reshape(-1, 4, 2)
+
+
 def rounded(v: np.ndarray) -> list[float]:
     return [round(x, 6) for x in v.tolist()]
 
@@ -110,11 +114,14 @@ def complete_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, mean and spread of the upright strip of each text."""
 
-    def each(_: int, grey: np.ndarray, own: list) -> list[tuple]:
-        out = []
-        for r in own:
-            strip = B.crop(grey, np.array(r["q"]).reshape(4, 2), r["w"] >= r["h"])
-            out.append((r["region_id"], strip.shape[1], strip.shape[0], round(float(strip.mean()), 6), round(float(strip.std()), 6)))
-        return out
-
-    return B.with_regions(pages(spark, sf_dir), "image_id bigint, region_id bigint, w int, h int, mean double, spread double", each)
+    def each(s: Stack) -> list:
+        image, regions = s.lists("regions")
+        across = regions.field("w").to_numpy() >= regions.field("h").to_numpy()
+        size, mean, spread = np.zeros((2, len(image)), np.int64), np.zeros(len(image)), np.zeros(len(image))
+        for k, strips in B.crops(s.grey, s.w, s.h, image, quads_of(regions), across):
+            size[:, k] = np.array(strips.shape[:0:-1])[:, None]
+            flat = strips.reshape(len(k), -1)
+            mean[k], spread[k] = flat.mean(axis=1), flat.std(axis=1)
+        return [s.image_id[image], regions.field("region_id"), *size, rounded(mean), rounded(spread)]
+
+    return over_frames(regions_of(spark, sf_dir), "image_id bigint, region_id bigint, w int, h int, mean double, spread double", each, shade)
