@@ -11,7 +11,7 @@ from vellum.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["K1_crops", "K4_single_bubble", "K5_bubbles"])
+@pytest.mark.parametrize("name", ["K1_crops", "K4_single_bubble", "K5_bubbles", "K7_complete_mask"])
 def test_pixels_stay_in_the_task_that_draws_them(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "grey" not in plan
@@ -94,3 +94,21 @@ def test_crops_of_many_quads_equal_those_of_each():
         assert seen[k].shape == own.shape and (seen[k] == own).all() and own.shape[0] == 48
     turned = B.homography(quad, quad + [3, 4])
     assert np.allclose(turned, [[1, 0, 3], [0, 1, 4], [0, 0, 1]], atol=1e-9)
+
+
+def test_completed_masks_of_many_images_equal_those_of_each():
+    """Images of several sizes, some without lines, lines that go over the right and lower border."""
+    r = np.random.Generator(np.random.PCG64(15))
+    w, h, count = r.integers(20, 60, 30), r.integers(20, 50, 30), r.integers(0, 4, 30)
+    masks = np.zeros((30, h.max(), w.max()), bool)
+    for k in range(30):
+        masks[k, : h[k], : w[k]] = r.random((h[k], w[k])) < r.choice([0.15, 0.3])
+    image = np.repeat(np.arange(30), count)
+    quads = r.integers(0, 45, (len(image), 1, 2)) + np.array([[0, 0], [14, 3], [13, 9], [-1, 6]], float) * r.choice([1, 2], (len(image), 1, 1))
+    fonts = r.integers(4, 40, len(image)).astype(float)
+    got, found = B.complete_masks(masks, w, h, image, quads, fonts)
+    for k in range(30):
+        own = B.complete_mask(masks[k, : h[k], : w[k]], list(quads[image == k]), fonts[image == k].tolist())
+        assert found[k] == (own is not None)
+        assert got[k].sum() == (0 if own is None else own.sum()) and (own is None or (got[k, : h[k], : w[k]] == own).all())
+    assert 10 < found.sum() < 30

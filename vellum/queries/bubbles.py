@@ -98,16 +98,19 @@ def all_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def complete_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, bounds and a checksum of each image's completed mask; the raw one has what is light."""
 
-    def each(_: int, grey: np.ndarray, own: list) -> list[tuple]:
-        quads = [np.array(r["q"], float).reshape(4, 2) for r in own]
-        spots = (grey > 200) & (np.add.outer(np.arange(grey.shape[0]) * 3, np.arange(grey.shape[1])) % 11 > 2)
-        mask = B.complete_mask(spots, quads, [float(min(r["w"], r["h"])) for r in own])
-        if mask is None:
-            return []
-        y, x = np.nonzero(mask)
-        return [(len(x), int(x.min()), int(y.min()), int(x.max()), int(y.max()), int((x * 31 + y * 17).sum()))]
-
-    return B.with_regions(pages(spark, sf_dir), "image_id bigint, area bigint, x0 int, y0 int, x1 int, y1 int, checksum bigint", each)
+    def each(s: Stack) -> list:
+        image, regions = s.lists("regions")
+        y, x = (np.arange(n) for n in s.grey.shape[1:])
+        spots = (s.grey > 200) & (np.add.outer(y * 3, x) % 11 > 2)
+        fonts = np.minimum(*(regions.field(c).to_numpy() for c in "wh")).astype(float)
+        masks, found = B.complete_masks(spots, s.w, s.h, image, quads_of(regions).astype(float), fonts)
+        masks = masks[found]
+        down, across = masks.sum(axis=2), masks.sum(axis=1)
+        ends = lambda v: (np.argmax(v > 0, axis=1), v.shape[1] - 1 - np.argmax(v[:, ::-1] > 0, axis=1))
+        (x0, x1), (y0, y1) = ends(across), ends(down)
+        return [s.image_id[found], down.sum(axis=1), x0, y0, x1, y1, across @ (x * 31) + down @ (y * 17)]
+
+    return over_frames(regions_of(spark, sf_dir), "image_id bigint, area bigint, x0 int, y0 int, x1 int, y1 int, checksum bigint", each, shade)
 
 
 @query("K1_crops")
