@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vellum.operators import bubbles as B, contours as C, frames as F, masks as M
@@ -11,7 +12,7 @@ from vellum.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["K1_crops", "K4_single_bubble", "K5_bubbles", "K7_complete_mask"])
+@pytest.mark.parametrize("name", ["G35_borders", "K1_crops", "K4_single_bubble", "K5_bubbles", "K7_complete_mask", "K15_contour_boxes"])
 def test_pixels_stay_in_the_task_that_draws_them(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "grey" not in plan
@@ -112,3 +113,38 @@ def test_completed_masks_of_many_images_equal_those_of_each():
         assert found[k] == (own is not None)
         assert got[k].sum() == (0 if own is None else own.sum()) and (own is None or (got[k, : h[k], : w[k]] == own).all())
     assert 10 < found.sum() < 30
+
+
+def test_borders_of_many_maps_equal_those_of_each():
+    """Their order, points, least rectangles, first corners and means, in maps of several sizes."""
+    r = np.random.Generator(np.random.PCG64(16))
+    for _ in range(40):
+        w, h = r.integers(1, 15, 4), r.integers(1, 13, 4)
+        scores = np.full((4, h.max(), w.max()), 0)
+        for k in range(4):
+            scores[k, : h[k], : w[k]] = r.integers(0, 256, (h[k], w[k]))
+        masks = (scores > r.choice([60, 120, 200])) & F.within(w, h, scores.shape)
+        of = C.borders_of(masks)
+        rings, (corners, short, long), means = np.split(of.points, of.starts[1:]), C.rectangles_of(of), C.means_of(scores, of)
+        alone = [(k, ring) for k in range(4) for ring in C.borders(masks[k, : h[k], : w[k]])]
+        assert of.mask.tolist() == [k for k, _ in alone] and [x.tolist() for x in rings] == [x.tolist() for _, x in alone]
+        for j, (k, ring) in enumerate(alone):
+            box = C.least_rectangle(ring)
+            assert (short[j], long[j]) == pytest.approx((box.short, box.long)) and corners[j] == pytest.approx(box.corners)
+            assert C.first_corners(corners)[j].tolist() == C.ordered(corners[j])[0].tolist()
+            assert means[j] == C.mean_inside(scores[k, : h[k], : w[k]], ring)
+    assert len(C.borders_of(np.zeros((2, 3, 3), bool)).mask) == len(C.means_of(np.zeros((2, 3, 3)), C.borders_of(np.zeros((2, 3, 3), bool)))) == 0
+    found = C.boxes_of(np.zeros((1, 5, 5)), *np.full((2, 1), 5), 1, 1, 2.2, *np.full((2, 1), 9))
+    assert [len(v) for v in found] == [0, 0, 0]
+
+
+def test_images_of_any_size_have_frames_of_like_sizes():
+    """A wide image and a high one don't widen the frames of others; nothing is lost."""
+    sizes = [(3, 2), (4000, 1), (5, 4), (1, 3000), (7, 7), (8, 8), (900, 900)]
+    batch = pa.RecordBatch.from_pydict({"image_id": list(range(7)), "w": [w for w, _ in sizes], "h": [h for _, h in sizes], "grey": [list(range(w * h)) for w, h in sizes]})
+    seen = {}
+    for s in F.stacks(batch, [], None):
+        assert s.grey.size <= sum(int(w * h) + 7 * int(w + h) + 49 for w, h in zip(s.w, s.h))
+        for k, name in enumerate(s.image_id.tolist()):
+            seen[name] = s.grey[k, : s.h[k], : s.w[k]].ravel().tolist()
+    assert seen == {k: list(range(w * h)) for k, (w, h) in enumerate(sizes)}

@@ -98,6 +98,11 @@ def remainder(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
     return np.where(out >= by, out - by, out)
 
 
+def rounded(v: np.ndarray) -> list[float]:
+    """Figures to six places, rounded as Python does."""
+    return [round(x, 6) for x in v.tolist()]
+
+
 def painted(owner: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
     """Frames of ``shape`` with the pixels from ``low`` to before ``high`` of a row set; runs of a row neither meet nor touch."""
     n, h, w = shape

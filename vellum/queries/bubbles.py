@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.operators import bubbles as B
-from vellum.operators.frames import Stack, over_frames, remainder
+from vellum.operators.frames import Stack, over_frames, remainder, rounded
 from vellum.operators.masks import drawn
 from vellum.operators.regions import split_shared
 from vellum.queries.registry import query
@@ -62,10 +62,6 @@ def quads_of(regions: pa.StructArray) -> np.ndarray:
     return regions.field("q").flatten().to_numpy().reshape(-1, 4, 2)
 
 
-def rounded(v: np.ndarray) -> list[float]:
-    return [round(x, 6) for x in v.tolist()]
-
-
 @query("K4_single_bubble")
 def single_bubble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each image's first text."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.operators import contours as C, quads as Q
-from vellum.operators.masks import drawn, over_images
+from vellum.operators.frames import Stack, over_frames, remainder, rounded
 from vellum.queries.registry import query
 from vellum.queries.tilted import TILTED_SQL, followed, tilted
 from vellum.sources.tables import read_table
@@ -18,38 +18,38 @@ from vellum.sources.tables import read_table
 PIXEL, BOX, RATIO = 153, 178.5, 2.2
 
 
-def score_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, w, h, grey: two bars at an angle on each map, one with a hole, scores from 0 to 255."""
+def maps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, w, h, and the directions of two bars on each map."""
     k, size = F.col("p_partkey"), F.col("p_size")
     maps = read_table(spark, sf_dir, "part").select(k.alias("image_id"), (36 + size % 9).cast("int").alias("w"), (28 + k % 7).cast("int").alias("h"))
     i = F.col("image_id")
     one, two = F.radians(i % 12 * 15), F.radians(i % 7 * 25)
-    maps = maps.withColumns({"cos_one": F.cos(one), "sin_one": F.sin(one), "cos_two": F.cos(two), "sin_two": F.sin(two)})
+    return maps.withColumns({"cos_one": F.cos(one), "sin_one": F.sin(one), "cos_two": F.cos(two), "sin_two": F.sin(two)})
 
-    def score(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        i = c["image_id"]
 
-        def bar(cx: np.ndarray, cy: float, turn: str, long: np.ndarray, thick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            cos, sin = c[f"cos_{turn}"], c[f"sin_{turn}"]
-            u, v = np.abs((x - cx) * cos + (y - cy) * sin), np.abs((y - cy) * cos - (x - cx) * sin)
-            return (u < long) & (v < thick), (u < 2.5) & (v < 1.5)
+def score(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two bars at an angle, one with a hole, scores from 0 to 255."""
+    i = c["image_id"]
 
-        one, hole = bar(c["w"] / 3, 10.0, "one", 6.0 + i % 4, 3.0 + i % 3)
-        two, _ = bar(c["w"] * 0.7, 20.0, "two", 5.0 + i % 5, 1.0 + i % 4)
-        return (x * 3 + y * 5 + i) % 40 + np.where(one & ~(hole & (i % 2 == 0)), 215, np.where(two, 150, 0))
+    def bar(cx: np.ndarray, cy: float, turn: str, long: np.ndarray, thick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cos, sin = c[f"cos_{turn}"], c[f"sin_{turn}"]
+        u, v = np.abs((x - cx) * cos + (y - cy) * sin), np.abs((y - cy) * cos - (x - cx) * sin)
+        return (u < long) & (v < thick), (u < 2.5) & (v < 1.5)
 
-    return drawn(maps, score, ("cos_one", "sin_one", "cos_two", "sin_two"))
+    one, hole = bar(c["w"] / 3, 10.0, "one", 6.0 + i % 4, 3.0 + i % 3)
+    two, _ = bar(c["w"] * 0.7, 20.0, "two", 5.0 + i % 5, 1.0 + i % 4)
+    return remainder(x * 3, y * 5 + i, 40) + np.where(one & ~(hole & (i % 2 == 0)), np.int16(215), np.where(two, np.int16(150), np.int16(0)))
 
 
 @query("K15_contour_boxes")
 def contour_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of each score map, in an image twice its size, with their mean scores."""
 
-    def each(_: int, grey: np.ndarray) -> list[tuple]:
-        h, w = grey.shape
-        return [(k, round(mean / 255, 6), *map(int, box.ravel())) for k, (mean, box) in enumerate(C.boxes(grey, PIXEL, BOX, RATIO, 2 * w, 2 * h))]
+    def each(s: Stack) -> list:
+        maps, means, corners = C.boxes_of(s.grey, s.w, s.h, PIXEL, BOX, RATIO, 2 * s.w, 2 * s.h)
+        return [s.image_id[maps], C.numbered(maps), rounded(means / 255), *corners.reshape(-1, 8).T]
 
-    return over_images(score_maps(spark, sf_dir), "image_id bigint, box int, score double, " + ", ".join(f"{c}{k} bigint" for k in range(1, 5) for c in "xy"), each)
+    return over_frames(maps_of(spark, sf_dir), "image_id bigint, box int, score double, " + ", ".join(f"{c}{k} bigint" for k in range(1, 5) for c in "xy"), each, score)
 
 
 @query("P6_candidate_boxes")
@@ -62,15 +62,13 @@ def candidate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def border_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each border's length in points, the sides of its least rectangle, the rectangle's first corner, and the mean score inside."""
 
-    def each(_: int, grey: np.ndarray) -> list[tuple]:
-        out = []
-        for k, ring in enumerate(C.borders(grey > PIXEL)):
-            box = C.least_rectangle(ring)
-            corner = C.ordered(box.corners)[0] + 0.0
-            out.append((k, len(ring), round(box.short, 6), round(box.long, 6), round(float(corner[0]), 6), round(float(corner[1]), 6), round(C.mean_inside(grey, ring), 6)))
-        return out
+    def each(s: Stack) -> list:
+        of = C.borders_of((s.grey > PIXEL) & s.inside())
+        corners, short, long = C.rectangles_of(of)
+        first = C.first_corners(corners) + 0.0
+        return [s.image_id[of.mask], C.numbered(of.mask), of.size, *map(rounded, (short, long, *first.T, C.means_of(s.grey, of)))]
 
-    return over_images(score_maps(spark, sf_dir), "image_id bigint, border int, points int, short double, long double, x double, y double, score double", each)
+    return over_frames(maps_of(spark, sf_dir), "image_id bigint, border int, points int, short double, long double, x double, y double, score double", each, score)
 
 
 _STEP = f"2 * acos(greatest(0.0::DOUBLE, 1 - {C.ARC} / dist))"
